@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import common, packing, token_store, tokens
+from tickloom.llm import common, near_dedup, packing, token_store, tokens
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), tokens.default_vocabulary(), end_id=0, size=1024)
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"), percent=85)
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(common.table(spark, sf_dir, "documents"), tokens.default_vocabulary(), end_id=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op6_token_store)}
+    return {f.__name__: f for f in (op1_packing, op5_near_dedup, op6_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
