@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.llm import common, near_dedup, packing, token_store, tokens
+from tickloom.llm import common, line_dedup, near_dedup, packing, substring_dedup, token_store, tokens
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), tokens.default_vocabulary(), end_id=0, size=1024)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.substring_dedup(common.table(spark, sf_dir, "documents"), window=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"), percent=85)
 
@@ -21,9 +27,21 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(common.table(spark, sf_dir, "documents"), tokens.default_vocabulary(), end_id=2)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of `documents`, whose `source` is the site."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.line_dedup(docs, F.col("source")).select("doc_id", F.col("ld_lines").alias("n_lines"), F.col("ld_removed").alias("n_removed"), "text")
+
+
+def line_dedup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on the visible lines of raw `pages`, by the host of the URL."""
+    pages = common.table(spark, sf_dir, "pages").select("page_id", line_dedup.page_host(F.col("url")).alias("host"), line_dedup.page_lines(F.col("html")).alias("text"))
+    return line_dedup.line_dedup(pages, F.col("host")).select("page_id", F.col("ld_lines").alias("n_lines"), F.col("ld_removed").alias("n_removed"), "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op5_near_dedup, op6_token_store)}
+    return {f.__name__: f for f in (op1_packing, op3_substring_dedup, op5_near_dedup, op6_token_store, op9_line_dedup, line_dedup_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": line_dedup.ORACLE_SQL}
