@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import common, line_dedup, near_dedup, packing, substring_dedup, token_store, tokens
+from tickloom.llm import common, line_dedup, near_dedup, packing, quality, substring_dedup, token_store, tokens, toxicity
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    scored = quality.quality_scores(docs, common.table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", F.col("fm_held_out").alias("held_out"), F.col("fm_score").alias("score"), F.col("fm_predicted").alias("predicted"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"), percent=85)
 
@@ -33,6 +39,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs, F.col("source")).select("doc_id", F.col("ld_lines").alias("n_lines"), F.col("ld_removed").alias("n_removed"), "text")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def line_dedup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same operator on the visible lines of raw `pages`, by the host of the URL."""
     pages = common.table(spark, sf_dir, "pages").select("page_id", line_dedup.page_host(F.col("url")).alias("host"), line_dedup.page_lines(F.col("html")).alias("text"))
@@ -40,7 +50,7 @@ def line_dedup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_substring_dedup, op5_near_dedup, op6_token_store, op9_line_dedup, line_dedup_pages)}
+    return {f.__name__: f for f in (op1_packing, op3_substring_dedup, op4_quality, op5_near_dedup, op6_token_store, op9_line_dedup, op10_toxicity, line_dedup_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
