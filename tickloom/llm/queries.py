@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import common, line_dedup, near_dedup, packing, quality, substring_dedup, token_store, tokens, toxicity
+from tickloom.llm import common, decontaminate, embedding_dedup, line_dedup, near_dedup, packing, quality, substring_dedup, token_store, tokens, toxicity
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,17 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(common.table(spark, sf_dir, "documents"), tokens.default_vocabulary(), end_id=2)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_duplicates(common.table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: the benchmark items it holds, and whether it holds any."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("bm_items") > 0).alias("contaminated"), F.col("bm_items").alias("items"), F.col("bm_distances").alias("distances"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of `documents`, whose `source` is the site."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -50,7 +61,7 @@ def line_dedup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_substring_dedup, op4_quality, op5_near_dedup, op6_token_store, op9_line_dedup, op10_toxicity, line_dedup_pages)}
+    return {f.__name__: f for f in (op1_packing, op3_substring_dedup, op4_quality, op5_near_dedup, op6_token_store, op7_embedding_dedup, op8_decontaminate, op9_line_dedup, op10_toxicity, line_dedup_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
