@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import common, decontaminate, embedding_dedup, line_dedup, near_dedup, packing, quality, substring_dedup, token_store, tokens, toxicity
+from tickloom.llm import common, decontaminate, embedding_dedup, language_model, line_dedup, near_dedup, packing, quality, substring_dedup, token_store, tokens, toxicity
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), tokens.default_vocabulary(), end_id=0, size=1024)
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_scores(common.table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.substring_dedup(common.table(spark, sf_dir, "documents"), window=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
@@ -61,7 +65,7 @@ def line_dedup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_substring_dedup, op4_quality, op5_near_dedup, op6_token_store, op7_embedding_dedup, op8_decontaminate, op9_line_dedup, op10_toxicity, line_dedup_pages)}
+    return {f.__name__: f for f in (op1_packing, op2_language_model, op3_substring_dedup, op4_quality, op5_near_dedup, op6_token_store, op7_embedding_dedup, op8_decontaminate, op9_line_dedup, op10_toxicity, line_dedup_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
