@@ -24,11 +24,13 @@ from tickloom.llm import common, hashing
 from tickloom.llm.components import connected_components
 
 T, BANDS = 128, 32
-#: Differing bits of two one-bit sketches (of T) above which a pair is not confirmed: at a
-#: similarity of 0.8 the mean is 12.8 with a deviation of 3.4; 36 is over six deviations away.
-MAX_BITS = 36
+#: Bits kept of each coordinate: one for a first comparison, all for those between clusters.
+PLANES = 4
+#: Standard deviations from the mean of differing coordinates, at the similarity asked for, beyond
+#: which a pair is not confirmed.
+DEVIATIONS = 6
 _LOW = 64 - (T.bit_length() - 1)
-SKETCH_SCHEMA = "doc_id long, n_shingles long, s1 long, s2 long, b1 long, b2 long, bands array<long>"
+SKETCH_SCHEMA = "doc_id long, n_shingles long, s1 long, s2 long, b1 long, b2 long, planes array<long>, bands array<long>"
 
 
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
@@ -70,21 +72,22 @@ def _sketches(batches: Iterator[pa.RecordBatch], size: int, bands: int) -> Itera
     one = np.uint64(1)
     for batch in common.slices(batches):
         n, s1, s2, bits, keys = [], [], [], [], []
+        shifts = np.arange(PLANES, dtype=np.uint64)[:, None]
         for text in batch.column("text").to_pylist():
             found = shingle_set(text, size)
             n.append(len(found))
             if not len(found):
-                s1.append(0), s2.append(0), bits.append(np.zeros(2, np.int64)), keys.append([])
+                s1.append(0), s2.append(0), bits.append(np.zeros(2 * PLANES, np.int64)), keys.append([])
                 continue
             s1.append(int(hashing.mix(found ^ one).sum().view(np.int64)))
             s2.append(int(np.bitwise_xor.reduce(hashing.mix(found ^ np.uint64(0xA5A5A5A5A5A5A5A5))).view(np.int64)))
             sketch = fast_sketch(found)
-            bits.append(np.packbits((sketch & one).astype(np.uint8)).view(np.int64))
+            bits.append(np.packbits((sketch >> shifts & one).astype(np.uint8), axis=1).view(np.int64).ravel())
             keys.append(hashing.mix((sketch.reshape(bands, rows) * weights).sum(axis=1)).view(np.int64))
-        two = np.array(bits, np.int64).reshape(-1, 2)
+        planes = np.array(bits, np.int64).reshape(-1, 2 * PLANES)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(keys, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "s1", "s2", "b1", "b2", "bands"],
+            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(planes[:, 0]), pa.array(planes[:, 1]), pa.array(list(planes[:, 2:]), pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
+            names=["doc_id", "n_shingles", "s1", "s2", "b1", "b2", "planes", "bands"],
         )
 
 
@@ -113,10 +116,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, bands: in
     first = of_class.where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "b1", "b2", F.posexplode("bands").alias("band", "key"))
     in_bands = common.stage(first.dropDuplicates(["rep", "band", "key"]), "bands")
 
+    def bound(bits: int) -> int:
+        differ = (1 - percent / 100) * (1 - 2.0**-bits)
+        return int(T * differ + DEVIATIONS * (T * differ * (1 - differ)) ** 0.5)
+
     def alike(x: str, y: str):
         apart = F.bit_count(F.col(f"{x}.b1").bitwiseXOR(F.col(f"{y}.b1"))) + F.bit_count(F.col(f"{x}.b2").bitwiseXOR(F.col(f"{y}.b2")))
         less, more = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-        return (apart <= MAX_BITS) & (less * 100 >= more * percent)
+        return (apart <= bound(1)) & (less * 100 >= more * percent)
 
     buckets = in_bands.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("band", "key", "hub")
     hubs = common.stage(
@@ -144,7 +151,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, bands: in
     tagged = common.stage(tagged, "tagged")
     mixed = tagged.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     apart = common.stage(tagged.join(common.stage(mixed, "mixed").select("band", "key"), ["band", "key"], "left_semi"), "apart")
-    cross = apart.alias("x").join(apart.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & alike("x", "y"))
+    # A shingle that only one of these documents has is in no intersection: what is left of a
+    # document bounds its similarity to any other, and most edited copies link with none of them.
+    those = common.stage(apart.select(F.col("rep").alias("doc_id")).distinct(), "those")
+    once = sets.join(those, "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("doc_id").alias("rep")).where("k = 1")
+    own = common.stage(once.groupBy("rep").agg(F.count("*").alias("own")), "own")
+    apart = common.stage(apart.join(own, "rep", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("common") * 100 >= F.col("n") * percent), "apart")
+    most = F.least("x.common", "y.common")
+    planes = sketched.select(F.col("doc_id").alias("rep"), "b1", "b2", "planes").dropDuplicates(["rep", "b1", "b2"])
+    apart = common.stage(apart.join(planes, ["rep", "b1", "b2"]), "apart")
+
+    def unlike(half: int):
+        seen = F.col(f"x.b{half + 1}").bitwiseXOR(F.col(f"y.b{half + 1}"))
+        for k in range(half, 2 * PLANES - 2, 2):
+            seen = seen.bitwiseOR(F.col("x.planes")[k].bitwiseXOR(F.col("y.planes")[k]))
+        return F.bit_count(seen)
+
+    close = unlike(0) + unlike(1) <= bound(PLANES)
+    fits = most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent
+    cross = apart.alias("x").join(apart.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & fits & close)
     pairs = cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     found = near.unionAll(confirmed(common.stage(pairs, "pairs")))
     # A doc_id with several texts belongs to several classes: these links join them.

@@ -8,12 +8,14 @@ answers most of them. Texts with runs of white space are cut only where the cut
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 
-#: Pieces that one worker remembers; the memo is emptied when it is full.
-MEMO_PIECES = 300_000
-_PUNCTUATION = frozenset(".,;:!?|")
+#: Pieces that one worker remembers in one of two generations.
+MEMO_PIECES = 250_000
+#: Marks that form one pre-token behind a word.
+_MARKS = ".,;:!?|%$&*#"
 #: White space that may stand before a space; the last is white space to some regex engines only.
 _SPACES = tuple(
     chr(c)
@@ -31,10 +33,12 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.dtype, self._kind = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
         self._model = self.tokenizer.model
-        self._shown: dict[str, str] = {}
-        self._memo = _Memo(self)
+        self._shown = _Shown(self.tokenizer.pre_tokenizer)
+        self._memo, self._starts = _Memo(self._after_space), _Memo(self._line_start)
+        self._marks = _Memo(self._plain)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -49,38 +53,59 @@ class TextEncoder:
         return np.frombuffer(self.encode(text), self.dtype)
 
     def _plain(self, piece: str) -> bytes:
-        if not piece:
-            return b""
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self._bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids) if piece else b""
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self._kind, ids).tobytes()
 
     def _after_space(self, word: str) -> bytes:
-        """Ids of a space and word. A word of Latin letters is one pre-token (with the space), one
-        mark behind it another: these go straight to the model."""
-        body, mark = (word[:-1], word[-1]) if word and word[-1] in _PUNCTUATION else (word, "")
-        if body.isalpha() and max(body) < "ɐ":
-            shown = self._show(" ") + "".join(map(self._show, body))
-            found = [t.id for t in self._model.tokenize(shown)]
-            if mark:
-                found += [t.id for t in self._model.tokenize(self._show(mark))]
-            return np.array(found, self.dtype).tobytes()
-        return self._plain(" " + word)
-
-    def _show(self, char: str) -> str:
-        """The byte-level spelling of one character, as the pre-tokenizer gives it."""
-        if (shown := self._shown.get(char)) is None:
-            shown = self._shown[char] = "".join(s for s, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(char))
+        """Ids of a space and word. Line ends inside a word, each between other characters, are
+        pre-tokens of their own."""
+        if "\n" in word:
+            first, *rest = word.split("\n")
+            if first and all(rest) and not any(x[-1] in _SPACES or x[0] in _SPACES for x in (first, *rest)):
+                return self._memo[first] + b"".join([self._marks["\n"] + self._starts[x] for x in rest])
+        return self._word(" ", word)
+
+    def _line_start(self, word: str) -> bytes:
+        return self._word("", word)
+
+    def _word(self, space: str, word: str) -> bytes:
+        """A word of Latin letters is one pre-token (with the space), the marks behind it another:
+        these go straight to the model."""
+        body = word.rstrip(_MARKS)
+        if body.isalpha() and (body.isascii() or max(body) < "ɐ"):
+            found = [t.id for t in self._model.tokenize((space + body).translate(self._shown))]
+            return self._bytes(found) + self._marks[word[len(body) :]]
+        return self._plain(space + word)
+
+
+class _Shown(dict):
+    """Character to its byte-level spelling, as the pre-tokenizer gives it."""
+
+    def __init__(self, pre_tokenizer):
+        super().__init__()
+        self._pre_tokenizer = pre_tokenizer
+
+    def __missing__(self, char: int) -> str:
+        shown = self[char] = "".join(s for s, _ in self._pre_tokenizer.pre_tokenize_str(chr(char)))
         return shown
 
 
 class _Memo(dict):
-    def __init__(self, encoder: TextEncoder):
+    """Remembers results in two generations: what was used since the last change is kept."""
+
+    def __init__(self, find):
         super().__init__()
-        self._encoder = encoder
+        self._find, self._older = find, {}
 
     def __missing__(self, word: str) -> bytes:
-        found = self._encoder._after_space(word)
+        found = self._older.get(word)
+        if found is None:
+            found = self._find(word)
         if len(word) <= 64:
             if len(self) >= MEMO_PIECES:
+                self._older = dict(self)
                 self.clear()
             self[word] = found
         return found
