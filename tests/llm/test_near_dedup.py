@@ -85,3 +85,14 @@ def test_sketch_estimates_similarity_and_fills_every_coordinate():
         exact = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         x, y = near_dedup.fast_sketch(np.unique(a)), near_dedup.fast_sketch(np.unique(b))
         assert (x != 0).all() and abs((x == y).mean() - exact) < 0.17
+
+
+def test_parity_maps_never_part_like_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 150, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for changed in (0, 1, n // 10, n):
+            b = np.unique(np.concatenate([a[changed:], rng.integers(0, 1 << 63, changed).astype(np.uint64)]))
+            apart = np.bitwise_count(near_dedup.parity_map(a) ^ near_dedup.parity_map(b)).sum()
+            assert apart <= len(np.setxor1d(a, b))
+            assert changed or apart == 0

@@ -5,7 +5,9 @@ of (round, shingle) and offers a value; a bin keeps the least value of the first
 it. Rounds from t on send every shingle to one fixed bin, so after at most 2t rounds all bins are
 full (Dahlgaard, Knudsen, Thorup 2017: concentration as for independent hashing). Coordinates are
 banded; documents that share a band are compared by one-bit sketches and then confirmed on their
-full shingle sets.
+full shingle sets. Parity maps (odd sketches, Mitzenmacher, Pagh, Pham 2014) come in between: bits
+that differ between two maps never outnumber the shingles that differ between the sets, so a pair
+that they part is surely unlike, and no link is lost.
 
 Equal sets collapse to their smallest doc_id first. In a band's bucket each member is compared with
 the smallest one; members that stay apart are then compared with those of other clusters only.
@@ -26,11 +28,13 @@ from tickloom.llm.components import connected_components
 T, BANDS = 128, 32
 #: Bits kept of each coordinate: one for a first comparison, all for those between clusters.
 PLANES = 4
+#: Words of 64 bits in a parity map.
+PARITY = 16
 #: Standard deviations from the mean of differing coordinates, at the similarity asked for, beyond
 #: which a pair is not confirmed.
 DEVIATIONS = 6
 _LOW = 64 - (T.bit_length() - 1)
-SKETCH_SCHEMA = "doc_id long, n_shingles long, s1 long, s2 long, b1 long, b2 long, planes array<long>, bands array<long>"
+SKETCH_SCHEMA = "doc_id long, n_shingles long, s1 long, s2 long, b1 long, b2 long, planes array<long>, parity array<long>, bands array<long>"
 
 
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
@@ -66,28 +70,35 @@ def fast_sketch(shingles: np.ndarray, t: int = T) -> np.ndarray:
     return sketch
 
 
+def parity_map(shingles: np.ndarray) -> np.ndarray:
+    """Bit i tells whether an odd number of the shingles hash to i."""
+    counts = np.bincount((hashing.mix(shingles ^ np.uint64(0x3C6EF372FE94F82B)) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY)
+    return np.packbits(counts & 1).view(np.int64)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch], size: int, bands: int) -> Iterator[pa.RecordBatch]:
     rows = T // bands
     weights = hashing.mix(np.arange(1, rows + 1, dtype=np.uint64))
     one = np.uint64(1)
     for batch in common.slices(batches):
-        n, s1, s2, bits, keys = [], [], [], [], []
+        n, s1, s2, bits, odd, keys = [], [], [], [], [], []
         shifts = np.arange(PLANES, dtype=np.uint64)[:, None]
         for text in batch.column("text").to_pylist():
             found = shingle_set(text, size)
             n.append(len(found))
             if not len(found):
-                s1.append(0), s2.append(0), bits.append(np.zeros(2 * PLANES, np.int64)), keys.append([])
+                s1.append(0), s2.append(0), bits.append(np.zeros(2 * PLANES, np.int64)), odd.append([]), keys.append([])
                 continue
             s1.append(int(hashing.mix(found ^ one).sum().view(np.int64)))
             s2.append(int(np.bitwise_xor.reduce(hashing.mix(found ^ np.uint64(0xA5A5A5A5A5A5A5A5))).view(np.int64)))
+            odd.append(parity_map(found))
             sketch = fast_sketch(found)
             bits.append(np.packbits((sketch >> shifts & one).astype(np.uint8), axis=1).view(np.int64).ravel())
             keys.append(hashing.mix((sketch.reshape(bands, rows) * weights).sum(axis=1)).view(np.int64))
         planes = np.array(bits, np.int64).reshape(-1, 2 * PLANES)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(planes[:, 0]), pa.array(planes[:, 1]), pa.array(list(planes[:, 2:]), pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "s1", "s2", "b1", "b2", "planes", "bands"],
+            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(planes[:, 0]), pa.array(planes[:, 1]), pa.array(list(planes[:, 2:]), pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
+            names=["doc_id", "n_shingles", "s1", "s2", "b1", "b2", "planes", "parity", "bands"],
         )
 
 
@@ -114,7 +125,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, bands: in
         (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n_shingles") == F.col("cn")),
     )
     first = of_class.where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "b1", "b2", F.posexplode("bands").alias("band", "key"))
-    in_bands = common.stage(first.dropDuplicates(["rep", "band", "key"]), "bands")
+    in_bands = common.stage(first.dropDuplicates(["rep", "n", "b1", "b2", "band", "key"]), "bands")
 
     def bound(bits: int) -> int:
         differ = (1 - percent / 100) * (1 - 2.0**-bits)
@@ -158,8 +169,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, bands: in
     own = common.stage(once.groupBy("rep").agg(F.count("*").alias("own")), "own")
     apart = common.stage(apart.join(own, "rep", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("common") * 100 >= F.col("n") * percent), "apart")
     most = F.least("x.common", "y.common")
-    planes = sketched.select(F.col("doc_id").alias("rep"), "b1", "b2", "planes").dropDuplicates(["rep", "b1", "b2"])
-    apart = common.stage(apart.join(planes, ["rep", "b1", "b2"]), "apart")
+    planes = sketched.select(F.col("doc_id").alias("rep"), "n_shingles", "b1", "b2", "planes", "parity", "bands").dropDuplicates(["rep", "n_shingles", "b1", "b2"])
+    apart = common.stage(apart.withColumnRenamed("n", "n_shingles").join(planes, ["rep", "n_shingles", "b1", "b2"]).withColumnRenamed("n_shingles", "n"), "apart")
 
     def unlike(half: int):
         seen = F.col(f"x.b{half + 1}").bitwiseXOR(F.col(f"y.b{half + 1}"))
@@ -167,9 +178,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, bands: in
             seen = seen.bitwiseOR(F.col("x.planes")[k].bitwiseXOR(F.col("y.planes")[k]))
         return F.bit_count(seen)
 
+    odd = sum((F.bit_count(F.col("x.parity")[k].bitwiseXOR(F.col("y.parity")[k])) for k in range(1, PARITY)), F.bit_count(F.col("x.parity")[0].bitwiseXOR(F.col("y.parity")[0])))
+    few = odd * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    first = F.lit(bands)
+    for k in reversed(range(bands)):
+        first = F.when(F.col("x.bands")[k] == F.col("y.bands")[k], k).otherwise(first)
     close = unlike(0) + unlike(1) <= bound(PLANES)
     fits = most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent
-    cross = apart.alias("x").join(apart.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & fits & close)
+    cross = apart.alias("x").join(apart.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & fits & few & close & (first == F.col("x.band")))
+    # A pair is made in the first band it shares: what parts it there would part it in any other.
     pairs = cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     found = near.unionAll(confirmed(common.stage(pairs, "pairs")))
     # A doc_id with several texts belongs to several classes: these links join them.
