@@ -16,12 +16,12 @@ _UNITS = {"1h": "1 hour", "4h": "4 hours", "1d": "1 day"}
 
 def ticks_to_bars(ticks: DataFrame, symbol: Column, time: Column, price: Column, size: Column, interval: str) -> DataFrame:
     """Tumbling bars; open and close are the prices at the first and last time (ties: by price)."""
-    bucket = F.window(time, _UNITS[interval]).start
-    tick = ticks.select(symbol.cast("string").alias("symbol"), bucket.alias("timestamp"), time.alias("t"), price.alias("p"), size.cast("double").alias("v"))
+    tick = ticks.select(symbol.cast("string").alias("symbol"), time.alias("t"), price.alias("p"), size.cast("double").alias("v"))
     at = F.struct("t", "p")
-    return tick.groupBy("symbol", F.lit(interval).alias("interval"), "timestamp").agg(
+    made = tick.groupBy("symbol", F.window("t", _UNITS[interval]).alias("w")).agg(
         F.min_by("p", at).alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", at).alias("close"), F.sum("v").alias("volume")
     )
+    return made.select("symbol", F.lit(interval).alias("interval"), F.col("w.start").alias("timestamp"), *PRICES)
 
 
 def event_bars(spark: SparkSession, sf_dir: str, interval: str = "4h", by_type: bool = True) -> DataFrame:
@@ -47,10 +47,10 @@ def indexed(bars: DataFrame) -> DataFrame:
     return bars.withColumn("bar_index", (F.row_number().over(Window.partitionBy(*KEY).orderBy("timestamp")) - 1).cast("long"))
 
 
-def project_feed(rows: DataFrame, symbol: Column, interval: Column) -> DataFrame:
-    """Feed rows of twelve fields to bars: milliseconds to time, text to numbers."""
+def project_feed(rows: DataFrame, symbol: Column, interval: Column, *also: str) -> DataFrame:
+    """Feed rows of twelve fields to bars: milliseconds to time, text to numbers. `also` are kept."""
     return rows.select(
-        symbol.alias("symbol"), interval.alias("interval"), F.expr("CAST(timestamp_millis(open_time) AS TIMESTAMP_NTZ)").alias("timestamp"), *[F.expr(f"try_cast({c} AS DOUBLE)").alias(c) for c in PRICES]
+        symbol.alias("symbol"), interval.alias("interval"), F.expr("CAST(timestamp_millis(open_time) AS TIMESTAMP_NTZ)").alias("timestamp"), *[F.expr(f"try_cast({c} AS DOUBLE)").alias(c) for c in PRICES], *also
     )
 
 
