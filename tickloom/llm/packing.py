@@ -61,9 +61,10 @@ def _projection() -> np.ndarray:
 def curve_points(arrays: list[np.ndarray], projection: np.ndarray) -> np.ndarray:
     """Grid coordinates of each id array: log counts of hashed ids, scaled to length one, projected."""
     out = np.zeros((len(arrays), DIMS))
+    logs = np.log1p(np.arange(1 + max(map(len, arrays), default=0))).astype(np.float32)
     for k, ids in enumerate(arrays):
         slots = (ids.astype(np.uint32) * np.uint32(2_654_435_761)) >> np.uint32(20)
-        weights = np.log1p(np.bincount(slots, minlength=HASHED)).astype(np.float32)
+        weights = logs[np.bincount(slots, minlength=HASHED)]
         norm = np.sqrt(weights @ weights)
         if norm:
             out[k] = (weights @ projection) / norm

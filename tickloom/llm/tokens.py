@@ -12,8 +12,8 @@ from array import array
 
 import numpy as np
 
-#: Pieces that one worker remembers in one of two generations.
-MEMO_PIECES = 250_000
+#: Pieces that one worker remembers in one of two generations; about 300 MB for both when full.
+MEMO_PIECES = 600_000
 #: Marks that form one pre-token behind a word.
 _MARKS = ".,;:!?|%$&*#"
 #: White space that may stand before a space; the last is white space to some regex engines only.
