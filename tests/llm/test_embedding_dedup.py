@@ -72,3 +72,30 @@ def test_codes_are_balanced():
     found = embedding_dedup.codes(x, [embedding_dedup.learn_rotation(x, 32, 1)])[:, 0]
     share = np.array([((found >> b) & 1).mean() for b in range(32)])
     assert (abs(share - 0.5) < 0.1).all()
+
+
+def pairs_at(rng, dim, n, cosine):
+    """Unit vectors and partners at exactly the cosine."""
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    o = rng.standard_normal((n, dim))
+    o -= (o * x).sum(axis=1, keepdims=True) * x
+    return x, cosine * x + (1 - cosine**2) ** 0.5 * o / np.linalg.norm(o, axis=1, keepdims=True)
+
+
+def test_planes_meet_at_every_width_and_dimension():
+    for width in range(16, 26):
+        tables = embedding_dedup.plane_tables(width, 0.9)
+        for dim in (2, 8, 64, 200):
+            x, y = pairs_at(np.random.default_rng(width), dim, 300, 0.9)
+            draws = [[embedding_dedup.plane_keys(v, width, tables, seed) for v in (x, y)] for seed in range(8 if dim < 64 else 2)]
+            met = np.mean([(a == b).any(axis=1).mean() for a, b in draws])
+            assert met >= 1 - embedding_dedup.MISS - 0.03, (width, dim)
+
+
+def test_recall_stays_with_the_width_of_many_rows(spark):
+    x, y = pairs_at(np.random.default_rng(2), 64, 1500, 0.902)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.stack([x, y], axis=1).reshape(-1, 64))]
+    for width in (17, 25):
+        got = embedding_dedup.embedding_duplicates(frame(spark, rows), width=width).collect()
+        assert sum(r["n_links"] for r in got) >= 0.95 * len(rows)

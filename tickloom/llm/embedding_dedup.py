@@ -3,8 +3,11 @@
 Two rotations are learnt on a bounded sample (PCA, then alternating sign and Procrustes steps, from
 different starts), each giving one balanced bit per dimension, 64 at most. The bits are cut into
 substrings of about log2(n) bits, one table each; a vector probes every table with its substring
-and all those one bit away. Found pairs within a Hamming bound are confirmed by the cosine of the
-original vectors in double precision. A pair that meets in several tables counts in the first.
+and all those one bit away. Further tables are keyed by the signs of independent random planes
+through the origin, which split a pair with a chance set by its angle alone; there are so many that
+a pair at the asked cosine meets in none of them with a chance of MISS at most, whatever the rows,
+their number and dimension. Found pairs within a Hamming bound are confirmed by the cosine of the
+original vectors in double precision. A pair that meets in several tables counts once.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ SAMPLE_ROWS, ITERATIONS, ROTATIONS, MAX_BITS = 4096, 40, 2, 64
 #: Share of differing bits above which a pair is not reranked; at a cosine of 0.9 random rotations
 #: differ in 0.14 of the bits.
 MAX_APART = 0.3
+#: Chance, over the draw of the planes, that a pair at the asked cosine meets in no plane table.
+MISS = 0.02
 
 
 def learn_rotation(sample: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,18 +55,33 @@ def codes(unit: np.ndarray, models: list) -> np.ndarray:
     return out
 
 
+def plane_tables(width: int, cosine: float) -> int:
+    """Tables of width planes that a pair at the cosine misses altogether with a chance of MISS."""
+    same = (1 - math.acos(min(1.0, cosine)) / math.pi) ** width
+    return 1 if same >= 1 else max(1, math.ceil(math.log(MISS) / math.log1p(-same)))
+
+
+def plane_keys(unit: np.ndarray, width: int, tables: int, seed: int = 7) -> np.ndarray:
+    """(rows, tables) keys of width bits, each bit the side of a random plane through the origin."""
+    planes = np.random.default_rng(seed).standard_normal((unit.shape[1], tables * width))
+    bits = np.zeros((len(unit), tables, 32), np.uint8)
+    bits[:, :, :width] = (unit @ planes >= 0).reshape(len(unit), tables, width)
+    return np.packbits(bits, axis=2, bitorder="little").view("<i4")[:, :, 0]
+
+
 def _substring(code: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def embedding_duplicates(vectors: DataFrame, cosine: float = 0.9, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def embedding_duplicates(vectors: DataFrame, cosine: float = 0.9, sample_rows: int = SAMPLE_ROWS, width: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row.
 
     Equal vectors are one class first; only class representatives are searched, and a link to a
     class counts all its members. Defined results: an empty table gives no rows; vectors that are
     null, zero or hold null or non-finite components, and rows without vec_id, link with nothing;
     vectors of different length do not link; rows of equal vec_id count as vectors each, in one
-    component; other columns are ignored."""
+    component; other columns are ignored. width is the bits of a table's key, by the number of
+    rows where it is not given."""
     spark = vectors.sparkSession
     e = F.col("e")
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
@@ -82,7 +102,7 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.9, sample_rows: i
         sample /= np.linalg.norm(sample / np.abs(sample).max(axis=1, keepdims=True), axis=1, keepdims=True) * np.abs(sample).max(axis=1, keepdims=True) if len(sample) else 1
         bits = min(MAX_BITS, dim)
         models = [learn_rotation(sample, bits, seed) for seed in range(ROTATIONS)] if len(sample) else [(np.zeros(dim), np.eye(dim)[:, :bits])] * ROTATIONS
-        found = _links(some, models, bits, max(16, math.ceil(math.log2(n + 1))), cosine)
+        found = _links(some, models, bits, width or max(16, math.ceil(math.log2(n + 1))), cosine)
         links = found if links is None else links.unionAll(found)
     alone = marked.where("NOT good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if links is None:
@@ -106,21 +126,27 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.9, sample_rows: i
 def _links(reps: DataFrame, models: list, bits: int, width: int, cosine: float) -> DataFrame:
     """(a, b, ma, mb): linked representatives a < b with their class sizes."""
     held = reps.sparkSession.sparkContext.broadcast(models)  # dimensions squared
+    # a plane table costs a row a vector, so it is worth somewhat fuller buckets
+    wide = max(16, width - 4)
+    planes = plane_tables(wide, cosine)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             x = _matrix(batch.column("e"))
             x = x / np.abs(x).max(axis=1, keepdims=True)
-            found = codes(x / np.linalg.norm(x, axis=1, keepdims=True), held.value)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["rep", "q0", "q1"])
+            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+            found, sides = codes(unit, held.value), plane_keys(unit, wide, planes)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * planes), pa.array(sides.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(found[:, 0]), pa.array(found[:, 1]), lists], names=["rep", "q0", "q1", "sides"])
 
-    coded = common.stage(reps.select("rep", "e").mapInArrow(encode, "rep long, q0 long, q1 long"), "codes")
+    coded = common.stage(reps.select("rep", "e").mapInArrow(encode, "rep long, q0 long, q1 long, sides array<int>"), "codes")
     width = min(width, bits)
     tables = [(k, shift) for k in range(ROTATIONS) for shift in range(0, bits - width + 1, width)]
     keys = F.array(*[_substring(F.col(f"q{k}"), shift, width) for k, shift in tables])
-    stored = coded.select("rep", "q0", "q1", F.posexplode(keys).alias("t", "key"))
+    stored = coded.select("rep", "q0", "q1", F.posexplode(F.concat(keys, F.col("sides").cast("array<long>"))).alias("t", "key"))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
-    probes = stored.select("rep", "q0", "q1", "t", F.explode(F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).alias("key"))
+    asked = F.when(F.col("t") < len(tables), F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).otherwise(F.array("key"))
+    probes = stored.select("rep", "q0", "q1", "t", F.explode(asked).alias("key"))
 
     def differing(k: int) -> Column:
         return F.col(f"x.q{k}").bitwiseXOR(F.col(f"y.q{k}"))
@@ -129,8 +155,8 @@ def _links(reps: DataFrame, models: list, bits: int, width: int, cosine: float)
     for t, (k, shift) in reversed(list(enumerate(tables))):
         first = F.when(F.bit_count(_substring(differing(k), shift, width)) <= 1, t).otherwise(first)
     near = F.bit_count(differing(0)) + F.bit_count(differing(1)) <= int(MAX_APART * ROTATIONS * bits)
-    met = probes.alias("x").join(stored.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & near & (first == F.col("x.t")))
-    pairs = common.stage(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), "met")
+    met = probes.alias("x").join(stored.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & near & (first == F.least("x.t", F.lit(len(tables)))))
+    pairs = common.stage(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "met")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
