@@ -99,3 +99,23 @@ def test_recall_stays_with_the_width_of_many_rows(spark):
     for width in (17, 25):
         got = embedding_dedup.embedding_duplicates(frame(spark, rows), width=width).collect()
         assert sum(r["n_links"] for r in got) >= 0.95 * len(rows)
+
+
+def test_table_off_centre(spark):
+    """Unit vectors with three times a common part: about half of all pairs are links."""
+    v = np.random.default_rng(5).standard_normal((300, 64))
+    v = v / np.linalg.norm(v, axis=1, keepdims=True) + 3 * np.eye(64)[0]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    want, n = brute(rows)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_duplicates(frame(spark, rows)).collect()}
+    assert n > 30_000 and sum(k for k, _ in got.values()) >= 0.95 * n
+    assert all(got[i][0] <= want[i][0] for i in want) and sum(got[i][1] == want[i][1] for i in want) >= 0.99 * len(rows)
+
+
+def test_bound_of_the_sketches():
+    for cosine in (0.7, 0.9, 0.99, 1.0):
+        for dim in (1, 2, 64):
+            if dim > 1 or cosine == 1:
+                x, y = pairs_at(np.random.default_rng(dim), dim, 3000, cosine) if dim > 1 else [np.ones((9, 1))] * 2
+                apart = np.bitwise_count((embedding_dedup.sketches(x) ^ embedding_dedup.sketches(y)).view(np.uint64)).sum(axis=1)
+                assert (apart <= embedding_dedup.most_apart(cosine)).mean() > 0.999

@@ -6,8 +6,9 @@ substrings of about log2(n) bits, one table each; a vector probes every table wi
 and all those one bit away. Further tables are keyed by the signs of independent random planes
 through the origin, which split a pair with a chance set by its angle alone; there are so many that
 a pair at the asked cosine meets in none of them with a chance of MISS at most, whatever the rows,
-their number and dimension. Found pairs within a Hamming bound are confirmed by the cosine of the
-original vectors in double precision. A pair that meets in several tables counts once.
+their number and dimension. Found pairs whose sketches of further such planes differ by no more
+than that angle explains are confirmed by the cosine of the original vectors in double precision. A
+pair that meets in several tables counts once.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from tickloom.llm import common
 from tickloom.llm.components import connected_components
 
 SAMPLE_ROWS, ITERATIONS, ROTATIONS, MAX_BITS = 4096, 40, 2, 64
-#: Share of differing bits above which a pair is not reranked; at a cosine of 0.9 random rotations
-#: differ in 0.14 of the bits.
-MAX_APART = 0.3
+#: Planes whose sides are counted before the cosine is taken, and the chance that a pair at the
+#: asked cosine differs in more of them than the bound allows.
+SKETCH, DROPPED = 128, 1e-5
 #: Chance, over the draw of the planes, that a pair at the asked cosine meets in no plane table.
 MISS = 0.02
 
@@ -61,6 +62,23 @@ def plane_tables(width: int, cosine: float) -> int:
     return 1 if same >= 1 else max(1, math.ceil(math.log(MISS) / math.log1p(-same)))
 
 
+def most_apart(cosine: float) -> int:
+    """The least bound on differing sketch bits that a pair at the cosine exceeds with a chance of
+    DROPPED at most: a plane through the origin parts it with a chance of its angle over pi."""
+    p = math.acos(min(1.0, cosine)) / math.pi
+    left, k = 1 - (1 - p) ** SKETCH, 0
+    while left > DROPPED:
+        k += 1
+        left -= math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+    return k + 1  # one for signs that rounding turns
+
+
+def sketches(unit: np.ndarray) -> np.ndarray:
+    """(rows, 2) longs: the sides of SKETCH random planes through the origin."""
+    planes = np.random.default_rng(11).standard_normal((unit.shape[1], SKETCH))
+    return np.packbits(unit @ planes >= 0, axis=1, bitorder="little").view("<i8")
+
+
 def plane_keys(unit: np.ndarray, width: int, tables: int, seed: int = 7) -> np.ndarray:
     """(rows, tables) keys of width bits, each bit the side of a random plane through the origin."""
     planes = np.random.default_rng(seed).standard_normal((unit.shape[1], tables * width))
@@ -135,26 +153,26 @@ def _links(reps: DataFrame, models: list, bits: int, width: int, cosine: float)
             x = _matrix(batch.column("e"))
             x = x / np.abs(x).max(axis=1, keepdims=True)
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            found, sides = codes(unit, held.value), plane_keys(unit, wide, planes)
+            found, sketch, sides = codes(unit, held.value), sketches(unit), plane_keys(unit, wide, planes)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * planes), pa.array(sides.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(found[:, 0]), pa.array(found[:, 1]), lists], names=["rep", "q0", "q1", "sides"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), *[pa.array(c) for c in (*found.T, *sketch.T)], lists], names=["rep", "q0", "q1", "s0", "s1", "sides"])
 
-    coded = common.stage(reps.select("rep", "e").mapInArrow(encode, "rep long, q0 long, q1 long, sides array<int>"), "codes")
+    coded = common.stage(reps.select("rep", "e").mapInArrow(encode, "rep long, q0 long, q1 long, s0 long, s1 long, sides array<int>"), "codes")
     width = min(width, bits)
     tables = [(k, shift) for k in range(ROTATIONS) for shift in range(0, bits - width + 1, width)]
     keys = F.array(*[_substring(F.col(f"q{k}"), shift, width) for k, shift in tables])
-    stored = coded.select("rep", "q0", "q1", F.posexplode(F.concat(keys, F.col("sides").cast("array<long>"))).alias("t", "key"))
+    stored = coded.select("rep", "q0", "q1", "s0", "s1", F.posexplode(F.concat(keys, F.col("sides").cast("array<long>"))).alias("t", "key"))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
     asked = F.when(F.col("t") < len(tables), F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).otherwise(F.array("key"))
-    probes = stored.select("rep", "q0", "q1", "t", F.explode(asked).alias("key"))
+    probes = stored.select("rep", "q0", "q1", "s0", "s1", "t", F.explode(asked).alias("key"))
 
-    def differing(k: int) -> Column:
-        return F.col(f"x.q{k}").bitwiseXOR(F.col(f"y.q{k}"))
+    def differing(name: str) -> Column:
+        return F.col(f"x.{name}").bitwiseXOR(F.col(f"y.{name}"))
 
     first = F.lit(len(tables))
     for t, (k, shift) in reversed(list(enumerate(tables))):
-        first = F.when(F.bit_count(_substring(differing(k), shift, width)) <= 1, t).otherwise(first)
-    near = F.bit_count(differing(0)) + F.bit_count(differing(1)) <= int(MAX_APART * ROTATIONS * bits)
+        first = F.when(F.bit_count(_substring(differing(f"q{k}"), shift, width)) <= 1, t).otherwise(first)
+    near = F.bit_count(differing("s0")) + F.bit_count(differing("s1")) <= most_apart(cosine)
     met = probes.alias("x").join(stored.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & near & (first == F.least("x.t", F.lit(len(tables)))))
     pairs = common.stage(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "met")
 
