@@ -64,3 +64,33 @@ def test_merged_counts_are_exact():
     tokens, counts = language_model.merge([a, b], [np.array([1, 2]), np.array([3, 4])])
     assert tokens.tolist() == [1, 5, 9] and counts.tolist() == [3, 1, 6]
     assert [s for s, _, _ in language_model.shard_runs(hashing.mix(np.sort(np.arange(9, dtype=np.uint64))), 1)] == [0]
+
+
+def test_odds_are_of_the_own_context_alone():
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(list("abcdefgh"), 40)) for _ in range(30)]
+    tokens = language_model.Tokens(texts)
+    every = tokens.pairs().ravel()
+    counts = language_model.Counts(*np.unique(every, return_counts=True))
+    asked = np.append(np.unique(every), np.uint64(5))
+    seen = Counter(every.tolist())
+    for pair, row in zip(asked.tolist(), counts.odds(asked)):
+        for depth in range(language_model.BITS):
+            half = language_model.BITS - 1 - depth
+            node = [0, 0]
+            for other, n in seen.items():
+                if other >> (half + 1) == pair >> (half + 1):
+                    node[other >> half & 1] += n
+            assert row[depth] == pytest.approx(math.log((node[1] + language_model.PRIOR) / (node[0] + language_model.PRIOR)), abs=1e-5)
+
+
+def test_contexts_hold_among_many_others(spark):
+    """Word pairs of a few documents are still known after 600,000 other contexts."""
+    rng = np.random.default_rng(2)
+    pairs = [f"k{i} v{i}" for i in range(400)]
+    rows = [(i, " ".join(f"n{x}" for x in rng.integers(0, 30_000, 600))) for i in range(1000)]
+    rows += [(i, " ".join(pairs[j] for j in rng.permutation(400))) for i in range(2000, 2030)]
+    got = language_model.language_scores(spark.createDataFrame(rows, "doc_id long, text string"), shard_bytes=1 << 20).collect()
+    held = [r for r in got if r["held_out"] and r["doc_id"] >= 2000]
+    gain = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
+    assert len(held) > 0 and gain > 0.5

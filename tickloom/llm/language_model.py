@@ -7,11 +7,12 @@ in the same text where the previous token stood. The stretched predictions are m
 that a gate (depth, and whether the match still holds) selects, scaled per document by factors that
 are refined block by block as its text is read, and corrected by an adaptive probability map.
 
-Training is one pass over all training texts: every task counts tokens and context slots, and learns
-the mixing weights online from its own counts as they grow; counts are then added and weights
-averaged. Scoring deals the texts into chunks; each chunk asks the sharded token counts for its own
-tokens. Tokens are known by 64-bit hashes; tables and weights have a fixed size, token counts grow
-with the corpus and stay sharded.
+Training is one pass over all training texts: every task counts tokens, and the classes behind each
+context, and learns the mixing weights online from its own counts as they grow; counts are then
+added and weights averaged. Scoring deals the texts into chunks; each chunk asks the sharded counts
+for its own tokens and contexts. Tokens are known by 64-bit hashes, contexts by 54 bits next to the
+10 of the class; weights have a fixed size, counts of tokens and contexts grow with the corpus and
+stay sharded.
 """
 
 from __future__ import annotations
@@ -26,15 +27,16 @@ from pyspark.sql import functions as F
 from tickloom.llm import common, hashing
 from tickloom.llm.substring_dedup import _pack, _pack_sorted, _table, _unpack, _unpack_sorted
 
-BITS, SLOT_BITS, CONTEXTS = 10, 18, 3
-NODES, SLOTS = 1 << BITS, 1 << SLOT_BITS
-TABLE = NODES + CONTEXTS * SLOTS
+BITS, CONTEXTS = 10, 3
+NODES = 1 << BITS
 INPUTS, GATES, BUCKETS = CONTEXTS + 3, 2 * BITS, 33
 #: Tokens between refinements of a document's factors, and their step.
 BLOCK, STEP, RATE, PRIOR = 64, 0.5, 0.02, 0.4
 CHUNK_BYTES, SHARD_BYTES, FOLDS, HELD_OUT = 4 << 20, 16 << 20, 7, 2
 #: Weights are learnt on the training texts whose fold number is a multiple of this.
 LEARN_EVERY = 8
+#: Context pairs and tokens that a training task holds before it hands its counts on.
+HELD = 4 << 20
 _PARTS = 16
 _END = hashing.word_hashes([b"\n"])
 PARTIAL_SCHEMA = "kind int, key int, tokens binary, counts binary"
@@ -77,14 +79,13 @@ class Tokens:
         node = (1 << depth) | (self.code[:, None] >> (BITS - depth))
         return node, (self.code[:, None] >> (BITS - 1 - depth)) & 1
 
-    def slots(self, node: np.ndarray) -> np.ndarray:
-        """(1 + CONTEXTS, tokens, BITS) places in the table."""
+    def pairs(self) -> np.ndarray:
+        """(CONTEXTS, tokens) keys: the context's hash, with the token's class as the lowest bits."""
         one, two = self.back(1), self.back(2)
-        out = np.empty((1 + CONTEXTS, *node.shape), np.int32)
-        out[0] = node
-        spread = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        out = np.empty((CONTEXTS, len(one)), np.uint64)
         for k, c in enumerate((one, hashing.mix(one * np.uint64(3)) ^ two, hashing.mix(two ^ np.uint64(0x5851F42D4C957F2D)))):
-            out[1 + k] = (NODES + k * SLOTS) + (hashing.mix(c)[:, None] ^ spread).__mul__(np.uint64(0xD1B54A32D192ED03)).__rshift__(np.uint64(64 - SLOT_BITS)).astype(np.int32)
+            salted = hashing.mix(c ^ np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64)))
+            out[k] = (salted & ~np.uint64(NODES - 1)) | self.code.astype(np.uint64)
         return out
 
     def match(self) -> np.ndarray:
@@ -98,13 +99,42 @@ class Tokens:
         return out
 
 
-def inputs(tokens: Tokens, stretched: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, BITS, INPUTS) stretched predictions, (tokens, BITS) gates and decisions."""
+class Counts:
+    """Counts of sorted pairs of context and class."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.below = keys, np.append(0, np.cumsum(counts, dtype=np.int64))
+
+    def odds(self, pairs: np.ndarray) -> np.ndarray:
+        """(pairs, BITS) log odds of a one at each decision on the way to the pair's class, from the
+        counts of its context; zero where the context never came so far."""
+        out = np.zeros((len(pairs), BITS), np.float32)
+        base = pairs & ~np.uint64(NODES - 1)
+        low = self.below[np.searchsorted(self.keys, base)]
+        high = self.below[np.searchsorted(self.keys, base | np.uint64(NODES - 1), side="right")]
+        at = np.flatnonzero(high > low)
+        low, high = low[at], high[at]
+        for depth in range(BITS):
+            half = np.uint64(BITS - 1 - depth)
+            pair = pairs[at]
+            middle = self.below[np.searchsorted(self.keys, ((pair >> half) | np.uint64(1)) << half)]
+            out[at, depth] = np.log((high - middle + PRIOR) / (middle - low + PRIOR))
+            one = (pair >> half) & np.uint64(1) == 1
+            low, high = np.where(one, middle, low), np.where(one, high, middle)
+            left = high > low
+            at, low, high = at[left], low[left], high[left]
+        return out
+
+
+def inputs(tokens: Tokens, stretched: np.ndarray, known: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, BITS, INPUTS) stretched predictions, (tokens, BITS) gates and decisions, from the
+    unigram table and the odds of known pairs, which are sorted."""
     node, bit = tokens.paths()
-    x = np.empty((*node.shape, INPUTS), np.float32)
-    slots = tokens.slots(node)
-    for k in range(1 + CONTEXTS):
-        x[:, :, k] = stretched[slots[k]]
+    x = np.zeros((*node.shape, INPUTS), np.float32)
+    x[:, :, 0] = stretched[node]
+    if len(known):
+        for k, pairs in enumerate(tokens.pairs()):
+            x[:, :, 1 + k] = odds[np.searchsorted(known, pairs)]
     guess = tokens.match()[:, None]
     depth = np.arange(BITS)
     holds = (guess >= 0) & ((guess >> (BITS - depth)) == (tokens.code[:, None] >> (BITS - depth)))
@@ -133,27 +163,37 @@ def _bucket(z: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    """One task's training: token counts, slot counts, and weights learnt online from the latter."""
+    """One task's training: counts of tokens and of context pairs, and weights learnt online. The
+    weights see the pairs counted so far, or those of the last run that was handed on."""
 
     def __init__(self, shards: int):
         self.shards = shards
-        self.slots = np.zeros((TABLE, 2), np.int64)
+        self.slots = np.zeros((NODES, 2), np.int64)
         self.weights, self.map = first_weights(), np.zeros((GATES * BUCKETS, 2), np.int64)
         self.learnt, self.pending, self.held = 0, [], 0
+        self.pairs, self.recent, self.handed = [], 0, False
+        self.known = Counts(np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     def add(self, tokens: Tokens, learn: np.ndarray) -> None:
         """Learn from the documents that a mask selects, then count all of them."""
         if learn.any() and self.slots[1].any():
             self._learn(tokens.only(learn))
         node, bit = tokens.paths()
-        for k, places in enumerate(tokens.slots(node)):
-            low, high = (0, NODES) if k == 0 else (NODES + (k - 1) * SLOTS, NODES + k * SLOTS)
-            self.slots[low:high] += np.bincount(((places - low) * 2 + bit).ravel(), minlength=2 * (high - low)).reshape(-1, 2)
+        self.slots += np.bincount((node * 2 + bit).ravel(), minlength=2 * NODES).reshape(-1, 2)
         self.pending.append(np.unique(tokens.hash, return_counts=True))
-        self.held += len(self.pending[-1][0])
+        self.pairs.append(np.unique(tokens.pairs(), return_counts=True))
+        self.held += len(self.pending[-1][0]) + len(self.pairs[-1][0])
+        self.recent += len(self.pairs[-1][0])
+        if not self.handed and self.recent > len(self.known.keys):
+            self._gather()
+
+    def _gather(self) -> None:
+        self.pairs = [merge([p[0] for p in self.pairs], [p[1] for p in self.pairs])]
+        self.known, self.recent = Counts(*self.pairs[0]), 0
 
     def _learn(self, tokens: Tokens) -> None:
-        x, gate, bit = inputs(tokens, stretch(self.slots))
+        pairs = np.unique(tokens.pairs())
+        x, gate, bit = inputs(tokens, stretch(self.slots), pairs, self.known.odds(pairs))
         for at in range(0, len(x), 512):
             part, g, b = x[at : at + 512], gate[at : at + 512], bit[at : at + 512]
             z = (self.weights[g] * part).sum(axis=2)
@@ -164,12 +204,15 @@ class Trainer:
         self.learnt += len(x)
 
     def counted(self) -> list:
-        """Rows of the token counts so far, by shard."""
+        """Rows of the counts so far, by shard: those of tokens, then those of context pairs."""
         if not self.pending:
             return []
-        tokens, counts = merge([p[0] for p in self.pending], [p[1] for p in self.pending])
-        self.pending, self.held = [], 0
-        return [[0, s, _pack_sorted(tokens[a:b]), _pack(counts[a:b].astype(np.uint32))] for s, a, b in shard_runs(tokens, self.shards)]
+        self._gather()
+        out = []
+        for first, (keys, counts) in ((0, merge([p[0] for p in self.pending], [p[1] for p in self.pending])), (self.shards, self.pairs[0])):
+            out += [[0, first + s, _pack_sorted(keys[a:b]), _pack(counts[a:b].astype(np.uint32))] for s, a, b in shard_runs(keys, self.shards)]
+        self.pending, self.pairs, self.held, self.handed = [], [], 0, True
+        return out
 
     def tables(self) -> list:
         rows = [[1, k, None, _pack(part.ravel())] for k, part in enumerate(np.array_split(self.slots, _PARTS)) if part.any()]
@@ -201,16 +244,18 @@ def _train(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Record
         if keep.any():
             texts = [t for t, k in zip(batch.column("text").to_pylist(), keep) if k]
             trainer.add(Tokens(texts), fold[keep] // FOLDS % LEARN_EVERY == 0)
-        if trainer.held > 1 << 20:
+        if trainer.held > HELD:
             yield from _table(trainer.counted(), PARTIAL_SCHEMA).to_batches()
     yield from _table(trainer.counted() + trainer.tables(), PARTIAL_SCHEMA).to_batches()
 
 
-def _merge_counts(group: pa.Table) -> pa.Table:
+def _merge_counts(group: pa.Table, shards: int) -> pa.Table:
     tokens, counts = merge([_unpack_sorted(x, np.uint64) for x in group.column("tokens").to_pylist()], [_unpack(x, np.uint32) for x in group.column("counts").to_pylist()])
-    code = (hashing.mix(tokens) >> np.uint64(64 - BITS)).astype(np.int64)
-    mass = np.bincount(code, counts + 1.0, NODES).astype(np.int64)
-    return pa.table({"key": group.column("key")[:1], "tokens": pa.array([_pack_sorted(tokens)]), "counts": pa.array([_pack(counts)]), "n": pa.array([int(counts.sum())]), "v": pa.array([len(tokens)]), "mass": pa.array([mass], pa.list_(pa.int64()))})
+    n, v, mass = 0, 0, []
+    if group.column("key")[0].as_py() < shards:
+        code = (hashing.mix(tokens) >> np.uint64(64 - BITS)).astype(np.int64)
+        n, v, mass = int(counts.sum()), len(tokens), np.bincount(code, counts + 1.0, NODES).astype(np.int64)
+    return pa.table({"key": group.column("key")[:1], "tokens": pa.array([_pack_sorted(tokens)]), "counts": pa.array([_pack(counts)]), "n": pa.array([n]), "v": pa.array([v]), "mass": pa.array([mass], pa.list_(pa.int64()))})
 
 
 def _merge_tables(group: pa.Table) -> pa.Table:
@@ -225,10 +270,10 @@ def _merge_mixers(group: pa.Table) -> pa.Table:
 
 
 class Model:
-    """What scoring needs besides the token counts: fixed-size tables and totals."""
+    """What scoring needs besides the sharded counts: fixed-size tables and totals."""
 
     def __init__(self, parts: dict[int, bytes], seen: bytes | None, weights: bytes | None, mass: np.ndarray, n: int, v: int):
-        empty = np.array_split(np.zeros((TABLE, 2), np.int64), _PARTS)
+        empty = np.array_split(np.zeros((NODES, 2), np.int64), _PARTS)
         slots = np.concatenate([np.frombuffer(parts[k], np.int64).reshape(-1, 2) if k in parts else empty[k] for k in range(_PARTS)])
         self.stretched, self.mass, self.n, self.v = stretch(slots), mass + 1, n, v  # one unknown token a class
         w = np.frombuffer(weights, np.float64) if weights else np.zeros(1)
@@ -237,9 +282,9 @@ class Model:
         middle = squash((np.arange(BUCKETS) - BUCKETS // 2) / 2)
         self.map = ((map_[:, :, 1] + 8 * middle) / (map_.sum(axis=2) + 8)).ravel()
 
-    def class_bits(self, tokens: Tokens) -> np.ndarray:
-        """log10 probability of each token's path."""
-        x, gate, bit = inputs(tokens, self.stretched)
+    def class_bits(self, tokens: Tokens, known: np.ndarray = np.zeros(0, np.uint64), odds: np.ndarray = np.zeros((0, BITS))) -> np.ndarray:
+        """log10 probability of each token's path, by the odds of known pairs of context and class."""
+        x, gate, bit = inputs(tokens, self.stretched, known, odds)
         x *= self.weights[gate]
         factors = np.ones((len(tokens.sizes), INPUTS), np.float32)
         block = np.maximum(BLOCK, tokens.sizes // 256 + 1)
@@ -261,16 +306,24 @@ class Model:
 
 def _ask(group: pa.Table, shards: int) -> pa.Table:
     chunk = group.column("chunk")[0].as_py()
-    tokens = np.unique(Tokens(group.column("text").to_pylist()).hash)
-    return _table([[s, chunk, _pack_sorted(tokens[a:b])] for s, a, b in shard_runs(tokens, shards)], "shard int, chunk long, tokens binary")
+    tokens = Tokens(group.column("text").to_pylist())
+    rows = []
+    for first, keys in ((0, np.unique(tokens.hash)), (shards, np.unique(tokens.pairs()))):
+        rows += [[first + s, chunk, _pack_sorted(keys[a:b])] for s, a, b in shard_runs(keys, shards)]
+    return _table(rows, "shard int, chunk long, tokens binary")
 
 
-def _answer(asked: pa.Table, counts: pa.Table) -> pa.Table:
+def _answer(asked: pa.Table, counts: pa.Table, shards: int) -> pa.Table:
+    """Counts of the tokens asked for; of pairs, the odds on their paths, to three digits."""
     known = _unpack_sorted(counts.column("tokens")[0].as_py(), np.uint64) if counts.num_rows else np.zeros(0, np.uint64)
     n = np.append(_unpack(counts.column("counts")[0].as_py(), np.int64) if counts.num_rows else np.zeros(0, np.int64), 0)
+    contexts = Counts(known, n[:-1])
     out = []
     for shard, chunk, raw in zip(*[asked.column(c).to_pylist() for c in ("shard", "chunk", "tokens")]):
         tokens = _unpack_sorted(raw, np.uint64)
+        if shard >= shards:
+            out.append([chunk, shard, _pack(contexts.odds(tokens).astype(np.float16).ravel())])
+            continue
         at = np.searchsorted(known, tokens)
         found = (np.append(known, 0)[at] == tokens) & (at < len(known))
         out.append([chunk, shard, _pack(np.where(found, n[at], 0))])
@@ -281,19 +334,23 @@ def _score(docs: pa.Table, answers: pa.Table, model: Model, shards: int) -> pa.T
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double"
     rows = docs.num_rows
     texts, fold = docs.column("text").to_pylist(), docs.column("fold").to_numpy()
-    all_tokens = np.unique(Tokens(texts).hash) if rows else np.zeros(0, np.uint64)
-    counts = np.zeros(len(all_tokens), np.int64)
-    bounds = {s: (a, b) for s, a, b in shard_runs(all_tokens, shards)}
+    every = Tokens(texts)
+    all_tokens, pairs = np.unique(every.hash), np.unique(every.pairs())
+    counts, odds = np.zeros(len(all_tokens), np.int64), np.zeros((len(pairs), BITS), np.float16)
+    bounds = {first + s: (a, b) for first, keys in ((0, all_tokens), (shards, pairs)) for s, a, b in shard_runs(keys, shards)}
     for shard, raw in zip(answers.column("shard").to_pylist(), answers.column("counts").to_pylist()):
         a, b = bounds[shard]
-        counts[a:b] = _unpack(raw, np.int64)
+        if shard < shards:
+            counts[a:b] = _unpack(raw, np.int64)
+        else:
+            odds[a:b] = _unpack(raw, np.float16).reshape(-1, BITS)
     out = {"n": [], "known": [], "base": [], "score": []}
     for at in range(0, rows, 64):
         tokens = Tokens(texts[at : at + 64])
         c = counts[np.searchsorted(all_tokens, tokens.hash)]
         share = np.log10(c + 1)
         base = share - np.log10(model.n + model.v + 1)
-        score = model.class_bits(tokens) + share - np.log10(model.mass[tokens.code])
+        score = model.class_bits(tokens, pairs, odds) + share - np.log10(model.mass[tokens.code])
         out["n"] += tokens.sizes.tolist()
         for name, values in (("known", (c > 0).astype(np.int64)), ("base", base), ("score", score)):
             out[name] += np.add.reduceat(values, tokens.starts).tolist()
@@ -317,19 +374,20 @@ def language_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_bytes
 
     partials = common.stage(plain.select("text", "fold").mapInArrow(lambda b: _train(b, shards), PARTIAL_SCHEMA), "lm-partials")
     of_kind = [partials.where(F.col("kind") == k).select("key", "tokens", "counts") for k in range(3)]
-    counts = common.stage(of_kind[0].groupBy("key").applyInArrow(_merge_counts, "key int, tokens binary, counts binary, n long, v long, mass array<long>"), "lm-counts")
+    counts = common.stage(of_kind[0].groupBy("key").applyInArrow(lambda g: _merge_counts(g, shards), "key int, tokens binary, counts binary, n long, v long, mass array<long>"), "lm-counts")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     mass = np.zeros(NODES, np.int64)
     for r in counts.select(F.posexplode("mass").alias("k", "m")).groupBy("k").agg(F.sum("m").alias("m")).collect():  # NODES rows
         mass[r["k"]] = r["m"]
     parts = {r["key"]: r["counts"] for r in of_kind[1].select("key", "counts").groupBy("key").applyInArrow(_merge_tables, "key int, counts binary").collect()}
     mixer = of_kind[2].groupBy("key").applyInArrow(_merge_mixers, "key int, tokens binary, counts binary").first()
+    common.unstage(partials)
     model = Model(parts, mixer and mixer["tokens"], mixer and mixer["counts"], mass, totals["n"], totals["v"])
-    held = spark.sparkContext.broadcast(model)  # TABLE floats
+    held = spark.sparkContext.broadcast(model)  # fixed size
 
     texts = plain.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition("chunk").groupBy("chunk")
     asked = texts.applyInArrow(lambda g: _ask(g, shards), "shard int, chunk long, tokens binary")
-    answered = asked.groupBy("shard").cogroup(counts.select(F.col("key").alias("shard"), "tokens", "counts").groupBy("shard")).applyInArrow(_answer, "chunk long, shard int, counts binary")
+    answered = asked.groupBy("shard").cogroup(counts.select(F.col("key").alias("shard"), "tokens", "counts").groupBy("shard")).applyInArrow(lambda a, c: _answer(a, c, shards), "chunk long, shard int, counts binary")
     scored = texts.cogroup(answered.groupBy("chunk")).applyInArrow(
         lambda d, a: _score(d, a, held.value, shards), "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double"
     )
