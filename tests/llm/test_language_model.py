@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tickloom.llm import common, hashing, language_model, queries
@@ -94,3 +95,18 @@ def test_contexts_hold_among_many_others(spark):
     held = [r for r in got if r["held_out"] and r["doc_id"] >= 2000]
     gain = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
     assert len(held) > 0 and gain > 0.5
+
+
+def test_weights_are_learnt_from_every_training_text():
+    texts = [f"a b c {i} d e" for i in range(600)]
+    folds = [7 * (8 * i + 1) for i in range(600)]
+    rows = pa.Table.from_batches(list(language_model._train(iter([pa.record_batch({"text": texts, "fold": folds})]), 1))).to_pylist()
+    learnt = np.frombuffer([r["counts"] for r in rows if r["kind"] == 2][0], np.float64)[-1]
+    assert learnt == 7 * 600
+
+
+def test_refinement_does_not_depend_on_what_follows():
+    model = language_model.Model({}, None, None, np.zeros(language_model.NODES, np.int64), 1, 1)
+    words = [f"w{x}" for x in np.random.default_rng(6).integers(0, 50, 40_000)]
+    short, long = (model.class_bits(language_model.Tokens([" ".join(words[:n])])) for n in (5_000, 40_000))
+    assert long[:5_000] == pytest.approx(short[:5_000])

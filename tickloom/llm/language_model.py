@@ -5,7 +5,7 @@ and then by its share of the class. Each decision is predicted by several hashed
 the previous token, the two before, the one before the previous) and by a match with the last place
 in the same text where the previous token stood. The stretched predictions are mixed by weights
 that a gate (depth, and whether the match still holds) selects, scaled per document by factors that
-are refined block by block as its text is read, and corrected by an adaptive probability map.
+are refined after each BLOCK tokens of its text, and corrected by an adaptive probability map.
 
 Training is one pass over all training texts: every task counts tokens, and the classes behind each
 context, and learns the mixing weights online from its own counts as they grow; counts are then
@@ -33,8 +33,6 @@ INPUTS, GATES, BUCKETS = CONTEXTS + 3, 2 * BITS, 33
 #: Tokens between refinements of a document's factors, and their step.
 BLOCK, STEP, RATE, PRIOR = 64, 0.5, 0.02, 0.4
 CHUNK_BYTES, SHARD_BYTES, FOLDS, HELD_OUT = 4 << 20, 16 << 20, 7, 2
-#: Weights are learnt on the training texts whose fold number is a multiple of this.
-LEARN_EVERY = 8
 #: Context pairs and tokens that a training task holds before it hands its counts on.
 HELD = 4 << 20
 _PARTS = 16
@@ -176,7 +174,7 @@ class Trainer:
 
     def add(self, tokens: Tokens, learn: np.ndarray) -> None:
         """Learn from the documents that a mask selects, then count all of them."""
-        if learn.any() and self.slots[1].any():
+        if learn.any():
             self._learn(tokens.only(learn))
         node, bit = tokens.paths()
         self.slots += np.bincount((node * 2 + bit).ravel(), minlength=2 * NODES).reshape(-1, 2)
@@ -243,7 +241,7 @@ def _train(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Record
         keep = fold % FOLDS != HELD_OUT
         if keep.any():
             texts = [t for t, k in zip(batch.column("text").to_pylist(), keep) if k]
-            trainer.add(Tokens(texts), fold[keep] // FOLDS % LEARN_EVERY == 0)
+            trainer.add(Tokens(texts), np.ones(len(texts), bool))
         if trainer.held > HELD:
             yield from _table(trainer.counted(), PARTIAL_SCHEMA).to_batches()
     yield from _table(trainer.counted() + trainer.tables(), PARTIAL_SCHEMA).to_batches()
@@ -287,8 +285,7 @@ class Model:
         x, gate, bit = inputs(tokens, self.stretched, known, odds)
         x *= self.weights[gate]
         factors = np.ones((len(tokens.sizes), INPUTS), np.float32)
-        block = np.maximum(BLOCK, tokens.sizes // 256 + 1)
-        number = (np.arange(len(x)) - np.repeat(tokens.starts, tokens.sizes)) // np.repeat(block, tokens.sizes)
+        number = (np.arange(len(x)) - np.repeat(tokens.starts, tokens.sizes)) // BLOCK
         order = np.argsort(number, kind="stable")
         edges = np.searchsorted(number[order], np.arange(int(number.max(initial=-1)) + 2))
         z = np.empty(gate.shape, np.float32)
