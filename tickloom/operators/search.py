@@ -72,15 +72,16 @@ def trial_rows(spark: SparkSession, vectors: list[dict[str, float]], first: int
 
 def fan_out(bars: DataFrame, trials: DataFrame) -> DataFrame:
     """Every trial with every bar; the interval column becomes the series of one trial."""
-    return bars.join(F.broadcast(trials.limit(MAX_BATCH))).withColumn("interval", F.concat_ws("#", "interval", F.col("trial_id").cast("string")))
+    return bars.crossJoin(trials).withColumn("interval", F.concat_ws("#", "interval", F.col("trial_id").cast("string")))
 
 
 def crossover_returns(bars: DataFrame, trials: DataFrame, horizon: int = 6, min_trades: int = 5) -> DataFrame:
     """(trial_id, objective, trades): mean over symbols of the profit of an average-crossover with
     the trial's fast and slow lengths; a symbol with too few trades rejects the trial."""
+    longest = trials.agg(F.max(F.greatest("fast", "slow")).cast("int")).first()[0] or 0
     rows = fan_out(bars, trials)
     total = F.sum("close").over(series.so_far())
-    rows = rows.withColumn("__s", total).withColumn("__h", F.collect_list("__s").over(series.so_far().rowsBetween(-200, 0)))
+    rows = rows.withColumn("__s", total).withColumn("__h", F.collect_list("__s").over(series.so_far().rowsBetween(-longest, 0)))
     size = F.size("__h")
 
     def mean(length: str):
@@ -92,7 +93,7 @@ def crossover_returns(bars: DataFrame, trials: DataFrame, horizon: int = 6, min_
     up, down = series.crossover(F.col("fast_mean"), F.col("slow_mean")), series.crossunder(F.col("fast_mean"), F.col("slow_mean"))
     rows = rows.withColumn("buy_signal", up).withColumn("sell_signal", down)
     made = backtest.trades(rows, horizon).withColumn("trial_id", F.element_at(F.split("interval", "#"), -1).cast("long"))
-    every = bars.select("symbol").distinct().join(F.broadcast(trials.select("trial_id").limit(MAX_BATCH)))
+    every = bars.select("symbol").distinct().crossJoin(trials.select("trial_id"))
     per = made.groupBy("trial_id", "symbol").agg(F.avg("return_pct").alias("r"), F.count("*").alias("n"))
     per = every.join(per, ["trial_id", "symbol"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return per.groupBy("trial_id").agg(F.when(F.min("n") < min_trades, F.lit(float("-inf"))).otherwise(F.avg("r")).alias("objective"), F.sum("n").alias("trades"))
