@@ -1,22 +1,34 @@
 """Language-model scores by online logistic context mixing, next to an add-one unigram base.
 
-A token (a word, or the end of its text) is coded as a path of BITS binary decisions, its class,
-and then by its share of the class. Each decision is predicted by several hashed contexts (none,
-the previous token, the two before, the one before the previous) and by a match with the last place
-in the same text where the previous token stood. The stretched predictions are mixed by weights
-that a gate (depth, and whether the match still holds) selects, scaled per document by factors that
-are refined after each BLOCK tokens of its text, and corrected by an adaptive probability map.
-
-Training is one pass over all training texts: every task counts tokens, and the classes behind each
-context, and learns the mixing weights online from its own counts as they grow; counts are then
-added and weights averaged. Scoring deals the texts into chunks; each chunk asks the sharded counts
-for its own tokens and contexts. Tokens are known by 64-bit hashes, contexts by 54 bits next to the
-10 of the class; weights have a fixed size, counts of tokens and contexts grow with the corpus and
-stay sharded.
+Every token (a word, or the end of its text) is coded by binary decisions:
+
+1. Is it the token that most often followed its two predecessors in the training texts?
+2. If not: is it the one that followed them at their last earlier place in the same text?
+3. If neither: BITS decisions give its class (a hash of its last two bytes), and its share of the
+   class's training tokens the rest.
+
+The chance of a token is the sum over the ways to reach it, so that all chances add up to one. Each
+decision is predicted from several hashed contexts (the two predecessors; the text so far; the
+class before; the last short word; none), whose stretched predictions are mixed by weights that a
+gate selects (how long the guesses have held; depth and the length of the text so far), and then
+refined by an adaptive probability map.
+
+Texts are dealt into chunks by a hash of the row, never by the split of the table, training and
+held-out texts apart. A chunk sends its distinct tokens and (context, token) keys to shards, which
+add them up over the corpus and answer each chunk. Then every chunk of training texts learns
+weights and map online, in the order of doc_id, and the means over all training tokens are the
+model; at last every chunk is scored. Where a training text is learnt from or scored, each place's
+own occurrence is taken out of the context counts first, so that a text does not predict itself.
+
+Keys have 64 bits; their share of the context grows with the corpus, and what is left tells the
+tokens behind it apart. Other tokens of the vocabulary may share that rest, so the chance of a
+guess is divided by their expected number. Counts of tokens and contexts grow with the corpus and
+stay sharded; class tables, weights and map have fixed sizes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,368 +37,550 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import common, hashing
-from tickloom.llm.substring_dedup import _pack, _pack_sorted, _table, _unpack, _unpack_sorted
-
-BITS, CONTEXTS = 10, 3
-NODES = 1 << BITS
-INPUTS, GATES, BUCKETS = CONTEXTS + 3, 2 * BITS, 33
-#: Tokens between refinements of a document's factors, and their step.
-BLOCK, STEP, RATE, PRIOR = 64, 0.5, 0.02, 0.4
-CHUNK_BYTES, SHARD_BYTES, FOLDS, HELD_OUT = 4 << 20, 16 << 20, 7, 2
-#: Context pairs and tokens that a training task holds before it hands its counts on.
-HELD = 4 << 20
-_PARTS = 16
-_END = hashing.word_hashes([b"\n"])
-PARTIAL_SCHEMA = "kind int, key int, tokens binary, counts binary"
+from tickloom.llm.packed import merge, pack, pack_sorted, shard_runs, table, unpack, unpack_sorted
+
+BITS = 10
+CLASSES = 1 << BITS
+#: Path inputs: no context, class before, last short word, text so far, constant. Guess inputs:
+#: share of the guess, how long it held, whether the other guess exists, constant.
+INPUTS, GUESS_INPUTS = 5, 4
+#: Gates of the path (lengths of the text so far, by depth) and of a guess (runs of hits).
+AGES, RUNS, BUCKETS = 4, 8, 33
+GATES = AGES * BITS
+#: States of a context: sizes by shares of the most frequent follower; 0 is an unknown context.
+SIZES, SHARES = 8, 6
+STATES = 1 + SIZES * SHARES
+BLOCK, BATCH, RATE, PRIOR = 64, 4096, 0.02, 2.0
+#: Words of so many bytes at most are short.
+SHORT = 3
+#: Tokens whose inputs are held at a time; a multiple of BLOCK.
+SPAN = 1 << 15
+CHUNK_BYTES, SHARD_BYTES, FOLDS, HELD_OUT = 8 << 20, 32 << 20, 7, 2
+#: Class tables are added in parts, so many chunks at a time.
+_PARTS, FAN = 8, 64
+_UNITS = 1 << 10
+_END = 1 << 17
+_LOW = np.uint64(CLASSES - 1)
+ASK_SCHEMA = "shard int, chunk long, training boolean, keys binary, counts binary"
+ANSWER_SCHEMA = "chunk long, shard int, answer binary, n long, v long, mass binary"
+SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double"
+
+
+def ending_class(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Class of words by their last two bytes (before: 256 where there is one byte only)."""
+    return (hashing.mix((last + 257 * before + 1).astype(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 class Tokens:
-    """The tokens of a run of documents: hashes, document numbers, classes and contexts."""
+    """The tokens of a run of texts: hashes (the class in the lowest bits), classes and contexts."""
 
     def __init__(self, texts: list):
-        runs = [np.concatenate([hashing.word_hashes(hashing.words_of(t, lower=True)), _END]) for t in texts]
-        self.sizes = np.array([len(r) for r in runs], np.int64)
+        raws = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+        words = [r.split() for r in raws]
+        n_words = np.array([len(w) for w in words], np.int64)
+        self.sizes = n_words + 1
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
-        self.hash = np.concatenate([np.zeros(0, np.uint64), *runs])
-        self.doc = np.repeat(np.arange(len(runs)), self.sizes)
-        self.code = (hashing.mix(self.hash) >> np.uint64(64 - BITS)).astype(np.int64)
-
-    def only(self, docs: np.ndarray) -> Tokens:
-        """The documents that a mask selects."""
-        out = object.__new__(Tokens)
-        keep = docs[self.doc]
-        out.sizes = self.sizes[docs]
-        out.ends = np.cumsum(out.sizes)
-        out.starts = out.ends - out.sizes
-        out.hash, out.code = self.hash[keep], self.code[keep]
-        out.doc = np.repeat(np.arange(len(out.sizes)), out.sizes)
-        return out
+        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
+        n = int(self.sizes.sum())
+        self.at = np.arange(n) - np.repeat(self.starts, self.sizes)
+        word = np.ones(n, bool)
+        word[self.ends - 1] = False
+        raw = np.frombuffer(b" " + b" ".join(raws) + b" ", np.uint8)
+        space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+        begin, end = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:])
+        self.code = np.full(n, int(ending_class(np.array([_END]), np.array([0]))[0]))
+        self.code[word] = ending_class(raw[end].astype(np.int64), np.where(end > begin, raw[end - 1].astype(np.int64), 256))
+        self.hash = np.full(n, hashing.word_hashes([b"\n"])[0], np.uint64)
+        self.hash[word] = np.concatenate([np.zeros(0, np.uint64), *map(hashing.word_hashes, words)])
+        self.hash = (self.hash & ~_LOW) | self.code.astype(np.uint64)
+        self.short = np.zeros(n, bool)
+        self.short[word] = end - begin < SHORT
 
     def back(self, n: int) -> np.ndarray:
-        """Hash of the token n places before; the end token before a text."""
-        out = np.full(len(self.hash), _END[0], np.uint64)
-        out[n:] = self.hash[:-n] if n < len(self.hash) else out[n:]
-        at = np.arange(len(out)) - np.repeat(self.starts, self.sizes)
-        out[at < n] = _END[0]
+        """Hash of the token n places before; that of the end before a text."""
+        out = np.full(len(self.hash), self.hash[self.ends[0] - 1] if len(self.hash) else 0, np.uint64)
+        out[n:] = self.hash[:-n]
+        out[self.at < n] = self.hash[self.ends[0] - 1] if len(self.hash) else 0
         return out
 
-    def paths(self) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens x BITS): the node each decision is taken at, and the decision."""
-        depth = np.arange(BITS)
-        node = (1 << depth) | (self.code[:, None] >> (BITS - depth))
-        return node, (self.code[:, None] >> (BITS - 1 - depth)) & 1
-
-    def pairs(self) -> np.ndarray:
-        """(CONTEXTS, tokens) keys: the context's hash, with the token's class as the lowest bits."""
-        one, two = self.back(1), self.back(2)
-        out = np.empty((CONTEXTS, len(one)), np.uint64)
-        for k, c in enumerate((one, hashing.mix(one * np.uint64(3)) ^ two, hashing.mix(two ^ np.uint64(0x5851F42D4C957F2D)))):
-            salted = hashing.mix(c ^ np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64)))
-            out[k] = (salted & ~np.uint64(NODES - 1)) | self.code.astype(np.uint64)
+    def pair_context(self) -> np.ndarray:
+        return hashing.mix(self.back(1) * np.uint64(3) ^ hashing.mix(self.back(2)))
+
+    def keys(self, context_bits: int) -> np.ndarray:
+        """The two predecessors' hash in the upper bits, then the token's."""
+        rest = np.uint64(64 - context_bits)
+        return (self.pair_context() >> rest << rest) | (hashing.mix(self.hash) >> np.uint64(context_bits))
+
+    def class_contexts(self) -> np.ndarray:
+        """(2, tokens): the class before, and a class of the last short word."""
+        before = (self.back(1) & _LOW).astype(np.int64)
+        seen = np.maximum.accumulate(np.append(-1, np.where(self.short, np.arange(len(self.hash)), -1)))[:-1]
+        word = (hashing.mix(self.hash[np.maximum(seen, 0)]) >> np.uint64(64 - BITS)).astype(np.int64) if len(seen) else seen
+        return np.stack([before, np.where(seen >= np.repeat(self.starts, self.sizes), word, 0)])
+
+    def repeat(self) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the two predecessors stood together before in the text, and whether the token
+        that followed them at the last such place is this one."""
+        places = np.uint64(max(1, len(self.hash).bit_length()))
+        key = hashing.mix(self.pair_context() + self.doc.astype(np.uint64)) << places | np.arange(len(self.hash), dtype=np.uint64)
+        key.sort()
+        order = (key & ((np.uint64(1) << places) - np.uint64(1))).astype(np.int64)
+        same = np.flatnonzero(key[1:] >> places == key[:-1] >> places)
+        found, hit = np.zeros(len(order), bool), np.zeros(len(order), bool)
+        found[order[same + 1]] = True
+        hit[order[same + 1]] = self.hash[order[same + 1]] == self.hash[order[same]]
+        return found, hit
+
+    def runs(self, found: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """How long a guess has held before each token, on a scale of RUNS: 0 where the last guess
+        failed, the last level where there was none since the start."""
+        at = np.arange(len(hit))
+        start = np.repeat(self.starts, self.sizes)
+
+        def last(mask):
+            return np.maximum(np.append(-1, np.maximum.accumulate(np.where(mask, at, -1))[:-1])[: len(at)], start - 1)
+
+        right = np.append(0, np.cumsum(hit))
+        count = right[at] - right[last(found & ~hit) + 1]
+        none = last(found) < start
+        return np.where(none, RUNS - 1, np.minimum(np.ceil(np.log2(count + 1)), RUNS - 2)).astype(np.int64)
+
+
+def context_bits(size: int) -> int:
+    """Bits of a context in a key: three more than a text of that size can have bytes, 44 at most."""
+    return min(44, max(24, size.bit_length() + 3))
+
+
+def states(best: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """State of a context from the count of its most frequent follower and of all (0: unknown)."""
+    size = np.searchsorted([2, 3, 4, 6, 9, 17, 33], total, side="right")
+    share = np.where(best == total, SHARES - 1, (SHARES - 1) * best // np.maximum(total, 1))
+    return np.where(total > 0, 1 + size * SHARES + share, 0)
+
+
+class Followers:
+    """Of sorted (context, token) keys with counts: each context's total and two best followers."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, bits: int):
+        self.keys, self.counts, self.rest = keys, counts, np.uint64(64 - bits)
+        of = keys >> self.rest
+        self.first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(keys) else np.zeros(0, np.int64)
+        self.contexts = of[self.first]
+        self.run = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(keys))))
+        if not len(keys):
+            return
+        self.total = np.add.reduceat(counts, self.first)
+        self.best, self.top = self._best(counts)
+        others = counts.copy()
+        others[self.best] = 0
+        self.second, self.next = self._best(others)
+
+    def _best(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, count) of the most frequent follower of each context, the first of equals."""
+        top = np.maximum.reduceat(counts, self.first)
+        return np.minimum.reduceat(np.where(counts == top[self.run], np.arange(len(counts)), len(counts)), self.first), top
+
+    def answer(self, asked: np.ndarray, training: bool) -> np.ndarray:
+        """A byte for each key: twice the state of its context, plus one if its token is the guess.
+        For training texts, one occurrence of the key itself is left out."""
+        out = np.zeros(len(asked), np.uint8)
+        if not len(self.keys):
+            return out
+        run = np.minimum(np.searchsorted(self.contexts, asked >> self.rest), len(self.contexts) - 1)
+        at = np.flatnonzero(self.contexts[run] == asked >> self.rest)
+        run, asked = run[at], asked[at]
+        best, total, hit = self.top[run], self.total[run], self.keys[self.best[run]] == asked
+        if training:
+            total = total - 1
+            own, second, other = best - 1, self.next[run], self.keys[self.second[run]]
+            stays = (own > second) | ((own == second) & (asked < other))
+            best = np.where(hit, np.maximum(own, second), best)
+            hit &= stays
+        out[at] = np.where(total > 0, 2 * states(best, total) + hit, 0)
         return out
 
-    def match(self) -> np.ndarray:
-        """Class of the token behind the last earlier place, in the same text, of the previous
-        token; -1 where there is none."""
-        key = hashing.mix(self.back(1) ^ hashing.mix(self.doc.astype(np.uint64) + np.uint64(1)))
-        order = np.argsort(key, kind="stable")
-        out = np.full(len(key), -1, np.int64)
-        same = np.flatnonzero(key[order][1:] == key[order][:-1])
-        out[order[same + 1]] = self.code[order[same]]
-        return out
 
+def heap(leaves: np.ndarray) -> np.ndarray:
+    """Counts at all nodes of the class tree, leaves last: node k's children are 2k and 2k + 1."""
+    out = np.zeros((*leaves.shape[:-1], 2 * CLASSES), np.float32)
+    out[..., CLASSES:] = leaves
+    for depth in range(BITS - 1, -1, -1):
+        a, b = 1 << depth, 2 << depth
+        out[..., a:b] = out[..., 2 * a : 2 * b : 2] + out[..., 2 * a + 1 : 2 * b : 2]
+    return out
 
-class Counts:
-    """Counts of sorted pairs of context and class."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self.keys, self.below = keys, np.append(0, np.cumsum(counts, dtype=np.int64))
+def squash(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.minimum(np.maximum(-z, -16), 16)))
 
-    def odds(self, pairs: np.ndarray) -> np.ndarray:
-        """(pairs, BITS) log odds of a one at each decision on the way to the pair's class, from the
-        counts of its context; zero where the context never came so far."""
-        out = np.zeros((len(pairs), BITS), np.float32)
-        base = pairs & ~np.uint64(NODES - 1)
-        low = self.below[np.searchsorted(self.keys, base)]
-        high = self.below[np.searchsorted(self.keys, base | np.uint64(NODES - 1), side="right")]
-        at = np.flatnonzero(high > low)
-        low, high = low[at], high[at]
-        for depth in range(BITS):
-            half = np.uint64(BITS - 1 - depth)
-            pair = pairs[at]
-            middle = self.below[np.searchsorted(self.keys, ((pair >> half) | np.uint64(1)) << half)]
-            out[at, depth] = np.log((high - middle + PRIOR) / (middle - low + PRIOR))
-            one = (pair >> half) & np.uint64(1) == 1
-            low, high = np.where(one, middle, low), np.where(one, high, middle)
-            left = high > low
-            at, low, high = at[left], low[left], high[left]
-        return out
 
+def stretch(p: np.ndarray) -> np.ndarray:
+    return np.log(p / (1 - p))
 
-def inputs(tokens: Tokens, stretched: np.ndarray, known: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, BITS, INPUTS) stretched predictions, (tokens, BITS) gates and decisions, from the
-    unigram table and the odds of known pairs, which are sorted."""
-    node, bit = tokens.paths()
-    x = np.zeros((*node.shape, INPUTS), np.float32)
-    x[:, :, 0] = stretched[node]
-    if len(known):
-        for k, pairs in enumerate(tokens.pairs()):
-            x[:, :, 1 + k] = odds[np.searchsorted(known, pairs)]
-    guess = tokens.match()[:, None]
-    depth = np.arange(BITS)
-    holds = (guess >= 0) & ((guess >> (BITS - depth)) == (tokens.code[:, None] >> (BITS - depth)))
-    x[:, :, 1 + CONTEXTS] = np.where(holds, 2 * ((guess >> (BITS - 1 - depth)) & 1) - 1, 0)
-    x[:, :, 2 + CONTEXTS] = 0.3
-    return x, depth + BITS * holds, bit
 
+def _bucket(z: np.ndarray) -> np.ndarray:
+    return np.rint(np.minimum(np.maximum(z, -8), 8) * 2 + BUCKETS // 2).astype(np.int64)
 
-def stretch(counts: np.ndarray) -> np.ndarray:
-    """Log odds of a one from the (zeros, ones) of each slot."""
-    return np.log((counts[:, 1] + PRIOR) / (counts[:, 0] + PRIOR)).astype(np.float32)
 
+class Tables:
+    """Class counts of the corpus: without context, and behind the two class contexts."""
 
-def squash(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -20, 20)))
+    def __init__(self, leaves: np.ndarray):
+        self.leaves, self._nodes = leaves, None
 
+    def __getstate__(self):
+        return (self.leaves, None)
 
-def first_weights() -> np.ndarray:
-    w = np.full((GATES, INPUTS), 0.4, np.float32)
-    w[:, 1 + CONTEXTS], w[:, 2 + CONTEXTS] = 1.0, 0.0
-    return w
+    def __setstate__(self, state):
+        self.leaves, self._nodes = state
 
+    def nodes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(zeros, ones) of each node behind both contexts, as pairs, the chance of a one at each
+        node without context, and its log odds."""
+        if self._nodes is None:
+            counts = heap(self.leaves)
+            every = counts[0].sum(axis=0, dtype=np.float64)
+            one = np.append(0.5, (every[3::2] + 0.5) / (every[2::2] + every[3::2] + 1))
+            self._nodes = _pairs(counts.reshape(2, -1)), one.astype(np.float32), stretch(one).astype(np.float32)
+        return self._nodes
 
-def _bucket(z: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(z * 2) + BUCKETS // 2, 0, BUCKETS - 1).astype(np.int64)
-
-
-class Trainer:
-    """One task's training: counts of tokens and of context pairs, and weights learnt online. The
-    weights see the pairs counted so far, or those of the last run that was handed on."""
-
-    def __init__(self, shards: int):
-        self.shards = shards
-        self.slots = np.zeros((NODES, 2), np.int64)
-        self.weights, self.map = first_weights(), np.zeros((GATES * BUCKETS, 2), np.int64)
-        self.learnt, self.pending, self.held = 0, [], 0
-        self.pairs, self.recent, self.handed = [], 0, False
-        self.known = Counts(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-    def add(self, tokens: Tokens, learn: np.ndarray) -> None:
-        """Learn from the documents that a mask selects, then count all of them."""
-        if learn.any():
-            self._learn(tokens.only(learn))
-        node, bit = tokens.paths()
-        self.slots += np.bincount((node * 2 + bit).ravel(), minlength=2 * NODES).reshape(-1, 2)
-        self.pending.append(np.unique(tokens.hash, return_counts=True))
-        self.pairs.append(np.unique(tokens.pairs(), return_counts=True))
-        self.held += len(self.pending[-1][0]) + len(self.pairs[-1][0])
-        self.recent += len(self.pairs[-1][0])
-        if not self.handed and self.recent > len(self.known.keys):
-            self._gather()
-
-    def _gather(self) -> None:
-        self.pairs = [merge([p[0] for p in self.pairs], [p[1] for p in self.pairs])]
-        self.known, self.recent = Counts(*self.pairs[0]), 0
-
-    def _learn(self, tokens: Tokens) -> None:
-        pairs = np.unique(tokens.pairs())
-        x, gate, bit = inputs(tokens, stretch(self.slots), pairs, self.known.odds(pairs))
-        for at in range(0, len(x), 512):
-            part, g, b = x[at : at + 512], gate[at : at + 512], bit[at : at + 512]
-            z = (self.weights[g] * part).sum(axis=2)
-            np.add.at(self.map, ((g * BUCKETS + _bucket(z)).ravel(), b.ravel()), 1)
-            e = ((b - squash(z))[:, :, None] * part).reshape(-1, INPUTS)
-            for k in range(INPUTS):
-                self.weights[:, k] += RATE * np.bincount(g.ravel(), e[:, k], GATES) / (1 + np.bincount(g.ravel(), minlength=GATES) ** 0.5)
-        self.learnt += len(x)
-
-    def counted(self) -> list:
-        """Rows of the counts so far, by shard: those of tokens, then those of context pairs."""
-        if not self.pending:
-            return []
-        self._gather()
-        out = []
-        for first, (keys, counts) in ((0, merge([p[0] for p in self.pending], [p[1] for p in self.pending])), (self.shards, self.pairs[0])):
-            out += [[0, first + s, _pack_sorted(keys[a:b]), _pack(counts[a:b].astype(np.uint32))] for s, a, b in shard_runs(keys, self.shards)]
-        self.pending, self.pairs, self.held, self.handed = [], [], 0, True
-        return out
 
-    def tables(self) -> list:
-        rows = [[1, k, None, _pack(part.ravel())] for k, part in enumerate(np.array_split(self.slots, _PARTS)) if part.any()]
-        return [*rows, [2, 0, _pack(self.map.ravel()), np.append(self.weights.astype(np.float64).ravel() * self.learnt, self.learnt).tobytes()]]
-
-
-def merge(tokens: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    every, n = np.concatenate(tokens), np.concatenate(counts)
-    order = np.argsort(every)
-    every, n = every[order], n[order].astype(np.int64)
-    first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
-    return every[first], (np.add.reduceat(n, first) if len(first) else n)
-
-
-def shard_runs(tokens: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
-    """(shard, from, to) of sorted hashes; a shard is a range of the upper 32 bits."""
-    edges = (np.arange(1, shards, dtype=np.uint64) * np.uint64((1 << 32) // shards)) << np.uint64(32)
-    bounds = [0, *np.searchsorted(tokens, edges).tolist(), len(tokens)]
-    for s, (a, b) in enumerate(zip(bounds, bounds[1:])):
-        if a < b:
-            yield s, a, b
-
-
-def _train(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    trainer = Trainer(shards)
-    for batch in common.slices(batches, 256):
-        fold = batch.column("fold").to_numpy()
-        keep = fold % FOLDS != HELD_OUT
-        if keep.any():
-            texts = [t for t, k in zip(batch.column("text").to_pylist(), keep) if k]
-            trainer.add(Tokens(texts), np.ones(len(texts), bool))
-        if trainer.held > HELD:
-            yield from _table(trainer.counted(), PARTIAL_SCHEMA).to_batches()
-    yield from _table(trainer.counted() + trainer.tables(), PARTIAL_SCHEMA).to_batches()
-
-
-def _merge_counts(group: pa.Table, shards: int) -> pa.Table:
-    tokens, counts = merge([_unpack_sorted(x, np.uint64) for x in group.column("tokens").to_pylist()], [_unpack(x, np.uint32) for x in group.column("counts").to_pylist()])
-    n, v, mass = 0, 0, []
-    if group.column("key")[0].as_py() < shards:
-        code = (hashing.mix(tokens) >> np.uint64(64 - BITS)).astype(np.int64)
-        n, v, mass = int(counts.sum()), len(tokens), np.bincount(code, counts + 1.0, NODES).astype(np.int64)
-    return pa.table({"key": group.column("key")[:1], "tokens": pa.array([_pack_sorted(tokens)]), "counts": pa.array([_pack(counts)]), "n": pa.array([n]), "v": pa.array([v]), "mass": pa.array([mass], pa.list_(pa.int64()))})
-
-
-def _merge_tables(group: pa.Table) -> pa.Table:
-    total = sum(_unpack(x, np.int64) for x in group.column("counts").to_pylist())
-    return pa.table({"key": group.column("key")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-
-def _merge_mixers(group: pa.Table) -> pa.Table:
-    weights = sum(np.frombuffer(x, np.float64) for x in group.column("counts").to_pylist())
-    seen = sum(_unpack(x, np.int64) for x in group.column("tokens").to_pylist())
-    return pa.table({"key": group.column("key")[:1], "tokens": pa.array([seen.tobytes()]), "counts": pa.array([weights.tobytes()])})
-
-
-class Model:
-    """What scoring needs besides the sharded counts: fixed-size tables and totals."""
-
-    def __init__(self, parts: dict[int, bytes], seen: bytes | None, weights: bytes | None, mass: np.ndarray, n: int, v: int):
-        empty = np.array_split(np.zeros((NODES, 2), np.int64), _PARTS)
-        slots = np.concatenate([np.frombuffer(parts[k], np.int64).reshape(-1, 2) if k in parts else empty[k] for k in range(_PARTS)])
-        self.stretched, self.mass, self.n, self.v = stretch(slots), mass + 1, n, v  # one unknown token a class
-        w = np.frombuffer(weights, np.float64) if weights else np.zeros(1)
-        self.weights = (w[:-1] / w[-1]).reshape(GATES, INPUTS).astype(np.float32) if w[-1] else first_weights()
-        map_ = np.frombuffer(seen, np.int64).reshape(GATES, BUCKETS, 2) if seen else np.zeros((GATES, BUCKETS, 2))
-        middle = squash((np.arange(BUCKETS) - BUCKETS // 2) / 2)
-        self.map = ((map_[:, :, 1] + 8 * middle) / (map_.sum(axis=2) + 8)).ravel()
-
-    def class_bits(self, tokens: Tokens, known: np.ndarray = np.zeros(0, np.uint64), odds: np.ndarray = np.zeros((0, BITS))) -> np.ndarray:
-        """log10 probability of each token's path, by the odds of known pairs of context and class."""
-        x, gate, bit = inputs(tokens, self.stretched, known, odds)
-        x *= self.weights[gate]
-        factors = np.ones((len(tokens.sizes), INPUTS), np.float32)
-        number = (np.arange(len(x)) - np.repeat(tokens.starts, tokens.sizes)) // BLOCK
-        order = np.argsort(number, kind="stable")
-        edges = np.searchsorted(number[order], np.arange(int(number.max(initial=-1)) + 2))
-        z = np.empty(gate.shape, np.float32)
-        for a, b in zip(edges, edges[1:]):
-            at = order[a:b]
-            doc, part = tokens.doc[at], x[at]
-            z[at] = now = (part * factors[doc][:, None, :]).sum(axis=2)
-            e = ((bit[at] - squash(now)).astype(np.float32)[:, :, None] * part).sum(axis=1)
-            first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-            mean = np.add.reduceat(e, first) / (BITS * np.diff(np.append(first, len(doc))))[:, None]
-            factors[doc[first]] = np.clip(factors[doc[first]] + STEP * mean, 0.2, 3)
-        p = (squash(z) + self.map[gate * BUCKETS + _bucket(z)]) / 2
-        return np.log10(np.where(bit == 1, p, 1 - p)).sum(axis=1)
-
-
-def _ask(group: pa.Table, shards: int) -> pa.Table:
-    chunk = group.column("chunk")[0].as_py()
-    tokens = Tokens(group.column("text").to_pylist())
-    rows = []
-    for first, keys in ((0, np.unique(tokens.hash)), (shards, np.unique(tokens.pairs()))):
-        rows += [[first + s, chunk, _pack_sorted(keys[a:b])] for s, a, b in shard_runs(keys, shards)]
-    return _table(rows, "shard int, chunk long, tokens binary")
+def _pairs(counts: np.ndarray) -> np.ndarray:
+    """Neighbouring pairs of 32-bit numbers as one item each, so that one look-up brings both."""
+    return np.ascontiguousarray(counts).view(np.float64)
+
 
+class Mixer:
+    """Weights and adaptive map, in one vector to add up: weights times tokens learnt from, counts
+    of zeros and ones of each map cell, and the tokens learnt from."""
 
-def _answer(asked: pa.Table, counts: pa.Table, shards: int) -> pa.Table:
-    """Counts of the tokens asked for; of pairs, the odds on their paths, to three digits."""
-    known = _unpack_sorted(counts.column("tokens")[0].as_py(), np.uint64) if counts.num_rows else np.zeros(0, np.uint64)
-    n = np.append(_unpack(counts.column("counts")[0].as_py(), np.int64) if counts.num_rows else np.zeros(0, np.int64), 0)
-    contexts = Counts(known, n[:-1])
+    SHAPES = ((GATES, INPUTS), (2 * RUNS, GUESS_INPUTS))
+    #: Map cells: of the path, by gate and bucket; of a guess, by run and state.
+    PATH_CELLS, CELLS = GATES * BUCKETS, GATES * BUCKETS + 2 * RUNS * STATES
+    LENGTH = GATES * INPUTS + 2 * RUNS * GUESS_INPUTS + 2 * CELLS + 1
+
+    def __init__(self):
+        self.path = np.full(self.SHAPES[0], 0.4, np.float32)
+        self.path[:, 4] = 0
+        self.guess = np.tile(np.array([1, 0.1, 0, 0], np.float32), (2 * RUNS, 1))
+        self.map = np.zeros((self.CELLS, 2), np.int64)
+        self.learnt = 0
+
+    def vector(self) -> np.ndarray:
+        weights = np.concatenate([self.path.ravel(), self.guess.ravel()]).astype(np.float64)
+        return np.concatenate([np.rint(weights * self.learnt * _UNITS).astype(np.int64), self.map.ravel(), [self.learnt]])
+
+    @classmethod
+    def of(cls, vector: np.ndarray) -> Mixer:
+        out, n, size = cls(), int(vector[-1]), GATES * INPUTS
+        if n:
+            weights = (vector[: size + 2 * RUNS * GUESS_INPUTS] / (n * _UNITS)).astype(np.float32)
+            out.path, out.guess = weights[:size].reshape(cls.SHAPES[0]), weights[size:].reshape(cls.SHAPES[1])
+        out.map = vector[size + 2 * RUNS * GUESS_INPUTS : -1].reshape(cls.CELLS, 2)
+        out.learnt = n
+        return out
+
+    def chances(self) -> np.ndarray:
+        """Chance of a one in each map cell."""
+        middle = np.tile(squash((np.arange(BUCKETS) - BUCKETS // 2) / 2), GATES)
+        first = np.concatenate([middle, np.tile(squash(state_odds()), 2 * RUNS)])
+        return ((self.map[:, 1] + 8 * first) / (self.map.sum(axis=1) + 8)).astype(np.float32)
+
+
+def state_odds() -> np.ndarray:
+    """Log odds of a hit in each state, before anything is learnt."""
+    out = np.full(STATES, -1.0)
+    for size, n in enumerate((1, 2, 3, 5, 7, 12, 24, 64)):
+        share = np.array([0.1, 0.3, 0.5, 0.7, 0.9, 1.0])
+        out[1 + size * SHARES : 1 + (size + 1) * SHARES] = stretch((n * share + 0.3) / (n + 1))
+    return out
+
+
+class Decisions:
+    """The decisions of a chunk's tokens. answers: the byte of each token's (context, token) key."""
+
+    def __init__(self, tokens: Tokens, answers: np.ndarray, tables: Tables, training: bool):
+        self.tokens, self.tables, self.training = tokens, tables, training
+        self.contexts = tokens.class_contexts()
+        found, hit = tokens.repeat()
+        self.hits = np.stack([(answers & 1).astype(bool), hit])
+        self.states = np.stack([(answers >> 1).astype(np.int64), found.astype(np.int64)])
+        self.runs = np.stack([tokens.runs(s > 0, h) for s, h in zip(self.states, self.hits)])
+        self._tail: tuple[int, np.ndarray] = (-1, np.zeros(CLASSES, np.float32))
+
+    def guesses(self, k: int, span: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs, gates and map cells of the k-th guess."""
+        state, run = self.states[k, span], self.runs[k, span]
+        x = np.empty((GUESS_INPUTS, len(state)), np.float32)
+        x[0] = state_odds().astype(np.float32)[state] if k == 0 else 0.5
+        x[1] = np.where(run == RUNS - 1, 0, run)
+        x[2] = self.states[1 - k, span] > 0
+        x[3] = 0.3
+        return x, run + RUNS * k, Mixer.PATH_CELLS + (run + RUNS * k) * STATES + state
+
+    def spans(self) -> Iterator[slice]:
+        """The tokens in runs of whole texts, or of blocks of one long text, in order."""
+        a, n = 0, len(self.tokens.hash)
+        while a < n:
+            doc = self.tokens.doc[a]
+            b = int(self.tokens.ends[np.searchsorted(self.tokens.ends, a + SPAN, side="right") - 1]) if self.tokens.ends[doc] <= a + SPAN else a + SPAN
+            yield slice(a, b)
+            a = b
+
+    def _text_so_far(self, span: slice) -> tuple[np.ndarray, np.ndarray]:
+        """(zeros, ones) at the nodes of each text's earlier blocks, and each token's row among them."""
+        t, a, b = self.tokens, span.start, span.stop
+        block = (t.at[a:b] // BLOCK) + t.doc[a:b] * (1 << 40)
+        first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        row = np.repeat(np.arange(len(first)), np.diff(np.append(first, b - a)))
+        counts = np.bincount(row * CLASSES + t.code[a:b], minlength=len(first) * CLASSES).reshape(-1, CLASSES).astype(np.float32)
+        before, doc = np.empty_like(counts), t.doc[a + first].tolist()
+        last, so_far = self._tail
+        for k, (d, own) in enumerate(zip(doc, counts)):
+            if d != last:
+                last, so_far = d, np.zeros(CLASSES, np.float32)
+            before[k] = so_far
+            so_far = so_far + own
+        self._tail = (last, so_far)
+        return _pairs(heap(before).ravel()), row
+
+    def path(self, span: slice, use: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each depth: (INPUTS, tokens) stretched predictions, gates and decisions of the tokens
+        of the span that `use` names."""
+        corpus, one, odds = self.tables.nodes()
+        seen, row = self._text_so_far(span)
+        code = self.tokens.code[span][use]
+        sources = [(corpus[k], self.contexts[k, span][use] * CLASSES, self.training) for k in range(2)] + [(seen, row[use] * CLASSES, False)]
+        age = np.searchsorted([1, 4, 16], self.tokens.at[span][use] // BLOCK, side="right")
+        for depth in range(BITS):
+            node = (1 << depth) | (code >> (BITS - depth))
+            bit = (code >> (BITS - 1 - depth)) & 1
+            x = np.empty((INPUTS, len(code)), np.float32)
+            chance = one.take(node)
+            ones, zeros = np.float32(PRIOR) * chance, np.float32(PRIOR) * (1 - chance)
+            x[0] = odds.take(node)
+            for k, (counts, at, training) in enumerate(sources):
+                pair = counts.take(at + node).view(np.float32).reshape(-1, 2)
+                own = bit.astype(np.float32) if training else np.float32(0)
+                x[1 + k] = np.log((pair[:, 1] + ones - own) / (pair[:, 0] + zeros - ((1 - own) if training else own)))
+            x[4] = 0.3
+            yield x, depth + BITS * age, bit
+
+
+def _step(mixer: Mixer, weights: np.ndarray, x: np.ndarray, gates: np.ndarray, hit: np.ndarray, cells: np.ndarray | None) -> None:
+    """Online steps of BATCH decisions each: weights and map move. cells: None for the path."""
+    low, high = int(gates.min()), int(gates.max()) + 1
+    z = np.empty(x.shape[1], np.float32)
+    for a in range(0, x.shape[1], BATCH):
+        part, gate, y = x[:, a : a + BATCH], gates[a : a + BATCH], hit[a : a + BATCH]
+        now = _mixed(weights, part, gate)
+        z[a : a + BATCH] = now
+        e = (y - squash(now)).astype(np.float32)
+        scale = RATE / (1 + np.sqrt(np.bincount(gate - low, minlength=high - low)))
+        for k in range(len(x)):
+            weights[low:high, k] += scale * np.bincount(gate - low, e * part[k], high - low)
+    at = gates * BUCKETS + _bucket(z) if cells is None else cells
+    mixer.map += np.bincount(at * 2 + hit, minlength=2 * Mixer.CELLS).reshape(-1, 2)
+
+
+def learn(mixer: Mixer, decisions: Decisions) -> None:
+    """One pass over the decisions in the order of the texts; the path only where no guess hit."""
+    hits, found = decisions.hits, decisions.states > 0
+    for span in decisions.spans():
+        left = np.ones(span.stop - span.start, bool)
+        for k in range(2):
+            use = np.flatnonzero(found[k, span] & left)
+            if len(use):
+                x, gates, cells = decisions.guesses(k, span)
+                _step(mixer, mixer.guess, x[:, use], gates[use], hits[k, span][use].astype(np.int64), cells[use])
+            left &= ~hits[k, span]
+        for x, gates, bit in decisions.path(span, np.flatnonzero(left)):
+            if len(bit):
+                _step(mixer, mixer.path, x, gates, bit, None)
+        mixer.learnt += span.stop - span.start
+
+
+def _mixed(weights: np.ndarray, x: np.ndarray, gates: np.ndarray) -> np.ndarray:
+    z = x[0] * weights[:, 0].take(gates)
+    for k in range(1, len(x)):
+        z += x[k] * weights[:, k].take(gates)
+    return z
+
+
+def _refined(weights: np.ndarray, cells: np.ndarray, x: np.ndarray, gates: np.ndarray, at: np.ndarray | None) -> np.ndarray:
+    """Chance of a one: the mean of the mixed prediction and its map cell."""
+    z = _mixed(weights, x, gates)
+    return (squash(z) + cells.take(gates * BUCKETS + _bucket(z) if at is None else at)) / 2
+
+
+def chances(mixer: Mixer, decisions: Decisions, share: np.ndarray, crowd: float) -> np.ndarray:
+    """log10 probability of each token. share: of its class; crowd: tokens of the vocabulary that
+    share a key's rest, itself included."""
+    out, cells = np.empty(len(share)), mixer.chances()
+    for span in decisions.spans():
+        total = share[span].copy()
+        for x, gates, bit in decisions.path(span, np.arange(span.stop - span.start)):
+            p = _refined(mixer.path, cells, x, gates, None)
+            total *= np.where(bit == 1, p, 1 - p)
+        for k in (1, 0):
+            p = np.where(decisions.states[k, span] > 0, _refined(mixer.guess, cells, *decisions.guesses(k, span)), 0).astype(np.float64)
+            total = (1 - p) * total + np.where(decisions.hits[k, span], p / (crowd if k == 0 else 1), 0)
+        out[span] = np.log10(total)
+    return out
+
+
+def _in_order(docs: pa.Table) -> pa.Table:
+    """A chunk's rows in an order that the split of the table does not change."""
+    rows = docs.column("doc_id").to_pylist()
+    texts = docs.column("text").to_pylist()
+    order = sorted(range(len(rows)), key=lambda k: (rows[k] is not None, rows[k] or 0, texts[k] is not None, texts[k] or ""))
+    return docs.take(pa.array(order, pa.int64()))
+
+
+def _ask(docs: pa.Table, chunks: int, shards: int, bits: int, fan: int = FAN) -> pa.Table:
+    """A chunk's distinct tokens (shards 0 and on) and keys (from `shards` on), with their counts in
+    training texts, and its class tables by parts (from 2 * shards on)."""
+    chunk = docs.column("chunk")[0].as_py()
+    training = chunk < chunks
+    tokens = Tokens(docs.column("text").to_pylist())
+    rows = []
+    for first, every in ((0, tokens.hash), (shards, tokens.keys(bits))):
+        keys, counts = np.unique(every, return_counts=True)
+        rows += [[first + s, chunk, training, pack_sorted(keys[a:b]), pack(counts[a:b].astype(np.uint32)) if training else None] for s, a, b in shard_runs(keys, shards)]
+    if training:
+        groups = 1 + (chunks - 1) // fan
+        for k, context in enumerate(tokens.class_contexts()):
+            cells, counts = np.unique((context * CLASSES + tokens.code).astype(np.uint64), return_counts=True)
+            bounds = np.searchsorted(cells, np.arange(_PARTS + 1, dtype=np.uint64) * np.uint64(CLASSES * CLASSES // _PARTS))
+            for part, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                if a < b:
+                    rows.append([2 * shards + (k * _PARTS + part) * groups + chunk // fan, chunk, True, pack_sorted(cells[a:b]), pack(counts[a:b].astype(np.uint32))])
+    return table(rows, ASK_SCHEMA)
+
+
+def _answer(asked: pa.Table, shards: int, bits: int) -> pa.Table:
+    """One shard: counts over the corpus, and each chunk's answers: counts of its tokens, states of
+    its keys. A group of class tables is only added up."""
+    shard = asked.column("shard")[0].as_py()
+    chunks, training = asked.column("chunk").to_pylist(), asked.column("training").to_pylist()
+    keys = [unpack_sorted(x, np.uint64) for x in asked.column("keys").to_pylist()]
+    known, counts = merge([k for k, t in zip(keys, training) if t], [unpack(x, np.uint32) for x, t in zip(asked.column("counts").to_pylist(), training) if t])
+    if shard >= 2 * shards:
+        return table([[-1, shard, pack_sorted(known), 0, 0, pack(counts)]], ANSWER_SCHEMA)
+    out = []
+    if shard >= shards:
+        followers = Followers(known, counts, bits)
+        for chunk, asked_keys, t in zip(chunks, keys, training):
+            out.append([chunk, shard, pack(followers.answer(asked_keys, t)), 0, 0, None])
+        return table(out, ANSWER_SCHEMA)
+    mass = np.bincount((known & _LOW).astype(np.int64), counts + 1.0, CLASSES).astype(np.int64)
+    out.append([-1, shard, None, int(counts.sum()), len(known), pack(mass)])
+    known, counts = np.append(known, np.uint64(0)), np.append(counts, 0)
+    for chunk, asked_keys in zip(chunks, keys):
+        at = np.searchsorted(known[:-1], asked_keys)
+        out.append([chunk, shard, pack(np.where((known[at] == asked_keys) & (at < len(known) - 1), counts[at], 0)), 0, 0, None])
+    return table(out, ANSWER_SCHEMA)
+
+
+def _answered(tokens: Tokens, answers: pa.Table, shards: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's training count, and the byte of its key."""
+    of = dict(zip(answers.column("shard").to_pylist(), answers.column("answer").to_pylist()))
     out = []
-    for shard, chunk, raw in zip(*[asked.column(c).to_pylist() for c in ("shard", "chunk", "tokens")]):
-        tokens = _unpack_sorted(raw, np.uint64)
-        if shard >= shards:
-            out.append([chunk, shard, _pack(contexts.odds(tokens).astype(np.float16).ravel())])
-            continue
-        at = np.searchsorted(known, tokens)
-        found = (np.append(known, 0)[at] == tokens) & (at < len(known))
-        out.append([chunk, shard, _pack(np.where(found, n[at], 0))])
-    return _table(out, "chunk long, shard int, counts binary")
-
-
-def _score(docs: pa.Table, answers: pa.Table, model: Model, shards: int) -> pa.Table:
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double"
-    rows = docs.num_rows
-    texts, fold = docs.column("text").to_pylist(), docs.column("fold").to_numpy()
-    every = Tokens(texts)
-    all_tokens, pairs = np.unique(every.hash), np.unique(every.pairs())
-    counts, odds = np.zeros(len(all_tokens), np.int64), np.zeros((len(pairs), BITS), np.float16)
-    bounds = {first + s: (a, b) for first, keys in ((0, all_tokens), (shards, pairs)) for s, a, b in shard_runs(keys, shards)}
-    for shard, raw in zip(answers.column("shard").to_pylist(), answers.column("counts").to_pylist()):
-        a, b = bounds[shard]
-        if shard < shards:
-            counts[a:b] = _unpack(raw, np.int64)
-        else:
-            odds[a:b] = _unpack(raw, np.float16).reshape(-1, BITS)
-    out = {"n": [], "known": [], "base": [], "score": []}
-    for at in range(0, rows, 64):
-        tokens = Tokens(texts[at : at + 64])
-        c = counts[np.searchsorted(all_tokens, tokens.hash)]
-        share = np.log10(c + 1)
-        base = share - np.log10(model.n + model.v + 1)
-        score = model.class_bits(tokens, pairs, odds) + share - np.log10(model.mass[tokens.code])
-        out["n"] += tokens.sizes.tolist()
-        for name, values in (("known", (c > 0).astype(np.int64)), ("base", base), ("score", score)):
-            out[name] += np.add.reduceat(values, tokens.starts).tolist()
-    columns = [docs.column("doc_id").to_pylist(), (fold % FOLDS == HELD_OUT).tolist(), out["n"], out["known"], [len((t or "").encode()) for t in texts], out["base"], out["score"]]
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    return pa.table({f.split()[0]: pa.array(c, k) for f, c, k in zip(schema.split(", "), columns, kinds)})
-
-
-def language_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    for first, every, kind in ((0, tokens.hash, np.int64), (shards, tokens.keys(bits), np.uint8)):
+        keys, place = np.unique(every, return_inverse=True)
+        values = [unpack(of[first + s], kind) for s, _, _ in shard_runs(keys, shards)]
+        out.append(np.concatenate([np.zeros(0, kind), *values])[place])
+    return out[0], out[1]
+
+
+def _learn(docs: pa.Table, answers: pa.Table, tables: Tables, shards: int, bits: int) -> pa.Table:
+    """One chunk of training texts: its learnt vector, packed."""
+    mixer = Mixer()
+    if docs.num_rows:
+        tokens = Tokens(_in_order(docs).column("text").to_pylist())
+        learn(mixer, Decisions(tokens, _answered(tokens, answers, shards, bits)[1], tables, True))
+    return table([[pack(mixer.vector())]] if mixer.learnt else [], "vector binary")
+
+
+def _score(docs: pa.Table, answers: pa.Table, model: tuple, chunks: int, shards: int, bits: int) -> pa.Table:
+    if not docs.num_rows:
+        return table([], SCORE_SCHEMA)
+    docs = _in_order(docs)
+    mixer, tables, mass, n, v = model
+    held = docs.column("chunk")[0].as_py() >= chunks
+    texts = docs.column("text").to_pylist()
+    tokens = Tokens(texts)
+    c, states_ = _answered(tokens, answers, shards, bits)
+    ours = np.log10(c + 1)
+    base = ours - math.log10(n + v + 1)
+    crowd = 1 + v / 2.0 ** (64 - bits)
+    score = chances(mixer, Decisions(tokens, states_, tables, not held), (c + 1) / (mass[tokens.code] + 1), crowd)  # one unknown token a class
+    sums = [np.add.reduceat(x, tokens.starts).tolist() for x in ((c > 0).astype(np.int64), base, score)]
+    sizes = [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+    return table(list(zip(docs.column("doc_id").to_pylist(), [held] * len(texts), tokens.sizes.tolist(), sums[0], sizes, sums[1], sums[2])), SCORE_SCHEMA)
+
+
+def _adder(groups: int):
+    def add(rows: pa.Table) -> pa.Table:
+        keys, counts = merge([unpack_sorted(x, np.uint64) for x in rows.column("answer").to_pylist()], [unpack(x, np.int64) for x in rows.column("mass").to_pylist()])
+        return table([[rows.column("part")[0].as_py() * groups + rows.column("at")[0].as_py(), pack_sorted(keys), pack(counts)]], "shard int, answer binary, mass binary")
+
+    return add
+
+
+def _class_tables(rows: DataFrame, groups: int, fan: int) -> Tables:
+    """Class tables from their parts (shard: part * groups + group), `fan` groups at a time."""
+    while groups > 1:
+        now, groups = groups, 1 + (groups - 1) // fan
+        keyed = rows.withColumn("part", F.expr(f"shard div {now}").cast("int")).withColumn("at", F.expr(f"(shard % {now}) div {fan}").cast("int"))
+        rows = keyed.groupBy("part", "at").applyInArrow(_adder(groups), "shard int, answer binary, mass binary")
+    leaves = np.zeros(2 * CLASSES * CLASSES, np.float32)
+    for r in rows.select("shard", "answer", "mass").collect():  # 2 * _PARTS rows of a fixed size
+        keys = unpack_sorted(r["answer"], np.uint64).astype(np.int64) + (r["shard"] // _PARTS) * CLASSES * CLASSES
+        leaves[keys] = unpack(r["mass"], np.int64)
+    return Tables(leaves.reshape(2, CLASSES, CLASSES))
+
+
+def language_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, fan: int = FAN) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) per row.
 
-    Both scores are log10 probabilities of the whole token sequence. Defined results: an empty table
-    gives no rows; null and empty texts are one end token (bits_per_byte null); without training
-    texts every token is unknown; a null doc_id counts as the id of empty text; rows of equal doc_id
-    are scored each; other columns are ignored."""
+    Both scores are log10 probabilities of the whole token sequence; they do not depend on how the
+    table is split. Defined results: an empty table gives no rows; null and empty texts are one end
+    token (bits_per_byte null); without training texts every token is unknown; a null doc_id counts
+    as the id of empty text; rows of equal doc_id are scored each; other columns are ignored."""
     spark = docs.sparkSession
     size = common.text_bytes(docs)
-    chunks, shards = 1 + size // chunk_bytes, 1 + size // shard_bytes
-    fold = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.alias("fold"))
-
-    partials = common.stage(plain.select("text", "fold").mapInArrow(lambda b: _train(b, shards), PARTIAL_SCHEMA), "lm-partials")
-    of_kind = [partials.where(F.col("kind") == k).select("key", "tokens", "counts") for k in range(3)]
-    counts = common.stage(of_kind[0].groupBy("key").applyInArrow(lambda g: _merge_counts(g, shards), "key int, tokens binary, counts binary, n long, v long, mass array<long>"), "lm-counts")
-    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
-    mass = np.zeros(NODES, np.int64)
-    for r in counts.select(F.posexplode("mass").alias("k", "m")).groupBy("k").agg(F.sum("m").alias("m")).collect():  # NODES rows
-        mass[r["k"]] = r["m"]
-    parts = {r["key"]: r["counts"] for r in of_kind[1].select("key", "counts").groupBy("key").applyInArrow(_merge_tables, "key int, counts binary").collect()}
-    mixer = of_kind[2].groupBy("key").applyInArrow(_merge_mixers, "key int, tokens binary, counts binary").first()
-    common.unstage(partials)
-    model = Model(parts, mixer and mixer["tokens"], mixer and mixer["counts"], mass, totals["n"], totals["v"])
-    held = spark.sparkContext.broadcast(model)  # fixed size
-
-    texts = plain.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition("chunk").groupBy("chunk")
-    asked = texts.applyInArrow(lambda g: _ask(g, shards), "shard int, chunk long, tokens binary")
-    answered = asked.groupBy("shard").cogroup(counts.select(F.col("key").alias("shard"), "tokens", "counts").groupBy("shard")).applyInArrow(lambda a, c: _answer(a, c, shards), "chunk long, shard int, counts binary")
-    scored = texts.cogroup(answered.groupBy("chunk")).applyInArrow(
-        lambda d, a: _score(d, a, held.value, shards), "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double"
+    chunks, shards, bits = 1 + size // chunk_bytes, 1 + size // shard_bytes, context_bits(size)
+    held = common.id_bucket(docs["doc_id"], FOLDS) == HELD_OUT
+    lot = F.xxhash64("doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held"))
+    chunk = F.when(F.col("held"), F.pmod(lot, F.lit(1 + chunks // FOLDS)) + chunks).otherwise(F.pmod(lot, F.lit(chunks)))
+    texts = dealt.select("doc_id", "text", chunk.cast("long").alias("chunk")).repartition("chunk").groupBy("chunk")
+
+    asked = texts.applyInArrow(lambda g: _ask(g, chunks, shards, bits, fan), ASK_SCHEMA)
+    answered = common.stage(asked.groupBy("shard").applyInArrow(lambda g: _answer(g, shards, bits), ANSWER_SCHEMA), "lm-answers")
+    groups = 1 + (chunks - 1) // fan
+    tables = _class_tables(answered.where(F.col("shard") >= 2 * shards).select((F.col("shard") - 2 * shards).alias("shard"), "answer", "mass"), groups, fan)
+    n = v = 0
+    mass = np.zeros(CLASSES, np.int64)
+    for r in answered.where((F.col("chunk") == -1) & (F.col("shard") < shards)).select("n", "v", "mass").toLocalIterator():  # one small row a shard
+        n, v, mass = n + r["n"], v + r["v"], mass + unpack(r["mass"], np.int64)
+    shared = spark.sparkContext.broadcast(tables)  # fixed size
+    given = answered.where("chunk >= 0").select("chunk", "shard", "answer")
+
+    learnt = texts.cogroup(given.where(F.col("chunk") < chunks).groupBy("chunk")).applyInArrow(
+        lambda d, a: _learn(_training(d, chunks), a, shared.value, shards, bits), "vector binary"
     )
-    bits = F.when(F.col("n_bytes") > 0, -F.col("score") / F.lit(float(np.log10(2))) / F.col("n_bytes"))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals["n"]).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
+    vector = np.zeros(Mixer.LENGTH, np.int64)
+    for r in learnt.toLocalIterator():  # one small row a chunk; integers, so their order is free
+        vector += unpack(r["vector"], np.int64)
+    model = spark.sparkContext.broadcast((Mixer.of(vector), tables, mass, n, v))  # fixed size
+
+    scored = texts.cogroup(given.groupBy("chunk")).applyInArrow(lambda d, a: _score(d, a, model.value, chunks, shards, bits), SCORE_SCHEMA)
+    per_byte = F.when(F.col("n_bytes") > 0, -F.col("score") / F.lit(math.log10(2)) / F.col("n_bytes"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", per_byte.alias("bits_per_byte"))
+
+
+def _training(docs: pa.Table, chunks: int) -> pa.Table:
+    return docs if docs.num_rows and docs.column("chunk")[0].as_py() < chunks else docs.slice(0, 0)
