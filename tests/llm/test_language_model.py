@@ -70,12 +70,13 @@ class Fitted:
         leaves, self.counts = np.zeros(2 * language_model.CLASSES**2, np.float32), Counter()
         for r in answers.to_pylist():
             if r["chunk"] < 0 and r["shard"] >= 2:
-                leaves[unpack_sorted(r["answer"], np.uint64).astype(int) + ((r["shard"] - 2) // language_model._PARTS) * language_model.CLASSES**2] = unpack(r["mass"], np.int64)
+                leaves[unpack_sorted(r["answer"], np.uint64).astype(int) + ((r["shard"] - 2) // language_model._PARTS) * language_model.CLASSES**2] = unpack(r["sums"], np.int64)
             elif r["chunk"] < 0:
-                self.n, self.v, self.mass = r["n"], r["v"], unpack(r["mass"], np.int64)
+                *self.mass, self.n, self.v = unpack(r["sums"], np.int64).tolist()
+                self.mass = np.array(self.mass)
         self.tables = language_model.Tables(leaves.reshape(2, language_model.CLASSES, -1))
         own = answers.filter(pa.array(answers["chunk"].to_numpy() == 0))
-        self.vector = unpack(language_model._learn(docs, own, self.tables, 1, self.bits)["vector"][0].as_py(), np.int64)
+        self.vector = unpack(language_model._learn(docs, own, self.tables, 1, self.bits)["sums"][0].as_py(), np.int64)
         self.mixer = language_model.Mixer.of(self.vector)
 
     def score(self, texts, training=False):

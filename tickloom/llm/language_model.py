@@ -62,7 +62,7 @@ _UNITS = 1 << 10
 _END = 1 << 17
 _LOW = np.uint64(CLASSES - 1)
 ASK_SCHEMA = "shard int, chunk long, training boolean, keys binary, counts binary"
-ANSWER_SCHEMA = "chunk long, shard int, answer binary, n long, v long, mass binary"
+ANSWER_SCHEMA = "chunk long, shard int, answer binary, sums binary"
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double"
 
 
@@ -461,25 +461,26 @@ def _ask(docs: pa.Table, chunks: int, shards: int, bits: int, fan: int = FAN) ->
 
 def _answer(asked: pa.Table, shards: int, bits: int) -> pa.Table:
     """One shard: counts over the corpus, and each chunk's answers: counts of its tokens, states of
-    its keys. A group of class tables is only added up."""
+    its keys; with those of tokens, sums: training tokens and vocabulary of each class, then how
+    many tokens and how many different ones. A group of class tables is only added up."""
     shard = asked.column("shard")[0].as_py()
     chunks, training = asked.column("chunk").to_pylist(), asked.column("training").to_pylist()
     keys = [unpack_sorted(x, np.uint64) for x in asked.column("keys").to_pylist()]
     known, counts = merge([k for k, t in zip(keys, training) if t], [unpack(x, np.uint32) for x, t in zip(asked.column("counts").to_pylist(), training) if t])
     if shard >= 2 * shards:
-        return table([[-1, shard, pack_sorted(known), 0, 0, pack(counts)]], ANSWER_SCHEMA)
+        return table([[-1, shard, pack_sorted(known), pack(counts)]], ANSWER_SCHEMA)
     out = []
     if shard >= shards:
         followers = Followers(known, counts, bits)
         for chunk, asked_keys, t in zip(chunks, keys, training):
-            out.append([chunk, shard, pack(followers.answer(asked_keys, t)), 0, 0, None])
+            out.append([chunk, shard, pack(followers.answer(asked_keys, t)), None])
         return table(out, ANSWER_SCHEMA)
     mass = np.bincount((known & _LOW).astype(np.int64), counts + 1.0, CLASSES).astype(np.int64)
-    out.append([-1, shard, None, int(counts.sum()), len(known), pack(mass)])
+    out.append([-1, shard, None, pack(np.append(mass, [int(counts.sum()), len(known)]))])
     known, counts = np.append(known, np.uint64(0)), np.append(counts, 0)
     for chunk, asked_keys in zip(chunks, keys):
         at = np.searchsorted(known[:-1], asked_keys)
-        out.append([chunk, shard, pack(np.where((known[at] == asked_keys) & (at < len(known) - 1), counts[at], 0)), 0, 0, None])
+        out.append([chunk, shard, pack(np.where((known[at] == asked_keys) & (at < len(known) - 1), counts[at], 0)), None])
     return table(out, ANSWER_SCHEMA)
 
 
@@ -496,11 +497,11 @@ def _answered(tokens: Tokens, answers: pa.Table, shards: int, bits: int) -> tupl
 
 def _learn(docs: pa.Table, answers: pa.Table, tables: Tables, shards: int, bits: int) -> pa.Table:
     """One chunk of training texts: its learnt vector, packed."""
-    mixer = Mixer()
-    if docs.num_rows:
-        tokens = Tokens(_in_order(docs).column("text").to_pylist())
-        learn(mixer, Decisions(tokens, _answered(tokens, answers, shards, bits)[1], tables, True))
-    return table([[pack(mixer.vector())]] if mixer.learnt else [], "vector binary")
+    if not docs.num_rows:
+        return table([], "at long, sums binary")
+    mixer, tokens = Mixer(), Tokens(_in_order(docs).column("text").to_pylist())
+    learn(mixer, Decisions(tokens, _answered(tokens, answers, shards, bits)[1], tables, True))
+    return table([[docs.column("chunk")[0].as_py(), pack(mixer.vector())]], "at long, sums binary")
 
 
 def _score(docs: pa.Table, answers: pa.Table, model: tuple, chunks: int, shards: int, bits: int) -> pa.Table:
@@ -521,27 +522,36 @@ def _score(docs: pa.Table, answers: pa.Table, model: tuple, chunks: int, shards:
     return table(list(zip(docs.column("doc_id").to_pylist(), [held] * len(texts), tokens.sizes.tolist(), sums[0], sizes, sums[1], sums[2])), SCORE_SCHEMA)
 
 
-def _adder(groups: int):
-    def add(rows: pa.Table) -> pa.Table:
-        keys, counts = merge([unpack_sorted(x, np.uint64) for x in rows.column("answer").to_pylist()], [unpack(x, np.int64) for x in rows.column("mass").to_pylist()])
-        return table([[rows.column("part")[0].as_py() * groups + rows.column("at")[0].as_py(), pack_sorted(keys), pack(counts)]], "shard int, answer binary, mass binary")
-
-    return add
-
-
 def _class_tables(rows: DataFrame, groups: int, fan: int) -> Tables:
     """Class tables from their parts (shard: part * groups + group), `fan` groups at a time."""
+
+    def add(cells: pa.Table) -> pa.Table:
+        keys, counts = merge([unpack_sorted(x, np.uint64) for x in cells.column("answer").to_pylist()], [unpack(x, np.int64) for x in cells.column("sums").to_pylist()])
+        return table([[cells.column("part")[0].as_py(), cells.column("at")[0].as_py(), pack_sorted(keys), pack(counts)]], "part int, at int, answer binary, sums binary")
+
+    rows = rows.select(F.expr(f"shard div {groups}").cast("int").alias("part"), (F.col("shard") % groups).alias("at"), "answer", "sums")
     while groups > 1:
-        now, groups = groups, 1 + (groups - 1) // fan
-        keyed = rows.withColumn("part", F.expr(f"shard div {now}").cast("int")).withColumn("at", F.expr(f"(shard % {now}) div {fan}").cast("int"))
-        rows = keyed.groupBy("part", "at").applyInArrow(_adder(groups), "shard int, answer binary, mass binary")
+        groups = 1 + (groups - 1) // fan
+        rows = rows.withColumn("at", F.expr(f"at div {fan}").cast("int")).groupBy("part", "at").applyInArrow(add, "part int, at int, answer binary, sums binary")
     leaves = np.zeros(2 * CLASSES * CLASSES, np.float32)
-    for r in rows.select("shard", "answer", "mass").collect():  # 2 * _PARTS rows of a fixed size
-        keys = unpack_sorted(r["answer"], np.uint64).astype(np.int64) + (r["shard"] // _PARTS) * CLASSES * CLASSES
-        leaves[keys] = unpack(r["mass"], np.int64)
+    for r in rows.collect():  # 2 * _PARTS rows of a fixed size
+        leaves[unpack_sorted(r["answer"], np.uint64).astype(np.int64) + (r["part"] // _PARTS) * CLASSES * CLASSES] = unpack(r["sums"], np.int64)
     return Tables(leaves.reshape(2, CLASSES, CLASSES))
 
 
+def _total(rows: DataFrame, groups: int, fan: int, length: int) -> np.ndarray:
+    """Sum of vectors (at long, sums binary; at below groups), `fan` at a time; in integers, so that
+    their order is free."""
+
+    def add(part: pa.Table) -> pa.Table:
+        return table([[part.column("at")[0].as_py(), pack(sum(unpack(x, np.int64) for x in part.column("sums").to_pylist()))]], "at long, sums binary")
+
+    while groups > 1:
+        groups = 1 + (groups - 1) // fan
+        rows = rows.withColumn("at", F.expr(f"at div {fan}")).groupBy("at").applyInArrow(add, "at long, sums binary")
+    return sum((unpack(r["sums"], np.int64) for r in rows.select("sums").collect()), np.zeros(length, np.int64))  # one row
+
+
 def language_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, fan: int = FAN) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) per row.
 
@@ -561,21 +571,16 @@ def language_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_bytes
     asked = texts.applyInArrow(lambda g: _ask(g, chunks, shards, bits, fan), ASK_SCHEMA)
     answered = common.stage(asked.groupBy("shard").applyInArrow(lambda g: _answer(g, shards, bits), ANSWER_SCHEMA), "lm-answers")
     groups = 1 + (chunks - 1) // fan
-    tables = _class_tables(answered.where(F.col("shard") >= 2 * shards).select((F.col("shard") - 2 * shards).alias("shard"), "answer", "mass"), groups, fan)
-    n = v = 0
-    mass = np.zeros(CLASSES, np.int64)
-    for r in answered.where((F.col("chunk") == -1) & (F.col("shard") < shards)).select("n", "v", "mass").toLocalIterator():  # one small row a shard
-        n, v, mass = n + r["n"], v + r["v"], mass + unpack(r["mass"], np.int64)
+    tables = _class_tables(answered.where(F.col("shard") >= 2 * shards).select((F.col("shard") - 2 * shards).alias("shard"), "answer", "sums"), groups, fan)
+    *mass, n, v = _total(answered.where((F.col("chunk") == -1) & (F.col("shard") < shards)).select(F.col("shard").cast("long").alias("at"), "sums"), shards, fan, CLASSES + 2).tolist()
     shared = spark.sparkContext.broadcast(tables)  # fixed size
     given = answered.where("chunk >= 0").select("chunk", "shard", "answer")
 
     learnt = texts.cogroup(given.where(F.col("chunk") < chunks).groupBy("chunk")).applyInArrow(
-        lambda d, a: _learn(_training(d, chunks), a, shared.value, shards, bits), "vector binary"
+        lambda d, a: _learn(_training(d, chunks), a, shared.value, shards, bits), "at long, sums binary"
     )
-    vector = np.zeros(Mixer.LENGTH, np.int64)
-    for r in learnt.toLocalIterator():  # one small row a chunk; integers, so their order is free
-        vector += unpack(r["vector"], np.int64)
-    model = spark.sparkContext.broadcast((Mixer.of(vector), tables, mass, n, v))  # fixed size
+    mixer = Mixer.of(_total(learnt, chunks, fan, Mixer.LENGTH))
+    model = spark.sparkContext.broadcast((mixer, tables, np.array(mass, np.int64), n, v))  # fixed size
 
     scored = texts.cogroup(given.groupBy("chunk")).applyInArrow(lambda d, a: _score(d, a, model.value, chunks, shards, bits), SCORE_SCHEMA)
     per_byte = F.when(F.col("n_bytes") > 0, -F.col("score") / F.lit(math.log10(2)) / F.col("n_bytes"))
