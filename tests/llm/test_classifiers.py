@@ -60,6 +60,14 @@ def test_odd_rows(spark, labels):
             assert not any(r["toxic"] for r in got)
 
 
+def test_clashing_columns(spark):
+    marks = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    docs = odd(spark).selectExpr("*", "1 AS __text", "2 AS __n_chars", "3 AS FM_TEXT", "4 AS fm_score", "5 AS fm_chars")
+    got = quality.quality_scores(docs, marks)
+    assert got.columns == ["doc_id", "text", "n_chars", "score", "__text", "__n_chars", "FM_TEXT", "fm_chars", "fm_score", "fm_held_out", "fm_predicted"]
+    assert all((r["__text"], r["FM_TEXT"], r["fm_chars"]) == (1, 3, 5) and 0 <= r["fm_score"] <= 1 for r in got.collect())
+
+
 def test_statistics_bins_stay_in_range():
     words = features.WordSlots(100)
     for text in (None, "", "A" * 100_000, "\n" * 5000, "1 " * 70_000, "é%!|\n"):

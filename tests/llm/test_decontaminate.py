@@ -72,3 +72,11 @@ def test_query_finds_the_planted_passages(spark):
     exact = {(d, i) for d, t in texts.items() for i, item in items if item and item in t}
     got = {(r["doc_id"], i) for r in queries.op8_decontaminate(spark, sf).collect() for i in r["items"]}
     assert exact and exact <= got
+
+
+def test_clashing_columns_and_blocks(spark):
+    docs = spark.createDataFrame([(1, "x the first item here y", 7, 8, 9), (2, "and the second item there", 7, 8, 9), (3, None, 7, 8, 9)], "doc_id long, text string, __text int, bm_items int, BM_Text int")
+    items = spark.createDataFrame([(5, "the first item here"), (6, "the second item there")], "item_id long, text string")
+    for block_bytes in (1 << 20, 15):
+        rows = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, items, block_bytes=block_bytes).collect()}
+        assert [rows[i]["bm_items"] for i in (1, 2, 3)] == [[5], [6], []] and all((r["__text"], r["BM_Text"]) == (7, 9) for r in rows.values())

@@ -119,3 +119,10 @@ def test_bound_of_the_sketches():
                 x, y = pairs_at(np.random.default_rng(dim), dim, 3000, cosine) if dim > 1 else [np.ones((9, 1))] * 2
                 apart = np.bitwise_count((embedding_dedup.sketches(x) ^ embedding_dedup.sketches(y)).view(np.uint64)).sum(axis=1)
                 assert (apart <= embedding_dedup.most_apart(cosine)).mean() > 0.999
+
+
+def test_unlike_vectors_of_one_id(spark):
+    """Links are of vectors; an id's vectors share a component."""
+    rows = [(1, [1.0, 0.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0, 0.0]), (1, [1.0, 0.0, 0.0, 0.0]), (5, [0.0, 0.0, 1.0, 0.0])]
+    got = sorted(tuple(r) for r in embedding_dedup.embedding_duplicates(frame(spark, rows)).collect())
+    assert got == [(1, 0, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (5, 0, 5, True)]

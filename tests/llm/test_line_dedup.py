@@ -55,3 +55,9 @@ def test_pages(spark):
     assert len(got) == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
     row = spark.createDataFrame([("HTTP://u@Ex.Org:80/a", "<p>a <b>b</b></p><script>x<p></script><div>c</div>")], "u string, h string")
     assert tuple(row.select(line_dedup.page_host(F.col("u")), line_dedup.page_lines(F.col("h"))).first()) == ("ex.org", "a b\nc")
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "menu\nown %d" % i, "h", 1, 2, 3) for i in range(8)], "doc_id long, text string, host string, ld_key int, LD_K int, ld_lines int")
+    got = line_dedup.line_dedup(docs, F.col("host")).collect()
+    assert all((r["text"], r["ld_key"], r["LD_K"], r["ld_lines"], r["ld_removed"]) == ("own %d" % r["doc_id"], 1, 2, 2, 1) for r in got) and len(got) == 8

@@ -47,3 +47,11 @@ def test_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = common.stage(stage(spark, docs, SF), "stage")
         docs.collect()
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, "en", "s", 9), (2, "one text of the id " * 3, "en", "s", 1), (2, "quite another text of this same id", "en", "s", 2), (2, "quite another text of this same id", "de", "s", 2), (2, long + " end", "en", "s", 3), (7, None, "en", "s", 0), (None, long, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = sorted(((r["doc_id"], r["text"], r["lang"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(1, long, "en"), (2, rows[1][1], "en"), (2, rows[2][1], "de"), (7, None, "en"), (None, long, "en")], key=str)

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tickloom.llm import packing, token_store, tokens
+from tickloom.llm import common, packing, token_store, tokens
 
 VOCABULARY = tokens.default_vocabulary()
 TEXT = st.text(alphabet=st.one_of(st.sampled_from(list("abc XYZ.,'s1 \n\t  　é|<>")), st.characters(codec="utf-8")), max_size=60)
@@ -32,7 +32,7 @@ def test_corpus_ids_equal_the_library(spark, sf_dir):
         assert tokens.encoder(VOCABULARY).ids(r["text"]).tolist() == direct(r["text"])
 
 
-ROWS = [(5, "b c"), (1, None), (3, ""), (2, "word " * 3000), (3, "again"), (9, "same text"), (8, "same text"), (None, "no id"), (7, "x  y\n\nz ")]
+ROWS = [(5, "b c"), (-1, "minus"), (1, None), (3, ""), (2, "word " * 3000), (3, "again"), (9, "same text"), (8, "same text"), (None, "no id"), (7, "x  y\n\nz ")]
 
 
 def frame(spark, rows):
@@ -41,24 +41,36 @@ def frame(spark, rows):
 
 def test_store_round_trip(spark):
     got = token_store.token_store(frame(spark, ROWS), VOCABULARY, 2).collect()
-    ids = [(-1 if a is None else a, [*direct(b), 2]) for a, b in ROWS]
-    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((a, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for a, x in ids)
+    ids = [(a, [*direct(b), 2]) for a, b in ROWS]
+    assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got), key=str) == sorted(((a, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for a, x in ids), key=str)
     at = 0
     for r in sorted(got, key=lambda r: r["start"]):
         assert r["start"] == at
         at += r["n_tokens"]
-    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == sorted(a for a, _ in ids)
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [None, *sorted(a for a, _ in ids if a is not None)]
 
 
 def test_store_of_nothing(spark):
     assert token_store.token_store(frame(spark, []), VOCABULARY, 2).count() == 0
 
 
+def test_store_opens_in_a_new_session(spark, tmp_path):
+    rows = [(i * 3, f"text {i} " * (i % 50)) for i in range(400)] + [(None, "no id")]
+    path = f"file://{tmp_path}/store"
+    token_store.write_store(frame(spark, rows), VOCABULARY, 2, path)
+    other = spark.newSession()
+    shards, dictionary = token_store.open_store(other, path)
+    assert token_store.read_shards(shards, dictionary).count() == 401
+    got = {r["doc_id"]: r["ids"] for r in token_store.look_up(other, path, [3, 600, 601, 1197]).collect()}
+    assert got == {i: [*direct(dict(rows)[i]), 2] for i in (3, 600, 1197)}
+    assert shards.count() > 1 and shards.where("first_id <= 3 AND last_id >= 3").count() == 1
+
+
 def test_short_document_access():
     arrays = [np.arange(k, dtype="<u2").tobytes() for k in (0, 3, 9)]
     dictionary = b"some raw dictionary content"
-    reader = token_store.ShardReader(token_store.pack_shard([1, 4, 6], arrays, 2, dictionary), dictionary)
-    assert reader.find(4).tolist() == [0, 1, 2] and reader.find(5) is None and reader.find(1).tolist() == []
+    reader = token_store.ShardReader(token_store.pack_shard([None, 4, 6], arrays, 2, dictionary), dictionary)
+    assert reader.find(4).tolist() == [0, 1, 2] and reader.find(5) is None and reader.find(0) is None and reader.ids(0).tolist() == []
     with pytest.raises(ValueError):
         token_store.ShardReader(token_store.pack_shard([1], arrays[:1], 2, dictionary), b"another")
 
@@ -111,3 +123,9 @@ def test_hilbert_key_walks_to_neighbours():
     assert sorted(keys.tolist()) == list(range(len(grid)))
     walk = grid[np.argsort(keys)]
     assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_partitions_grow_with_the_text(spark):
+    docs = frame(spark, [(i, "x" * 1000) for i in range(20)])
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert common.partitions_for(docs) == few and common.partitions_for(docs, task_bytes=1000) == 21

@@ -13,6 +13,10 @@ from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch that are turned into Python objects at a time.
 SLICE_ROWS = 1024
+#: Text bytes of one task where a job sorts or packs whole texts.
+TASK_BYTES = 64 << 20
+#: Folders of local runs without a shared folder, by application.
+_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (local runs), one of our own."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a local run (one machine) has a
+    temporary folder of its own; on a cluster it is an error, as executors share no such folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tickloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tickloom-")
+    return _OWN[context.applicationId]
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -39,11 +48,29 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return staged
 
 
-def unstage(staged: DataFrame) -> None:
-    """Remove a staged table that no later plan reads."""
-    spark = staged.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(staged.staged_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def unstage(*tables: DataFrame) -> None:
+    """Remove staged tables that no later plan reads."""
+    for staged in tables:
+        spark = staged.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(staged.staged_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def partitions_for(docs: DataFrame, text_col: str = "text", task_bytes: int = TASK_BYTES) -> int:
+    """Partitions for a sort of whole texts: the session's number, or more so that a task holds
+    about task_bytes."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + text_bytes(docs, text_col) // task_bytes)
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with marks in front until no column of docs has it (case aside)."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

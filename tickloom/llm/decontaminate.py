@@ -119,10 +119,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, blo
     Letters are compared without case, white space runs as one space. Defined results: an empty
     table gives no rows; null and empty texts match nothing; items without text or id are left out;
     equal items are all reported; items shorter than 1 / rate match exactly; repeated rows are
-    matched each; other columns pass through."""
+    matched each; other columns pass through, and columns named like the two are replaced."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     blocks = 1 + common.text_bytes(items) // block_bytes
-    out = docs.withColumn("bm_items", F.array().cast("array<bigint>")).withColumn("bm_distances", F.array().cast("array<int>"))
+    out = docs.drop("bm_items", "bm_distances").withColumn("bm_items", F.array().cast("array<bigint>")).withColumn("bm_distances", F.array().cast("array<int>"))
     names, schema = out.columns, out.schema
     for name, kind in (("bm_items", ArrayType(LongType())), ("bm_distances", ArrayType(IntegerType()))):
         schema[name].dataType, schema[name].nullable = kind, True
@@ -143,5 +143,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, blo
                 columns[at], columns[at + 1] = pa.array(ids, pa.list_(pa.int64())), pa.array(distances, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-        out = out.select("*", F.col("text").alias("__text")).mapInArrow(run, schema)
+        if block:  # one block's automaton in the workers at a time
+            out = common.stage(out, "blocks")
+        out = out.select("*", F.col("text").alias(common.unused(out, "bm_text")[0])).mapInArrow(run, schema)
     return out

@@ -87,6 +87,11 @@ def plane_keys(unit: np.ndarray, width: int, tables: int, seed: int = 7) -> np.n
     return np.packbits(bits, axis=2, bitorder="little").view("<i4")[:, :, 0]
 
 
+def _class() -> Column:
+    """A class of equal vectors, by both hashes of its vector."""
+    return F.xxhash64("s1", "s2")
+
+
 def _substring(code: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1))
 
@@ -108,13 +113,13 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.9, sample_rows: i
     usable = marked.where("good")
     classes = common.stage(usable.groupBy("s1", "s2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members")), "classes")
     keyed = classes.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "rep", "members")
-    member = common.stage(usable.join(keyed, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2"))).select("vec_id", "e", "s1", "rep", "members"), "members")
-    reps = common.stage(member.where("vec_id = rep").dropDuplicates(["rep", "s1"]).select("rep", "members", "e", F.size("e").alias("dim")), "representatives")
+    member = common.stage(usable.join(keyed, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2"))).select("vec_id", "e", "s1", "s2", "rep", "members"), "members")
+    reps = common.stage(member.where("vec_id = rep").dropDuplicates(["s1", "s2"]).select(_class().alias("cls"), "rep", "members", "e", F.size("e").alias("dim")), "representatives")
 
     links = None
     for dim, n in sorted((r["dim"], r["count"]) for r in reps.groupBy("dim").count().collect()):  # few lengths
         some = reps.where(F.col("dim") == dim)
-        lot = F.pmod(F.xxhash64("rep"), F.lit(1 << 40))
+        lot = F.pmod(F.xxhash64("cls"), F.lit(1 << 40))
         rows = some.where(lot < int((1 << 40) * min(1.0, sample_rows / n))).select("e").limit(2 * sample_rows).collect()
         sample = np.array([r["e"] for r in rows], np.float64).reshape(-1, dim)
         sample /= np.linalg.norm(sample / np.abs(sample).max(axis=1, keepdims=True), axis=1, keepdims=True) * np.abs(sample).max(axis=1, keepdims=True) if len(sample) else 1
@@ -129,11 +134,11 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.9, sample_rows: i
         links = common.stage(links, "links")
         repeats = member.where("vec_id > rep").select(F.col("rep").alias("a"), F.col("vec_id").alias("b"))
         again = marked.groupBy("vec_id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("vec_id").alias("b"))
-        component = connected_components(links.select("a", "b").unionAll(repeats.join(again, "b", "left_semi").select("a", "b")))
-        ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("mb").alias("m")), F.struct(F.col("b").alias("rep"), F.col("ma").alias("m")))).alias("x")).select("x.*")
-        counts = common.stage(ends.groupBy("rep").agg(F.sum("m").alias("others")), "counts")
+        component = connected_components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionAll(repeats.join(again, "b", "left_semi").select("a", "b")))
+        ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("mb").alias("m")), F.struct(F.col("b").alias("cls"), F.col("ma").alias("m")))).alias("x")).select("x.*")
+        counts = common.stage(ends.groupBy("cls").agg(F.sum("m").alias("others")), "counts")
         out = (
-            member.join(counts, "rep", "left")
+            member.withColumn("cls", _class()).join(counts, "cls", "left")
             .join(component.select(F.col("node").alias("rep"), "component"), "rep", "left")
             .select("vec_id", (F.coalesce("others", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
             .unionAll(alone)
@@ -142,7 +147,7 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.9, sample_rows: i
 
 
 def _links(reps: DataFrame, models: list, bits: int, width: int, cosine: float) -> DataFrame:
-    """(a, b, ma, mb): linked representatives a < b with their class sizes."""
+    """(a, b, ra, rb, ma, mb): linked classes, their representatives and sizes."""
     held = reps.sparkSession.sparkContext.broadcast(models)  # dimensions squared
     # a plane table costs a row a vector, so it is worth somewhat fuller buckets
     wide = max(16, width - 4)
@@ -155,16 +160,16 @@ def _links(reps: DataFrame, models: list, bits: int, width: int, cosine: float)
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
             found, sketch, sides = codes(unit, held.value), sketches(unit), plane_keys(unit, wide, planes)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * planes), pa.array(sides.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), *[pa.array(c) for c in (*found.T, *sketch.T)], lists], names=["rep", "q0", "q1", "s0", "s1", "sides"])
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), *[pa.array(c) for c in (*found.T, *sketch.T)], lists], names=["cls", "q0", "q1", "s0", "s1", "sides"])
 
-    coded = common.stage(reps.select("rep", "e").mapInArrow(encode, "rep long, q0 long, q1 long, s0 long, s1 long, sides array<int>"), "codes")
+    coded = common.stage(reps.select("cls", "e").mapInArrow(encode, "cls long, q0 long, q1 long, s0 long, s1 long, sides array<int>"), "codes")
     width = min(width, bits)
     tables = [(k, shift) for k in range(ROTATIONS) for shift in range(0, bits - width + 1, width)]
     keys = F.array(*[_substring(F.col(f"q{k}"), shift, width) for k, shift in tables])
-    stored = coded.select("rep", "q0", "q1", "s0", "s1", F.posexplode(F.concat(keys, F.col("sides").cast("array<long>"))).alias("t", "key"))
+    stored = coded.select("cls", "q0", "q1", "s0", "s1", F.posexplode(F.concat(keys, F.col("sides").cast("array<long>"))).alias("t", "key"))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
     asked = F.when(F.col("t") < len(tables), F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).otherwise(F.array("key"))
-    probes = stored.select("rep", "q0", "q1", "s0", "s1", "t", F.explode(asked).alias("key"))
+    probes = stored.select("cls", "q0", "q1", "s0", "s1", "t", F.explode(asked).alias("key"))
 
     def differing(name: str) -> Column:
         return F.col(f"x.{name}").bitwiseXOR(F.col(f"y.{name}"))
@@ -173,20 +178,20 @@ def _links(reps: DataFrame, models: list, bits: int, width: int, cosine: float)
     for t, (k, shift) in reversed(list(enumerate(tables))):
         first = F.when(F.bit_count(_substring(differing(f"q{k}"), shift, width)) <= 1, t).otherwise(first)
     near = F.bit_count(differing("s0")) + F.bit_count(differing("s1")) <= most_apart(cosine)
-    met = probes.alias("x").join(stored.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & near & (first == F.least("x.t", F.lit(len(tables)))))
-    pairs = common.stage(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "met")
+    met = probes.alias("x").join(stored.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & near & (first == F.least("x.t", F.lit(len(tables)))))
+    pairs = common.stage(met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), "met")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             x, y = _matrix(batch.column("ea")), _matrix(batch.column("eb"))
             x, y = x / np.abs(x).max(axis=1, keepdims=True), y / np.abs(y).max(axis=1, keepdims=True)
             dot = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
-            yield pa.RecordBatch.from_arrays(list(batch.columns[:4]), names=["a", "b", "ma", "mb"]).filter(pa.array(dot >= cosine))
+            yield pa.RecordBatch.from_arrays(list(batch.columns[:6]), names=["a", "b", "ra", "rb", "ma", "mb"]).filter(pa.array(dot >= cosine))
 
-    one = reps.select(F.col("rep").alias("a"), F.col("members").alias("ma"), F.col("e").alias("ea"))
-    two = reps.select(F.col("rep").alias("b"), F.col("members").alias("mb"), F.col("e").alias("eb"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "ma", "mb", "ea", "eb")
-    return both.mapInArrow(confirm, "a long, b long, ma long, mb long")
+    one = reps.select(F.col("cls").alias("a"), F.col("rep").alias("ra"), F.col("members").alias("ma"), F.col("e").alias("ea"))
+    two = reps.select(F.col("cls").alias("b"), F.col("rep").alias("rb"), F.col("members").alias("mb"), F.col("e").alias("eb"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "ra", "rb", "ma", "mb", "ea", "eb")
+    return both.mapInArrow(confirm, "a long, b long, ra long, rb long, ma long, mb long")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -58,7 +58,7 @@ def features(text: str | None, n_chars: int | None, words: WordSlots) -> tuple[n
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, max_rows: int) -> DataFrame:
-    """(doc_id, text, n_chars, y) of about max_rows labelled documents (twice as many at most) that
+    """(doc_id, text, n_chars, y) of about max_rows labelled ids (twice as many at most) that
     are not held out, chosen by a hash of their id. A document labelled twice takes its mean label,
     halves up; rows without a label or an id are left out."""
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (common.id_bucket(F.col("doc_id"), folds) != 0))
@@ -68,11 +68,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     few = rows.where(lot < int((1 << 40) * min(1.0, max_rows / max(1, rows.count())))).limit(2 * max_rows)
     n_chars = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", n_chars.alias("n_chars"))
-    return texts.join(F.broadcast(few), "doc_id").limit(4 * max_rows)  # few has 2 * max_rows rows at most
+    return texts.join(F.broadcast(few), "doc_id")  # few has 2 * max_rows rows at most
 
 
-def sample_features(sample: DataFrame, slots: int) -> tuple[list, np.ndarray]:
-    """Features and labels of the bounded sample, gathered on the driver in doc_id order."""
+def sample_features(sample: DataFrame, slots: int, max_rows: int) -> tuple[list, np.ndarray]:
+    """Features and labels of the sample, max_rows texts at most, gathered on the driver in doc_id
+    order. Only features travel, never the texts."""
 
     def extract(batches):
         words = WordSlots(slots)
@@ -81,7 +82,7 @@ def sample_features(sample: DataFrame, slots: int) -> tuple[list, np.ndarray]:
             arrays = [pa.array([f[k].astype(np.int32) for f in found], pa.list_(pa.int32())) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *arrays], names=["doc_id", "y", "slots", "counts", "bins"])
 
-    got = sample.mapInArrow(extract, "doc_id long, y int, slots array<int>, counts array<int>, bins array<int>").toArrow()
+    got = sample.mapInArrow(extract, "doc_id long, y int, slots array<int>, counts array<int>, bins array<int>").limit(max_rows).toArrow()
     got = got.sort_by("doc_id").combine_chunks()
     rows = [tuple(np.asarray(got.column(c)[i].values) for c in ("slots", "counts", "bins")) for i in range(got.num_rows)]
     return rows, got.column("y").to_numpy().astype(np.float64)

@@ -38,15 +38,16 @@ def line_dedup(docs: DataFrame, host: Column, ratio: float = RATIO, min_pages: i
     Lines end at "\\n" and are compared whole (by 64-bit hash); blank lines are kept. Defined
     results: an empty table gives no rows; a null text stays null with 0 lines; an empty text is
     one blank line; pages without a host form one group; repeated rows count as pages each; columns
-    that are named like ours are untouched, as ours carry the prefix ld_."""
-    found = common.stage(boilerplate(docs, host, ratio, min_pages, text_col).select(F.col("k").alias("ld_k"), F.col("drop").alias("ld_drop")), "boilerplate")
-    joined = docs.withColumn("ld_key", _key(host)).join(found, F.col("ld_key") == F.col("ld_k"), "left")
+    of other names are untouched, those named like the two are replaced."""
+    key, k, drop, rest = common.unused(docs, "ld_key", "ld_k", "ld_drop", "ld_kept")
+    found = common.stage(boilerplate(docs, host, ratio, min_pages, text_col).select(F.col("k").alias(k), F.col("drop").alias(drop)), "boilerplate")
+    joined = docs.withColumn(key, _key(host)).join(found, F.col(key) == F.col(k), "left")
     lines = F.split(text_col, "\n", -1)
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("ld_drop"), F.xxhash64(x)))
-    out = joined.withColumn("ld_kept", F.when(F.col("ld_drop").isNull(), lines).otherwise(kept))
+    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(drop), F.xxhash64(x)))
+    out = joined.withColumn(rest, F.when(F.col(drop).isNull(), lines).otherwise(kept))
     out = out.withColumn("ld_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("ld_lines", F.greatest("ld_lines", F.lit(0)))
-    out = out.withColumn("ld_removed", F.col("ld_lines") - F.greatest(F.coalesce(F.size("ld_kept"), F.lit(0)), F.lit(0)))
-    return out.withColumn(text_col, F.array_join("ld_kept", "\n")).drop("ld_key", "ld_k", "ld_drop", "ld_kept")
+    out = out.withColumn("ld_removed", F.col("ld_lines") - F.greatest(F.coalesce(F.size(rest), F.lit(0)), F.lit(0)))
+    return out.withColumn(text_col, F.array_join(rest, "\n")).drop(key, k, drop, rest)
 
 
 def page_host(url: Column) -> Column:

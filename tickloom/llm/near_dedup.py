@@ -160,17 +160,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, bands: in
     labels = common.stage(label.join(further, "label", "left").select("rep", F.coalesce("further", "label").alias("label")), "cluster")
     tagged = in_bands.join(hubs.select("band", "key"), ["band", "key"], "left_semi").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     tagged = common.stage(tagged, "tagged")
+    common.unstage(in_bands, hubs, labels)
     mixed = tagged.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    apart = common.stage(tagged.join(common.stage(mixed, "mixed").select("band", "key"), ["band", "key"], "left_semi"), "apart")
+    mixed = common.stage(mixed, "mixed")
+    apart = common.stage(tagged.join(mixed.select("band", "key"), ["band", "key"], "left_semi"), "apart")
+    common.unstage(tagged, mixed)
     # A shingle that only one of these documents has is in no intersection: what is left of a
     # document bounds its similarity to any other, and most edited copies link with none of them.
     those = common.stage(apart.select(F.col("rep").alias("doc_id")).distinct(), "those")
     once = sets.join(those, "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("doc_id").alias("rep")).where("k = 1")
     own = common.stage(once.groupBy("rep").agg(F.count("*").alias("own")), "own")
-    apart = common.stage(apart.join(own, "rep", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("common") * 100 >= F.col("n") * percent), "apart")
+    in_mixed, apart = apart, common.stage(apart.join(own, "rep", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("common") * 100 >= F.col("n") * percent), "apart")
+    common.unstage(in_mixed, those, own)
     most = F.least("x.common", "y.common")
     planes = sketched.select(F.col("doc_id").alias("rep"), "n_shingles", "b1", "b2", "planes", "parity", "bands").dropDuplicates(["rep", "n_shingles", "b1", "b2"])
-    apart = common.stage(apart.withColumnRenamed("n", "n_shingles").join(planes, ["rep", "n_shingles", "b1", "b2"]).withColumnRenamed("n_shingles", "n"), "apart")
+    bare, apart = apart, common.stage(apart.withColumnRenamed("n", "n_shingles").join(planes, ["rep", "n_shingles", "b1", "b2"]).withColumnRenamed("n_shingles", "n"), "apart")
+
+    common.unstage(bare)
 
     def unlike(half: int):
         seen = F.col(f"x.b{half + 1}").bitwiseXOR(F.col(f"y.b{half + 1}"))
@@ -188,12 +194,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, bands: in
     cross = apart.alias("x").join(apart.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & fits & few & close & (first == F.col("x.band")))
     # A pair is made in the first band it shares: what parts it there would part it in any other.
     pairs = cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    found = near.unionAll(confirmed(common.stage(pairs, "pairs")))
+    pairs = common.stage(pairs, "pairs")
+    links = common.stage(near.unionAll(confirmed(pairs)), "links")
+    common.unstage(apart, stars, near, pairs, sets)
     # A doc_id with several texts belongs to several classes: these links join them.
     several = of_class.where("doc_id > rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     again = linkable.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
     repeats = several.join(again.select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")
-    found = connected_components(found.unionAll(repeats))
+    found = connected_components(links.unionAll(repeats))
 
     classed = common.stage(of_class.select("doc_id", "n_shingles", "rep"), "classed")
     linked = classed.join(found.select(F.col("node").alias("rep"), F.col("component").alias("of_rep")), "rep", "left").select("doc_id", "n_shingles", F.coalesce("of_rep", "rep").alias("component_id"))

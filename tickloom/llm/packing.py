@@ -148,7 +148,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, size: int
     end id alone; rows of equal doc_id are separate documents; a null doc_id stays null; other
     columns are ignored."""
     encoded = encode_on_curve(docs, vocabulary, end_id)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = common.partitions_for(docs)
     keys = ["curve", F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("ids")]
     ordered = encoded.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
 

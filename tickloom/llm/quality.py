@@ -72,13 +72,14 @@ class FactorisationMachine:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> FactorisationMachine:
-    rows, y = features.sample_features(features.labelled_sample(docs, labels, "quality", FOLDS, sample_rows), SLOTS)
+    rows, y = features.sample_features(features.labelled_sample(docs, labels, "quality", FOLDS, sample_rows), SLOTS, 4 * sample_rows)
     return FactorisationMachine(SLOTS + len(features.STATS) * features.BINS).fit([inputs(r) for r in rows], y)
 
 
 def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
     """docs with `fm_score`; every other column passes through. No shuffle."""
     held = docs.sparkSession.sparkContext.broadcast((model.w0, model.w, model.v))  # a fixed number of slots
+    docs = docs.drop("fm_score", "fm_held_out", "fm_predicted")
     names = docs.columns
     has_chars = "n_chars" in names
 
@@ -87,15 +88,16 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
         fm.w0, fm.w, fm.v = held.value
         words = features.WordSlots(SLOTS)
         for batch in common.slices(batches, 512):
-            chars = batch.column("__n_chars").to_pylist()
-            found = [inputs(features.features(t, c, words)) for t, c in zip(batch.column("__text").to_pylist(), chars)]
+            chars = batch.column(len(names) + 1).to_pylist()
+            found = [inputs(features.features(t, c, words)) for t, c in zip(batch.column(len(names)).to_pylist(), chars)]
             sizes = np.array([len(f[0]) for f in found])
             z = fm.logits(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), np.cumsum(sizes) - sizes)
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40).astype(np.float64)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(p)], names=[*names, "fm_score"])
 
     n_chars = F.col("n_chars").cast("long") if has_chars else F.lit(None).cast("long")
-    given = docs.select("*", F.col("text").alias("__text"), n_chars.alias("__n_chars"))
+    text_name, chars_name = common.unused(docs, "fm_text", "fm_chars")
+    given = docs.select("*", F.col("text").alias(text_name), n_chars.alias(chars_name))
     schema = docs.schema.add("fm_score", "double")
     return given.mapInArrow(run, schema)
 
@@ -105,6 +107,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Defined results: an empty table gives no rows; null and empty texts are scored by their
     statistics; without labels every score is 0.5; rows of equal doc_id are scored each; columns of
-    any name but the fm_ ones pass through."""
+    other names pass through, those named like the three are replaced."""
     scored = score(docs, train(docs, labels))
     return scored.withColumn("fm_held_out", common.id_bucket(F.col("doc_id"), FOLDS) == 0).withColumn("fm_predicted", (F.col("fm_score") >= THRESHOLD).cast("int"))

@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import common, hashing
+from tickloom.llm.packed import pack, pack_flags, pack_sorted, table, unpack, unpack_flags, unpack_sorted
 
 WINDOW, CHUNK_BYTES, SHARD_BYTES = 20, 4 << 20, 16 << 20
 #: Cells of a shard and row, as a power of two; a shard has under 3 million windows.
@@ -31,33 +31,6 @@ LATER_SCHEMA = "chunk long, shard int, full0 binary, full1 binary, later binary"
 RESULT_SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string"
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """Integers as compressed byte planes."""
-    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 1)
-
-
-def _unpack(raw: bytes, dtype) -> np.ndarray:
-    dtype = np.dtype(dtype)
-    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(dtype.itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(dtype).ravel()
-
-
-def _pack_sorted(a: np.ndarray) -> bytes:
-    return _pack(np.diff(a, prepend=a.dtype.type(0)))
-
-
-def _unpack_sorted(raw: bytes, dtype) -> np.ndarray:
-    return np.cumsum(_unpack(raw, dtype), dtype=dtype)
-
-
-def _bits(flags: np.ndarray) -> bytes:
-    return zstandard.compress(np.packbits(flags).tobytes(), 1)
-
-
-def _flags(raw: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zstandard.decompress(raw), np.uint8), count=n).astype(bool)
-
-
 class _Chunk:
     """The windows of one chunk in corpus order: by doc_id (null first, ties by text), then start."""
 
@@ -99,10 +72,10 @@ def _sketch(group: pa.Table, window: int, shards: int) -> pa.Table:
         line = [s, chunk]
         for cells, twice, bounds in rows:
             a, b = bounds[s], bounds[s + 1]
-            line += [_pack_sorted((cells[a:b] & low).astype(np.uint32)), _bits(twice[a:b])]
+            line += [pack_sorted((cells[a:b] & low).astype(np.uint32)), pack_flags(twice[a:b])]
         if any(bounds[s] < bounds[s + 1] for _, _, bounds in rows):
             out.append(line)
-    return _table(out, SKETCH_SCHEMA)
+    return table(out, SKETCH_SCHEMA)
 
 
 def _add(group: pa.Table) -> pa.Table:
@@ -112,11 +85,11 @@ def _add(group: pa.Table) -> pa.Table:
     for row in (0, 1):
         total = np.zeros(1 << CELL_BITS, np.uint8)
         for raw, twice in zip(columns[f"cells{row}"], columns[f"twice{row}"]):
-            cells = _unpack_sorted(raw, np.uint32)
-            total[cells] = np.minimum(total[cells] + np.uint8(1) + _flags(twice, len(cells)).astype(np.uint8), 2)
+            cells = unpack_sorted(raw, np.uint32)
+            total[cells] = np.minimum(total[cells] + np.uint8(1) + unpack_flags(twice, len(cells)).astype(np.uint8), 2)
         for raw in columns[f"cells{row}"]:
-            full[row].append(_bits(total[_unpack_sorted(raw, np.uint32)] >= 2))
-    return _table(list(zip(columns["chunk"], columns["shard"], full[0], full[1])), FULL_SCHEMA)
+            full[row].append(pack_flags(total[unpack_sorted(raw, np.uint32)] >= 2))
+    return table(list(zip(columns["chunk"], columns["shard"], full[0], full[1])), FULL_SCHEMA)
 
 
 def _estimated(own: _Chunk, answers: dict, shards: int) -> np.ndarray:
@@ -127,7 +100,7 @@ def _estimated(own: _Chunk, answers: dict, shards: int) -> np.ndarray:
         full = np.zeros(len(cells), bool)
         for s, raw in zip(answers["shard"], answers[f"full{row}"]):
             a, b = bounds[s], bounds[s + 1]
-            full[a:b] = _flags(raw, b - a)
+            full[a:b] = unpack_flags(raw, b - a)
         keys = own.cells(row, shards)
         out &= full[np.searchsorted(cells, keys)] if len(cells) else False
     return out
@@ -148,7 +121,7 @@ def _repeated(own: _Chunk, answers: dict, shards: int):
 
 def _candidates(docs: pa.Table, answers: pa.Table, window: int, shards: int) -> pa.Table:
     if not docs.num_rows:
-        return _table([], WINDOW_SCHEMA)
+        return table([], WINDOW_SCHEMA)
     chunk, own, answers = docs.column("chunk")[0].as_py(), _Chunk(docs, window), answers.to_pydict()
     order, first, bounds = _repeated(own, answers, shards)
     firsts = order[first]
@@ -157,8 +130,8 @@ def _candidates(docs: pa.Table, answers: pa.Table, window: int, shards: int) ->
     for s, full0, full1 in zip(answers["shard"], answers["full0"], answers["full1"]):
         mine = firsts[bounds[s] : bounds[s + 1]]
         owners, owner = np.unique(own.doc[mine], return_inverse=True)
-        out.append([s, chunk, full0, full1, len(mine), _pack_sorted(own.high[mine]), own.low[mine].tobytes(), _pack(owner.astype(np.uint32)), _pack_sorted(ids[owners])])
-    return _table(out, WINDOW_SCHEMA)
+        out.append([s, chunk, full0, full1, len(mine), pack_sorted(own.high[mine]), own.low[mine].tobytes(), pack(owner.astype(np.uint32)), pack_sorted(ids[owners])])
+    return table(out, WINDOW_SCHEMA)
 
 
 def _group(group: pa.Table) -> pa.Table:
@@ -166,27 +139,27 @@ def _group(group: pa.Table) -> pa.Table:
     in another chunk (smaller doc_id; rows of equal doc_id in two chunks: smaller chunk)."""
     c = group.to_pydict()
     sizes = np.array(c["n"], np.int64)
-    high = np.concatenate([_unpack_sorted(x, np.uint64) for x in c["high"]])
+    high = np.concatenate([unpack_sorted(x, np.uint64) for x in c["high"]])
     low = np.concatenate([np.frombuffer(x, np.uint32) for x in c["low"]])
-    doc = np.concatenate([_unpack_sorted(ids, np.int64)[_unpack(at, np.uint32)] if n else np.zeros(0, np.int64) for n, at, ids in zip(c["n"], c["owner"], c["owners"])])
+    doc = np.concatenate([unpack_sorted(ids, np.int64)[unpack(at, np.uint32)] if n else np.zeros(0, np.int64) for n, at, ids in zip(c["n"], c["owner"], c["owners"])])
     order = np.lexsort((np.repeat(np.array(c["chunk"], np.int64), sizes), doc, low, high))
     again = np.zeros(len(order), bool)
     again[1:] = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
     later = np.zeros(len(order), bool)
     later[order] = again
     ends = np.cumsum(sizes)
-    return _table([[k, s, f0, f1, _bits(later[e - n : e])] for k, s, f0, f1, n, e in zip(c["chunk"], c["shard"], c["full0"], c["full1"], sizes, ends)], LATER_SCHEMA)
+    return table([[k, s, f0, f1, pack_flags(later[e - n : e])] for k, s, f0, f1, n, e in zip(c["chunk"], c["shard"], c["full0"], c["full1"], sizes, ends)], LATER_SCHEMA)
 
 
 def _remove(docs: pa.Table, answers: pa.Table, window: int, shards: int) -> pa.Table:
     if not docs.num_rows:
-        return _table([], RESULT_SCHEMA)
+        return table([], RESULT_SCHEMA)
     own, answers = _Chunk(docs, window), answers.to_pydict()
     order, first, bounds = _repeated(own, answers, shards)
     later = np.zeros(int(first.sum()), bool)
     for s, raw in zip(answers["shard"], answers["later"]):
         a, b = bounds[s], bounds[s + 1]
-        later[a:b] = _flags(raw, b - a)
+        later[a:b] = unpack_flags(raw, b - a)
     gone = ~first
     gone[first] = later
     starts = np.zeros(len(own.high), bool)
@@ -202,14 +175,7 @@ def _remove(docs: pa.Table, answers: pa.Table, window: int, shards: int) -> pa.T
         kept = words if not len(begins) else [w for w, c in zip(words, covered.tolist()) if not c]
         out.append([doc_id, n_words, n_words - len(kept), b" ".join(kept).decode("utf-8", "replace")])
         at += n
-    return _table(out, RESULT_SCHEMA)
-
-
-def _table(rows: list, ddl: str) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
-    fields = [f.split() for f in ddl.split(", ")]
-    columns = list(zip(*rows)) if rows else [()] * len(fields)
-    return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns)})
+    return table(out, RESULT_SCHEMA)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:

@@ -2,33 +2,38 @@
 
 File format of a shard (all numbers little-endian):
 
-    magic b"TLID" | version u8 | id width u8 (2 or 4) | dictionary sha256 (32 bytes) | n u32
-    doc_id i64 x n | tokens u32 x n | frame offset u64 x (n + 1), from the first frame | frames
+    magic b"TLID" | version u8 (2) | id width u8 (2 or 4) | dictionary sha256 (32 bytes) | n u32
+    doc_id i64 x n | known ids, a bit each, (n + 7) // 8 bytes, highest bit first | tokens u32 x n
+    frame offset u64 x (n + 1), from the first frame | frames
 
 A frame is one document's ids as unsigned little-endian integers, compressed with the dictionary
 of that hash. The offset index gives any short document by one small read and one decompression.
-Shards are rows of a Parquet table (Spark writes and reads them on any store), next to a one-row
-table that holds the dictionary.
+A store is a folder of two Parquet tables (Spark writes and reads them on any store): `shards`, a
+row a shard with the least and the greatest doc_id in it, so that a look-up skips the others, and
+`dictionary`, one row with the dictionary and its hash.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import common, tokens
+from tickloom.llm.packed import table
 
 MAGIC = b"TLID"
 _HEAD = struct.Struct("<4sBB32sI")
-SHARD_SCHEMA = "part int, seq int, part_start long, n_docs int, n_tokens long, shard binary"
+SHARD_SCHEMA = "part int, seq int, part_start long, first_id long, last_id long, n_docs int, n_tokens long, shard binary"
+DICTIONARY_SCHEMA = "sha256 string, dictionary binary"
 ROW_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: A shard is closed when its ids reach this many bytes.
 SHARD_BYTES = 4 << 20
@@ -63,15 +68,16 @@ def _dictionary(raw: bytes):
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def pack_shard(doc_ids: list[int], arrays: list[bytes], width: int, dictionary: bytes, compressor=None) -> bytes:
+def pack_shard(doc_ids: list[int | None], arrays: list[bytes], width: int, dictionary: bytes, compressor=None) -> bytes:
     compressor = compressor or zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary))
     frames = [compressor.compress(x) for x in arrays]
     offsets = np.zeros(len(frames) + 1, "<u8")
     np.cumsum([len(x) for x in frames], out=offsets[1:])
     return b"".join(
         [
-            _HEAD.pack(MAGIC, 1, width, hashlib.sha256(dictionary).digest(), len(frames)),
-            np.array(doc_ids, "<i8").tobytes(),
+            _HEAD.pack(MAGIC, 2, width, hashlib.sha256(dictionary).digest(), len(frames)),
+            np.array([i or 0 for i in doc_ids], "<i8").tobytes(),
+            np.packbits([i is not None for i in doc_ids]).tobytes(),
             np.array([len(x) // width for x in arrays], "<u4").tobytes(),
             offsets.tobytes(),
             *frames,
@@ -84,13 +90,14 @@ class ShardReader:
 
     def __init__(self, shard: bytes, dictionary: bytes):
         magic, version, width, sha, n = _HEAD.unpack_from(shard)
-        if magic != MAGIC or version != 1:
+        if magic != MAGIC or version != 2:
             raise ValueError("not a token-id shard")
         if sha != hashlib.sha256(dictionary).digest():
             raise ValueError("the shard was written with another dictionary")
         at = _HEAD.size
         self.doc_ids = np.frombuffer(shard, "<i8", n, at)
-        self.n_tokens = np.frombuffer(shard, "<u4", n, at := at + 8 * n)
+        self.known = np.unpackbits(np.frombuffer(shard, np.uint8, (n + 7) // 8, at := at + 8 * n), count=n).astype(bool)
+        self.n_tokens = np.frombuffer(shard, "<u4", n, at := at + (n + 7) // 8)
         self._offsets = np.frombuffer(shard, "<u8", n + 1, at := at + 4 * n)
         self._first = at + 8 * (n + 1)
         self._shard, self._dtype = memoryview(shard), np.dtype(f"<u{width}")
@@ -105,16 +112,17 @@ class ShardReader:
         return np.frombuffer(raw, self._dtype)
 
     def find(self, doc_id: int) -> np.ndarray | None:
-        """Ids of the first document of that id; the shard's ids ascend."""
-        k = int(np.searchsorted(self.doc_ids, doc_id))
+        """Ids of the first document of that id; null ids come first, the others ascend."""
+        nulls = int((~self.known).sum())
+        k = nulls + int(np.searchsorted(self.doc_ids[nulls:], doc_id))
         return self.ids(k) if k < len(self) and self.doc_ids[k] == doc_id else None
 
 
 def write_shards(docs: DataFrame, vocabulary: str, end_id: int, dictionary: bytes, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Shards of all documents in ascending doc_id order (ties by text; a null id, stored as -1,
-    comes first; a null text is empty). The table is staged in the shared folder."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """Shards of all documents in ascending doc_id order (ties by a hash of the text; null ids come
+    first; a null text is empty)."""
+    n = common.partitions_for(docs)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     tie = F.xxhash64("text")
     ordered = keyed.repartitionByRange(n, "doc_id", tie).sortWithinPartitions("doc_id", tie)
 
@@ -125,16 +133,17 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int, dictionary: byte
         enc = tokens.encoder(vocabulary)
         width, end = enc.dtype.itemsize, np.array([end_id], enc.dtype).tobytes()
         compressor = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary))
-        ids: list[int] = []
+        ids: list[int | None] = []
         arrays: list[bytes] = []
         seq = start = held = 0
 
         def close() -> pa.RecordBatch:
             nonlocal ids, arrays, seq, start, held
             shard = pack_shard(ids, arrays, width, dictionary, compressor)
-            row = (part, seq, start, len(ids), held // width, shard)
+            some = [i for i in ids if i is not None]
+            row = (part, seq, start, some[0] if some else None, some[-1] if some else None, len(ids), held // width, shard)
             seq, start, held, ids, arrays = seq + 1, start + held // width, 0, [], []
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["part", "seq", "part_start", "n_docs", "n_tokens", "shard"])
+            return table([row], SHARD_SCHEMA).to_batches()[0]
 
         for batch in common.slices(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -146,7 +155,42 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int, dictionary: byte
         if ids:
             yield close()
 
-    return common.stage(ordered.mapInArrow(build, SHARD_SCHEMA), "token-shards")
+    return ordered.mapInArrow(build, SHARD_SCHEMA)
+
+
+def write_store(docs: DataFrame, vocabulary: str, end_id: int, path: str) -> None:
+    """Train the dictionary and write a store of all documents."""
+    dictionary = train_dictionary(docs, vocabulary)
+    row = [(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))]
+    docs.sparkSession.createDataFrame(row, DICTIONARY_SCHEMA).coalesce(1).write.parquet(f"{path}/dictionary")
+    write_shards(docs, vocabulary, end_id, dictionary).write.parquet(f"{path}/shards")
+
+
+def open_store(spark: SparkSession, path: str) -> tuple[DataFrame, bytes]:
+    """(shards, dictionary) of a store written by any session."""
+    row = spark.read.schema(DICTIONARY_SCHEMA).parquet(f"{path}/dictionary").first()
+    dictionary = bytes(row["dictionary"])
+    if hashlib.sha256(dictionary).hexdigest() != row["sha256"]:
+        raise ValueError("the dictionary does not have its hash")
+    return spark.read.schema(SHARD_SCHEMA).parquet(f"{path}/shards"), dictionary
+
+
+def look_up(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids array<long>) of some documents (the first of each id). Only shards whose range
+    of ids holds one of them are read, and of these only the documents' own frames."""
+    shards, dictionary = open_store(spark, path)
+    wanted = sorted(set(doc_ids))
+    near = F.lit(False)
+    for i in wanted:
+        near = near | ((F.col("first_id") <= i) & (F.col("last_id") >= i))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, 1):
+            reader = ShardReader(batch.column("shard")[0].as_py(), dictionary)
+            got = [(i, ids.tolist()) for i in wanted if (ids := reader.find(i)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array([x for _, x in got], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return shards.where(near).select("shard").mapInArrow(find, "doc_id long, ids array<long>").dropDuplicates(["doc_id"])
 
 
 def read_shards(shards: DataFrame, dictionary: bytes) -> DataFrame:
@@ -164,7 +208,7 @@ def read_shards(shards: DataFrame, dictionary: bytes) -> DataFrame:
             sizes = reader.n_tokens.astype("<i8")
             crcs = [zlib.crc32(reader.ids(k).astype("<u4").tobytes()) for k in range(len(reader))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(reader.doc_ids), pa.array(base[part] + at + np.cumsum(sizes) - sizes), pa.array(sizes), pa.array(crcs, pa.int64())],
+                [pa.array(reader.doc_ids, mask=~reader.known), pa.array(base[part] + at + np.cumsum(sizes) - sizes), pa.array(sizes), pa.array(crcs, pa.int64())],
                 names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
@@ -172,9 +216,12 @@ def read_shards(shards: DataFrame, dictionary: bytes) -> DataFrame:
 
 
 def token_store(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """Train the dictionary, write the shards, read them back.
-
-    Defined results: empty table: no rows. Null text: the end id alone. Null doc_id: -1. Repeated
-    ids: each row has its own entry, ordered by a hash of the text. Other columns are ignored."""
-    dictionary = train_dictionary(docs, vocabulary)
-    return read_shards(write_shards(docs, vocabulary, end_id, dictionary), dictionary)
+    """Write a store in the shared folder, and read it back.
+
+    Defined results: empty table: no rows. Null text: the end id alone. Null doc_id: null, before
+    all others. Repeated ids: each row has its own entry, ordered by a hash of the text. Other
+    columns are ignored."""
+    spark = docs.sparkSession
+    path = f"{common.shared_folder(spark)}/token-store-{uuid.uuid4().hex}"
+    write_store(docs, vocabulary, end_id, path)
+    return read_shards(*open_store(spark, path))

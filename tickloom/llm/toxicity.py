@@ -121,7 +121,7 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Chain:
-    return fit_chain(*features.sample_features(features.labelled_sample(docs, labels, "toxic", FOLDS, sample_rows), SLOTS))
+    return fit_chain(*features.sample_features(features.labelled_sample(docs, labels, "toxic", FOLDS, sample_rows), SLOTS, 4 * sample_rows))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
