@@ -31,13 +31,21 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each near-duplicate group stays, once; documents without an id stay."""
-    found = near_dedup.near_duplicates(docs, percent=80)
-    gone = common.stage(found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id"), "near-duplicates")
-    rest = _columns(docs).join(gone.dropDuplicates(), "doc_id", "left_anti")
+    """The smallest doc_id of each near-duplicate group stays; documents without an id stay. Rows
+    that share an id are documents of their own by their text: equal ones stay once (the first by
+    the other columns), unlike ones all, and an id that one row has alone goes before them."""
+    docs = _columns(docs)
     repeated = common.stage(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    once = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _columns(rest.join(repeated, "doc_id", "left_anti")).unionAll(_columns(once))
+    if not repeated.isEmpty():
+        several = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("first"))
+        several = several.select("doc_id", "text", "first.*").select(*COLUMNS, F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).bitwiseOR(F.lit(1 << 62)).alias("key"))
+        keyed = docs.join(repeated, "doc_id", "left_anti").withColumn("key", F.col("doc_id").cast("long")).unionAll(several)
+        docs = common.stage(keyed, "documents-by-key")
+    else:
+        docs = docs.withColumn("key", F.col("doc_id").cast("long"))
+    found = near_dedup.near_duplicates(docs.select(F.col("key").alias("doc_id"), "text"), percent=80)
+    gone = common.stage(found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("key")), "near-duplicates")
+    return _columns(docs.join(gone.dropDuplicates(), "key", "left_anti"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
