@@ -84,6 +84,12 @@ def lttb(x: np.ndarray, y: np.ndarray, points: int) -> np.ndarray:
     return np.array([*kept, n - 1])
 
 
+def smoothed(bars: DataFrame, **averages: tuple[str, str, float]) -> DataFrame:
+    """bars with averages: new column = (source column, "ema" or "rma", length)."""
+    kinds = {"ema": ema, "rma": rma}
+    return fold(bars, lambda b: {name: kinds[kind](b[source], int(n)) for name, (source, kind, n) in averages.items()}, list(averages))
+
+
 def fold(bars: DataFrame, compute: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], columns: list[str], keys: list[str] | None = None, order: str = "timestamp") -> DataFrame:
     """bars with the columns that `compute` makes from the arrays of one series (missing: NaN in,
     NULL out). Names that start with is_ are boolean."""

@@ -84,7 +84,39 @@ def z(n: int) -> str:
 SUMS = ", ".join(f"sum(f) OVER {rows(n)} AS s{n}" for n in indicators.FLOW_RANGES)
 MFV = f"t AS (SELECT *, CASE WHEN high = low THEN 0 ELSE ((close - low) - (high - close)) / (high - low) * volume END AS f FROM b), u AS (SELECT *, {SUMS} FROM t)"
 register("i01_money_flow", lambda s, d: signals(indicators.money_flow(bars(s, d))), signal_sql(MFV, " + ".join(z(n) for n in indicators.FLOW_RANGES), "u"))
-register("i02_gauge", lambda s, d: shown(indicators.gauge(bars(s, d), vol_len=20, norm_window=50, eff_len=15, cooldown_bars=5), *KEY, *SIGNALS, "swing", "forecast", "efficiency"))
+
+
+def over_mean(x: str, n: int) -> str:
+    """x over its greatest absolute value of the last n rows."""
+    top = f"max(abs({x})) OVER {rows(n)}"
+    return f"CASE WHEN {top} > 0 THEN greatest(least({x} / ({top} + 1e-10), 1), -1) ELSE 0 END"
+
+
+def gauge_sql(vol: int = 20, norm: int = 50, eff: int = 15, cool: int = 5) -> str:
+    soft = "tanh(greatest(least({}, 20), -20))".format
+    part = lambda a, b, d=0: f"coalesce(CASE WHEN {b} <> 0 THEN {a} / {b} END, {d})"
+    cooled = lambda name, edge: f"""{name} AS (SELECT symbol, bar_index, {edge} AS ok, CASE WHEN {edge} THEN 0 ELSE -1000000 END AS last FROM sg WHERE bar_index = 0 UNION ALL
+SELECT s.symbol, s.bar_index, s.{edge} AND s.bar_index - c.last >= {cool}, CASE WHEN s.{edge} AND s.bar_index - c.last >= {cool} THEN s.bar_index ELSE c.last END FROM {name} c JOIN sg s ON s.symbol = c.symbol AND s.bar_index = c.bar_index + 1)"""
+    step = f"abs(close - coalesce(lag(close) OVER {LAG}, close))"
+    return f"""WITH RECURSIVE {BARS}, {TRUE}, {smooth_sql('ga', 't', 'tr', '(1.0::DOUBLE / 23)')}, {smooth_sql('gu', 'b', 'volume', f'(2.0::DOUBLE / {vol + 1})')},
+st AS (SELECT *, {step} AS step FROM t),
+u AS (SELECT st.*, CASE WHEN bar_index >= 22 THEN ga.y END AS atr, CASE WHEN bar_index >= {vol - 1} THEN gu.y END AS usual, CASE WHEN bar_index < {eff} THEN 0 ELSE abs(close - lag(close, {eff}) OVER {LAG}) / (sum(step) OVER {rows(eff)} + 1e-10) END AS eff FROM st JOIN ga USING (symbol, bar_index) JOIN gu USING (symbol, bar_index)),
+v AS (SELECT *, {part('(2 * close - high - low)', '(high - low)')} AS closing, {part('(least(open, close) + greatest(open, close) - high - low)', '(high - low)')} AS tails, ln(greatest({part('volume', 'usual', 1)}, 1e-10)) AS weight FROM u),
+w AS (SELECT *, (closing + 1.47::DOUBLE * tails) * {soft(part('(high - low)', 'atr'))} * {soft(part('volume', 'usual'))} AS shape, 4.14::DOUBLE * {part('atr', 'close')} * (2 * {soft('5.3::DOUBLE * (eff - 0.64::DOUBLE)')} - 1) * closing * {soft('weight')} AS outlook FROM v),
+{smooth_sql('gf', 'w', 'shape', '(2.0::DOUBLE / 25)')}, {smooth_sql('gs', 'w', 'shape', '(2.0::DOUBLE / 44)')}, {smooth_sql('go', 'w', 'outlook', '(2.0::DOUBLE / 34)')},
+x AS (SELECT w.*, CASE WHEN bar_index >= 42 THEN gf.y - gs.y END AS swing, CASE WHEN bar_index >= 32 THEN go.y END AS mean_outlook FROM w JOIN gf USING (symbol, bar_index) JOIN gs USING (symbol, bar_index) JOIN go USING (symbol, bar_index)),
+y AS (SELECT *, {over_mean('swing', norm)} AS pressure, {over_mean('mean_outlook', norm)} AS forecast FROM x),
+zz AS (SELECT *, 100 * (0.7::DOUBLE + 0.3::DOUBLE * greatest(least((eff - 0.25::DOUBLE) / 0.35::DOUBLE, 1), 0)) * (0.6::DOUBLE * pressure - 0.3::DOUBLE * forecast + 0.1::DOUBLE * least(abs(weight) / 0.6::DOUBLE, 1) * sign(pressure)) AS raw FROM y),
+{smooth_sql('gg', 'zz', 'raw', '(2.0::DOUBLE / 13)')},
+val AS (SELECT zz.*, CASE WHEN bar_index >= 11 THEN greatest(least(gg.y, 100), -100) END AS val FROM zz JOIN gg USING (symbol, bar_index)),
+cond AS (SELECT *, coalesce(val <= -23 AND val = min(val) OVER {rows(11)} AND (val > lag(val) OVER {LAG} OR (swing < 0 AND swing > lag(swing) OVER {LAG})), false) AS lo,
+ coalesce(val >= 36 AND val = max(val) OVER {rows(11)} AND (val < lag(val) OVER {LAG} OR (swing > 0 AND swing < lag(swing) OVER {LAG})), false) AS hi FROM val),
+sg AS (SELECT *, lo AND NOT coalesce(lag(lo) OVER {LAG}, false) AS lo_edge, hi AND NOT coalesce(lag(hi) OVER {LAG}, false) AS hi_edge FROM cond),
+{cooled('cb', 'lo_edge')}, {cooled('cs', 'hi_edge')}
+SELECT symbol, bar_index, round(val, 4) AS main_value, cb.ok AS buy_signal, cs.ok AS sell_signal, round(val / 100, 4) AS combined_signal, round(swing, 4) AS swing, round(forecast, 4) AS forecast, round(eff, 4) AS efficiency FROM sg JOIN cb USING (symbol, bar_index) JOIN cs USING (symbol, bar_index)"""
+
+
+register("i02_gauge", lambda s, d: shown(indicators.gauge(bars(s, d), vol_len=20, norm_window=50, eff_len=15, cooldown_bars=5), *KEY, *SIGNALS, "swing", "forecast", "efficiency", digits=4), gauge_sql())
 register("i03_rsi", lambda s, d: signals(indicators.directional(indicators.generic(bars(s, d), "rsi"))), signal_sql(RSI, "rsi - 50", "rsi", recursive_=True))
 register("i04_macd", lambda s, d: signals(indicators.directional(indicators.generic(bars(s, d), "macd"))), signal_sql(MACD, "line - signal", "macd", recursive_=True))
 CCI = "CASE WHEN m IS NULL THEN NULL WHEN list_avg(list_transform(l, lambda x: abs(x - m))) = 0 THEN 0 ELSE (tp - m) / (0.015 * list_avg(list_transform(l, lambda x: abs(x - m)))) END"
@@ -121,7 +153,7 @@ def example_labels(spark, sf_dir) -> DataFrame:
 MCC = "CASE WHEN (tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn) > 0 THEN (tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)) ELSE 0 END"
 register("a01_folds", lambda s, d: backtest.folds(bars(s, d), **FOLDS).drop("interval"), f'WITH {BARS}, {FOLD_SQL} SELECT symbol, fold, train_start, train_end, test_start, test_end FROM folds')
 register("a03_j07_forward_returns", lambda s, d: shown(backtest.by_horizon(bars(s, d), HORIZONS), *KEY, "horizon", "forward_return"), f"WITH {BARS}, g AS (SELECT * FROM b), " + LABEL_SQL.split(", lab AS")[0] + " SELECT symbol, bar_index, horizon, round(forward_return, 6) AS forward_return FROM hz")
-register("a04_j06_labels", lambda s, d: shown(example_labels(s, d), *KEY, "fold", "part", "horizon", "label", "score"), ALL_SQL + " SELECT symbol, bar_index, fold, part, horizon, label, round(score, 6) AS score FROM lab")
+register("a04_j06_labels", lambda s, d: shown(example_labels(s, d), *KEY, "fold", "part", "horizon", "label", "score", digits=4), ALL_SQL + " SELECT symbol, bar_index, fold, part, horizon, label, round(score, 4) AS score FROM lab")
 
 
 def mcc_by_horizon(spark, sf_dir) -> DataFrame:
