@@ -112,6 +112,18 @@ def trades(signals: DataFrame, horizon: int) -> DataFrame:
     )
 
 
+#: Level of the combined signal that a directional trade crosses.
+CROSSING = 0.3
+
+
+def directional_signals(rows: DataFrame, keys: list[str], level: float = CROSSING) -> DataFrame:
+    """rows with buy_signal and sell_signal where combined_signal passes +level or -level; before
+    the first row of a group it counts as 0, so that a part of a series stands alone."""
+    x, before = F.col("combined_signal"), F.coalesce(F.lag("combined_signal").over(Window.partitionBy(*keys).orderBy("bar_index")), F.lit(0.0))
+    up, down = (x > level) & (before <= level), (x < -level) & (before >= -level)
+    return rows.withColumns({"buy_signal": F.coalesce(up, F.lit(False)), "sell_signal": F.coalesce(down, F.lit(False))})
+
+
 def trade_metrics(trade_rows: DataFrame, keys: list[str], interval_hours: float = 1.0) -> DataFrame:
     """Counts, returns, profit factor, Sharpe ratio and drawdown of trades in order of entry."""
     order = Window.partitionBy(*keys).orderBy("entry_bar", "direction").rowsBetween(Window.unboundedPreceding, 0)
@@ -136,16 +148,100 @@ def regimes(rows: DataFrame, volatility: Column, keys: list[str]) -> DataFrame:
     return cuts.withColumn("regime", F.when(F.col("vol") <= F.col("p33"), "low").when(F.col("vol") <= F.col("p67"), "medium").when(F.col("vol").isNotNull(), "high"))
 
 
-def evaluate(signals: DataFrame, horizons: list[int], n_folds: int, embargo: int, min_train: int = 30, min_test: int = 100) -> DataFrame:
-    """One row per series and fold: horizon and threshold chosen on training rows, MCC and AUC on
-    test rows. signals: indexed bars with combined_signal."""
-    rows = labels(in_folds(by_horizon(signals, horizons), folds(signals, n_folds, embargo, min_test=min_test)), F.col("combined_signal"))
+def chosen_rows(signals: DataFrame, horizons: list[int], n_folds: int, embargo: int, min_train: int, min_test: int) -> tuple[DataFrame, DataFrame]:
+    """(test rows with their forward return at the fold's horizon, the fold's choice)."""
+    every = in_folds(by_horizon(signals, horizons), folds(signals, n_folds, embargo, min_test=min_test))
     keys = [*KEY, "fold"]
     safe = F.col("bar_index") < F.least("train_end", "test_start") - F.col("horizon")
-    train = rows.where((F.col("part") == "train") & safe)
+    train = labels(every.where("part = 'train'").where(safe), F.col("combined_signal"))
     enough = train.groupBy(*keys, "horizon").count().where(F.col("count") >= min_train).drop("count")
     chosen = best_horizon(best_threshold(train.join(enough, [*keys, "horizon"], "left_semi"), [*keys, "horizon"]), keys)
-    test = rows.where("part = 'test'").join(chosen, [*keys, "horizon"])
+    return every.where("part = 'test'").join(chosen, [*keys, "horizon"]), chosen
+
+
+def fold_metrics(signals: DataFrame, horizons: list[int], n_folds: int, embargo: int, min_train: int = 30, min_test: int = 100, discrete: bool = True, interval_hours: float = 1.0) -> DataFrame:
+    """One row per series and fold: classification, trades and directional accuracy on test rows.
+    Discrete signals trade on buys and sells, others where the combined signal crosses CROSSING."""
+    keys = [*KEY, "fold"]
+    test, _ = chosen_rows(signals, horizons, n_folds, embargo, min_train, min_test)
+    rows = labels(test, F.col("combined_signal"))
+    counts = rows.groupBy(*keys, "horizon", "threshold").agg(*confusion(F.col("label"), F.col("score") >= F.col("threshold")), F.count("*").alias("samples"))
+    counts = counts.withColumn("mcc", mcc(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn"))).join(roc_auc(rows, keys), keys)
+    known, r, x = test.where("forward_return IS NOT NULL"), F.col("forward_return"), F.col("combined_signal")
+    long, short = (F.col("buy_signal"), F.col("sell_signal")) if discrete else (x > CROSSING, x < -CROSSING)
+    right = F.count_if((long & (r > 0)) | (short & (r < 0)))
+    said = F.count_if(long | short)
+    accuracy = known.groupBy(*keys).agg(F.when(said > 0, right / said).otherwise(F.lit(0.5)).alias("accuracy"))
+    entries = known if discrete else directional_signals(test, keys).where("forward_return IS NOT NULL")
+    sides = F.array_compact(F.array(F.when(F.col("buy_signal"), F.lit(1)), F.when(F.col("sell_signal"), F.lit(-1))))
+    made = entries.withColumn("side", F.explode(sides)).select(
+        *keys, F.col("bar_index").alias("entry_bar"), F.when(F.col("side") > 0, "long").otherwise("short").alias("direction"), (r * F.col("side")).alias("return_pct"), F.col("horizon").alias("holding_bars")
+    )
+    traded = trade_metrics(made, keys, interval_hours)
+    return counts.join(accuracy, keys, "left").join(traded, keys, "left").na.fill(0, ["total_trades", "wins", "total_return", "avg_return", "win_rate", "profit_factor", "sharpe", "max_drawdown"])
+
+
+def steadiness(values: Column) -> Column:
+    """1 / (1 + coefficient of variation) of a group's values; 0 where their mean is not positive."""
+    mean = F.avg(values)
+    return F.when(mean > 0, 1 / (1 + F.stddev_pop(values) / mean)).otherwise(F.lit(0.0))
+
+
+def consistency() -> Column:
+    """Steadiness of profit factor and accuracy over the folds that traded, in the mean."""
+    traded = F.col("total_trades") > 0
+    return ((steadiness(F.when(traded, F.col("profit_factor"))) + steadiness(F.when(traded, F.col("accuracy")))) / 2).alias("consistency")
+
+
+def _summed() -> list[Column]:
+    auc = F.when(F.sum("samples") > 0, F.sum(F.col("roc_auc") * F.col("samples")) / F.sum("samples")).otherwise(F.lit(0.5))
+    return [*[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn", "samples", "total_trades", "wins")], auc.alias("roc_auc"), F.median("horizon").cast("int").alias("horizon"), F.median("threshold").alias("threshold")]
+
+
+def roll_up(fold_rows: DataFrame, keys: list[str], min_samples: int = 1, min_trades: int = 0) -> DataFrame:
+    """One row per series from its folds (those with samples and trades enough): counts are summed
+    and the MCC is of the sums, the AUC is weighted by samples, horizon and threshold are medians."""
+    valid = fold_rows.where((F.col("samples") >= min_samples) & (F.col("total_trades") >= min_trades))
+    out = valid.groupBy(*keys).agg(F.count("*").alias("folds"), *_summed(), F.avg("accuracy").alias("accuracy"), F.sum("total_return").alias("total_return"), F.max("max_drawdown").alias("max_drawdown"), F.avg("profit_factor").alias("profit_factor"), consistency())
+    better = F.when(F.col("roc_auc") > 0.5, (F.col("roc_auc") - 0.5) / 0.5 * 100).otherwise(F.lit(0.0))
+    return out.withColumn("mcc", mcc(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn"))).withColumn("improvement", better)
+
+
+def across_symbols(series_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key from its series that traded: sums, means, the greatest drawdown, medians. A
+    key with a series of MCC under -0.1 has none: its mean would hide that series."""
+    out = series_rows.where("total_trades > 0").groupBy(*keys).agg(
+        F.count("*").alias("series"), F.min("mcc").alias("worst"), *_summed(), *[F.avg(c).alias(c) for c in ("accuracy", "total_return", "profit_factor", "consistency", "improvement")], F.max("max_drawdown").alias("max_drawdown")
+    )
+    return out.where(F.col("worst") >= -0.1).withColumn("mcc", mcc(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn"))).drop("worst")
+
+
+def average_objective(rows: DataFrame, keys: list[str], objective: Column) -> DataFrame:
+    """Mean objective over a key's rows; one that is not finite rejects them all (minus infinity)."""
+    x = F.coalesce(objective, F.lit(float("-inf")))
+    bad = F.isnan(x) | (F.abs(x) == float("inf"))
+    return rows.groupBy(*keys).agg(F.when(F.max(bad.cast("int")) == 1, F.lit(float("-inf"))).otherwise(F.avg(x)).alias("objective"))
+
+
+def usable_horizons(horizons: list[int], n_train: int) -> list[int]:
+    """Distinct horizons, ascending, that fit in the training part; else the longest that does, or 1."""
+    fit = sorted({h for h in horizons if 1 <= h <= n_train - 1})
+    return fit or [max(1, n_train - 1)] if n_train > 2 else [1]
+
+
+def data_usage(fold_rows: DataFrame) -> DataFrame:
+    """Per series: bars trained and tested on, bars in neither, and whether test parts overlap."""
+    w = Window.partitionBy(*KEY).orderBy("test_start")
+    f = fold_rows.withColumn("overlap", F.coalesce(F.lag("test_end").over(w) > F.col("test_start"), F.lit(False)))
+    used = F.sum(F.col("train_end") - F.col("train_start")), F.sum(F.col("test_end") - F.col("test_start"))
+    return f.groupBy(*KEY).agg(F.count("*").alias("folds"), used[0].alias("train_bars"), used[1].alias("test_bars"), F.max("test_end").alias("last_bar"), F.max("overlap").alias("overlap"), F.min(F.col("test_start") - F.col("train_end")).alias("least_gap"))
+
+
+def evaluate(signals: DataFrame, horizons: list[int], n_folds: int, embargo: int, min_train: int = 30, min_test: int = 100) -> DataFrame:
+    """One row per series and fold: horizon and threshold chosen on training rows, MCC and AUC on
+    test rows. signals: indexed bars with combined_signal."""
+    keys = [*KEY, "fold"]
+    test = labels(chosen_rows(signals, horizons, n_folds, embargo, min_train, min_test)[0], F.col("combined_signal"))
     counts = test.groupBy(*keys, "horizon", "threshold").agg(*confusion(F.col("label"), F.col("score") >= F.col("threshold")), F.count("*").alias("samples"))
     auc = roc_auc(test, keys)
     return counts.withColumn("mcc", mcc(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn"))).join(auc, keys)

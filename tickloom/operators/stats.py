@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
+from tickloom.functions import scalar
+
 
 def corrections(p_values: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
     """p_values with Bonferroni, Benjamini-Hochberg and Holm corrected columns, per group of keys."""
@@ -85,27 +87,99 @@ def permutation_test(counts: DataFrame, rounds: int = 1000, seed: int = 7) -> Da
     return counts.mapInArrow(run, StructType([*counts.schema.fields, StructField("p_value", DoubleType())]))
 
 
-def bootstrap_interval(counts: DataFrame, rounds: int = 2000, confidence: float = 0.95, seed: int = 7) -> DataFrame:
-    """Percentile interval of the MCC: a resample is multinomial in the four counts."""
+def permutation_test_auc(rows: DataFrame, keys: list[str], rounds: int = 1000, seed: int = 7) -> DataFrame:
+    """(keys, roc_auc, p_value): the share of label permutations whose AUC is at least the observed
+    one. rows: label and score; a group is known by its distinct scores, so only these, with their
+    positives and negatives, reach the task, and a permutation draws positives for each of them."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tickloom.operators import backtest
+
+    def auc(p, q):
+        below = np.cumsum(q, axis=-1) - q
+        return (p * (below + q / 2)).sum(axis=-1) / np.maximum(p.sum(axis=-1) * q.sum(axis=-1), 1)
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("score")
+        p, q = (group.column(c).to_numpy().astype(np.int64) for c in ("p", "q"))
+        rng = np.random.default_rng([seed, int(group.column("test_id")[0].as_py())])
+        seen, pairs = auc(p, q), p.sum() * q.sum()
+        drawn = rng.multivariate_hypergeometric(p + q, int(p.sum()), rounds) if pairs else np.zeros((rounds, len(p)), int)
+        value = (1 + int((auc(drawn, p + q - drawn) >= seen - 1e-12).sum())) / (rounds + 1) if pairs else 1.0
+        out = {k: group.column(k)[:1] for k in keys}
+        return pa.table(out | {"roc_auc": pa.array([float(seen) if pairs else 0.5]), "p_value": pa.array([value])})
+
+    found = backtest.by_score(rows, keys).withColumn("test_id", F.xxhash64(*keys).bitwiseAND(F.lit((1 << 31) - 1)))
+    kinds = {f.name: f for f in found.schema.fields}
+    return found.groupBy(*keys).applyInArrow(run, StructType([*[kinds[k] for k in keys], StructField("roc_auc", DoubleType()), StructField("p_value", DoubleType())]))
+
+
+def mcc_of(tp, fp, tn, fn):
+    """MCC of arrays of counts."""
+    import numpy as np
+
+    tp, fp, tn, fn = (np.asarray(x, float) for x in (tp, fp, tn, fn))
+    square = (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)
+    return np.where(square > 0, (tp * tn - fp * fn) / np.sqrt(np.where(square > 0, square, 1)), 0)
+
+
+def acceleration(counts) -> float:
+    """Jackknife acceleration of the MCC of (tp, fp, tn, fn). Leaving one sample out takes one from
+    one of the four counts, so there are four values, each as often as its count."""
+    import numpy as np
+
+    left = np.maximum(np.tile(counts, (4, 1)) - np.eye(4), 0)
+    values = mcc_of(*left.T)
+    n = counts.sum()
+    gap = (values * counts).sum() / max(n, 1) - values
+    spread = (counts * gap**2).sum()
+    return float((counts * gap**3).sum() / (6 * spread**1.5)) if spread > 0 else 0.0
+
+
+def bootstrap_interval(counts: DataFrame, rounds: int = 2000, confidence: float = 0.95, seed: int = 7, method: str = "percentile") -> DataFrame:
+    """Interval of the MCC, by percentiles or "bca" (bias-corrected and accelerated); a resample is
+    multinomial in the four counts."""
     import numpy as np
     import pyarrow as pa
 
+    normal = NormalDist()
+
+    def shares(m, observed, cells) -> list[float]:
+        ends = [(1 - confidence) / 2, (1 + confidence) / 2]
+        under = float(np.mean(m < observed))
+        if method != "bca" or not 0 < under < 1:
+            return ends
+        z0, a = normal.inv_cdf(under), acceleration(cells)
+        moved = [z0 + normal.inv_cdf(e) for e in ends]
+        return [normal.cdf(z0 + z / (1 - a * z)) for z in moved]
+
     def run(batches):
         for batch in batches:
-            low, high = [], []
-            for i in range(batch.num_rows):
-                x = np.array([batch.column(k)[i].as_py() for k in ("tp", "fp", "tn", "fn")], float)
-                rng = np.random.default_rng([seed, int(batch.column("test_id")[i].as_py())])
-                tp, fp, tn, fn = rng.multinomial(int(x.sum()), x / max(1.0, x.sum()), rounds).T.astype(float)
-                square = (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)
-                m = np.where(square > 0, (tp * tn - fp * fn) / np.sqrt(np.where(square > 0, square, 1)), 0)
-                a, b = np.quantile(m, [(1 - confidence) / 2, (1 + confidence) / 2])
-                low.append(float(a)), high.append(float(b))
+            cells = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in ("tp", "fp", "tn", "fn")], axis=1)
+            ends = []
+            for x, test_id in zip(cells, batch.column("test_id").to_pylist()):
+                drawn = np.random.default_rng([seed, int(test_id)]).multinomial(int(x.sum()), x / max(1.0, x.sum()), rounds) if x.sum() else np.zeros((rounds, 4))
+                m = mcc_of(*drawn.T)
+                ends.append(np.quantile(m, shares(m, mcc_of(*x), x)))
+            low, high = np.array(ends).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low), pa.array(high)], names=[*batch.schema.names, "boot_low", "boot_high"])
 
     return counts.mapInArrow(run, StructType([*counts.schema.fields, StructField("boot_low", DoubleType()), StructField("boot_high", DoubleType())]))
 
 
+def effect_label(mcc: Column) -> Column:
+    size = F.abs(mcc)
+    return F.when(size < 0.1, "negligible").when(size < 0.3, "small").when(size < 0.5, "medium").otherwise("large")
+
+
+def comprehensive_test(counts: DataFrame, alpha: float = 0.05, seed: int = 7) -> DataFrame:
+    """Permutation p value, bootstrap interval, effect label, and whether both say it is not chance."""
+    both = bootstrap_interval(permutation_test(counts, seed=seed), confidence=1 - alpha, seed=seed + 1000)
+    apart = (F.col("boot_low") > 0) | (F.col("boot_high") < 0)
+    return both.withColumn("effect", effect_label(F.col("mcc"))).withColumn("significant", (F.col("p_value") < alpha) & apart)
+
+
 def autocorrelation(rows: DataFrame, x: str, keys: list[str], order: str, lag: int = 1) -> DataFrame:
     """Mean product of deviations `lag` rows apart over the population variance."""
     w = Window.partitionBy(*keys)
@@ -115,9 +189,23 @@ def autocorrelation(rows: DataFrame, x: str, keys: list[str], order: str, lag: i
     return d.groupBy(*keys).agg(F.when(n > lag + 1, F.coalesce(F.try_divide(F.avg(F.col("__d") * F.col("__b")), F.var_pop(x)), F.lit(0.0))).otherwise(F.lit(0.0)).alias("rho"), n.alias("n"))
 
 
-def ljung_box(rhos: list[Column], n: Column) -> Column:
-    """Q statistic of autocorrelations at lags 1, 2, ..."""
-    total = F.lit(0.0)
-    for k, rho in enumerate(rhos, 1):
-        total = total + rho * rho / (n - k)
-    return n * (n + 2) * total
+def lag_correlations(rows: DataFrame, x: str, keys: list[str], order: str, lags: int) -> DataFrame:
+    """(keys, n, rho1 ... rho<lags>) in one window pass: sums of products of deviations over n times
+    the population variance."""
+    w = Window.partitionBy(*keys)
+    d = rows.withColumn("__d", F.col(x) - F.avg(x).over(w))
+    d = d.withColumns({f"__b{k}": F.lag("__d", k).over(w.orderBy(order)) for k in range(1, lags + 1)})
+    rho = [F.coalesce(F.try_divide(F.sum(F.col("__d") * F.col(f"__b{k}")), F.count(x) * F.var_pop(x)), F.lit(0.0)).alias(f"rho{k}") for k in range(1, lags + 1)]
+    return d.groupBy(*keys).agg(F.count(x).alias("n"), *rho)
+
+
+def ljung_box(rhos: list[Column], n: Column) -> tuple[Column, Column]:
+    """(q, p): statistic of autocorrelations at lags 1, 2, ..., and its p value by the cube-root
+    normal approximation of chi-squared; (0, 1) for a series no longer than the lags."""
+    total, k = F.lit(0.0), len(rhos)
+    for lag, rho in enumerate(rhos, 1):
+        total = total + F.try_divide(rho * rho, n - lag)
+    q = F.when(n > k, n * (n + 2) * total).otherwise(F.lit(0.0))
+    spread = 2 / (9 * k)
+    z = (F.cbrt(q / k) - (1 - spread)) / spread**0.5
+    return q.alias("q"), F.when(q > 0, 1 - scalar.normal_cdf(z)).otherwise(F.lit(1.0)).alias("p")

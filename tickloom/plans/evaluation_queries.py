@@ -258,16 +258,15 @@ FROM v JOIN c USING (symbol) WHERE vol IS NOT NULL GROUP BY ALL""")
 
 def box(spark, sf_dir) -> DataFrame:
     x = bars(spark, sf_dir).withColumn("ret", series.roc(F.col("close"), 1)).where("ret IS NOT NULL")
-    both = None
-    for k in (1, 2, 3):
-        one = stats.autocorrelation(x, "ret", ["symbol"], "timestamp", k).select("symbol", F.col("rho").alias(f"rho{k}"), *(["n"] if k == 1 else []))
-        both = one if both is None else both.join(one, "symbol")
-    return shown(both.withColumn("q", stats.ljung_box([F.col(f"rho{k}") for k in (1, 2, 3)], F.col("n"))), "symbol", "q", digits=4)
+    rho = stats.lag_correlations(x, "ret", ["symbol"], "timestamp", 3)
+    q, p = stats.ljung_box([F.col(f"rho{k}") for k in (1, 2, 3)], F.col("n"))
+    return shown(rho.withColumns({"q": q, "p": p}), "symbol", "q", "p", digits=4)
 
 
 register("a26_ljung_box", box, f"""WITH {BARS}, {RETS}, p AS (SELECT *, lag(dv) OVER {LAG} AS p1, lag(dv, 2) OVER {LAG} AS p2, lag(dv, 3) OVER {LAG} AS p3 FROM qq),
-z AS (SELECT symbol, count(*) AS n, avg(dv * p1) / var_pop(ret) AS r1, avg(dv * p2) / var_pop(ret) AS r2, avg(dv * p3) / var_pop(ret) AS r3 FROM p GROUP BY symbol)
-SELECT symbol, round(n * (n + 2) * (r1 * r1 / (n - 1) + r2 * r2 / (n - 2) + r3 * r3 / (n - 3)), 4) AS q FROM z""")
+z AS (SELECT symbol, count(*) AS n, sum(dv * p1) / (count(*) * var_pop(ret)) AS r1, sum(dv * p2) / (count(*) * var_pop(ret)) AS r2, sum(dv * p3) / (count(*) * var_pop(ret)) AS r3 FROM p GROUP BY symbol),
+s AS (SELECT symbol, n * (n + 2) * (r1 * r1 / (n - 1) + r2 * r2 / (n - 2) + r3 * r3 / (n - 3)) AS q FROM z)
+SELECT symbol, round(q, 4) AS q, round(1 - 0.5 * (1 + tanh(0.79788::DOUBLE * (cbrt(q / 3) - (1 - 2 / 27.0::DOUBLE)) / sqrt(2 / 27.0::DOUBLE))), 4) AS p FROM s""")
 
 
 def test_counts(spark, sf_dir) -> DataFrame:
@@ -276,7 +275,9 @@ def test_counts(spark, sf_dir) -> DataFrame:
 
 
 register("a27_permutation_test", lambda s, d: stats.permutation_test(test_counts(s, d)))
-register("a29_a30_bootstrap", lambda s, d: stats.bootstrap_interval(test_counts(s, d)))
+register("a28_permutation_auc", lambda s, d: stats.permutation_test_auc(example_labels(s, d), ["symbol", "horizon"]))
+register("a29_a30_bootstrap", lambda s, d: stats.comprehensive_test(test_counts(s, d)))
+register("a29_bootstrap_bca", lambda s, d: stats.bootstrap_interval(test_counts(s, d), method="bca"))
 
 
 def p_values(spark, sf_dir) -> DataFrame:
@@ -309,3 +310,56 @@ register("a34_a38_effects_and_objectives", effects, P_SQL + f""", a AS (SELECT *
 SELECT symbol, horizon, n, round(tanh(atanh(mcc) - {Z} / sqrt(n - 3)), 6) AS ci_low, round(tanh(atanh(mcc) + {Z} / sqrt(n - 3)), 6) AS ci_high, round(tanh({ZZ} / sqrt(n - 3)), 6) AS detectable,
 CAST(greatest(ceil(power({ZZ} / atanh(greatest(abs(mcc), 0.01)), 2)) + 3, 30) AS BIGINT) AS needed, round(CASE WHEN n >= 100 THEN 0.5 * (mcc + 1) / 2 + 0.2 * greatest(0, (auc - 0.5) / 0.5) + 0.15 * 0.5 + 0.15 * 0.2 END, 6) AS composite,
 round(CASE WHEN n < 100 OR auc < 0.5 OR mcc < 0.02 THEN NULL ELSE (n / (n + 50.0::DOUBLE) * mcc + (1 - n / (n + 50.0::DOUBLE)) * 0.03) * (1 - 0.1 * (0.5 - 0.4)) END, 6) AS objective FROM j""")
+
+
+# Roll-ups of folds and series.
+
+
+def fold_rows(spark, sf_dir, discrete: bool = True) -> DataFrame:
+    b = example(spark, sf_dir).withColumn("combined_signal", F.round("combined_signal", 9))
+    return backtest.fold_metrics(b, HORIZONS, min_train=1, discrete=discrete, interval_hours=4.0, **FOLDS)
+
+
+ROUGH = ("fold", "horizon", "samples", "tp", "fp", "tn", "fn", "mcc", "roc_auc", "accuracy", "total_trades", "wins", "total_return", "profit_factor", "max_drawdown")
+
+
+def fold_sql(discrete: bool) -> str:
+    said = ("buy_signal", "sell_signal") if discrete else ("score1 > 0.3", "score1 < -0.3")
+    entry = said if discrete else ("score1 > 0.3 AND before <= 0.3", "score1 < -0.3 AND before >= -0.3")
+    return ALL_SQL + f""", {THRESHOLD}, {CHOSEN}, al AS (SELECT hz.*, f.fold, round(score0, 9) AS score1, lag(round(score0, 9), 1, 0) OVER (PARTITION BY symbol, f.fold, horizon ORDER BY bar_index) AS before FROM hz JOIN folds f USING (symbol, "interval") WHERE bar_index >= test_start AND bar_index < test_end),
+tests AS (SELECT l.*, c.threshold FROM lab l JOIN chosen c USING (symbol, fold, horizon) WHERE part = 'test'),
+k AS (SELECT symbol, fold, horizon, threshold, count(*) AS samples, {COUNTS.format(t='threshold')} FROM tests GROUP BY ALL),
+kn AS (SELECT al.* FROM al JOIN chosen c USING (symbol, fold, horizon) WHERE forward_return IS NOT NULL),
+ac AS (SELECT symbol, fold, CASE WHEN count(*) FILTER ({said[0]} OR {said[1]}) > 0 THEN count(*) FILTER (({said[0]} AND forward_return > 0) OR ({said[1]} AND forward_return < 0)) / count(*) FILTER ({said[0]} OR {said[1]})::DOUBLE ELSE 0.5 END AS accuracy FROM kn GROUP BY ALL),
+td AS (SELECT symbol, fold, bar_index, 'long' AS direction, forward_return AS r FROM kn WHERE {entry[0]} UNION ALL SELECT symbol, fold, bar_index, 'short', -forward_return FROM kn WHERE {entry[1]}),
+eq AS (SELECT *, 100 * exp(sum(ln(greatest(1 + r / 100, 1e-12))) OVER (PARTITION BY symbol, fold ORDER BY bar_index, direction ROWS UNBOUNDED PRECEDING)) AS equity FROM td),
+dr AS (SELECT *, (equity / max(equity) OVER (PARTITION BY symbol, fold ORDER BY bar_index, direction ROWS UNBOUNDED PRECEDING) - 1) * 100 AS dd FROM eq),
+tm AS (SELECT symbol, fold, count(*) AS total_trades, count(*) FILTER (r > 0) AS wins, sum(r) AS total_return, CASE WHEN sum(least(r, 0)) < 0 THEN sum(greatest(r, 0)) / -sum(least(r, 0)) WHEN sum(greatest(r, 0)) > 0 THEN 10 ELSE 0 END AS profit_factor, least(100, abs(min(dd))) AS max_drawdown FROM dr GROUP BY ALL),
+fm AS (SELECT k.*, {MCC} AS mcc, a.roc_auc, coalesce(accuracy, 0.5) AS accuracy, coalesce(total_trades, 0) AS total_trades, coalesce(wins, 0) AS wins, coalesce(total_return, 0) AS total_return, coalesce(profit_factor, 0) AS profit_factor, coalesce(max_drawdown, 0) AS max_drawdown
+ FROM k JOIN {AUC.format(k='symbol, fold', t='tests')} a USING (symbol, fold) LEFT JOIN ac USING (symbol, fold) LEFT JOIN tm USING (symbol, fold))"""
+
+
+ROUGH_SQL = "symbol, fold, horizon, samples, tp, fp, tn, fn, total_trades, wins, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("mcc", "roc_auc", "accuracy", "total_return", "profit_factor", "max_drawdown"))
+for name, mode in (("a12_a17_fold_metrics", True), ("a11_a17_directional", False)):
+    register(name, lambda s, d, mode=mode: shown(fold_rows(s, d, mode), "symbol", *ROUGH, digits=4), fold_sql(mode) + f" SELECT {ROUGH_SQL} FROM fm")
+STEADY = "CASE WHEN avg({x}) FILTER (total_trades > 0) > 0 THEN 1 / (1 + stddev_pop({x}) FILTER (total_trades > 0) / avg({x}) FILTER (total_trades > 0)) ELSE 0 END"
+SUMS_SQL = "CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(tn) AS BIGINT) AS tn, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(samples) AS BIGINT) AS samples, CAST(sum(total_trades) AS BIGINT) AS total_trades, CAST(sum(wins) AS BIGINT) AS wins, sum(roc_auc * samples) / sum(samples) AS roc_auc, CAST(floor(median(horizon)) AS INT) AS horizon, median(threshold) AS threshold"
+ROLL = fold_sql(True) + f""", ru AS (SELECT symbol, count(*) AS folds, {SUMS_SQL}, avg(accuracy) AS accuracy, sum(total_return) AS total_return, max(max_drawdown) AS max_drawdown, avg(profit_factor) AS profit_factor,
+({STEADY.format(x='profit_factor')} + {STEADY.format(x='accuracy')}) / 2 AS consistency FROM fm GROUP BY symbol), rr AS (SELECT *, {MCC} AS mcc, CASE WHEN roc_auc > 0.5 THEN (roc_auc - 0.5) / 0.5 * 100 ELSE 0 END AS improvement FROM ru)"""
+ROLLED = ("horizon", "samples", "tp", "fp", "tn", "fn", "total_trades", "wins", "mcc", "roc_auc", "threshold", "accuracy", "total_return", "max_drawdown", "profit_factor", "consistency", "improvement")
+REALS = ("mcc", "roc_auc", "threshold", "accuracy", "total_return", "max_drawdown", "profit_factor", "consistency", "improvement")
+REALS_SQL = ", ".join(f"round({c}, 4) AS {c}" for c in REALS)
+register("a19_a20_roll_up", lambda s, d: shown(backtest.roll_up(fold_rows(s, d), ["symbol"]), "symbol", "folds", *ROLLED, digits=4), ROLL + f" SELECT symbol, folds, horizon, samples, tp, fp, tn, fn, total_trades, wins, {REALS_SQL} FROM rr")
+
+
+def two_halves(spark, sf_dir) -> DataFrame:
+    """Series rows in two groups, by the length of the symbol's name."""
+    return backtest.roll_up(fold_rows(spark, sf_dir), ["symbol"]).withColumn("half", F.length("symbol") % 2)
+
+
+register("a40_across_symbols", lambda s, d: shown(backtest.across_symbols(two_halves(s, d), ["half"]), "half", "series", *ROLLED, digits=4),
+         ROLL + f", ag AS (SELECT length(symbol)::INT % 2 AS half, count(*) AS series, min(mcc) AS worst, {SUMS_SQL}, avg(accuracy) AS accuracy, avg(total_return) AS total_return, avg(profit_factor) AS profit_factor, avg(consistency) AS consistency, avg(improvement) AS improvement, max(max_drawdown) AS max_drawdown FROM rr WHERE total_trades > 0 GROUP BY half), mm AS (SELECT *, {MCC} AS mcc FROM ag WHERE worst >= -0.1) SELECT half, series, horizon, samples, tp, fp, tn, fn, total_trades, wins, {REALS_SQL} FROM mm")
+register("a41_average_objective", lambda s, d: shown(backtest.average_objective(two_halves(s, d), ["half"], F.when(F.col("mcc") > -0.05, F.col("mcc"))).withColumn("rejected", F.col("objective") == float("-inf")).withColumn("objective", F.when(~F.col("rejected"), F.col("objective"))), "half", "objective", "rejected", digits=4),
+         ROLL + " SELECT length(symbol)::INT % 2 AS half, CASE WHEN min(mcc) > -0.05 THEN round(avg(mcc), 4) END AS objective, min(mcc) <= -0.05 AS rejected FROM rr GROUP BY half")
+register("a42_data_usage", lambda s, d: backtest.data_usage(backtest.folds(bars(s, d), **FOLDS)).drop("interval"),
+         f"WITH {BARS}, {FOLD_SQL} SELECT symbol, count(*) AS folds, CAST(sum(train_end - train_start) AS BIGINT) AS train_bars, CAST(sum(test_end - test_start) AS BIGINT) AS test_bars, max(test_end) AS last_bar, false AS overlap, min(test_start - train_end) AS least_gap FROM folds GROUP BY symbol")
