@@ -121,12 +121,9 @@ def bars_since(condition: Column) -> Column:
     return i - F.last(F.when(condition, i), ignorenulls=True).over(so_far())
 
 
-def value_when(condition: Column, x: Column, k: int = 0) -> Column:
-    """x at the k-th most recent bar where the condition held (0: the latest)."""
-    if not k:
-        return F.last(F.when(condition, F.struct(x.alias("v"))), ignorenulls=True).over(so_far())["v"]
-    held = F.collect_list(F.when(condition, F.struct(x.alias("v")))).over(so_far())
-    return F.when(F.size(held) > k, F.try_element_at(held, F.lit(-(k + 1)))["v"])
+def value_when(condition: Column, x: Column) -> Column:
+    """x at the latest bar where the condition held."""
+    return F.last(F.when(condition, F.struct(x.alias("v"))), ignorenulls=True).over(so_far())["v"]
 
 
 def cum(x: Column) -> Column:
@@ -174,6 +171,15 @@ def forward_return(close: Column, h: int) -> Column:
 # Functions that need a windowed column before they can be windowed themselves.
 
 
+def with_value_when(bars: DataFrame, condition: Column, x: Column, k: int, out: str) -> DataFrame:
+    """x at the k-th most recent bar where the condition held (0: the latest): a lag among these
+    bars alone, carried on to the others. No list of them is kept."""
+    b = bars.withColumns({"__held": F.coalesce(condition, F.lit(False)), "__x": F.struct(x.alias("v"))})
+    among = Window.partitionBy("symbol", "interval", "__held").orderBy("timestamp")
+    b = b.withColumn("__kth", F.when(F.col("__held"), F.lag("__x", k).over(among)))
+    return b.withColumn(out, F.last("__kth", ignorenulls=True).over(so_far())["v"]).drop("__held", "__x", "__kth")
+
+
 def with_efficiency(bars: DataFrame, n: int, out: str = "efficiency") -> DataFrame:
     """Net change over the path walked; 0 where that is not known."""
     x = F.col("close")

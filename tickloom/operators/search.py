@@ -7,6 +7,7 @@ the width of a job is trials times series. The driver only sees one row per tria
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -14,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions import series
-from tickloom.operators import backtest
+from tickloom.operators import backtest, indicators, stats
 from tickloom.operators.script import optimizable
+from tickloom.sources import bars as source
 
 #: Most trials of one batch, the bound of what is broadcast.
 MAX_BATCH = 4096
@@ -99,9 +101,54 @@ def crossover_returns(bars: DataFrame, trials: DataFrame, horizon: int = 6, min_
     return per.groupBy("trial_id").agg(F.when(F.min("n") < min_trades, F.lit(float("-inf"))).otherwise(F.avg("r")).alias("objective"), F.sum("n").alias("trades"))
 
 
-def search(evaluate: Callable[[DataFrame], DataFrame], spark: SparkSession, space: Space, batches: int, batch_size: int, sampler: str = "parzen", seed: int = 42, patience: int = 3, start: dict | None = None) -> list[tuple[dict, float]]:
-    """Batches of trials until they run out or `patience` batches bring nothing better. Returns all
-    trials in order, with their objectives. `start` is tried first."""
+def walk_forward_objective(
+    signals: Callable[[DataFrame], DataFrame], bars: DataFrame, trials: DataFrame, horizons: list[int], n_folds: int, embargo: int, min_train: int = 30, min_test: int = 100, interval_hours: float = 1.0
+) -> DataFrame:
+    """(trial_id, objective) of every trial in one job: all trials' signals are evaluated walk-forward
+    side by side, folds are rolled up per series, and the objective is the mean over a trial's
+    series, of which one rejected rejects the trial. signals: bars with a trial's parameters to bars
+    with main_value and the signal columns."""
+    rows = signals(fan_out(bars, trials))
+    per_fold = backtest.fold_metrics(rows, horizons, n_folds, embargo, min_train, min_test, interval_hours=interval_hours)
+    series_rows = backtest.roll_up(per_fold, backtest.KEY).withColumn("trial_id", F.element_at(F.split("interval", "#"), -1).cast("long"))
+    low, _ = stats.mcc_interval(F.col("mcc"), F.col("samples"))
+    score = stats.objective(F.col("mcc"), F.col("roc_auc"), F.col("samples"), F.col("consistency"), low)
+    found = backtest.average_objective(series_rows, ["trial_id"], score)
+    return trials.select("trial_id").join(found, "trial_id", "left").select("trial_id", F.coalesce("objective", F.lit(float("-inf"))).alias("objective"))
+
+
+def crossing_means(rows: DataFrame) -> DataFrame:
+    """Signals of trials with `fast` and `slow`: crossings of two averages of these lengths, by sums
+    so far at the two ends of each; main_value is their distance relative to the close."""
+    lengths = rows.agg(F.greatest(F.max("fast"), F.max("slow")).cast("int")).first()[0] or 1
+    b = rows.withColumn("__s", F.sum("close").over(series.so_far()))
+    b = b.withColumn("__h", F.collect_list("__s").over(series.so_far().rowsBetween(-lengths, 0)))
+    means = {}
+    for name in ("fast", "slow"):
+        n, size = F.col(name).cast("int"), F.size("__h")
+        before = F.when(size > n, F.try_element_at("__h", size - n)).when(size == n, F.lit(0.0))
+        means[f"__{name}"] = F.when(F.col("bar_index") >= n - 1, (F.col("__s") - before) / n)
+    b = b.withColumns(means).withColumn("main_value", F.try_divide(F.col("__fast") - F.col("__slow"), F.col("close")))
+    return indicators.directional(b.drop("__s", "__h", "__fast", "__slow"))
+
+
+def schedule(interval_hours: float, n_bars: int) -> dict:
+    """Folds, embargo and least trades for bars of a length: three days of embargo, three bars at
+    least; fewer folds for daily bars and short series."""
+    return {"n_folds": 3 if interval_hours >= 24 or n_bars < 1500 else 5, "embargo": max(3, round(72 / interval_hours)), "min_trades": 2 if interval_hours >= 24 else 5 if interval_hours >= 4 else 10}
+
+
+def lockbox(evaluate: Callable[[DataFrame, DataFrame], DataFrame], bars: DataFrame, start: dict, best: dict, ratio: float, gap: int) -> DataFrame:
+    """(trial_id, objective) of the start (0) and the best (1) vector on bars no search has seen:
+    the end of each series, after a gap. No rows where a series is too short for one."""
+    held = source.holdout_split(bars, ratio, gap).where("part = 'holdout'").drop("part", "bar_index")
+    return evaluate(source.indexed(held), trial_rows(bars.sparkSession, [start, best]))
+
+
+def search(evaluate: Callable[[DataFrame], DataFrame], spark: SparkSession, space: Space, batches: int, batch_size: int, sampler: str = "parzen", seed: int = 42, patience: int = 3, start: dict | None = None, seconds: float = math.inf) -> list[tuple[dict, float]]:
+    """Batches of trials until they or the time run out, or `patience` batches bring nothing better.
+    Returns all trials in order, with their objectives. `start` is tried first."""
+    began = time.monotonic()
     rng = np.random.default_rng(seed)
     seen: list[tuple[dict, float]] = []
     best, idle = -math.inf, 0
@@ -113,6 +160,6 @@ def search(evaluate: Callable[[DataFrame], DataFrame], spark: SparkSession, spac
         seen += [(v, found.get(i, -math.inf)) for i, v in enumerate(vectors)]
         top = max(x for _, x in seen)
         best, idle = (top, 0) if top > best else (best, idle + 1)
-        if idle >= patience:
+        if idle >= patience or time.monotonic() - began > seconds:
             break
     return seen

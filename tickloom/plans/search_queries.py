@@ -49,14 +49,6 @@ def scripts(spark, sf_dir: str) -> DataFrame:
     return rows.select(F.col("n_name").alias("script"), body.alias("body"))
 
 
-def member_rules(spark, sf_dir: str) -> DataFrame:
-    b = bars(spark, sf_dir)
-    c, mean = F.col("close"), series.sma(F.col("close"), 5)
-    rules = {"trend": (c > mean, c < mean), "body": (c > F.col("open"), c < F.col("open")), "move": (series.change(c) > 0, series.change(c) < 0)}
-    each = F.array(*[F.struct(F.lit(n).alias("member"), F.coalesce(x, F.lit(False)).alias("buy"), F.coalesce(y, F.lit(False)).alias("sell")) for n, (x, y) in rules.items()])
-    return b.select("*", each.alias("each")).select(*KEY, "bar_index", F.inline("each"))
-
-
 def trial_means(spark, sf_dir: str) -> DataFrame:
     """Mean distance of close from its average of each trial's length: one row per trial and symbol."""
     trials = search.grid(spark, {"length": (5.0, 20.0, 5.0)}).withColumn("trial_id", F.col("length").cast("long"))
@@ -92,13 +84,31 @@ register("search_space_size", lambda s, d: script.space_size(script.optimizable(
 register("j03_trial_fan_out", trial_means,
          f"WITH {BARS}" + ", t AS (" + " UNION ALL ".join(f"SELECT {n}::BIGINT AS trial_id, symbol, close, {sql.sma('close', n)} AS mean FROM b" for n in (5, 10, 15, 20)) + ") SELECT trial_id, symbol, round(avg(close - mean), 6) AS distance, count(mean) AS n FROM t GROUP BY ALL")
 register("j05_matrix_todo", matrix_todo, """SELECT CAST(n_nationkey AS VARCHAR) AS symbol, i AS "interval" FROM nation, (VALUES ('1d'), ('4h')) v(i) WHERE NOT (i = '1d' AND n_nationkey IN (SELECT s_nationkey % 3 FROM supplier))""")
-register("ensemble_votes", lambda s, d: ensemble.votes(member_rules(s, d)).select("symbol", "bar_index", *[F.round(c, 6).alias(c) for c in ("buy_ratio", "sell_ratio", "strength")], "buy_signal", "sell_signal"),
-         f"""WITH {BARS}, m AS (SELECT *, {sql.sma('close', 5)} AS mean, close - coalesce(lag(close) OVER {LAG}, close) AS move FROM b),
-v AS (SELECT symbol, bar_index, (coalesce(close > mean, false)::INT + (close > open)::INT + (move > 0)::INT) / 3::DOUBLE AS up, (coalesce(close < mean, false)::INT + (close < open)::INT + (move < 0)::INT) / 3::DOUBLE AS down FROM m)
-SELECT symbol, bar_index, round(up, 6) AS buy_ratio, round(down, 6) AS sell_ratio, round(up - down, 6) AS strength, up > 0.5 AS buy_signal, down > 0.5 AS sell_signal FROM v""")
 register("ensemble_pool", lambda s, d: ensemble.pool(results(s, d), 3, 0.1).select("name", "symbol", "rank", F.col("members").cast("long").alias("members"), F.round("score", 6).alias("score")),
          """WITH r AS (SELECT s_name AS name, CAST(s_nationkey % 3 AS VARCHAR) AS symbol, s_acctbal / 10000 AS score FROM supplier WHERE s_acctbal / 10000 >= 0.1),
 k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, name) AS rank, count(*) OVER (PARTITION BY symbol) AS members FROM r)
 SELECT name, symbol, rank::INT AS rank, members, round(score, 6) AS score FROM k WHERE rank <= 3 AND members >= 2""")
 register("leaderboard", lambda s, d: results(s, d).orderBy(F.desc("mcc"), "name").limit(10).select("name", F.round("mcc", 6).alias("mcc")),
          "SELECT s_name AS name, round(s_acctbal / 10000, 6) AS mcc FROM supplier ORDER BY s_acctbal DESC, s_name LIMIT 10")
+
+
+def trial_objectives(spark, sf_dir: str) -> DataFrame:
+    """Objective of every crossing of two averages in a grid, on the 4-hour bars, by one job."""
+    trials = search.grid(spark, {"fast": (3.0, 6.0, 3.0), "slow": (10.0, 20.0, 10.0)}).withColumn("trial_id", (F.col("fast") * 100 + F.col("slow")).cast("long"))
+    found = search.walk_forward_objective(search.crossing_means, bars(spark, sf_dir), trials, [1, 3, 6], 2, 5, 1, 30, 4.0)
+    return found.withColumn("rejected", F.col("objective") == float("-inf")).withColumn("objective", F.round(F.when(~F.col("rejected"), F.col("objective")), 4))
+
+
+def trial_returns(spark, sf_dir: str) -> DataFrame:
+    """Mean profit of every crossing of the grid."""
+    trials = search.grid(spark, {"fast": (3.0, 6.0, 3.0), "slow": (10.0, 20.0, 10.0)}).withColumn("trial_id", (F.col("fast") * 100 + F.col("slow")).cast("long"))
+    return search.crossover_returns(bars(spark, sf_dir), trials, 6, 1).withColumn("objective", F.round("objective", 4))
+
+
+register("o06_trial_objectives", trial_objectives)
+_TRIALS = ", t AS (" + " UNION ALL ".join(f"SELECT {100 * f + s}::BIGINT AS trial_id, symbol, bar_index, close, lead(close, 6) OVER {LAG} AS later, {sql.sma('close', f)} AS f, {sql.sma('close', s)} AS s FROM b" for f in (3, 6) for s in (10, 20)) + ")"
+_PAST = "OVER (PARTITION BY trial_id, symbol ORDER BY bar_index)"
+register("j03_a41_trial_returns", trial_returns,
+         f"""WITH {BARS}{_TRIALS}, x AS (SELECT *, lag(f) {_PAST} <= lag(s) {_PAST} AND f > s AS up, lag(f) {_PAST} >= lag(s) {_PAST} AND f < s AS down FROM t),
+p AS (SELECT trial_id, symbol, avg(CASE WHEN up THEN 1 ELSE -1 END * (later - close) / close * 100) AS r, count(*) AS n FROM x WHERE (up OR down) AND later IS NOT NULL GROUP BY ALL)
+SELECT trial_id, round(avg(r), 4) AS objective, CAST(sum(n) AS BIGINT) AS trades FROM p GROUP BY trial_id""")

@@ -152,7 +152,8 @@ simple(
 VALUE = f"list(close) FILTER (close > open) OVER {CUM}"
 simple(
     "w23_value_when", r(f"list_extract({VALUE}, -1)", "latest") + ", " + r(f"list_extract({VALUE}, -3)", "third"),
-    columns=lambda b: dict(latest=series.value_when(b.close > b["open"], b.close), third=series.value_when(b.close > b["open"], b.close, 2)),
+    columns=lambda b: dict(latest=series.value_when(b.close > b["open"], b.close), third=F.col("third")),
+    prepare=lambda d: series.with_value_when(d, d.close > d["open"], d.close, 2, "third"),
 )
 simple(
     "w24_cum", r(f"coalesce(sum(volume) OVER {CUM}, 0)", "total"),
