@@ -89,7 +89,8 @@ class Fitted:
         merged = pa.Table.from_pylist(rows, keep.schema)
         answers = pa.concat_tables([language_model._answer(merged.filter(pa.array(merged["shard"].to_numpy() == s)), 1, self.bits) for s in (0, 1)])
         answers = answers.filter(pa.array(answers["chunk"].to_numpy() == (0 if training else 1)))
-        c, states = language_model._answered(tokens, answers, 1, self.bits)
+        c = language_model._answered(tokens.hash, answers, 0, 1, np.int64)
+        states = language_model._answered(tokens.keys(self.bits), answers, 1, 1, np.uint8)
         decisions = language_model.Decisions(tokens, states, self.tables, training)
         return tokens, language_model.chances(self.mixer, decisions, (c + 1) / (self.mass[tokens.code] + 1), 1.0)
 

@@ -71,14 +71,53 @@ def ending_class(last: np.ndarray, before: np.ndarray) -> np.ndarray:
     return (hashing.mix((last + 257 * before + 1).astype(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+#: Bytes of text whose words are hashed at a time (a longer text is one step).
+HASH_BYTES = 1 << 20
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_BYTES = np.random.default_rng(2_024).integers(0, 1 << 64, 256, np.uint64)
+_FACTOR = 0x9E3779B97F4A7C15
+_POWERS = {f: np.ones(1, np.uint64) for f in (_FACTOR, pow(_FACTOR, -1, 1 << 64))}
+_END_HASH = np.uint64(0x5851F42D4C957F2D)
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    """factor ** 0, 1, ..., n - 1 in 64 bits."""
+    if len(_POWERS[factor]) < n:
+        steps = np.full(max(n, HASH_BYTES + HASH_BYTES // 8), factor, np.uint64)
+        steps[0] = 1
+        _POWERS[factor] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS[factor][:n]
+
+
+def word_table(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, classes, lengths) of the words of some texts in one run, and how many each text has.
+    A word's hash is a polynomial of random numbers for its bytes, from prefix sums, then mixed."""
+    raw = np.frombuffer(b" " + b" ".join(raws) + b" ", np.uint8)
+    space = _SPACE.take(raw)
+    begin, end = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:])
+    sums = np.cumsum(_BYTES.take(raw) * _powers(_FACTOR, len(raw)), dtype=np.uint64)
+    length = end - begin + 1
+    hashes = (sums[end] - sums[begin - 1]) * _powers(pow(_FACTOR, -1, 1 << 64), len(raw))[begin]
+    hashes = hashing.mix(hashes + length.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    classes = ending_class(raw[end].astype(np.int64), np.where(length > 1, raw[end - 1].astype(np.int64), 256))
+    ends = np.cumsum([len(r) + 1 for r in raws])
+    return hashes, classes, length, np.diff(np.searchsorted(begin, np.append(0, ends) + 1))
+
+
 class Tokens:
     """The tokens of a run of texts: hashes (the class in the lowest bits), classes and contexts."""
 
     def __init__(self, texts: list):
-        raws = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-        words = [r.split() for r in raws]
-        n_words = np.array([len(w) for w in words], np.int64)
-        self.sizes = n_words + 1
+        parts, held, size = [], [], 0
+        for k, text in enumerate(texts):
+            held.append((text or "").encode("utf-8", "surrogatepass").lower())
+            size += len(held[-1]) + 1
+            if size >= HASH_BYTES or k == len(texts) - 1:
+                parts.append(word_table(held))
+                held, size = [], 0
+        hashes, classes, lengths, counts = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+        self.sizes = counts + 1
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
@@ -86,16 +125,13 @@ class Tokens:
         self.at = np.arange(n) - np.repeat(self.starts, self.sizes)
         word = np.ones(n, bool)
         word[self.ends - 1] = False
-        raw = np.frombuffer(b" " + b" ".join(raws) + b" ", np.uint8)
-        space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-        begin, end = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:])
         self.code = np.full(n, int(ending_class(np.array([_END]), np.array([0]))[0]))
-        self.code[word] = ending_class(raw[end].astype(np.int64), np.where(end > begin, raw[end - 1].astype(np.int64), 256))
-        self.hash = np.full(n, hashing.word_hashes([b"\n"])[0], np.uint64)
-        self.hash[word] = np.concatenate([np.zeros(0, np.uint64), *map(hashing.word_hashes, words)])
+        self.code[word] = classes
+        self.hash = np.full(n, _END_HASH, np.uint64)
+        self.hash[word] = hashes
         self.hash = (self.hash & ~_LOW) | self.code.astype(np.uint64)
         self.short = np.zeros(n, bool)
-        self.short[word] = end - begin < SHORT
+        self.short[word] = lengths <= SHORT
 
     def back(self, n: int) -> np.ndarray:
         """Hash of the token n places before; that of the end before a text."""
@@ -143,8 +179,8 @@ class Tokens:
 
         right = np.append(0, np.cumsum(hit))
         count = right[at] - right[last(found & ~hit) + 1]
-        none = last(found) < start
-        return np.where(none, RUNS - 1, np.minimum(np.ceil(np.log2(count + 1)), RUNS - 2)).astype(np.int64)
+        scale = np.append(np.ceil(np.log2(np.arange(1, 1 << (RUNS - 2)))), RUNS - 2).astype(np.int64)
+        return np.where(last(found) < start, RUNS - 1, scale.take(np.minimum(count, len(scale) - 1)))
 
 
 def context_bits(size: int) -> int:
@@ -484,15 +520,12 @@ def _answer(asked: pa.Table, shards: int, bits: int) -> pa.Table:
     return table(out, ANSWER_SCHEMA)
 
 
-def _answered(tokens: Tokens, answers: pa.Table, shards: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each token's training count, and the byte of its key."""
+def _answered(every: np.ndarray, answers: pa.Table, first: int, shards: int, kind) -> np.ndarray:
+    """What the shards from `first` on answered to a chunk's tokens (counts) or keys (bytes)."""
     of = dict(zip(answers.column("shard").to_pylist(), answers.column("answer").to_pylist()))
-    out = []
-    for first, every, kind in ((0, tokens.hash, np.int64), (shards, tokens.keys(bits), np.uint8)):
-        keys, place = np.unique(every, return_inverse=True)
-        values = [unpack(of[first + s], kind) for s, _, _ in shard_runs(keys, shards)]
-        out.append(np.concatenate([np.zeros(0, kind), *values])[place])
-    return out[0], out[1]
+    keys, place = np.unique(every, return_inverse=True)
+    values = [unpack(of[first + s], kind) for s, _, _ in shard_runs(keys, shards)]
+    return np.concatenate([np.zeros(0, kind), *values])[place]
 
 
 def _learn(docs: pa.Table, answers: pa.Table, tables: Tables, shards: int, bits: int) -> pa.Table:
@@ -500,7 +533,7 @@ def _learn(docs: pa.Table, answers: pa.Table, tables: Tables, shards: int, bits:
     if not docs.num_rows:
         return table([], "at long, sums binary")
     mixer, tokens = Mixer(), Tokens(_in_order(docs).column("text").to_pylist())
-    learn(mixer, Decisions(tokens, _answered(tokens, answers, shards, bits)[1], tables, True))
+    learn(mixer, Decisions(tokens, _answered(tokens.keys(bits), answers, shards, shards, np.uint8), tables, True))
     return table([[docs.column("chunk")[0].as_py(), pack(mixer.vector())]], "at long, sums binary")
 
 
@@ -512,11 +545,12 @@ def _score(docs: pa.Table, answers: pa.Table, model: tuple, chunks: int, shards:
     held = docs.column("chunk")[0].as_py() >= chunks
     texts = docs.column("text").to_pylist()
     tokens = Tokens(texts)
-    c, states_ = _answered(tokens, answers, shards, bits)
+    c = _answered(tokens.hash, answers, 0, shards, np.int64)
+    guessed = _answered(tokens.keys(bits), answers, shards, shards, np.uint8)
     ours = np.log10(c + 1)
     base = ours - math.log10(n + v + 1)
     crowd = 1 + v / 2.0 ** (64 - bits)
-    score = chances(mixer, Decisions(tokens, states_, tables, not held), (c + 1) / (mass[tokens.code] + 1), crowd)  # one unknown token a class
+    score = chances(mixer, Decisions(tokens, guessed, tables, not held), (c + 1) / (mass[tokens.code] + 1), crowd)  # one unknown token a class
     sums = [np.add.reduceat(x, tokens.starts).tolist() for x in ((c > 0).astype(np.int64), base, score)]
     sizes = [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
     return table(list(zip(docs.column("doc_id").to_pylist(), [held] * len(texts), tokens.sizes.tolist(), sums[0], sizes, sums[1], sums[2])), SCORE_SCHEMA)
@@ -576,7 +610,7 @@ def language_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_bytes
     shared = spark.sparkContext.broadcast(tables)  # fixed size
     given = answered.where("chunk >= 0").select("chunk", "shard", "answer")
 
-    learnt = texts.cogroup(given.where(F.col("chunk") < chunks).groupBy("chunk")).applyInArrow(
+    learnt = texts.cogroup(given.where((F.col("chunk") < chunks) & (F.col("shard") >= shards)).groupBy("chunk")).applyInArrow(
         lambda d, a: _learn(_training(d, chunks), a, shared.value, shards, bits), "at long, sums binary"
     )
     mixer = Mixer.of(_total(learnt, chunks, fan, Mixer.LENGTH))
