@@ -55,7 +55,7 @@ BLOCK, BATCH, RATE, PRIOR = 64, 4096, 0.02, 2.0
 SHORT = 3
 #: Tokens whose inputs are held at a time; a multiple of BLOCK.
 SPAN = 1 << 15
-CHUNK_BYTES, SHARD_BYTES, FOLDS, HELD_OUT = 8 << 20, 32 << 20, 7, 2
+CHUNK_BYTES, SHARD_BYTES, FOLDS, HELD_OUT = 6 << 20, 32 << 20, 7, 2
 #: Class tables are added in parts, so many chunks at a time.
 _PARTS, FAN = 8, 64
 _UNITS = 1 << 10
