@@ -51,10 +51,15 @@ def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return every[first], (np.add.reduceat(n, first) if len(first) else n)
 
 
+def runs(values: np.ndarray) -> dict[int, tuple[int, int]]:
+    """(from, to) of each value that a sorted array holds."""
+    edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)] if len(values) else []
+    return {int(values[a]): (a, b) for a, b in zip(edges, edges[1:])}
+
+
 def shard_runs(keys: np.ndarray, shards: int):
-    """(shard, from, to) of sorted 64-bit keys; a shard is a range of the upper 32 bits."""
-    edges = (np.arange(1, shards, dtype=np.uint64) * np.uint64((1 << 32) // shards)) << np.uint64(32)
-    bounds = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-    for s, (a, b) in enumerate(zip(bounds, bounds[1:])):
-        if a < b:
-            yield s, a, b
+    """(shard, from, to) of sorted 64-bit keys; a shard is a range of the upper 32 bits. Shards
+    without a key cost nothing, however many there are."""
+    homes = np.minimum((keys >> np.uint64(32)) // np.uint64((1 << 32) // shards), np.uint64(shards - 1))
+    for s, (a, b) in runs(homes).items():
+        yield s, a, b

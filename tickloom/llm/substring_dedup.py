@@ -7,7 +7,7 @@ windows whose cells are both that full (an overestimate: no repeated window is m
 exactly, by 96-bit fingerprints; the first start keeps its words. Pass 3 removes the rest.
 
 Chunks and shards grow in number with the input, never in size. What travels between them is
-sorted and packed, one row per chunk and shard, as many as the blocks of a shuffle.
+sorted and packed, one row for each shard that a chunk touches: never more rows than windows.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import common, hashing
-from tickloom.llm.packed import pack, pack_flags, pack_sorted, table, unpack, unpack_flags, unpack_sorted
+from tickloom.llm.packed import pack, pack_flags, pack_sorted, runs, table, unpack, unpack_flags, unpack_sorted
 
 WINDOW, CHUNK_BYTES, SHARD_BYTES = 20, 4 << 20, 16 << 20
 #: Cells of a shard and row, as a power of two; a shard has under 3 million windows.
@@ -54,13 +54,13 @@ class _Chunk:
         m = hashing.mix(self.high ^ _SEEDS[row])
         return (((m >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32) << np.uint64(CELL_BITS)) | (m & np.uint64((1 << CELL_BITS) - 1))
 
-    def counted(self, row: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cells touched (sorted), whether twice or more, and the bounds of each shard in them."""
+    def counted(self, row: int, shards: int) -> tuple[np.ndarray, np.ndarray, dict]:
+        """Cells touched (sorted), whether twice or more, and the bounds of each touched shard."""
         ordered = np.sort(self.cells(row, shards))
         first = np.flatnonzero(np.diff(ordered, prepend=ordered[:1] + np.uint64(1)) != 0) if len(ordered) else np.zeros(0, np.int64)
         found = ordered[first]
         twice = np.diff(first, append=len(ordered)) > 1
-        return found, twice, np.searchsorted(found, np.arange(shards + 1, dtype=np.uint64) << np.uint64(CELL_BITS))
+        return found, twice, runs(found >> np.uint64(CELL_BITS))
 
 
 def _sketch(group: pa.Table, window: int, shards: int) -> pa.Table:
@@ -68,13 +68,12 @@ def _sketch(group: pa.Table, window: int, shards: int) -> pa.Table:
     low = np.uint64((1 << CELL_BITS) - 1)
     rows = [own.counted(r, shards) for r in (0, 1)]
     out = []
-    for s in range(shards):
+    for s in sorted(rows[0][2].keys() | rows[1][2].keys()):
         line = [s, chunk]
         for cells, twice, bounds in rows:
-            a, b = bounds[s], bounds[s + 1]
+            a, b = bounds.get(s, (0, 0))
             line += [pack_sorted((cells[a:b] & low).astype(np.uint32)), pack_flags(twice[a:b])]
-        if any(bounds[s] < bounds[s + 1] for _, _, bounds in rows):
-            out.append(line)
+        out.append(line)
     return table(out, SKETCH_SCHEMA)
 
 
@@ -99,7 +98,7 @@ def _estimated(own: _Chunk, answers: dict, shards: int) -> np.ndarray:
         cells, _, bounds = own.counted(row, shards)
         full = np.zeros(len(cells), bool)
         for s, raw in zip(answers["shard"], answers[f"full{row}"]):
-            a, b = bounds[s], bounds[s + 1]
+            a, b = bounds.get(s, (0, 0))
             full[a:b] = unpack_flags(raw, b - a)
         keys = own.cells(row, shards)
         out &= full[np.searchsorted(cells, keys)] if len(cells) else False
@@ -108,7 +107,7 @@ def _estimated(own: _Chunk, answers: dict, shards: int) -> np.ndarray:
 
 def _repeated(own: _Chunk, answers: dict, shards: int):
     """Windows estimated repeated, by fingerprint and place: their order, which of them are the
-    first of their fingerprint in the chunk, and the shard bounds of those firsts."""
+    first of their fingerprint in the chunk, and the bounds of those firsts in each shard."""
     at = np.flatnonzero(_estimated(own, answers, shards))
     home = own.cells(0, shards)[at] >> np.uint64(CELL_BITS)
     order = at[np.lexsort((at, own.low[at], own.high[at], home))]
@@ -116,7 +115,7 @@ def _repeated(own: _Chunk, answers: dict, shards: int):
     first = np.ones(len(order), bool)
     first[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
     homes = own.cells(0, shards)[order[first]] >> np.uint64(CELL_BITS)
-    return order, first, np.searchsorted(homes, np.arange(shards + 1, dtype=np.uint64))
+    return order, first, runs(homes)
 
 
 def _candidates(docs: pa.Table, answers: pa.Table, window: int, shards: int) -> pa.Table:
@@ -128,7 +127,8 @@ def _candidates(docs: pa.Table, answers: pa.Table, window: int, shards: int) ->
     ids = np.array([np.iinfo(np.int64).min if i is None else i for i in own.ids], np.int64)
     out = []
     for s, full0, full1 in zip(answers["shard"], answers["full0"], answers["full1"]):
-        mine = firsts[bounds[s] : bounds[s + 1]]
+        a, b = bounds.get(s, (0, 0))
+        mine = firsts[a:b]
         owners, owner = np.unique(own.doc[mine], return_inverse=True)
         out.append([s, chunk, full0, full1, len(mine), pack_sorted(own.high[mine]), own.low[mine].tobytes(), pack(owner.astype(np.uint32)), pack_sorted(ids[owners])])
     return table(out, WINDOW_SCHEMA)
@@ -158,7 +158,7 @@ def _remove(docs: pa.Table, answers: pa.Table, window: int, shards: int) -> pa.T
     order, first, bounds = _repeated(own, answers, shards)
     later = np.zeros(int(first.sum()), bool)
     for s, raw in zip(answers["shard"], answers["later"]):
-        a, b = bounds[s], bounds[s + 1]
+        a, b = bounds.get(s, (0, 0))
         later[a:b] = unpack_flags(raw, b - a)
     gone = ~first
     gone[first] = later
