@@ -15,11 +15,12 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 KEY = ["symbol", "interval"]
 
 
-def smooth(x: np.ndarray, alpha: float, n: int) -> np.ndarray:
+def smooth_on(x: np.ndarray, alpha: float, n: int, state: tuple[float, float, int] = (0.0, 0.0, 0)) -> tuple[np.ndarray, tuple[float, float, int]]:
     """Exponential mean seeded by the first value. A gap lets the old mean fade: its weight shrinks
-    by 1 - alpha with each row. Missing until n values were seen; later gaps carry the mean on."""
+    by 1 - alpha with each row. Missing until n values were seen; later gaps carry the mean on.
+    With the state (mean, weight, values seen) after the last row, from which it can go on."""
     out = np.full(len(x), np.nan)
-    mean, weight, seen = 0.0, 0.0, 0
+    mean, weight, seen = state
     for i, v in enumerate(x.tolist()):
         weight *= 1 - alpha
         if v == v:
@@ -27,7 +28,11 @@ def smooth(x: np.ndarray, alpha: float, n: int) -> np.ndarray:
             weight, seen = 1.0, seen + 1
         if seen >= n:
             out[i] = mean
-    return out
+    return out, (mean, weight, seen)
+
+
+def smooth(x: np.ndarray, alpha: float, n: int) -> np.ndarray:
+    return smooth_on(x, alpha, n)[0]
 
 
 def ema(x: np.ndarray, n: int) -> np.ndarray:
