@@ -13,6 +13,7 @@ from tickloom.plans.registry import register
 from tickloom.plans.series_queries import bars
 from tickloom.plans.sql import BARS, LAG, rows
 from tickloom.sources import bars as source
+from tickloom.sources import results as stored_results
 
 KEYS, METRICS = ["symbol", "fold"], ["mcc", "profit_factor", "accuracy"]
 
@@ -102,3 +103,32 @@ for rule, held in (("majority", "{x} > 0.5"), ("weighted", "{x} >= 0.375"), ("un
              lambda s, d, rule=rule: shown(ensemble.votes(ensemble.members(bars(s, d)).where(F.col("member").isin(list(_RULES))), rule, 0.375), "symbol", "bar_index", "buy_ratio", "sell_ratio", "strength", "buy_signal", "sell_signal"),
              f"WITH {BARS}, {_STEPS}, e AS ({_EVERY}), v AS (SELECT symbol, bar_index, avg(buy) AS up, avg(sell) AS down FROM e GROUP BY ALL) SELECT symbol, bar_index, round(up, 6) AS buy_ratio, round(down, 6) AS sell_ratio, round(up - down, 6) AS strength, {held.format(x='up')} AS buy_signal, {held.format(x='down')} AS sell_signal FROM v")
 register("e01_recursive_members", lambda s, d: ensemble.recursive_members(bars(s, d)).select("symbol", "bar_index", "member", "buy", "sell"))
+
+
+ROW = "file_name string, symbol string, interval string, mcc double"
+
+
+def stored(spark, sf_dir: str) -> DataFrame:
+    """Scores of suppliers written as JSON documents, one a symbol, and read from them."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    rows = s.select(F.when(F.col("s_suppkey") % 7 != 0, F.concat("s_name", F.lit(".pine"))).alias("file_name"), (F.col("s_nationkey") % 3).cast("string").alias("symbol"), F.lit("1d").alias("interval"), F.round(F.col("s_acctbal") / 10000, 6).alias("mcc"))
+    return stored_results.matrix(stored_results.documents(rows, ["symbol"], F.lit("a")), "value", ROW)
+
+
+def reports(spark, sf_dir: str) -> DataFrame:
+    """A text report for each nation."""
+    k = F.col("n_nationkey")
+    body = F.concat(
+        F.lit("ML OPTIMIZATION REPORT: "), F.col("n_name"), F.lit("\n\nOptimization config:\n  Strategy: tpe\n  Max trials: "), (k + 10).cast("string"), F.lit("\n\nNot: a setting\nPERFORMANCE COMPARISON\n----------\nMetric        Original    Optimized   Change\nTotal Trades  1,"),
+        F.lpad(k.cast("string"), 3, "0"), F.lit("       N/A         -\nWin Rate      50.0%       "), (k + 40).cast("string"), F.lit("%         +1\n\nOverall Performance\nMCC  1  2  3\n"),
+    )
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("report"), body.alias("body"))
+
+
+register("s16_s18_stored_results", stored,
+         """SELECT 'a' AS run, s_name || '.pine' AS file_name, CAST(s_nationkey % 3 AS VARCHAR) AS symbol, '1d' AS "interval", round(s_acctbal / 10000, 6) AS mcc FROM supplier WHERE s_suppkey % 7 <> 0""")
+register("s19_report_comparison", lambda s, d: shown(stored_results.comparison(reports(s, d), "body", ["report"]), "report", "metric", "before", "after", digits=6),
+         """SELECT n_name AS report, 'total_trades' AS metric, 1000.0::DOUBLE + n_nationkey AS before, NULL::DOUBLE AS after FROM nation
+UNION ALL SELECT n_name, 'win_rate', 0.5::DOUBLE, round((n_nationkey + 40) / 100.0::DOUBLE, 6) FROM nation""")
+register("s19_report_settings", lambda s, d: stored_results.settings(reports(s, d), "body", ["report"]),
+         "SELECT n_name AS report, 'Strategy' AS name, 'tpe' AS value FROM nation UNION ALL SELECT n_name, 'Max trials', CAST(n_nationkey + 10 AS VARCHAR) FROM nation")
