@@ -121,3 +121,30 @@ def with_streak(bars: DataFrame) -> DataFrame:
     bars = bars.withColumn("__run", F.sum("__turn").over(series.so_far()))
     place = F.row_number().over(Window.partitionBy("symbol", "interval", "__run").orderBy("timestamp"))
     return bars.withColumn("streak", F.col("__sign") * place).drop("__sign", "__turn", "__run")
+
+
+def with_swings(bars: DataFrame) -> DataFrame:
+    """bars with swing, how far close and body moved relative to the larger reach from the close
+    before (0 without a bar before), and swings, its sum so far."""
+    w = series.by_series()
+    was, opened = F.lag("close").over(w), F.lag("open").over(w)
+    reach = F.greatest(F.abs(F.col("high") - was), F.abs(F.col("low") - was))
+    moved = (F.col("close") - was) + 0.5 * (F.col("close") - F.col("open")) + 0.25 * (was - opened)
+    bars = bars.withColumn("swing", F.coalesce(50 * moved / F.when(reach == 0, 1.0).otherwise(reach), F.lit(0.0)))
+    return bars.withColumn("swings", F.sum("swing").over(series.so_far()))
+
+
+def laguerre(x: np.ndarray, gain: float = 0.5) -> np.ndarray:
+    """Share of the falls from each of four chained filters to the next, 0 to 1; the filters start
+    at zero, and a missing value leaves them where they are."""
+    out, stages = np.full(len(x), np.nan), [0.0] * 4
+    for i, v in enumerate(x.tolist()):
+        if v == v:
+            now = [(1 - gain) * v + gain * stages[0]]
+            for k in range(1, 4):
+                now.append(stages[k - 1] + gain * (stages[k] - now[k - 1]))
+            stages = now
+        steps = [a - b for a, b in zip(stages, stages[1:])]
+        total = sum(map(abs, steps))
+        out[i] = sum(s for s in steps if s > 0) / total if total else 0.0
+    return out

@@ -83,6 +83,16 @@ def summary(rows: DataFrame, keys: list[str], objective: str, seconds: str) -> D
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.max(x).alias("best"), F.min(x).alias("worst"), F.avg(t).alias("mean_seconds"), F.sum(t).alias("total_seconds"))
 
 
+def by_folder(paths: DataFrame, column: str, ending: str = ".pine") -> DataFrame:
+    """(folder, n): files of an ending in each folder."""
+    return paths.where(F.col(column).endswith(ending)).groupBy(F.regexp_extract(column, "^(.*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("n"))
+
+
+def time_budgets(scripts: DataFrame, seconds: float, least: float = 60.0) -> DataFrame:
+    """Scripts with an equal share of the time, `least` seconds at least."""
+    return scripts.withColumn("seconds", F.lit(max(seconds / max(scripts.count(), 1), float(least))))
+
+
 def canonical(params: Column) -> Column:
     """A map of parameters as JSON text with its keys in order: equal maps have equal texts."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(params))))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _DISPLAY = "(?i)show|display|color|style|size|line"
+#: Parts of the names of inputs that only change how a script looks.
+_LOOKS = ("color", "show", "display", "plot", "line", "fill", "style", "width", "offset", "transp", "opacity")
 _NUMBER = r"-?\d+(?:\.\d+)?"
 
 
@@ -44,6 +46,11 @@ def optimizable(params: DataFrame) -> DataFrame:
     return params.where(~F.col("name").rlike(_DISPLAY) & ~F.col("title").rlike(_DISPLAY))
 
 
+def member_inputs(params: DataFrame) -> DataFrame:
+    """Inputs that a member brings into an ensemble: all but those of its looks."""
+    return params.where(~F.lower("name").rlike("|".join(_LOOKS)))
+
+
 def eligible(params: DataFrame, least: int = 2) -> DataFrame:
     """Scripts with enough parameters to search."""
     return optimizable(params).groupBy("script").agg(F.count("*").alias("n_params")).where(F.col("n_params") >= least)
@@ -73,3 +80,40 @@ def rewrite_default(body: Column, name: Column, value: Column) -> Column:
     """The script with the default of one input replaced."""
     pattern = F.concat(F.lit(r"(\b"), name, F.lit(rf"\s*=\s*input\.(?:int|float)\s*\(\s*(?:defval\s*=\s*)?){_NUMBER}"))
     return F.regexp_replace(body, pattern, F.concat(F.lit("$1"), value.cast("string")))
+
+
+def number_text(x: Column) -> Column:
+    """A number as a script's default: more digits the smaller it is."""
+    size = F.abs(x)
+    return F.when(size < 0.01, F.format_string("%.6f", x)).when(size < 1, F.format_string("%.4f", x)).otherwise(F.format_string("%.2f", x))
+
+
+def optimised(body: Column, values: Column, header: Column) -> Column:
+    """The script with the defaults of a map (name to double), its header after the version line (or
+    before all) and `Optimised` before its title. Names without an input change nothing."""
+
+    def replaced(text: Column, kv: Column) -> Column:
+        for kind, value in (("int", kv["value"].cast("long").cast("string")), ("float", number_text(kv["value"])), ("bool", F.when(kv["value"] != 0, "true").otherwise("false"))):
+            pattern = F.concat(F.lit(r"(\b\Q"), kv["key"], F.lit(rf"\E\s*=\s*input\.{kind}\s*\(\s*(?:defval\s*=\s*)?)(?:{_NUMBER}|true|false)"))
+            text = F.regexp_replace(text, pattern, F.concat(F.lit("$1"), value))
+        return text
+
+    text = F.aggregate(F.map_entries(F.coalesce(values, F.create_map().cast("map<string,double>"))), body, replaced)
+    text = F.regexp_replace(text, r"""(indicator\s*\(\s*(?:title\s*=\s*)?["'])(?!Optimised )""", "$1Optimised ")
+    version = F.regexp_extract(text, r"//@version=\d+", 0)
+    at = F.instr(text, "//@version=") - 1 + F.length(version)
+    return F.when(version == "", F.concat(header, F.lit("\n"), text)).otherwise(F.concat(F.substring(text, F.lit(1), at), F.lit("\n"), header, F.substring(text, at + 1, F.length(text))))
+
+
+def calculations(scripts: DataFrame) -> DataFrame:
+    """(script, line_no, name, expression) of assignments that call the series or number functions."""
+    pattern = r"^\s*(?:var\s+)?(?:\w+\s+)?(\w+)\s*:?=\s*(.*\b(?:ta|math)\.\w+.*)$"
+    rows = script_lines(scripts).where(F.col("line").rlike(pattern))
+    return rows.select("script", "line_no", F.regexp_extract("line", pattern, 1).alias("name"), F.trim(F.regexp_extract("line", pattern, 2)).alias("expression"))
+
+
+def described(scripts: DataFrame) -> DataFrame:
+    """(script, overlay, functions): whether it draws on the prices, and the functions it defines."""
+    body = F.col("body")
+    named = F.regexp_extract_all(body, F.lit(r"(?m)^[ \t]*(\w+)\s*\([^)\n]*\)\s*=>"), F.lit(1))
+    return scripts.select("script", body.rlike(r"(?i)overlay\s*=\s*true").alias("overlay"), named.alias("functions"))

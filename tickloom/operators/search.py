@@ -145,6 +145,34 @@ def lockbox(evaluate: Callable[[DataFrame, DataFrame], DataFrame], bars: DataFra
     return evaluate(source.indexed(held), trial_rows(bars.sparkSession, [start, best]))
 
 
+#: How the first of two stages evaluates.
+COARSE = {"n_folds": 2, "embargo": 5, "min_trades": 2, "horizons": [1, 2, 3, 5, 8, 13]}
+
+
+def first_series(bars: DataFrame) -> DataFrame:
+    """The bars of the first series by symbol and interval."""
+    key = bars.agg(F.min(F.struct("symbol", "interval")).alias("key")).first()["key"]
+    return bars.where((F.col("symbol") == key["symbol"]) & (F.col("interval") == key["interval"])) if key else bars
+
+
+def two_stages(evaluate: Callable[[DataFrame, DataFrame, dict], DataFrame], bars: DataFrame, space: Space, batches: int, batch_size: int, fine: dict, seconds: float = math.inf, **more) -> tuple[list, list]:
+    """Half of the batches and of the time on the first series, evaluated coarsely; then the rest on
+    all bars, where the best vector of the first half is tried first. Returns the trials of both."""
+    spark, half = bars.sparkSession, max(1, batches // 2)
+    small = first_series(bars)
+    coarse = search(lambda trials: evaluate(small, trials, COARSE), spark, space, half, batch_size, seconds=seconds / 2, **more)
+    best = max(coarse, key=lambda x: x[1])[0]
+    return coarse, search(lambda trials: evaluate(bars, trials, fine), spark, space, max(1, batches - half), batch_size, seconds=seconds / 2, **more | {"start": best})
+
+
+def settled(evaluate: Callable[[DataFrame], DataFrame], spark: SparkSession, start: dict, best: dict) -> tuple[dict, float, float]:
+    """Start and best vector evaluated again, with all horizons: the one that stays (the start unless
+    the best is better), and the objectives of both."""
+    found = {r["trial_id"]: r["objective"] for r in evaluate(trial_rows(spark, [start, best])).collect()}  # two rows
+    old, new = found.get(0, -math.inf), found.get(1, -math.inf)
+    return (best if new > old else start), old, new
+
+
 def search(evaluate: Callable[[DataFrame], DataFrame], spark: SparkSession, space: Space, batches: int, batch_size: int, sampler: str = "parzen", seed: int = 42, patience: int = 3, start: dict | None = None, seconds: float = math.inf) -> list[tuple[dict, float]]:
     """Batches of trials until they or the time run out, or `patience` batches bring nothing better.
     Returns all trials in order, with their objectives. `start` is tried first."""

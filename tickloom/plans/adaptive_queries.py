@@ -53,3 +53,15 @@ register("f08_streak", lambda s, d: adaptive.with_streak(bars(s, d)).select(*KEY
 k AS (SELECT symbol, bar_index, s, s AS streak FROM t WHERE bar_index = 0 UNION ALL
 SELECT t.symbol, t.bar_index, t.s, CASE WHEN t.s = k.s THEN k.streak + t.s ELSE t.s END FROM k JOIN t ON t.symbol = k.symbol AND t.bar_index = k.bar_index + 1)
 SELECT symbol, bar_index, streak FROM k""")
+
+register("f08_swings", lambda s, d: shown(adaptive.with_swings(bars(s, d)), *KEY, "swing", "swings", digits=4),
+         f"""WITH {BARS}, t AS (SELECT *, lag(close) OVER {LAG} AS was, lag(open) OVER {LAG} AS opened FROM b),
+u AS (SELECT *, greatest(abs(high - was), abs(low - was)) AS reach FROM t),
+v AS (SELECT *, CASE WHEN was IS NULL THEN 0 ELSE 50 * ((close - was) + 0.5::DOUBLE * (close - open) + 0.25::DOUBLE * (was - opened)) / CASE WHEN reach = 0 THEN 1 ELSE reach END END AS swing FROM u)
+SELECT symbol, bar_index, round(swing, 4) AS swing, round(sum(swing) OVER {_CUM}, 4) AS swings FROM v""")
+_STEP = "0.5::DOUBLE * b.close + 0.5::DOUBLE * {0} AS a0, {0} + 0.5::DOUBLE * ({1} - a0) AS a1, {1} + 0.5::DOUBLE * ({2} - a1) AS a2, {2} + 0.5::DOUBLE * ({3} - a2) AS a3"
+register("f08_laguerre", lambda s, d: shown(fold.fold(bars(s, d), lambda b: {"laguerre": adaptive.laguerre(b["close"])}, ["laguerre"]), *KEY, "laguerre", digits=4),
+         f"""WITH RECURSIVE {BARS}, la(symbol, bar_index, n0, n1, n2, n3) AS (SELECT symbol, bar_index, {_STEP.format(*["0.0::DOUBLE"] * 4)} FROM b WHERE bar_index = 0 UNION ALL
+SELECT b.symbol, b.bar_index, {_STEP.format("p.n0", "p.n1", "p.n2", "p.n3")} FROM la p JOIN b ON b.symbol = p.symbol AND b.bar_index = p.bar_index + 1),
+st AS (SELECT symbol, bar_index, greatest(n0 - n1, 0) + greatest(n1 - n2, 0) + greatest(n2 - n3, 0) AS up, greatest(n1 - n0, 0) + greatest(n2 - n1, 0) + greatest(n3 - n2, 0) AS down FROM la)
+SELECT symbol, bar_index, round(CASE WHEN up + down = 0 THEN 0 ELSE up / (up + down) END, 4) AS laguerre FROM st""")

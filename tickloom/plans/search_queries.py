@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import series
 from tickloom.operators import ensemble, script, search
+from tickloom.operators import results as result_tables
 from tickloom.plans import sql
 from tickloom.plans.registry import register
 from tickloom.plans.series_queries import bars
@@ -112,3 +113,51 @@ register("j03_a41_trial_returns", trial_returns,
          f"""WITH {BARS}{_TRIALS}, x AS (SELECT *, lag(f) {_PAST} <= lag(s) {_PAST} AND f > s AS up, lag(f) {_PAST} >= lag(s) {_PAST} AND f < s AS down FROM t),
 p AS (SELECT trial_id, symbol, avg(CASE WHEN up THEN 1 ELSE -1 END * (later - close) / close * 100) AS r, count(*) AS n FROM x WHERE (up OR down) AND later IS NOT NULL GROUP BY ALL)
 SELECT trial_id, round(avg(r), 4) AS objective, CAST(sum(n) AS BIGINT) AS trades FROM p GROUP BY trial_id""")
+
+
+def full_scripts(spark, sf_dir: str) -> DataFrame:
+    """The scripts with a function, two calculations and inputs of their looks."""
+    more = F.concat(F.lit("lineWidth = input.int(2)\nratio = input.float(0.5, maxval=4)\ncurve(x) =>\n    x * 2\nfast = ta.sma(close, fastLen)\n// old = ta.ema(close, 3)\ntop := math.max(fast, close)\n"),
+                    F.when(F.length("script") % 2 == 0, F.lit("indicator(overlay = true)\n")).otherwise(F.lit("")))
+    return scripts(spark, sf_dir).withColumn("body", F.concat("body", more))
+
+
+def optimised_scripts(spark, sf_dir: str) -> DataFrame:
+    """Every script with new defaults and a header."""
+    values = F.create_map(F.lit("fastLen"), F.lit(9.0), F.lit("ratio"), F.lit(0.25), F.lit("showLabels"), F.lit(0.0), F.lit("no(such"), F.lit(1.0))
+    return full_scripts(spark, sf_dir).select("script", script.optimised(F.col("body"), values, F.lit("// found")).alias("body"))
+
+
+_OVERLAY = "CASE WHEN length(n_name) % 2 = 0 THEN 'indicator(overlay = true)' || chr(10) ELSE '' END"
+register("l03_calculations", lambda s, d: script.calculations(full_scripts(s, d)).select("script", "name", "expression"),
+         "SELECT n_name AS script, 'fast' AS name, 'ta.sma(close, fastLen)' AS expression FROM nation UNION ALL SELECT n_name, 'top', 'math.max(fast, close)' FROM nation")
+register("l03_described", lambda s, d: script.described(full_scripts(s, d)).withColumn("functions", F.concat_ws(",", "functions")),
+         "SELECT n_name AS script, length(n_name) % 2 = 0 AS overlay, 'curve' AS functions FROM nation")
+register("l05_optimised_scripts", optimised_scripts,
+         f"""SELECT n_name AS script, '//@version=5' || chr(10) || '// found' || chr(10) || 'indicator("Optimised ' || n_name || '")' || chr(10) || 'fastLen = input.int(9, title="Fast", minval=1, maxval=40)' || chr(10)
+|| CASE WHEN n_nationkey % 2 = 0 THEN 'slowLen = input.int(26, minval=20, maxval=60, step=5)' || chr(10) ELSE '' END || 'showLabels = input.bool(false)' || chr(10) || '// old = input.int(3)' || chr(10)
+|| CASE WHEN n_nationkey % 3 = 0 THEN 'hline(70)' || chr(10) || 'hline(30)' || chr(10) ELSE '' END || 'lineWidth = input.int(2)' || chr(10) || 'ratio = input.float(0.2500, maxval=4)' || chr(10) || 'curve(x) =>' || chr(10) || '    x * 2' || chr(10)
+|| 'fast = ta.sma(close, fastLen)' || chr(10) || '// old = ta.ema(close, 3)' || chr(10) || 'top := math.max(fast, close)' || chr(10) || {_OVERLAY} AS body FROM nation""")
+register("p06_member_inputs", lambda s, d: script.member_inputs(script.parameters(full_scripts(s, d))).select("script", "name"),
+         "SELECT n_name AS script, 'fastLen' AS name FROM nation UNION ALL SELECT n_name, 'slowLen' FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_name, 'ratio' FROM nation")
+register("a46_scripts_by_folder", lambda s, d: result_tables.by_folder(s.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("scripts/"), F.col("n_regionkey").cast("string"), F.lit("/"), "n_name", F.when(F.col("n_nationkey") % 5 == 0, ".txt").otherwise(".pine")).alias("path")), "path"),
+         "SELECT 'scripts/' || CAST(n_regionkey AS VARCHAR) AS folder, count(*) AS n FROM nation WHERE n_nationkey % 5 <> 0 GROUP BY ALL")
+register("o12_time_budgets", lambda s, d: result_tables.time_budgets(s.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("script")), 2000).select("script", F.round("seconds", 4).alias("seconds")),
+         "SELECT n_name AS script, round(greatest(2000.0::DOUBLE / count(*) OVER (), 60), 4) AS seconds FROM nation")
+register("u01_symbols", lambda s, d: source.event_bars(s, d, "4h").select("symbol").union(source.event_bars(s, d, "1d").select("symbol")).distinct(),
+         "SELECT DISTINCT event_type AS symbol FROM events")
+
+
+def staged_search(spark, sf_dir: str) -> DataFrame:
+    """The trials of a two-stage search over crossings of averages, and their objectives."""
+    space = {"fast": (2.0, 8.0, 1.0), "slow": (10.0, 30.0, 5.0)}
+
+    def evaluate(some_bars: DataFrame, trials: DataFrame, how: dict) -> DataFrame:
+        return search.crossover_returns(some_bars, trials, how["horizons"][-1], 1)
+
+    found = search.two_stages(evaluate, bars(spark, sf_dir), space, 2, 8, {"horizons": [1, 6]}, sampler="random")
+    rows = [(stage, k, v["fast"], v["slow"], x) for stage, trials in enumerate(found) for k, (v, x) in enumerate(trials)]
+    return spark.createDataFrame(rows, "stage int, trial int, fast double, slow double, objective double").withColumn("objective", F.round("objective", 4))
+
+
+register("o11_two_stages", staged_search)
