@@ -48,3 +48,10 @@ def window_hashes(hashes: np.ndarray, size: int, multiplier: int = _MULTIPLIER)
             power = power * power & _MASK
             width *= 2
     return mix(total)
+
+
+def crc32_sql(text: str) -> str:
+    """A DuckDB expression for the unsigned crc32 of a text's UTF-8 bytes, a bit at a time."""
+    octets = f"list_transform(range(0, strlen({text})), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT)"
+    steps = f"flatten([[4294967295::BIGINT], flatten(list_transform({octets}, lambda o: [o, -1, -1, -1, -1, -1, -1, -1, -1]))])"
+    return f"xor(list_reduce({steps}, lambda a, o: CASE WHEN o >= 0 THEN xor(a, o) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT) ELSE a // 2 END), 4294967295::BIGINT)"
