@@ -35,6 +35,7 @@ def test_two_stages_start_the_second_from_the_best_of_the_first(spark):
     coarse, fine = search.two_stages(evaluate, two, space, 4, 10, {"n_folds": 5}, sampler="random", patience=9)
     assert widths == [(1, 2)] * 2 + [(2, 5)] * 2
     assert len(coarse) == len(fine) == 20 and fine[0] == max(coarse, key=lambda t: t[1])
+    assert len({v["x"] for v, _ in coarse + fine}) == 39  # the best alone is tried twice
     assert all(y == -abs(v["x"] - 31) for v, y in coarse + fine)
 
 

@@ -112,7 +112,7 @@ def test_trials_side_by_side_equal_each_alone(spark):
     args = ([1, 6], 2, 5, 5, 40)
     both = {r["trial_id"]: r["objective"] for r in search.walk_forward_objective(search.crossing_means, b, search.trial_rows(spark, vectors), *args).collect()}
     for k, v in enumerate(vectors):
-        rows = search.crossing_means(search.fan_out(b, search.trial_rows(spark, [v])))
+        rows = search.crossing_means(b, search.trial_rows(spark, [v]))
         alone = backtest.roll_up(backtest.fold_metrics(rows, *args), backtest.KEY)
         low, _ = stats.mcc_interval(F.col("mcc"), F.col("samples"))
         want = alone.select(stats.objective(F.col("mcc"), F.col("roc_auc"), F.col("samples"), F.col("consistency"), low).alias("o")).first()["o"]

@@ -1,4 +1,5 @@
 import json
+import zipfile
 
 from pyspark.sql import functions as F
 
@@ -31,3 +32,20 @@ def test_reports_without_parts(spark):
     made = spark.createDataFrame([(1, None), (2, ""), (3, "PERFORMANCE COMPARISON\nMCC (primary)  0.1  x  +\nMax Drawdown  5%  1,004%  -\nOther  1  2  3"), (4, "Optimization config:\n\na: b")], "k int, body string")
     assert [tuple(r) for r in results.comparison(made, "body", ["k"]).collect()] == [(3, "mcc", 0.1, None), (3, "max_drawdown", 5.0, 1004.0)]
     assert results.settings(made, "body", ["k"]).count() == 0
+
+
+def test_archives_and_folders_give_equal_rows(spark, tmp_path):
+    schema = ROW.rsplit(",", 2)[0]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "zips").mkdir()
+    texts = {f"{k}.json": json.dumps({"run": f"r{k}", "matrix": [{"file_name": f"f{j}", "symbol": "X", "interval": "1d", "mcc": j / 8} for j in range(k)]}) for k in range(5)} | {"bad.json": "{broken", "note.txt": "{}"}
+    for name, text in texts.items():
+        (tmp_path / "in" / name).write_text(text)
+    for part, names in enumerate((list(texts)[:3], list(texts)[3:])):
+        with zipfile.ZipFile(tmp_path / "zips" / f"{part}.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+            for name in names:
+                archive.writestr(f"some/folder/{name}", texts[name])
+    (tmp_path / "zips" / "broken.zip").write_bytes(b"no archive")
+    got = sorted(map(tuple, results.read_zip(spark, f"{tmp_path}/zips", schema).collect()))
+    assert got and got == sorted(map(tuple, results.read_json(spark, f"{tmp_path}/in/*.json", schema, one_a_file=True).collect()))
+    assert sorted(map(tuple, results.read_zip(spark, f"{tmp_path}/zips/1.zip", schema).collect())) == [r for r in got if r[0] in ("r3", "r4")]

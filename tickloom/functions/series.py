@@ -209,3 +209,38 @@ def with_stoch(bars: DataFrame, k: int, d: int, out: str = "stoch") -> DataFrame
     high, low = highest(F.col("high"), k), lowest(F.col("low"), k)
     b = bars.withColumn(f"{out}_k", F.when(high == low, F.lit(50.0)).otherwise(F.try_divide(100 * (F.col("close") - low), high - low)))
     return b.withColumn(f"{out}_d", sma(F.col(f"{out}_k"), d))
+
+
+# Order statistics and regressions over moving frames.
+
+
+def percentrank(x: Column, n: int) -> Column:
+    """Share, in percent, of the n values before that are not over x; missing until they are there."""
+    past = F.collect_list(x).over(by_series().rowsBetween(-n, -1))
+    return F.when(x.isNotNull() & (F.size(past) == n), 100.0 * F.size(F.filter(past, lambda v: v <= x)) / n)
+
+
+def correlation(x: Column, y: Column, n: int) -> Column:
+    """Pearson correlation of n rows; missing without a full frame, and where a side does not vary."""
+    w = last_rows(n)
+    spread = F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w)
+    return F.when((F.count(x).over(w) == n) & (F.count(y).over(w) == n), F.try_divide(F.covar_pop(x, y).over(w), spread))
+
+
+def linreg(x: Column, n: int, offset: int = 0) -> Column:
+    """The least-squares line through n rows at its end, `offset` rows back; from sums, the row's place
+    counted from the newest, so that they stay small."""
+    w, i = last_rows(n), F.col("bar_index")
+    total, weighted = F.sum(x).over(w), F.sum(x * i).over(w) - i * F.sum(x).over(w)
+    middle, spread = -(n - 1) / 2, n * (n * n - 1) / 12
+    slope = (weighted - middle * total) / spread if n > 1 else F.lit(0.0)
+    return _full(x, n, total / n + slope * (-offset - middle))
+
+
+def aroon(high: Column, low: Column, n: int) -> tuple[Column, Column]:
+    """(up, down): how recent the extremes of n bars and this one are, 100 for this bar; of equal
+    extremes the newest. Missing until the frame is full."""
+    w, i = last_rows(n + 1), F.col("bar_index")
+    top = F.max_by(i, F.when(high.isNotNull(), F.struct(high, i))).over(w)
+    bottom = F.max_by(i, F.when(low.isNotNull(), F.struct(-low, i))).over(w)
+    return tuple(F.when(i >= n, 100.0 * (n - (i - at)) / n) for at in (top, bottom))

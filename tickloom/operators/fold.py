@@ -71,6 +71,28 @@ def cooldown(edges: np.ndarray, bars: int) -> np.ndarray:
     return out
 
 
+def stop_and_reverse(high: np.ndarray, low: np.ndarray, close: np.ndarray, start: float = 0.02, step: float = 0.02, most: float = 0.2) -> np.ndarray:
+    """A stop that closes in on the trend's extreme, faster with each new one, and changes sides when
+    the price meets it; never beyond the two bars before. Missing at the first bar."""
+    out = np.full(len(close), np.nan)
+    if len(close) < 2:
+        return out
+    up = bool(close[1] > close[0])
+    extreme, stop, pace = (high[1], low[0], start) if up else (low[1], high[0], start)
+    for i in range(1, len(close)):
+        stop += pace * (extreme - stop)
+        met = stop > low[i] if up else stop < high[i]
+        if met:
+            stop = max(high[i], extreme) if up else min(low[i], extreme)
+            up, extreme, pace = not up, (low[i] if up else high[i]), start
+        elif i > 1 and (high[i] > extreme if up else low[i] < extreme):
+            extreme, pace = (high[i] if up else low[i]), min(pace + step, most)
+        past = slice(max(0, i - 2), i)
+        stop = min(stop, low[past].min()) if up else max(stop, high[past].max())
+        out[i] = stop
+    return out
+
+
 def lttb(x: np.ndarray, y: np.ndarray, points: int) -> np.ndarray:
     """Positions kept by largest-triangle-three-buckets downsampling; first and last stay."""
     n = len(x)

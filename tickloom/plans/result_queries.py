@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalar
-from tickloom.operators import ensemble, results
+from tickloom.operators import ensemble, results, subsets
 from tickloom.plans import sql
 from tickloom.plans.evaluation_queries import fold_rows, fold_sql, shown
 from tickloom.plans.registry import register
@@ -105,6 +105,27 @@ for rule, held in (("majority", "{x} > 0.5"), ("weighted", "{x} >= 0.375"), ("un
 register("e01_recursive_members", lambda s, d: ensemble.recursive_members(bars(s, d)).select("symbol", "bar_index", "member", "buy", "sell"))
 
 
+
+def subset_scores(spark, sf_dir: str) -> DataFrame:
+    """Every subset of two of the eight members or more, scored over all bars by one job."""
+    b = bars(spark, sf_dir)
+    found = subsets.patterns(subsets.member_bits(ensemble.members(b), list(_RULES)), b, 3)
+    rows_ = subsets.scored(found, subsets.every_subset(spark, len(_RULES)), n=len(_RULES))
+    return shown(rows_, "symbol", "trial_id", "tp", "fp", "tn", "fn", "signals", "total_return", "mcc", digits=4)
+
+
+_BITS = " + ".join("(coalesce({%d}, false)::BIGINT << %d)" % (k, k) for k in range(len(_RULES)))
+_HELD = "bit_count({} & id) / bit_count(id) > 0.5::DOUBLE"
+register("o14_subset_scores", subset_scores,
+         f"""WITH {BARS}, {_STEPS}, v AS (SELECT symbol, bar_index, {_BITS.format(*[x for x, _ in _RULES.values()])} AS bb, {_BITS.format(*[y for _, y in _RULES.values()])} AS sb FROM m2),
+m AS (SELECT symbol, bar_index, (lead(close, 3) OVER {LAG} - close) / close * 100 AS fr FROM b), x AS (SELECT symbol, bb, sb, fr FROM v JOIN m USING (symbol, bar_index) WHERE fr IS NOT NULL),
+d AS (SELECT symbol, id, fr, {_HELD.format('bb')} AS up, {_HELD.format('sb')} AS down FROM x, range(1, 256) s(id) WHERE bit_count(id) >= 2),
+k AS (SELECT symbol, id AS trial_id, count_if(up AND NOT down AND fr > 0) AS tp, count_if(up AND NOT down AND fr < 0) AS fp, count_if(down AND NOT up AND fr < 0) AS tn, count_if(down AND NOT up AND fr > 0) AS fn,
+sum(CASE WHEN up AND NOT down THEN fr WHEN down AND NOT up THEN -fr ELSE 0 END) AS gain FROM d GROUP BY ALL)
+SELECT symbol, trial_id, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(tn AS BIGINT) AS tn, CAST(fn AS BIGINT) AS fn, CAST(tp + fp + tn + fn AS BIGINT) AS signals, round(gain, 4) AS total_return,
+round(CASE WHEN (tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn) > 0 THEN (tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)) ELSE 0 END, 4) AS mcc FROM k""")
+
+
 ROW = "file_name string, symbol string, interval string, mcc double"
 
 

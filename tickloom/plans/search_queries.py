@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tickloom.functions import series
 from tickloom.operators import ensemble, script, search
 from tickloom.operators import results as result_tables
 from tickloom.plans import sql
+from tickloom.plans.evaluation_queries import BASE, HORIZONS, ROLL
 from tickloom.plans.registry import register
 from tickloom.plans.series_queries import bars
 from tickloom.plans.sql import BARS, LAG
@@ -93,10 +96,23 @@ register("leaderboard", lambda s, d: results(s, d).orderBy(F.desc("mcc"), "name"
          "SELECT s_name AS name, round(s_acctbal / 10000, 6) AS mcc FROM supplier ORDER BY s_acctbal DESC, s_name LIMIT 10")
 
 
+#: Trials of the objectives: lengths of the fast and the slow average.
+LENGTHS = [(f, n) for f in (1, 2, 3) for n in (4, 10)]
+
+
+def fading(b: DataFrame, trials: DataFrame) -> DataFrame:
+    """Signals against the crossings of two averages: these bars return to their mean."""
+    return search.crossing_means(b, trials, against=True).withColumn("combined_signal", F.round("combined_signal", 9))
+
+
+def hourly(spark, sf_dir: str) -> DataFrame:
+    return source.indexed(source.event_bars(spark, sf_dir, "1h"))
+
+
 def trial_objectives(spark, sf_dir: str) -> DataFrame:
-    """Objective of every crossing of two averages in a grid, on the 4-hour bars, by one job."""
-    trials = search.grid(spark, {"fast": (3.0, 6.0, 3.0), "slow": (10.0, 20.0, 10.0)}).withColumn("trial_id", (F.col("fast") * 100 + F.col("slow")).cast("long"))
-    found = search.walk_forward_objective(search.crossing_means, bars(spark, sf_dir), trials, [1, 3, 6], 2, 5, 1, 30, 4.0)
+    """Walk-forward objective of every trial over the hourly bars of all symbols, by one job."""
+    trials = search.trial_rows(spark, [{"fast": float(f), "slow": float(n)} for f, n in LENGTHS])
+    found = search.walk_forward_objective(fading, hourly(spark, sf_dir), trials, HORIZONS, 2, 5, 1, 30)
     return found.withColumn("rejected", F.col("objective") == float("-inf")).withColumn("objective", F.round(F.when(~F.col("rejected"), F.col("objective")), 4))
 
 
@@ -106,7 +122,29 @@ def trial_returns(spark, sf_dir: str) -> DataFrame:
     return search.crossover_returns(bars(spark, sf_dir), trials, 6, 1).withColumn("objective", F.round("objective", 4))
 
 
-register("o06_trial_objectives", trial_objectives)
+_APART = " UNION ALL ".join(
+    f"""SELECT * REPLACE (symbol || '#{k}' AS symbol), ({sql.sma('close', n)} - ({sql.sma('close', f)})) / close AS m FROM b0""" for k, (f, n) in enumerate(LENGTHS)
+)
+_TOP = f"max(abs(m)) OVER {sql.CUM}"
+_FADING = f"""WITH bars AS (
+  SELECT event_type AS symbol, '1h' AS "interval", time_bucket(INTERVAL '1 hour', ts) AS "timestamp", arg_max(value, ts) AS close FROM events GROUP BY ALL
+), b0 AS (
+  SELECT *, row_number() OVER ({sql.O}) - 1 AS bar_index FROM bars
+), b AS ({_APART}), g AS (
+  SELECT *, CASE WHEN m IS NULL OR {_TOP} = 0 THEN 0 ELSE greatest(least(m / {_TOP}, 1), -1) END AS score0,
+         coalesce(lag(m) OVER {LAG} <= 0 AND m > 0, false) AS buy_signal, coalesce(lag(m) OVER {LAG} >= 0 AND m < 0, false) AS sell_signal FROM b
+)"""
+_SCORED = f""", sc AS (
+  SELECT split_part(symbol, '#', 2)::BIGINT AS trial_id, mcc, roc_auc, samples, consistency, samples / (samples + 50.0::DOUBLE) AS shrink,
+         CASE WHEN samples <= 3 THEN -1 WHEN abs(mcc) >= 0.999 THEN mcc - 0.0196 ELSE tanh(atanh(mcc) - 1.959963984540054::DOUBLE / sqrt(greatest(samples - 3, 1))) END AS ci_low FROM rr
+), ob AS (
+  SELECT trial_id, coalesce(samples < 100 OR roc_auc < 0.5 OR mcc < 0.02 OR ci_low <= 0, true) AS bad,
+         (shrink * mcc + (1 - shrink) * 0.03::DOUBLE) * CASE WHEN consistency < 0.5 THEN 1 - 0.1::DOUBLE * (0.5 - consistency) ELSE 1 END AS o FROM sc
+)
+SELECT trial_id, bool_or(bad) OR count(*) < (SELECT count(DISTINCT event_type) FROM events) AS rejected,
+       CASE WHEN NOT (bool_or(bad) OR count(*) < (SELECT count(DISTINCT event_type) FROM events)) THEN round(avg(o), 4) END AS objective
+FROM ob GROUP BY trial_id"""
+register("o06_trial_objectives", trial_objectives, ROLL.replace(f"WITH {BARS}, {BASE}", _FADING) + _SCORED)
 _TRIALS = ", t AS (" + " UNION ALL ".join(f"SELECT {100 * f + s}::BIGINT AS trial_id, symbol, bar_index, close, lead(close, 6) OVER {LAG} AS later, {sql.sma('close', f)} AS f, {sql.sma('close', s)} AS s FROM b" for f in (3, 6) for s in (10, 20)) + ")"
 _PAST = "OVER (PARTITION BY trial_id, symbol ORDER BY bar_index)"
 register("j03_a41_trial_returns", trial_returns,
@@ -149,14 +187,15 @@ register("u01_symbols", lambda s, d: source.event_bars(s, d, "4h").select("symbo
 
 
 def staged_search(spark, sf_dir: str) -> DataFrame:
-    """The trials of a two-stage search over crossings of averages, and their objectives."""
-    space = {"fast": (2.0, 8.0, 1.0), "slow": (10.0, 30.0, 5.0)}
+    """The trials of a two-stage search over averages, and their walk-forward objectives: coarsely on
+    the first symbol, then as given on all."""
 
     def evaluate(some_bars: DataFrame, trials: DataFrame, how: dict) -> DataFrame:
-        return search.crossover_returns(some_bars, trials, how["horizons"][-1], 1)
+        return search.walk_forward_objective(fading, some_bars, trials, how["horizons"], how["n_folds"], how["embargo"], 1, 30, min_trades=how["min_trades"])
 
-    found = search.two_stages(evaluate, bars(spark, sf_dir), space, 2, 8, {"horizons": [1, 6]}, sampler="random")
-    rows = [(stage, k, v["fast"], v["slow"], x) for stage, trials in enumerate(found) for k, (v, x) in enumerate(trials)]
+    fine = {"horizons": HORIZONS, "n_folds": 3, "embargo": 8, "min_trades": 3}
+    found = search.two_stages(evaluate, hourly(spark, sf_dir), {"fast": (1.0, 3.0, 1.0), "slow": (4.0, 12.0, 1.0)}, 2, 6, fine)
+    rows = [(stage, k, v["fast"], v["slow"], x if math.isfinite(x) else None) for stage, trials in enumerate(found) for k, (v, x) in enumerate(trials)]
     return spark.createDataFrame(rows, "stage int, trial int, fast double, slow double, objective double").withColumn("objective", F.round("objective", 4))
 
 

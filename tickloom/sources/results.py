@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +80,23 @@ def settings(reports: DataFrame, column: str, keep: list[str]) -> DataFrame:
     block = F.regexp_extract(F.regexp_replace(F.col(column), "\r", ""), r"(?m)^\s*Optimization config:[ \t]*\n((?:[ \t]*\S.*\n?)*)", 1)
     line = F.explode(F.filter(F.split(block, "\n"), lambda x: F.contains(x, F.lit(":")))).alias("line")
     return reports.select(*keep, line).select(*keep, F.trim(F.regexp_extract("line", r"^([^:]*):", 1)).alias("name"), F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)).alias("value"))
+
+
+def read_zip(spark: SparkSession, path: str, row_schema: str, ending: str = ".json") -> DataFrame:
+    """Rows of stored documents in zip archives (a file or a folder of them), as read_json gives them
+    from single files: each member of the ending is a document. Archives that cannot be opened, and
+    members that are no such document, have no rows."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("content"):
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(raw.as_py()))
+                except zipfile.BadZipFile:
+                    continue
+                for name in sorted(n for n in archive.namelist() if n.lower().endswith(ending)):
+                    text = archive.read(name).decode("utf-8", "replace")
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([text], pa.string())], names=["member", "value"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content")
+    return matrix(files.mapInArrow(members, "member string, value string"), "value", row_schema)
