@@ -1,14 +1,16 @@
 """Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, exact rerank.
 
-Two rotations are learnt on a bounded sample (PCA, then alternating sign and Procrustes steps, from
-different starts), each giving one balanced bit per dimension, 64 at most. The bits are cut into
-substrings of about log2(n) bits, one table each; a vector probes every table with its substring
-and all those one bit away. Further tables are keyed by the signs of independent random planes
-through the origin, which split a pair with a chance set by its angle alone; there are so many that
-a pair at the asked cosine meets in none of them with a chance of MISS at most, whatever the rows,
-their number and dimension. Found pairs whose sketches of further such planes differ by no more
-than that angle explains are confirmed by the cosine of the original vectors in double precision. A
-pair that meets in several tables counts once.
+Rotations are learnt on a bounded sample (PCA, then alternating sign and Procrustes steps, from
+different starts on different halves), each giving one balanced bit a dimension, 64 at most. The bits
+of all rotations are one code, cut into substrings of about log2(n) bits, one table each: two vectors
+meet where they agree in a whole substring, so a pair whose codes differ in fewer bits than there are
+tables always does. There are as many tables, and so rotations, as a pair at the asked cosine needs to
+meet with a chance of 1 - MISS, at every width. That share is measured on the driver with pairs made
+at the cosine from the sample; where vectors lie far off centre, or have so few dimensions that
+rotations repeat each other, it falls short, and tables of random planes through the origin, which
+part a pair by its angle alone, are added for what is missing. Found pairs whose sketches of further
+planes differ by no more than the angle explains are confirmed by the cosine of the original vectors
+in double precision.
 """
 
 from __future__ import annotations
@@ -24,36 +26,75 @@ from pyspark.sql import functions as F
 from tickloom.llm import common
 from tickloom.llm.components import connected_components
 
-SAMPLE_ROWS, ITERATIONS, ROTATIONS, MAX_BITS = 4096, 40, 2, 64
+SAMPLE_ROWS, ITERATIONS, MAX_BITS = 4096, 40, 64
+#: Most rotations; vectors of few dimensions would need more, and have planes for the rest.
+MAX_ROTATIONS = 96
 #: Planes whose sides are counted before the cosine is taken, and the chance that a pair at the
 #: asked cosine differs in more of them than the bound allows.
 SKETCH, DROPPED = 128, 1e-5
-#: Chance, over the draw of the planes, that a pair at the asked cosine meets in no plane table.
-MISS = 0.02
+#: Chance that a pair at the asked cosine meets in no table; how far the measured share of the codes
+#: may exceed it before planes are added, and the pairs it is measured with.
+MISS, SLACK, TRIED = 0.02, 0.015, 2000
 
 
-def learn_rotation(sample: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection): iterative quantisation (Gong and Lazebnik 2011) of unit vectors."""
+def learn_rotations(sample: np.ndarray, bits: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, projection to count * bits numbers): iterative quantisation (Gong and Lazebnik 2011) of
+    unit vectors, once for each rotation, on a half of the sample of its own."""
     mean = sample.mean(axis=0)
     centred = sample - mean
     _, vectors = np.linalg.eigh(centred.T @ centred)
     axes = vectors[:, ::-1][:, :bits]
     v = centred @ axes
-    r, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))
-    for _ in range(ITERATIONS):
-        u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
-        r = (u @ w).T
-    return mean, axes @ r
-
-
-def codes(unit: np.ndarray, models: list) -> np.ndarray:
-    """One 64-bit code per rotation; bits beyond the dimensions are zero."""
-    out = np.zeros((len(unit), len(models)), np.int64)
-    for k, (mean, projection) in enumerate(models):
-        bits = np.zeros((len(unit), 64), np.uint8)
-        bits[:, : projection.shape[1]] = (unit - mean) @ projection >= 0
-        out[:, k] = np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
-    return out
+    out = []
+    for seed in range(count):
+        rng = np.random.default_rng(seed)
+        part = v[rng.random(len(v)) < 0.5] if len(v) > 4 * bits else v
+        r, _ = np.linalg.qr(rng.standard_normal((bits, bits)))
+        for _ in range(ITERATIONS):
+            u, _, w = np.linalg.svd(np.where(part @ r >= 0, 1.0, -1.0).T @ part)
+            r = (u @ w).T
+        out.append(axes @ r)
+    return mean, np.concatenate(out, axis=1)
+
+
+def code_bits(unit: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """(rows, bits) of the codes of all rotations."""
+    mean, projection = model
+    return (unit - mean) @ projection >= 0
+
+
+def _keys(bits: np.ndarray, width: int, tables: int) -> np.ndarray:
+    """(rows, tables) keys of width consecutive bits each."""
+    padded = np.zeros((len(bits), tables, 32), np.uint8)
+    padded[:, :, :width] = bits[:, : tables * width].reshape(len(bits), tables, width)
+    return np.packbits(padded, axis=2, bitorder="little").view("<i4")[:, :, 0]
+
+
+def code_tables(bits: int, width: int, cosine: float) -> tuple[int, int]:
+    """(rotations, tables) with keys of width bits from codes of `bits` bits a rotation."""
+    wanted = plane_tables(width, cosine)
+    rotations = min(MAX_ROTATIONS, -(-wanted * width // bits))
+    return rotations, max(1, min(wanted, rotations * bits // width))
+
+
+def missed(sample: np.ndarray, model: tuple[np.ndarray, np.ndarray], width: int, tables: int, cosine: float) -> float:
+    """The share of pairs at the cosine, made from the sample, that meet in no table of the codes."""
+    rng = np.random.default_rng(3)
+    x = sample[rng.integers(0, len(sample), TRIED)]
+    o = rng.standard_normal(x.shape)
+    o -= (o * x).sum(axis=1, keepdims=True) * x
+    size = np.linalg.norm(o, axis=1, keepdims=True)
+    y = cosine * x + math.sqrt(max(0.0, 1 - cosine**2)) * o / np.where(size > 0, size, 1.0)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    return 1 - float((_keys(code_bits(x, model), width, tables) == _keys(code_bits(y, model), width, tables)).any(axis=1).mean())
+
+
+def added_planes(share: float, width: int, cosine: float) -> int:
+    """Tables of random planes that bring a missed share down to MISS; none within the slack."""
+    if share <= MISS + SLACK:
+        return 0
+    same = (1 - math.acos(min(1.0, cosine)) / math.pi) ** width
+    return 1 if same >= 1 else math.ceil(math.log(MISS / share) / math.log1p(-same))
 
 
 def plane_tables(width: int, cosine: float) -> int:
@@ -82,9 +123,7 @@ def sketches(unit: np.ndarray) -> np.ndarray:
 def plane_keys(unit: np.ndarray, width: int, tables: int, seed: int = 7) -> np.ndarray:
     """(rows, tables) keys of width bits, each bit the side of a random plane through the origin."""
     planes = np.random.default_rng(seed).standard_normal((unit.shape[1], tables * width))
-    bits = np.zeros((len(unit), tables, 32), np.uint8)
-    bits[:, :, :width] = (unit @ planes >= 0).reshape(len(unit), tables, width)
-    return np.packbits(bits, axis=2, bitorder="little").view("<i4")[:, :, 0]
+    return _keys(unit @ planes >= 0, width, tables)
 
 
 def _class() -> Column:
@@ -92,10 +131,6 @@ def _class() -> Column:
     return F.xxhash64("s1", "s2")
 
 
-def _substring(code: Column, shift: int, width: int) -> Column:
-    return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1))
-
-
 def embedding_duplicates(vectors: DataFrame, cosine: float = 0.9, sample_rows: int = SAMPLE_ROWS, width: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row.
 
@@ -123,9 +158,14 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.9, sample_rows: i
         rows = some.where(lot < int((1 << 40) * min(1.0, sample_rows / n))).select("e").limit(2 * sample_rows).collect()
         sample = np.array([r["e"] for r in rows], np.float64).reshape(-1, dim)
         sample /= np.linalg.norm(sample / np.abs(sample).max(axis=1, keepdims=True), axis=1, keepdims=True) * np.abs(sample).max(axis=1, keepdims=True) if len(sample) else 1
-        bits = min(MAX_BITS, dim)
-        models = [learn_rotation(sample, bits, seed) for seed in range(ROTATIONS)] if len(sample) else [(np.zeros(dim), np.eye(dim)[:, :bits])] * ROTATIONS
-        found = _links(some, models, bits, width or max(16, math.ceil(math.log2(n + 1))), cosine)
+        bits, wide = min(MAX_BITS, dim), width or min(32, max(16, math.ceil(math.log2(n + 1))))
+        rotations, tables = code_tables(bits, wide, cosine)
+        if len(sample):
+            model = learn_rotations(sample, bits, rotations)
+            share = missed(sample, model, wide, tables, cosine)
+        else:
+            model, share = (np.zeros(dim), np.tile(np.eye(dim)[:, :bits], rotations)), 1.0
+        found = _links(some, model, tables, wide, added_planes(share, max(16, wide - 4), cosine), cosine)
         links = found if links is None else links.unionAll(found)
     alone = marked.where("NOT good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if links is None:
@@ -146,39 +186,31 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.9, sample_rows: i
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _links(reps: DataFrame, models: list, bits: int, width: int, cosine: float) -> DataFrame:
+def _links(reps: DataFrame, model: tuple[np.ndarray, np.ndarray], tables: int, width: int, planes: int, cosine: float) -> DataFrame:
     """(a, b, ra, rb, ma, mb): linked classes, their representatives and sizes."""
-    held = reps.sparkSession.sparkContext.broadcast(models)  # dimensions squared
-    # a plane table costs a row a vector, so it is worth somewhat fuller buckets
+    held = reps.sparkSession.sparkContext.broadcast(model)  # dimensions by bits of the rotations
+    # a plane table has somewhat fuller buckets, as it stands in for several of the codes
     wide = max(16, width - 4)
-    planes = plane_tables(wide, cosine)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             x = _matrix(batch.column("e"))
             x = x / np.abs(x).max(axis=1, keepdims=True)
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            found, sketch, sides = codes(unit, held.value), sketches(unit), plane_keys(unit, wide, planes)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * planes), pa.array(sides.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), *[pa.array(c) for c in (*found.T, *sketch.T)], lists], names=["cls", "q0", "q1", "s0", "s1", "sides"])
-
-    coded = common.stage(reps.select("cls", "e").mapInArrow(encode, "cls long, q0 long, q1 long, s0 long, s1 long, sides array<int>"), "codes")
-    width = min(width, bits)
-    tables = [(k, shift) for k in range(ROTATIONS) for shift in range(0, bits - width + 1, width)]
-    keys = F.array(*[_substring(F.col(f"q{k}"), shift, width) for k, shift in tables])
-    stored = coded.select("cls", "q0", "q1", "s0", "s1", F.posexplode(F.concat(keys, F.col("sides").cast("array<long>"))).alias("t", "key"))
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
-    asked = F.when(F.col("t") < len(tables), F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).otherwise(F.array("key"))
-    probes = stored.select("cls", "q0", "q1", "s0", "s1", "t", F.explode(asked).alias("key"))
+            keys, sketch = _keys(code_bits(unit, held.value), width, tables), sketches(unit)
+            if planes:
+                keys = np.concatenate([keys, plane_keys(unit, wide, planes)], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), *[pa.array(c) for c in sketch.T], lists], names=["cls", "s0", "s1", "keys"])
+
+    coded = common.stage(reps.select("cls", "e").mapInArrow(encode, "cls long, s0 long, s1 long, keys array<int>"), "codes")
+    stored = coded.select("cls", "s0", "s1", F.posexplode("keys").alias("t", "key"))
 
     def differing(name: str) -> Column:
-        return F.col(f"x.{name}").bitwiseXOR(F.col(f"y.{name}"))
+        return F.bit_count(F.col(f"x.{name}").bitwiseXOR(F.col(f"y.{name}")))
 
-    first = F.lit(len(tables))
-    for t, (k, shift) in reversed(list(enumerate(tables))):
-        first = F.when(F.bit_count(_substring(differing(f"q{k}"), shift, width)) <= 1, t).otherwise(first)
-    near = F.bit_count(differing("s0")) + F.bit_count(differing("s1")) <= most_apart(cosine)
-    met = probes.alias("x").join(stored.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & near & (first == F.least("x.t", F.lit(len(tables)))))
+    near = differing("s0") + differing("s1") <= most_apart(cosine)
+    met = stored.alias("x").join(stored.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & near)
     pairs = common.stage(met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), "met")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
