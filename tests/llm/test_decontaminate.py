@@ -1,4 +1,5 @@
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -33,6 +34,36 @@ def test_myers_distance(item, text):
     assert decontaminate.Pattern(item).distance(text) == plain(item, text)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text("abé ", min_size=1, max_size=200), st.text("abé x", max_size=230)), min_size=1, max_size=12))
+def test_distances_side_by_side(pairs):
+    made = [(decontaminate.Pattern(item), text) for item, text in pairs]
+    assert decontaminate.least_distances(made).tolist() == [p.distance(t) for p, t in made]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("ab c", min_size=20, max_size=45), max_size=3), st.text("ab c", max_size=60), st.integers(1, 60), st.sampled_from([0.05, 0.2]))
+def test_long_spans_are_cut_without_a_loss(items, text, times, rate):
+    items, text = list(enumerate(items)), text * times
+    assert decontaminate.Matcher(items, rate).matches(text) == brute(items, text, rate)
+
+
+def test_repetitive_text_against_many_items():
+    rng = random.Random(7)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(322))
+    items = []
+    for k in range(20):
+        item = list(passage)
+        for _ in range(24):
+            item[rng.randrange(len(item))] = rng.choice("xyz")
+        items.append((k, "".join(item)))
+    matcher = decontaminate.Matcher(items, 0.05)
+    began = time.process_time()
+    found = matcher.matches((passage + "q") * (480_000 // 323))
+    assert time.process_time() - began < 6  # 2 s on a machine of usual speed
+    assert found == brute(items, (passage + "q") * 3, 0.05)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text("ab c", max_size=45), max_size=3), st.text("ab c", max_size=150), st.sampled_from([0.0, 0.05, 0.1, 0.3]))
 def test_matcher_equals_brute_force(items, text, rate):

@@ -3,23 +3,28 @@
 An item of L normalised characters may differ from a passage by e = floor(L * rate) edits. Cut into
 e + 1 pieces, one piece at least is untouched, so every passage within the budget holds an exact
 piece. An automaton finds the pieces in whole texts; each hit's surroundings are verified with
-Myers' bit-parallel edit distance. Documents are only mapped over: there is no shuffle.
+Myers' bit-parallel edit distance: few spans with one long integer each, many side by side in words
+of 64 bits. Documents are only mapped over. Where the benchmark has more than one block, each block
+is one such pass that leaves only what it found, by the hash of the text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from tickloom.llm import common
 
 RATE = 0.05
 #: Benchmarks are matched in blocks of about this many bytes; only a block is sent to the workers.
 BLOCK_BYTES = 8 << 20
+#: From this many spans on they are verified side by side; spans in one tile.
+MANY, TILE = 48, 2048
 
 
 def normalise(text: str | None) -> str:
@@ -61,6 +66,73 @@ class Pattern:
             up, down = fall | (full & ~(x | rise)), rise & x
         return best
 
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """(code points, their masks in words of 64 bits, lowest first)."""
+        words = -(-self.length // 64)
+        points = np.array(sorted(map(ord, self.masks)), np.uint32)
+        rows = [[self.masks[chr(p)] >> 64 * w & (1 << 64) - 1 for w in range(words)] for p in points.tolist()]
+        return points, np.array(rows, np.uint64).reshape(len(points), words)
+
+
+def least_distances(pairs: list[tuple[Pattern, str]]) -> np.ndarray:
+    """Pattern.distance of every pair, a column of all texts at a time. Patterns of as many words go
+    together; shorter texts are filled up with what matches nothing, which lowers no distance."""
+    out = np.zeros(len(pairs), np.int64)
+    by_words: dict[int, list[int]] = {}
+    for i, (pattern, _) in enumerate(pairs):
+        by_words.setdefault(-(-pattern.length // 64), []).append(i)
+    for words, own in by_words.items():
+        own.sort(key=lambda i: len(pairs[i][1]))
+        for at in range(0, len(own), TILE):
+            tile = own[at : at + TILE]
+            out[tile] = _columns([pairs[i] for i in tile], words)
+    return out
+
+
+def _columns(pairs: list[tuple[Pattern, str]], words: int) -> np.ndarray:
+    width = max(len(t) for _, t in pairs)
+    tables, start, filled = {}, {}, [np.zeros((1, words), np.uint64)]
+    size = 1
+    for pattern in {id(p): p for p, _ in pairs}.values():
+        points, masks = pattern.table()
+        tables[id(pattern)], start[id(pattern)] = points, size
+        filled.append(masks)
+        size += len(points)
+    masks = np.concatenate(filled)
+    rows = np.zeros((width, len(pairs)), np.int32)  # 0: a character without a mask
+    for k, (pattern, text) in enumerate(pairs):
+        points, codes = tables[id(pattern)], np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        found = np.minimum(np.searchsorted(points, codes), len(points) - 1)
+        rows[: len(codes), k] = np.where(points[found] == codes, start[id(pattern)] + found, 0)
+    length = np.array([p.length for p, _ in pairs])
+    top = np.left_shift(np.uint64(1), ((length - 1) % 64).astype(np.uint64))
+    one, last = np.uint64(1), np.uint64(63)
+    up, down = np.full((words, len(pairs)), ~np.uint64(0)), np.zeros((words, len(pairs)), np.uint64)
+    score = length.astype(np.int64)
+    best = score.copy()
+    for j in range(width):
+        eq = masks[rows[j]].T
+        part = eq & up
+        total = part + up
+        if words > 1:
+            carry = total[0] < up[0]
+            for w in range(1, words):
+                over = total[w] < up[w]
+                total[w] += carry
+                carry = over | (carry & (total[w] == 0))
+        x = (total ^ up) | eq
+        rise, fall = down | ~(x | up), up & x
+        score += (rise[-1] & top) != 0
+        score -= (fall[-1] & top) != 0
+        np.minimum(best, score, out=best)
+        x = eq | down
+        over_rise, over_fall = rise[:-1] >> last, fall[:-1] >> last
+        rise, fall = rise << one, fall << one
+        rise[1:] |= over_rise
+        fall[1:] |= over_fall
+        up, down = fall | ~(x | rise), rise & x
+    return best
+
 
 class Matcher:
     """The automaton over the pieces of a block of items."""
@@ -76,7 +148,7 @@ class Matcher:
                 budget = int(len(item) * rate)
                 for offset, piece in pieces(item, budget):
                     found.setdefault(piece, []).append((len(self.items), offset))
-                self.items.append((item_id, len(item), budget, Pattern(item)))
+                self.items.append((item_id, item, budget, Pattern(item)))
         self.automaton = ahocorasick.Automaton()
         for piece, uses in found.items():
             self.automaton.add_word(piece, (len(piece), uses))
@@ -91,26 +163,33 @@ class Matcher:
         spans: dict[int, list[list[int]]] = {}
         for end, (size, uses) in self.automaton.iter(text):
             for k, offset in uses:
-                _, length, budget, _ = self.items[k]
+                _, item, budget, _ = self.items[k]
                 start = end + 1 - size - offset
-                a, b = max(0, start - budget), start + length + budget
+                a, b = max(0, start - budget), start + len(item) + budget
                 mine = spans.setdefault(k, [])
                 if mine and a <= mine[-1][1] and a >= mine[-1][0]:
                     mine[-1][1] = max(mine[-1][1], b)
                 else:
                     mine.append([a, b])
-        out = []
+        best: dict[int, int] = {}
+        pairs: list[tuple[int, str]] = []
         for k, mine in spans.items():
-            item_id, length, budget, pattern = self.items[k]
-            best = budget + 1
-            for a, b in mine:
-                if b - a >= length - budget and (d := pattern.distance(text[a:b])) < best:
-                    best = d
-                    if not best:
-                        break
-            if best <= budget:
-                out.append((item_id, best))
-        return sorted(out)
+            _, item, budget, _ = self.items[k]
+            if item in text:
+                best[k] = 0
+            elif budget:  # without a budget only the item itself counts
+                reach = len(item) + budget  # of a passage at most: cuts overlap by as much
+                for a, b in mine:
+                    b = min(b, len(text))
+                    pairs += [(k, text[c : min(b, c + 4 * reach)]) for c in range(a, max(a + 1, b - reach), 3 * reach) if b - c >= len(item) - budget]
+        if len(pairs) < MANY:
+            for k, cut in pairs:
+                if best.get(k) != 0:
+                    best[k] = min(best.get(k, len(cut) + 1), self.items[k][3].distance(cut))
+        else:
+            for (k, _), d in zip(pairs, least_distances([(self.items[k][3], cut) for k, cut in pairs]).tolist()):
+                best[k] = min(best.get(k, d), d)
+        return sorted((self.items[k][0], d) for k, d in best.items() if d <= self.items[k][2])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -122,28 +201,43 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, blo
     matched each; other columns pass through, and columns named like the two are replaced."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     blocks = 1 + common.text_bytes(items) // block_bytes
-    out = docs.drop("bm_items", "bm_distances").withColumn("bm_items", F.array().cast("array<bigint>")).withColumn("bm_distances", F.array().cast("array<int>"))
-    names, schema = out.columns, out.schema
-    for name, kind in (("bm_items", ArrayType(LongType())), ("bm_distances", ArrayType(IntegerType()))):
-        schema[name].dataType, schema[name].nullable = kind, True
-    for block in range(blocks):
+    docs = docs.drop("bm_items", "bm_distances")
+    names, lists = docs.columns, (("bm_items", ArrayType(LongType())), ("bm_distances", ArrayType(IntegerType())))
+    text, key = common.unused(docs, "bm_text", "bm_key")
+
+    def sent(block: int):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # about block_bytes
-        held = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])
+        return docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])
+
+    if blocks == 1:
+        held = sent(0)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(held.value, rate)
-            at = names.index("bm_items")
             for batch in common.slices(batches):
-                ids, distances = [], []
-                for text, i, d in zip(batch.column(len(names)).to_pylist(), batch.column(at).to_pylist(), batch.column(at + 1).to_pylist()):
-                    both = sorted([*zip(i, d), *matcher.matches(text)])
-                    ids.append([x for x, _ in both])
-                    distances.append([x for _, x in both])
-                columns = list(batch.columns[: len(names)])
-                columns[at], columns[at + 1] = pa.array(ids, pa.list_(pa.int64())), pa.array(distances, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-        if block:  # one block's automaton in the workers at a time
-            out = common.stage(out, "blocks")
-        out = out.select("*", F.col("text").alias(common.unused(out, "bm_text")[0])).mapInArrow(run, schema)
-    return out
+                found = [matcher.matches(t) for t in batch.column(len(names)).to_pylist()]
+                ids, distances = ([[pair[k] for pair in row] for row in found] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.int64())), pa.array(distances, pa.list_(pa.int32()))], names=[*names, "bm_items", "bm_distances"])
+
+        schema = StructType([*docs.schema.fields, *[StructField(n, t) for n, t in lists]])
+        return docs.select("*", F.col("text").alias(text)).mapInArrow(run, schema)
+
+    hits = None
+    for block in range(blocks):  # one block's automaton in the workers at a time
+        held = sent(block)
+
+        def find(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(held.value, rate)
+            for batch in common.slices(batches):
+                for key, t in zip(batch.column(0), batch.column(1).to_pylist()):
+                    if found := matcher.matches(t):
+                        keys = pa.array([key.as_py()] * len(found), pa.string())
+                        yield pa.RecordBatch.from_arrays([keys, *[pa.array([x[k] for x in found], t) for k, t in ((0, pa.int64()), (1, pa.int32()))]], names=["key", "item", "distance"])
+
+        texts = docs.select(F.sha2(F.encode("text", "UTF-8"), 256).alias("key"), "text")
+        found = common.stage(texts.mapInArrow(find, "key string, item long, distance int").distinct(), "hits")
+        hits = found if hits is None else hits.unionAll(found)
+    grouped = common.stage(hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("item", "distance"))).alias("hits")), "hits-by-text")
+    joined = docs.withColumn(key, F.sha2(F.encode("text", "UTF-8"), 256)).join(grouped.select(F.col("key").alias(f"{key}_of"), F.col("hits").alias(text)), F.col(key) == F.col(f"{key}_of"), "left")
+    made = [F.coalesce(F.col(text)[field], F.array().cast(kind)).alias(name) for (name, kind), field in zip(lists, ("item", "distance"))]
+    return joined.select(*[F.col(f"`{n}`") for n in names], *made)

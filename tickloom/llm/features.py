@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from tickloom.llm import common
 
@@ -57,6 +58,13 @@ def features(text: str | None, n_chars: int | None, words: WordSlots) -> tuple[n
     return slots, counts, words.slots + np.arange(len(STATS)) * BINS + bins
 
 
+def char_count(docs: DataFrame) -> Column:
+    """The column n_chars as a whole number; null where there is none, it is no number, or the column
+    is of a kind that holds none."""
+    known = "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, (NumericType, StringType, BooleanType))
+    return F.col("n_chars").try_cast("long") if known else F.lit(None).cast("long")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, max_rows: int) -> DataFrame:
     """(doc_id, text, n_chars, y) of about max_rows labelled ids (twice as many at most) that
     are not held out, chosen by a hash of their id. A document labelled twice takes its mean label,
@@ -66,8 +74,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     rows = common.stage(rows, "labelled")
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     few = rows.where(lot < int((1 << 40) * min(1.0, max_rows / max(1, rows.count())))).limit(2 * max_rows)
-    n_chars = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", n_chars.alias("n_chars"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", char_count(docs).alias("n_chars"))
     return texts.join(F.broadcast(few), "doc_id")  # few has 2 * max_rows rows at most
 
 

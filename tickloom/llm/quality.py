@@ -81,7 +81,6 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast((model.w0, model.w, model.v))  # a fixed number of slots
     docs = docs.drop("fm_score", "fm_held_out", "fm_predicted")
     names = docs.columns
-    has_chars = "n_chars" in names
 
     def run(batches):
         fm = FactorisationMachine(1, 1)
@@ -95,9 +94,8 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40).astype(np.float64)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(p)], names=[*names, "fm_score"])
 
-    n_chars = F.col("n_chars").cast("long") if has_chars else F.lit(None).cast("long")
     text_name, chars_name = common.unused(docs, "fm_text", "fm_chars")
-    given = docs.select("*", F.col("text").alias(text_name), n_chars.alias(chars_name))
+    given = docs.select("*", F.col("text").alias(text_name), features.char_count(docs).alias(chars_name))
     schema = docs.schema.add("fm_score", "double")
     return given.mapInArrow(run, schema)
 
@@ -106,7 +104,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with `fm_score` (0 to 1), `fm_held_out` and `fm_predicted` (score >= 0.3).
 
     Defined results: an empty table gives no rows; null and empty texts are scored by their
-    statistics; without labels every score is 0.5; rows of equal doc_id are scored each; columns of
+    statistics; an n_chars that is no number counts as missing; without labels every score is 0.5; rows of equal doc_id are scored each; columns of
     other names pass through, those named like the three are replaced."""
     scored = score(docs, train(docs, labels))
     return scored.withColumn("fm_held_out", common.id_bucket(F.col("doc_id"), FOLDS) == 0).withColumn("fm_predicted", (F.col("fm_score") >= THRESHOLD).cast("int"))

@@ -128,7 +128,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, p_insult, p_sustained, p_toxic, toxic) for every row, by one pass.
 
     Learns only from rows whose id hash is not held out. Defined results: an empty table gives no
-    rows; null and empty texts have no words and the scores of none; without labels nothing is toxic;
+    rows; null and empty texts have no words and the scores of none; an n_chars that is no number counts
+    as missing; without labels nothing is toxic;
     rows of equal doc_id are scored each; other columns are ignored."""
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # a fixed number of slots
 
@@ -140,7 +141,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             columns = [batch.column("doc_id"), *[pa.array(p[:, k]) for k in range(len(CHAIN))], pa.array(p[:, -1] >= chain.threshold)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *[f"p_{c}" for c in CHAIN], "toxic"])
 
-    n_chars = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", n_chars.alias("n_chars"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", features.char_count(docs).alias("n_chars"))
     scored = given.mapInArrow(run, "doc_id long, " + ", ".join(f"p_{c} double" for c in CHAIN) + ", toxic boolean")
     return scored.withColumn("held_out", common.id_bucket(F.col("doc_id"), FOLDS) == 0)
