@@ -11,21 +11,38 @@ from tickloom.functions import series
 KEY = ["symbol", "interval"]
 
 
+def _bounds(n: Column, fold: Column, n_folds: int, embargo: int, train_ratio: float, min_test: int) -> dict[str, Column]:
+    """Bounds of a fold of a series of n bars, ends exclusive, as columns of the row."""
+    size = F.floor(n / n_folds).cast("long")
+    train = F.floor(size * train_ratio).cast("long")
+    test = size - train - embargo
+    short = test < min_test
+    train, test = F.when(short, size - min_test - embargo).otherwise(train), F.when(short, F.lit(min_test)).otherwise(test)
+    start = (fold * size).cast("long")
+    opened = start + train + embargo
+    return {"train_start": start, "train_end": start + train, "test_start": opened, "test_end": F.least(opened + test, n)}
+
+
 def folds(bars: DataFrame, n_folds: int = 5, embargo: int = 72, train_ratio: float = 0.6, min_test: int = 100) -> DataFrame:
     """(symbol, interval, fold, train_start, train_end, test_start, test_end), ends exclusive.
 
     Consecutive slices of each series; within a slice training comes first, then the embargo. A
     test part under min_test bars takes them from training (which may leave none)."""
-    sizes = bars.groupBy(*KEY).agg(F.count("*").alias("n")).withColumn("size", F.floor(F.col("n") / n_folds).cast("long"))
+    sizes = bars.groupBy(*KEY).agg(F.count("*").alias("n"))
     f = sizes.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
-    train = F.floor(F.col("size") * train_ratio).cast("long")
-    test = F.col("size") - train - embargo
-    short = test < min_test
-    f = f.withColumn("train", F.when(short, F.col("size") - min_test - embargo).otherwise(train)).withColumn("test", F.when(short, F.lit(min_test)).otherwise(test))
-    start = F.col("fold") * F.col("size")
-    f = f.select(*KEY, "fold", start.cast("long").alias("train_start"), (start + F.col("train")).alias("train_end"), (start + F.col("train") + embargo).alias("test_start"), "test", "n")
-    f = f.withColumn("test_end", F.least(F.col("test_start") + F.col("test"), F.col("n")))
-    return f.where("test_start < test_end").drop("test", "n")
+    bounds = _bounds(F.col("n"), F.col("fold"), n_folds, embargo, train_ratio, min_test)
+    return f.select(*KEY, "fold", *[x.alias(c) for c, x in bounds.items()]).where("test_start < test_end")
+
+
+def by_fold(rows: DataFrame, n_folds: int, embargo: int, train_ratio: float = 0.6, min_test: int = 100) -> DataFrame:
+    """Whole series of indexed rows with the folds and parts they lie in, and the folds' bounds: what
+    in_folds(rows, folds(rows)) gives, by columns alone, without a join."""
+    counted = rows.withColumn("__n", F.max("bar_index").over(Window.partitionBy(*KEY)) + 1)  # a bar may have several rows
+    each = counted.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
+    each = each.withColumns(_bounds(F.col("__n"), F.col("fold"), n_folds, embargo, train_ratio, min_test)).drop("__n")
+    i = F.col("bar_index")
+    train, test = (i >= F.col("train_start")) & (i < F.col("train_end")), (i >= F.col("test_start")) & (i < F.col("test_end"))
+    return each.where((F.col("test_start") < F.col("test_end")) & (train | test)).withColumn("part", F.when(train, "train").otherwise("test"))
 
 
 def in_folds(bars: DataFrame, fold_rows: DataFrame) -> DataFrame:
@@ -148,37 +165,62 @@ def regimes(rows: DataFrame, volatility: Column, keys: list[str]) -> DataFrame:
     return cuts.withColumn("regime", F.when(F.col("vol") <= F.col("p33"), "low").when(F.col("vol") <= F.col("p67"), "medium").when(F.col("vol").isNotNull(), "high"))
 
 
-def chosen_rows(signals: DataFrame, horizons: list[int], n_folds: int, embargo: int, min_train: int, min_test: int) -> tuple[DataFrame, DataFrame]:
-    """(test rows with their forward return at the fold's horizon, the fold's choice)."""
-    every = in_folds(by_horizon(signals, horizons), folds(signals, n_folds, embargo, min_test=min_test))
-    keys = [*KEY, "fold"]
-    safe = F.col("bar_index") < F.least("train_end", "test_start") - F.col("horizon")
-    train = labels(every.where("part = 'train'").where(safe), F.col("combined_signal"))
-    enough = train.groupBy(*keys, "horizon").count().where(F.col("count") >= min_train).drop("count")
-    chosen = best_horizon(best_threshold(train.join(enough, [*keys, "horizon"], "left_semi"), [*keys, "horizon"]), keys)
-    return every.where("part = 'test'").join(chosen, [*keys, "horizon"]), chosen
+def _outcomes(signals: DataFrame, horizons: list[int], n_folds: int, embargo: int, min_test: int, long: Column, short: Column) -> DataFrame:
+    """For each series, fold, horizon and score: positives and negatives of training rows whose return
+    is known before training ends (p, q), of test rows (up, down), and of all test rows with a known
+    return how many were said to rise or fall, and rightly. All of it lies in the series' partition."""
+    rows = by_fold(by_horizon(signals, horizons), n_folds, embargo, min_test=min_test).withColumn("score", F.col("combined_signal"))
+    r, safe = F.col("forward_return"), F.col("bar_index") < F.least("train_end", "test_start") - F.col("horizon")
+    labelled, test = (r != 0) & F.col("score").isNotNull(), F.col("part") == "test"
+    train = labelled & ~test & safe
+    return rows.where(r.isNotNull()).groupBy(*KEY, "fold", "horizon", "score").agg(
+        F.count_if(train & (r > 0)).alias("p"), F.count_if(train & (r < 0)).alias("q"), F.count_if(labelled & test & (r > 0)).alias("up"), F.count_if(labelled & test & (r < 0)).alias("down"),
+        F.count_if(test & (long | short)).alias("said"), F.count_if(test & ((long & (r > 0)) | (short & (r < 0)))).alias("right"),
+    )
+
+
+def _chosen(outcomes: DataFrame, min_train: int) -> DataFrame:
+    """The horizon and threshold of each fold, chosen on its training rows, and what they give on its
+    test rows: as best_threshold, best_horizon, confusion and roc_auc do one by one."""
+    keys = [*KEY, "fold", "horizon"]
+    group = Window.partitionBy(*keys)
+    falling, below = (group.orderBy(x).rowsBetween(Window.unboundedPreceding, k) for x, k in ((F.desc("score"), 0), (F.col("score"), -1)))
+    p, q, up, down, score = (F.col(c) for c in ("p", "q", "up", "down", "score"))
+    s = outcomes.withColumns({"tp": F.sum("p").over(falling), "fp": F.sum("q").over(falling), "ps": F.sum("p").over(group), "qs": F.sum("q").over(group), "below": F.coalesce(F.sum(F.when(score.isNotNull(), down)).over(below), F.lit(0))})
+    s = s.withColumn("gain", F.when(p + q > 0, F.struct(mcc(F.col("tp"), F.col("fp"), F.col("qs") - F.col("fp"), F.col("ps") - F.col("tp")).alias("mcc"), "score")))
+    s = s.withColumns({"best": F.max("gain").over(group), "top": F.max(F.when(p + q > 0, score)).over(group)})
+    none = F.col("best.mcc") <= 0
+    s = s.withColumns({"threshold": F.when(none, F.col("top") + 1e-9).otherwise(F.col("best.score")), "train_mcc": F.greatest("best.mcc", F.lit(0.0))})
+    over = score >= F.col("threshold")
+    wins, pairs = F.sum(up * (F.col("below") + down / 2)), F.sum("up").cast("double") * F.sum("down").cast("double")
+    sums = {"tp": F.when(over, up), "fp": F.when(over, down), "tn": F.when(over, 0).otherwise(down), "fn": F.when(over, 0).otherwise(up), "samples": up + down, "said": F.col("said"), "right": F.col("right")}
+    each = s.where((F.col("ps") + F.col("qs") >= min_train) & F.col("best").isNotNull()).groupBy(*keys, "threshold", "train_mcc").agg(
+        *[F.coalesce(F.sum(x), F.lit(0)).alias(c) for c, x in sums.items()], F.when(pairs > 0, wins / pairs).otherwise(F.lit(0.5)).alias("roc_auc")
+    )
+    kept = F.struct("horizon", "threshold", "train_mcc", *sums, "roc_auc")
+    best = each.groupBy(*KEY, "fold").agg(F.max_by(kept, F.struct(F.col("train_mcc"), -F.col("horizon"))).alias("b"))
+    return best.select(*KEY, "fold", "b.*")
 
 
 def fold_metrics(signals: DataFrame, horizons: list[int], n_folds: int, embargo: int, min_train: int = 30, min_test: int = 100, discrete: bool = True, interval_hours: float = 1.0) -> DataFrame:
     """One row per series and fold: classification, trades and directional accuracy on test rows.
-    Discrete signals trade on buys and sells, others where the combined signal crosses CROSSING."""
-    keys = [*KEY, "fold"]
-    test, _ = chosen_rows(signals, horizons, n_folds, embargo, min_train, min_test)
-    rows = labels(test, F.col("combined_signal"))
-    counts = rows.groupBy(*keys, "horizon", "threshold").agg(*confusion(F.col("label"), F.col("score") >= F.col("threshold")), F.count("*").alias("samples"))
-    counts = counts.withColumn("mcc", mcc(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn"))).join(roc_auc(rows, keys), keys)
-    known, r, x = test.where("forward_return IS NOT NULL"), F.col("forward_return"), F.col("combined_signal")
+    Discrete signals trade on buys and sells, others where the combined signal crosses CROSSING.
+
+    Rows are dealt by series once; folds are columns of the row, one aggregate by score carries what
+    choice and classification need, and the trades meet the fold's choice in the same partition."""
+    keys, x = [*KEY, "fold"], F.col("combined_signal")
     long, short = (F.col("buy_signal"), F.col("sell_signal")) if discrete else (x > CROSSING, x < -CROSSING)
-    right = F.count_if((long & (r > 0)) | (short & (r < 0)))
-    said = F.count_if(long | short)
-    accuracy = known.groupBy(*keys).agg(F.when(said > 0, right / said).otherwise(F.lit(0.5)).alias("accuracy"))
-    entries = known if discrete else directional_signals(test, keys).where("forward_return IS NOT NULL")
+    chosen = _chosen(_outcomes(signals, horizons, n_folds, embargo, min_test, F.coalesce(long, F.lit(False)), F.coalesce(short, F.lit(False))), min_train).where("samples > 0")
+    test = by_fold(by_horizon(signals, horizons), n_folds, embargo, min_test=min_test).where("part = 'test'").join(chosen.select(*keys, "horizon"), [*keys, "horizon"], "left_semi")
+    entries = (test if discrete else directional_signals(test, keys)).where("forward_return IS NOT NULL")
     sides = F.array_compact(F.array(F.when(F.col("buy_signal"), F.lit(1)), F.when(F.col("sell_signal"), F.lit(-1))))
     made = entries.withColumn("side", F.explode(sides)).select(
-        *keys, F.col("bar_index").alias("entry_bar"), F.when(F.col("side") > 0, "long").otherwise("short").alias("direction"), (r * F.col("side")).alias("return_pct"), F.col("horizon").alias("holding_bars")
+        *keys, F.col("bar_index").alias("entry_bar"), F.when(F.col("side") > 0, "long").otherwise("short").alias("direction"), (F.col("forward_return") * F.col("side")).alias("return_pct"), F.col("horizon").alias("holding_bars")
     )
     traded = trade_metrics(made, keys, interval_hours)
-    return counts.join(accuracy, keys, "left").join(traded, keys, "left").na.fill(0, ["total_trades", "wins", "total_return", "avg_return", "win_rate", "profit_factor", "sharpe", "max_drawdown"])
+    accuracy = F.when(F.col("said") > 0, F.col("right") / F.col("said")).otherwise(F.lit(0.5))
+    counts = chosen.withColumns({"mcc": mcc(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn")), "accuracy": accuracy}).drop("train_mcc", "said", "right")
+    return counts.join(traded, keys, "left").na.fill(0, ["total_trades", "wins", "total_return", "avg_return", "win_rate", "profit_factor", "sharpe", "max_drawdown"])
 
 
 def steadiness(values: Column) -> Column:
@@ -240,8 +282,6 @@ def data_usage(fold_rows: DataFrame) -> DataFrame:
 def evaluate(signals: DataFrame, horizons: list[int], n_folds: int, embargo: int, min_train: int = 30, min_test: int = 100) -> DataFrame:
     """One row per series and fold: horizon and threshold chosen on training rows, MCC and AUC on
     test rows. signals: indexed bars with combined_signal."""
-    keys = [*KEY, "fold"]
-    test = labels(chosen_rows(signals, horizons, n_folds, embargo, min_train, min_test)[0], F.col("combined_signal"))
-    counts = test.groupBy(*keys, "horizon", "threshold").agg(*confusion(F.col("label"), F.col("score") >= F.col("threshold")), F.count("*").alias("samples"))
-    auc = roc_auc(test, keys)
-    return counts.withColumn("mcc", mcc(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn"))).join(auc, keys)
+    no = F.lit(False)
+    chosen = _chosen(_outcomes(signals, horizons, n_folds, embargo, min_test, no, no), min_train).where("samples > 0")
+    return chosen.withColumn("mcc", mcc(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn"))).drop("train_mcc", "said", "right")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTERED: dict[str, tuple[Query, str | None]] = {}
-_MODULES = ["series_queries", "evaluation_queries", "search_queries", "result_queries", "adaptive_queries", "scan_queries", "matrix_queries", "stretch_queries"]
+_MODULES = ["series_queries", "evaluation_queries", "search_queries", "result_queries", "adaptive_queries", "scan_queries", "matrix_queries", "stretch_queries", "daily_queries"]
 
 
 def register(name: str, run: Query, sql: str | None = None) -> None:

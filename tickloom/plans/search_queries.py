@@ -147,12 +147,10 @@ FROM ob GROUP BY trial_id"""
 register("o06_trial_objectives", trial_objectives, ROLL.replace(f"WITH {BARS}, {BASE}", _FADING) + _SCORED)
 _TRIALS = ", t AS (" + " UNION ALL ".join(f"SELECT {100 * f + s}::BIGINT AS trial_id, symbol, bar_index, close, lead(close, 6) OVER {LAG} AS later, {sql.sma('close', f)} AS f, {sql.sma('close', s)} AS s FROM b" for f in (3, 6) for s in (10, 20)) + ")"
 _PAST = "OVER (PARTITION BY trial_id, symbol ORDER BY bar_index)"
-register("j03_a41_trial_returns", trial_returns,
-         f"""WITH {BARS}{_TRIALS}, x AS (SELECT *, lag(f) {_PAST} <= lag(s) {_PAST} AND f > s AS up, lag(f) {_PAST} >= lag(s) {_PAST} AND f < s AS down FROM t),
+TRIAL_RETURNS_SQL = f"""WITH {BARS}{_TRIALS}, x AS (SELECT *, lag(f) {_PAST} <= lag(s) {_PAST} AND f > s AS up, lag(f) {_PAST} >= lag(s) {_PAST} AND f < s AS down FROM t),
 p AS (SELECT trial_id, symbol, avg(CASE WHEN up THEN 1 ELSE -1 END * (later - close) / close * 100) AS r, count(*) AS n FROM x WHERE (up OR down) AND later IS NOT NULL GROUP BY ALL)
-SELECT trial_id, round(avg(r), 4) AS objective, CAST(sum(n) AS BIGINT) AS trades FROM p GROUP BY trial_id""")
-
-
+SELECT trial_id, round(avg(r), 4) AS objective, CAST(sum(n) AS BIGINT) AS trades FROM p GROUP BY trial_id"""
+register("j03_a41_trial_returns", trial_returns, TRIAL_RETURNS_SQL)
 def full_scripts(spark, sf_dir: str) -> DataFrame:
     """The scripts with a function, two calculations and inputs of their looks."""
     more = F.concat(F.lit("lineWidth = input.int(2)\nratio = input.float(0.5, maxval=4)\ncurve(x) =>\n    x * 2\nfast = ta.sma(close, fastLen)\n// old = ta.ema(close, 3)\ntop := math.max(fast, close)\n"),
