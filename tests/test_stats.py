@@ -163,3 +163,36 @@ def test_recursive_lines():
 
 def test_usable_horizons():
     assert backtest.usable_horizons([6, 1, 6, 99], 50) == [1, 6] and backtest.usable_horizons([80], 50) == [49] and backtest.usable_horizons([3], 1) == [1]
+
+
+def test_alternatives_of_the_permutation_test(spark):
+    """Against every permutation of the labels, counted by the hypergeometric law."""
+    from math import comb
+
+    counts = [(1, 9, 3, 8, 2), (2, 3, 8, 2, 9), (3, 5, 5, 5, 5), (4, 0, 0, 3, 4)]
+    df = spark.createDataFrame(counts, "test_id long, tp long, fp long, tn long, fn long")
+    for alternative in stats.ALTERNATIVES:
+        got = {r["test_id"]: r["p_value"] for r in stats.permutation_test(df, 20_000, alternative=alternative).collect()}
+        for i, tp, fp, tn, fn in counts:
+            pos, neg, said = tp + fn, fp + tn, tp + fp
+            seen = float(stats.mcc_of(tp, fp, tn, fn))
+            share = 0.0
+            for h in range(max(0, said - neg), min(pos, said) + 1):
+                m = float(stats.mcc_of(h, said - h, neg - said + h, pos - h))
+                far = m >= seen - 1e-12 if alternative == "greater" else m <= seen + 1e-12 if alternative == "less" else abs(m) >= abs(seen) - 1e-12
+                share += far * comb(pos, h) * comb(neg, said - h) / comb(pos + neg, said)
+            assert got[i] == pytest.approx(share, abs=0.015)
+
+
+def test_blocks_of_rounds_change_nothing(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", float(k % 7), k * 5 % 3 % 2) for k in range(60)], "k string, score double, label int")
+    whole = stats.permutation_test_auc(rows, ["k"], rounds=300).first()
+    monkeypatch.setattr(stats, "BLOCK_CELLS", 50)
+    assert stats.permutation_test_auc(rows, ["k"], rounds=300).first() == whole
+
+
+def test_existence_and_effective_sizes_at_the_ends(spark):
+    b = bars(spark, 3)
+    assert source.has_bars(b, b.first()["symbol"], b.first()["interval"]) and not source.has_bars(b, "NONE", "1h")
+    rows = spark.createDataFrame([(2, 0.5), (10, 1.0), (10, -1.0), (100, 0.9), (100, -0.5)], "n long, rho double")
+    assert [r[0] for r in rows.select(stats.effective_whole(F.col("n"), F.col("rho"))).collect()] == [2, 1, 1, 5, 300]

@@ -240,11 +240,19 @@ def _summed() -> list[Column]:
     return [*[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn", "samples", "total_trades", "wins")], auc.alias("roc_auc"), F.median("horizon").cast("int").alias("horizon"), F.median("threshold").alias("threshold")]
 
 
+#: Measures of trades that roll-ups average where the rows have them.
+_AVERAGED = ("avg_return", "win_rate", "sharpe", "avg_holding", "tail_capture")
+
+
+def _averaged(rows: DataFrame) -> list[Column]:
+    return [F.avg(c).alias(c) for c in _AVERAGED if c in rows.columns]
+
+
 def roll_up(fold_rows: DataFrame, keys: list[str], min_samples: int = 1, min_trades: int = 0) -> DataFrame:
     """One row per series from its folds (those with samples and trades enough): counts are summed
     and the MCC is of the sums, the AUC is weighted by samples, horizon and threshold are medians."""
     valid = fold_rows.where((F.col("samples") >= min_samples) & (F.col("total_trades") >= min_trades))
-    out = valid.groupBy(*keys).agg(F.count("*").alias("folds"), *_summed(), F.avg("accuracy").alias("accuracy"), F.sum("total_return").alias("total_return"), F.max("max_drawdown").alias("max_drawdown"), F.avg("profit_factor").alias("profit_factor"), consistency())
+    out = valid.groupBy(*keys).agg(F.count("*").alias("folds"), *_summed(), F.avg("accuracy").alias("accuracy"), F.sum("total_return").alias("total_return"), F.max("max_drawdown").alias("max_drawdown"), F.avg("profit_factor").alias("profit_factor"), consistency(), *_averaged(valid))
     better = F.when(F.col("roc_auc") > 0.5, (F.col("roc_auc") - 0.5) / 0.5 * 100).otherwise(F.lit(0.0))
     return out.withColumn("mcc", mcc(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn"))).withColumn("improvement", better)
 
@@ -253,7 +261,7 @@ def across_symbols(series_rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key from its series that traded: sums, means, the greatest drawdown, medians. A
     key with a series of MCC under -0.1 has none: its mean would hide that series."""
     out = series_rows.where("total_trades > 0").groupBy(*keys).agg(
-        F.count("*").alias("series"), F.min("mcc").alias("worst"), *_summed(), *[F.avg(c).alias(c) for c in ("accuracy", "total_return", "profit_factor", "consistency", "improvement")], F.max("max_drawdown").alias("max_drawdown")
+        F.count("*").alias("series"), F.min("mcc").alias("worst"), *_summed(), *[F.avg(c).alias(c) for c in ("accuracy", "total_return", "profit_factor", "consistency", "improvement")], F.max("max_drawdown").alias("max_drawdown"), *_averaged(series_rows)
     )
     return out.where(F.col("worst") >= -0.1).withColumn("mcc", mcc(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn"))).drop("worst")
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _DISPLAY = "(?i)show|display|color|style|size|line"
 #: Parts of the names of inputs that only change how a script looks.
@@ -117,3 +118,59 @@ def described(scripts: DataFrame) -> DataFrame:
     body = F.col("body")
     named = F.regexp_extract_all(body, F.lit(r"(?m)^[ \t]*(\w+)\s*\([^)\n]*\)\s*=>"), F.lit(1))
     return scripts.select("script", body.rlike(r"(?i)overlay\s*=\s*true").alias("overlay"), named.alias("functions"))
+
+
+#: Inputs that a script with too few gets, and the two lines before its first plot.
+_SMOOTHING = ('smooth_len = input.int(5, title="Smooth Len", minval=1, maxval=50)', 'scale_mult = input.float(1.0, title="Scale Mult", minval=0.1, maxval=3.0)')
+_PLOT = r"(?m)^[ \t]*plot\s*\(\s*([^,)\n]+)"
+
+
+def widened(scripts: DataFrame, least: int = 2) -> DataFrame:
+    """scripts in which those with fewer than `least` numeric inputs to search get two more, a length
+    and a factor: what they plot first is smoothed by the one and scaled by the other. A script that
+    plots nothing, or a number, plots the close so; one that has such an input keeps it."""
+    counts = optimizable(parameters(scripts)).where("kind <> 'bool'").groupBy("script").agg(F.count("*").alias("__n"))
+    rows = scripts.join(counts, "script", "left")
+    body = F.col("body")
+    plotted = F.trim(F.regexp_extract(body, _PLOT, 1))
+    base = F.when((plotted == "") | plotted.rlike(rf"^{_NUMBER}$"), "close").otherwise(plotted)
+    lines = F.concat(F.lit("smoothed = ta.sma("), base, F.lit(", smooth_len)\nscaled = smoothed * scale_mult\n"))
+    at = F.instr(body, F.regexp_extract(body, r"(?m)^[ \t]*plot\s*\(", 0))
+    before, after = F.substring(body, F.lit(1), at - 1), F.substring(body, at, F.length(body))
+    replaced = F.concat(before, lines, F.regexp_extract(after, r"^[ \t]*plot\s*\(\s*", 0), F.lit("scaled"), F.substring(after, F.length(F.regexp_extract(after, r"^[ \t]*plot\s*\(\s*[^,)\n]+", 0)) + 1, F.length(after)))
+    logic = F.when(plotted == "", F.concat(lines, F.lit('plot(scaled, "Signal")\n'), body)).otherwise(replaced)
+    inputs = F.concat(*[F.when(body.contains(f"{x.split(' ')[0]} = input"), "").otherwise(x + "\n") for x in _SMOOTHING])
+    head = F.regexp_extract(logic, r"(?s)^(.*?indicator\s*\([^\n]*\n)", 1)
+    text = F.concat(head, inputs, F.substring(logic, F.length(head) + 1, F.length(logic)))
+    return rows.withColumn("body", F.when(F.coalesce("__n", F.lit(0)) < least, text).otherwise(body)).drop("__n")
+
+
+#: Expressions of a member's value around zero, by its kind.
+_VALUES = {
+    "rsi": "ta.rsi(close, {n}) - 50", "cci": "ta.cci(hlc3, {n})", "mfi": "ta.mfi(hlc3, {n}) - 50", "macd": "ta.ema(close, 12) - ta.ema(close, 26)", "roc": "ta.roc(close, {n})",
+}
+
+
+def ensemble_scripts(members: DataFrame, by: list[str], rule: str = "majority", threshold: float = 0.5) -> DataFrame:
+    """(by, body): one script a group of members (by, rank, name, score, kind, length): an input to
+    switch each on and one for its length, their crossings of zero as votes, and the vote's signals
+    and alerts. Members come in the order of rank and name; other kinds are rates of change."""
+    value = F.coalesce(*[F.when(F.col("kind") == k, F.replace(F.lit(text), F.lit("{n}"), F.concat(F.lit("m"), F.col("__k"), F.lit("_length")))) for k, text in _VALUES.items()], F.concat(F.lit("ta.roc(close, m"), F.col("__k"), F.lit("_length)")))
+    order = Window.partitionBy(*by).orderBy("rank", "name")
+    m = members.withColumn("__k", F.row_number().over(order).cast("string"))
+    k = F.concat(F.lit("m"), F.col("__k"))
+    parts = {
+        "source": F.concat(F.lit("//   "), F.col("__k"), F.lit(". "), "name", F.lit(": "), F.format_string("%.4f", F.col("score"))),
+        "inputs": F.concat(k, F.lit('_on = input.bool(true, "'), "name", F.lit('")\n'), k, F.lit("_length = input.int("), F.greatest("length", F.lit(1)).cast("string"), F.lit(', "Length", minval=1)')),
+        "lines": F.concat(k, F.lit(" = "), value, F.lit("\n"), k, F.lit("_buy = "), k, F.lit("_on and ta.crossover("), k, F.lit(", 0)\n"), k, F.lit("_sell = "), k, F.lit("_on and ta.crossunder("), k, F.lit(", 0)")),
+        "on": F.concat(F.lit("("), k, F.lit("_on ? 1 : 0)")), "buys": F.concat(F.lit("("), k, F.lit("_buy ? 1 : 0)")), "sells": F.concat(F.lit("("), k, F.lit("_sell ? 1 : 0)")),
+    }
+    rows = m.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("__k").cast("int").alias("k"), *[x.alias(c) for c, x in parts.items()]))).alias("m"))
+    each = lambda c, between="\n": F.array_join(F.transform("m", lambda x: x[c]), between)
+    held = {"majority": "{x} > 0.5", "unanimous": "{x} >= 1", "weighted": f"{{x}} >= {threshold}"}[rule]
+    body = F.concat(
+        F.lit("//@version=6\n// Ensemble by "), F.lit(rule), F.lit(" of\n"), each("source"), F.lit('\nindicator("Ensemble", overlay=false)\n'), each("inputs"), F.lit("\n"), each("lines"),
+        F.lit("\nvoters = math.max("), each("on", " + "), F.lit(", 1)\nbuys = ("), each("buys", " + "), F.lit(") / voters\nsells = ("), each("sells", " + "), F.lit(") / voters\n"),
+        F.lit(f"buy = {held.format(x='buys')}\nsell = {held.format(x='sells')}\nplot(buys - sells, \"Strength\")\nplotshape(buy, \"Buy\")\nplotshape(sell, \"Sell\")\nalertcondition(buy, \"Buy\")\nalertcondition(sell, \"Sell\")\n"),
+    )
+    return rows.select(*by, body.alias("body"))

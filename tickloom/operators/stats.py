@@ -49,9 +49,42 @@ def samples_needed(mcc: Column, alpha: float = 0.05, power: float = 0.8) -> Colu
     return F.greatest(F.ceil(F.pow(F.try_divide(F.lit(z), F.atanh(mcc)), F.lit(2.0))) + 3, F.lit(30)).cast("long")
 
 
-def effective_size(n: Column, rho: Column) -> Column:
-    """Samples left after lag-1 autocorrelation, three at least."""
-    return F.greatest(F.lit(3.0), n * (1 - rho) / (1 + rho))
+def effective_size(n: Column, rho: Column, floor: float = 3.0) -> Column:
+    """Samples left after lag-1 autocorrelation, `floor` at least."""
+    return F.greatest(F.lit(floor), n * (1 - rho) / (1 + rho))
+
+
+def effective_whole(n: Column, rho: Column) -> Column:
+    """The same for reports, whole: one at least, one for a correlation of one, and all of a series
+    under three. rho: sums of products over n, as lag_correlations gives it."""
+    left = F.when(F.abs(rho) >= 1, F.lit(1.0)).otherwise(n * (1 - rho) / F.when(rho > -1, 1 + rho))
+    return F.when(n < 3, n).otherwise(F.greatest(F.lit(1), F.floor(left))).cast("long")
+
+
+#: Samples that suffice for inference, and that are more than marginal; the widest
+#: interval of an MCC, and the least steadiness over folds.
+ENOUGH, AMPLE, WIDE, STEADY = 100, 500, 0.3, 0.5
+
+
+def quality_report(mcc: Column, auc: Column, n: Column, consistency: Column, profit_factor: Column) -> Column:
+    """What a result rests on: its samples and the effect they could detect, the effect with its
+    interval and whether it lies above zero, how steady it is, and advice in words. A missing
+    consistency counts as steady."""
+    least = detectable_effect(n)
+    low, high = mcc_interval(mcc, n)
+    steady = consistency.isNull() | (consistency >= STEADY)
+    size = F.when(mcc >= 0.5, "large").when(mcc >= 0.3, "medium").when(mcc >= 0.1, "small").otherwise("trivial")
+    found = F.array_compact(
+        F.array(
+            F.when(n < ENOUGH, F.lit("too few samples")).when(n < AMPLE, F.lit("samples are marginal")), F.when(mcc < least, F.lit("the effect is below what the samples can detect")),
+            F.when(high - low > WIDE, F.lit("the interval is wide")), F.when(~steady, F.lit("folds disagree")),
+        )
+    )
+    return F.struct(
+        n.alias("samples"), least.alias("detectable"), ((n >= ENOUGH) & (mcc >= least)).alias("adequate"), mcc.alias("mcc"), auc.alias("roc_auc"), low, high, (high - low).alias("ci_width"),
+        (low > 0).alias("significant"), size.alias("effect"), consistency.alias("consistency"), profit_factor.alias("profit_factor"), steady.alias("steady"),
+        F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("adequate for inference"))).alias("advice"),
+    )
 
 
 def objective(mcc: Column, auc: Column, n: Column, consistency: Column, ci_low: Column) -> Column:
@@ -68,12 +101,20 @@ def composite_objective(mcc: Column, auc: Column, consistency: Column, tail: Col
     return F.when(n < 100, F.lit(float("-inf"))).otherwise(score)
 
 
-def permutation_test(counts: DataFrame, rounds: int = 1000, seed: int = 7) -> DataFrame:
+#: Counts of permuted labels that are held at a time.
+BLOCK_CELLS = 4_000_000
+ALTERNATIVES = ("greater", "less", "two-sided")
+
+
+def permutation_test(counts: DataFrame, rounds: int = 1000, seed: int = 7, alternative: str = "greater") -> DataFrame:
     """counts: (test_id, tp, fp, tn, fn). With the predictions fixed, the hits of permuted labels
-    are hypergeometric, so a round needs four counts and not the rows. Adds p_value (greater)."""
+    are hypergeometric, so a round needs four counts and not the rows. Adds p_value."""
     import numpy as np
     import pyarrow as pa
 
+    if alternative not in ALTERNATIVES:
+        raise ValueError(f"alternative must be one of {ALTERNATIVES}")
+
     def run(batches):
         for batch in batches:
             c = {k: batch.column(k).to_numpy() for k in ("tp", "fp", "tn", "fn")}
@@ -81,7 +122,12 @@ def permutation_test(counts: DataFrame, rounds: int = 1000, seed: int = 7) -> Da
             for i, (tp, fp, tn, fn) in enumerate(zip(c["tp"], c["fp"], c["tn"], c["fn"])):
                 rng = np.random.default_rng([seed, int(batch.column("test_id")[i].as_py())])
                 hits = rng.hypergeometric(tp + fn, fp + tn, tp + fp, rounds) if tp + fp else np.zeros(rounds, int)
-                out.append((1 + int((hits >= tp).sum())) / (rounds + 1))
+                if alternative == "two-sided":
+                    drawn, seen = mcc_of(hits, tp + fp - hits, fp + tn - (tp + fp - hits), tp + fn - hits), mcc_of(tp, fp, tn, fn)
+                    as_far = np.abs(drawn) >= np.abs(seen) - 1e-12
+                else:  # the MCC rises with the hits
+                    as_far = hits >= tp if alternative == "greater" else hits <= tp
+                out.append((1 + int(as_far.sum())) / (rounds + 1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "p_value"])
 
     return counts.mapInArrow(run, StructType([*counts.schema.fields, StructField("p_value", DoubleType())]))
@@ -105,8 +151,11 @@ def permutation_test_auc(rows: DataFrame, keys: list[str], rounds: int = 1000, s
         p, q = (group.column(c).to_numpy().astype(np.int64) for c in ("p", "q"))
         rng = np.random.default_rng([seed, int(group.column("test_id")[0].as_py())])
         seen, pairs = auc(p, q), p.sum() * q.sum()
-        drawn = rng.multivariate_hypergeometric(p + q, int(p.sum()), rounds) if pairs else np.zeros((rounds, len(p)), int)
-        value = (1 + int((auc(drawn, p + q - drawn) >= seen - 1e-12).sum())) / (rounds + 1) if pairs else 1.0
+        block, as_far = max(1, BLOCK_CELLS // max(1, len(p))), 0
+        for at in range(0, rounds if pairs else 0, block):  # so many rounds at a time as the scores allow
+            drawn = rng.multivariate_hypergeometric(p + q, int(p.sum()), min(block, rounds - at))
+            as_far += int((auc(drawn, p + q - drawn) >= seen - 1e-12).sum())
+        value = (1 + as_far) / (rounds + 1) if pairs else 1.0
         out = {k: group.column(k)[:1] for k in keys}
         return pa.table(out | {"roc_auc": pa.array([float(seen) if pairs else 0.5]), "p_value": pa.array([value])})
 

@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tickloom.operators import matrix
+from tickloom.operators import script as scripts_of
 from tickloom.plans.evaluation_queries import CCI, MACD, ROC, RSI, signal_sql
 from tickloom.plans.registry import register
 from tickloom.plans.series_queries import FLOW, TP, bars
@@ -70,3 +72,54 @@ FROM nation JOIN ({_COUNTS}) c ON c.kind = CASE n_nationkey % 5 {_ROUTE} END
 """
 register("j04_script_matrix", counted, COUNTED)
 register("o13_j05_stored_matrix", stored, COUNTED)
+
+
+def plotting(spark, sf_dir: str) -> DataFrame:
+    """Scripts with one input or two, that plot a series, a number, or nothing."""
+    key = F.col("n_nationkey")
+    body = F.concat(
+        F.lit('//@version=5\nindicator("x")\nfast = input.int(3)\n'), F.when(key % 2 == 0, "slow = input.int(9)\n").otherwise(""),
+        F.when(key % 3 == 0, "plot(ta.sma(close, fast), color=red)\nplot(open)\n").when(key % 3 == 1, "  plot( 50 , color=red)\n").otherwise("x = fast\n"),
+    )
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("script"), body.alias("body"))
+
+
+_ADDED = """'smooth_len = input.int(5, title="Smooth Len", minval=1, maxval=50)' || chr(10) || 'scale_mult = input.float(1.0, title="Scale Mult", minval=0.1, maxval=3.0)' || chr(10)"""
+_LINES = "'smoothed = ta.sma(' || {} || ', smooth_len)' || chr(10) || 'scaled = smoothed * scale_mult' || chr(10)"
+_HEAD = "'//@version=5' || chr(10) || 'indicator(\"x\")' || chr(10)"
+_FAST = "'fast = input.int(3)' || chr(10)"
+register(
+    "l06_widened_scripts",
+    lambda s, d: scripts_of.widened(plotting(s, d)),
+    f"""SELECT n_name AS script, CASE WHEN n_nationkey % 2 = 0 THEN {_HEAD} || {_FAST} || 'slow = input.int(9)' || chr(10) ||
+  CASE n_nationkey % 3 WHEN 0 THEN 'plot(ta.sma(close, fast), color=red)' || chr(10) || 'plot(open)' || chr(10) WHEN 1 THEN '  plot( 50 , color=red)' || chr(10) ELSE 'x = fast' || chr(10) END
+ELSE CASE n_nationkey % 3
+  WHEN 0 THEN {_HEAD} || {_ADDED} || {_FAST} || {_LINES.format("'ta.sma(close'")} || 'plot(scaled, fast), color=red)' || chr(10) || 'plot(open)' || chr(10)
+  WHEN 1 THEN {_HEAD} || {_ADDED} || {_FAST} || {_LINES.format("'close'")} || '  plot( scaled, color=red)' || chr(10)
+  ELSE {_LINES.format("'close'")} || 'plot(scaled, "Signal")' || chr(10) || {_HEAD} || {_ADDED} || {_FAST} || 'x = fast' || chr(10) END
+END AS body FROM nation""",
+)
+
+
+def ensembles(spark, sf_dir: str) -> DataFrame:
+    """A script of the three nations of each region that come first by their key."""
+    key = F.col("n_nationkey")
+    rank = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    kind = F.when(key % 2 == 0, "rsi").otherwise("roc")
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_regionkey").alias("region"), rank.alias("rank"), F.col("n_name").alias("name"), (key / 8.0).alias("score"), kind.alias("kind"), (key + 2).cast("int").alias("length"))
+    return scripts_of.ensemble_scripts(rows.where("rank <= 3"), ["region"])
+
+
+_K = "CAST(rank AS VARCHAR)"
+register(
+    "l07_ensemble_scripts",
+    ensembles,
+    f"""WITH m AS (SELECT n_regionkey AS region, n_nationkey AS k, n_name AS name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rank FROM nation QUALIFY rank <= 3)
+SELECT region, '//@version=6' || chr(10) || '// Ensemble by majority of' || chr(10) || string_agg('//   ' || {_K} || '. ' || name || ': ' || printf('%.4f', k / 8.0::DOUBLE), chr(10) ORDER BY rank) || chr(10) || 'indicator("Ensemble", overlay=false)' || chr(10) ||
+string_agg('m' || {_K} || '_on = input.bool(true, "' || name || '")' || chr(10) || 'm' || {_K} || '_length = input.int(' || CAST(k + 2 AS VARCHAR) || ', "Length", minval=1)', chr(10) ORDER BY rank) || chr(10) ||
+string_agg('m' || {_K} || ' = ' || CASE WHEN k % 2 = 0 THEN 'ta.rsi(close, m' || {_K} || '_length) - 50' ELSE 'ta.roc(close, m' || {_K} || '_length)' END || chr(10) ||
+  'm' || {_K} || '_buy = m' || {_K} || '_on and ta.crossover(m' || {_K} || ', 0)' || chr(10) || 'm' || {_K} || '_sell = m' || {_K} || '_on and ta.crossunder(m' || {_K} || ', 0)', chr(10) ORDER BY rank) || chr(10) ||
+'voters = math.max(' || string_agg('(m' || {_K} || '_on ? 1 : 0)', ' + ' ORDER BY rank) || ', 1)' || chr(10) || 'buys = (' || string_agg('(m' || {_K} || '_buy ? 1 : 0)', ' + ' ORDER BY rank) || ') / voters' || chr(10) ||
+'sells = (' || string_agg('(m' || {_K} || '_sell ? 1 : 0)', ' + ' ORDER BY rank) || ') / voters' || chr(10) || 'buy = buys > 0.5' || chr(10) || 'sell = sells > 0.5' || chr(10) || 'plot(buys - sells, "Strength")' || chr(10) ||
+'plotshape(buy, "Buy")' || chr(10) || 'plotshape(sell, "Sell")' || chr(10) || 'alertcondition(buy, "Buy")' || chr(10) || 'alertcondition(sell, "Sell")' || chr(10) AS body FROM m GROUP BY region""",
+)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickloom.functions import series
-from tickloom.operators import asof, audit, backtest, fold
-from tickloom.plans.evaluation_queries import BASE, TRADE_SQL, example
+from tickloom.operators import asof, audit, backtest, fold, stats
+from tickloom.plans.evaluation_queries import BASE, ROLL, TRADE_SQL, example, fold_rows
 from tickloom.plans.registry import register
 from tickloom.plans.series_queries import bars
 from tickloom.plans.sql import BARS, LAG, O, over_bars, rows
@@ -163,3 +163,37 @@ c AS (SELECT symbol, regime, count(*) AS n, count_if(fr > 0 AND score >= 0) AS t
 avg(taken) AS m, stddev_pop(taken) AS sd FROM k GROUP BY ALL)
 SELECT symbol, regime, n, round(CASE WHEN (tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn) > 0 THEN (tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)) ELSE 0 END, 4) AS mcc,
 round((tp + tn)::DOUBLE / n, 4) AS accuracy, round(m, 4) AS mean_return, round(CASE WHEN sd > 0 THEN m / sd ELSE 0 END, 4) AS sharpe FROM c""")
+
+
+def full_report(spark, sf_dir: str) -> DataFrame:
+    """The quality report of each symbol's roll-up, flattened."""
+    rolled = backtest.roll_up(fold_rows(spark, sf_dir), ["symbol"])
+    mcc, auc = F.round("mcc", 9), F.round("roc_auc", 9)
+    made = rolled.select("symbol", stats.quality_report(mcc, auc, F.col("samples"), F.col("consistency"), F.col("profit_factor")).alias("q")).select("symbol", "q.*")
+    return rounded(made.withColumn("advice", F.concat_ws("; ", "advice")), *made.columns, digits=4)
+
+
+_Z, _ZZ = "1.959963984540054::DOUBLE", "2.8015852181129683::DOUBLE"
+register("a39_full_report", full_report,
+         ROLL + f""", q0 AS (SELECT * REPLACE (round(mcc, 9) AS mcc, round(roc_auc, 9) AS roc_auc), tanh({_ZZ} / sqrt(greatest(samples - 3, 1))) AS detectable FROM rr),
+q1 AS (SELECT *, CASE WHEN abs(mcc) >= 0.999 THEN mcc - 0.01 * {_Z} ELSE tanh(atanh(mcc) - {_Z} / sqrt(samples - 3)) END AS ci_low, CASE WHEN abs(mcc) >= 0.999 THEN mcc + 0.01 * {_Z} ELSE tanh(atanh(mcc) + {_Z} / sqrt(samples - 3)) END AS ci_high FROM q0),
+q2 AS (SELECT *, concat_ws('; ', CASE WHEN samples < 100 THEN 'too few samples' WHEN samples < 500 THEN 'samples are marginal' END, CASE WHEN mcc < detectable THEN 'the effect is below what the samples can detect' END,
+ CASE WHEN ci_high - ci_low > 0.3 THEN 'the interval is wide' END, CASE WHEN consistency < 0.5 THEN 'folds disagree' END) AS said FROM q1)
+SELECT symbol, samples, round(detectable, 4) AS detectable, samples >= 100 AND mcc >= detectable AS adequate, round(mcc, 4) AS mcc, round(roc_auc, 4) AS roc_auc, round(ci_low, 4) AS ci_low, round(ci_high, 4) AS ci_high,
+round(ci_high - ci_low, 4) AS ci_width, ci_low > 0 AS significant, CASE WHEN mcc >= 0.5 THEN 'large' WHEN mcc >= 0.3 THEN 'medium' WHEN mcc >= 0.1 THEN 'small' ELSE 'trivial' END AS effect,
+round(consistency, 4) AS consistency, round(profit_factor, 4) AS profit_factor, consistency >= 0.5 AS steady, CASE WHEN said = '' THEN 'adequate for inference' ELSE said END AS advice FROM q2""")
+
+
+def effective(spark, sf_dir: str) -> DataFrame:
+    """The three sizes left after autocorrelation, of the returns of each symbol."""
+    back = F.lag("close").over(series.by_series())
+    moved = bars(spark, sf_dir).withColumn("r", F.try_divide(F.col("close") - back, back)).where("r IS NOT NULL")
+    x = stats.lag_correlations(moved, "r", ["symbol"], "bar_index", 1)
+    n, rho = F.col("n"), F.round("rho1", 9)
+    return rounded(x.withColumns({"evaluated": stats.effective_size(n, rho), "loose": stats.effective_size(n, rho, 1.0), "whole": stats.effective_whole(n, rho)}), "symbol", "n", "evaluated", "loose", "whole", digits=4)
+
+
+register("a22_effective_sizes", effective,
+         f"""WITH {BARS}, r0 AS (SELECT symbol, bar_index, (close - lag(close) OVER {LAG}) / lag(close) OVER {LAG} AS r FROM b), r1 AS (SELECT *, r - avg(r) OVER (PARTITION BY symbol) AS d FROM r0 WHERE r IS NOT NULL),
+r2 AS (SELECT *, lag(d) OVER (PARTITION BY symbol ORDER BY bar_index) AS d1 FROM r1), r3 AS (SELECT symbol, count(*) AS n, round(sum(d * d1) / (count(*) * var_pop(r)), 9) AS rho FROM r2 GROUP BY symbol)
+SELECT symbol, n, round(greatest(3, n * (1 - rho) / (1 + rho)), 4) AS evaluated, round(greatest(1, n * (1 - rho) / (1 + rho)), 4) AS loose, CAST(greatest(1, floor(n * (1 - rho) / (1 + rho))) AS BIGINT) AS whole FROM r3""")

@@ -86,6 +86,11 @@ def only(bars: DataFrame, symbols: list[str] | None = None, intervals: list[str]
     return bars
 
 
+def has_bars(bars: DataFrame, symbol: str, interval: str) -> bool:
+    """Whether a set has any bar; partitions of others are not read, and one row ends the search."""
+    return not only(bars, [symbol], [interval]).limit(1).isEmpty()
+
+
 def write_bars(bars: DataFrame, path: str, form: str = "parquet") -> None:
     bars.repartition(*KEY).sortWithinPartitions(*KEY, "timestamp").write.partitionBy(*KEY).mode("overwrite").format(form).option("header", "true").save(path)
 
