@@ -73,7 +73,7 @@ def _window_rules(bars: DataFrame, length: int) -> tuple[DataFrame, dict[str, tu
     c, h, low, v = (F.col(x) for x in ("close", "high", "low", "volume"))
     zero = F.lit(0.0)
     b = series.with_mfi(series.with_cci(series.with_stoch(bars, 14, 3), 20), 14)
-    b = b.withColumns({"__m": series.sma(c, 20), "__s": series.stdev(c, 20), "__r": series.roc(c, 14), "__f": series.sma(c, 5), "__prev": F.lag("close").over(series.by_series())})
+    b = b.withColumns({"__m": series.sma(c, 20), "__s": series.stdev(c, 20), "__r": series.roc(c, 14), "__short": series.sma(c, length), "__long": series.sma(c, 2 * length), "__prev": F.lag("close").over(series.by_series())})
     now, so_far, middle = series.by_series(), series.so_far(), (h + low) / 2
     before = F.lag("close").over(now)
     b = b.withColumns({
@@ -96,7 +96,7 @@ def _window_rules(bars: DataFrame, length: int) -> tuple[DataFrame, dict[str, tu
         "mfi": (F.col("mfi") < 20, F.col("mfi") > 80),
         "bollinger": (c < F.col("__m") - 2 * F.col("__s"), c > F.col("__m") + 2 * F.col("__s")),
         "williams": (F.col("__w") < -80, F.col("__w") > -20),
-        "sma_cross": (series.crossover(F.col("__f"), F.col("__m")), series.crossunder(F.col("__f"), F.col("__m"))),
+        "sma_cross": (series.crossover(F.col("__short"), F.col("__long")), series.crossunder(F.col("__short"), F.col("__long"))),
         "momentum": ((F.col("__mom") > 0) & (F.col("__mom") > was["__mom"]), (F.col("__mom") < 0) & (F.col("__mom") < was["__mom"])),
         "obv": (F.col("__obv") > F.col("__obv_mean"), F.col("__obv") < F.col("__obv_mean")),
         "vwap": (series.crossover(c, F.col("__vwap")), series.crossunder(c, F.col("__vwap"))),

@@ -86,18 +86,25 @@ _STEPS = f"""m1 AS (SELECT *, close - lag(close, 14) OVER {LAG} AS mom, CASE WHE
  coalesce(sum(sign(close - prev) * volume) OVER (PARTITION BY symbol ORDER BY bar_index), 0) AS obv, sum((high + low + close) / 3 * volume) OVER (PARTITION BY symbol ORDER BY bar_index) / sum(volume) OVER (PARTITION BY symbol ORDER BY bar_index) AS vwap,
  (max(high) OVER {rows(9)} + min(low) OVER {rows(9)}) / 2 AS tenkan, (max(high) OVER {rows(26)} + min(low) OVER {rows(26)}) / 2 AS kijun, (lag(high) OVER {LAG} + lag(low) OVER {LAG} + prev) / 3 AS pv,
  {_S('(high + low) / 2', 5)} - ({_S('(high + low) / 2', 34)}) AS ao, CASE WHEN high > low THEN ((close - low) - (high - close)) / (high - low) ELSE 0 END * volume AS flow FROM (SELECT *, lag(close) OVER {LAG} AS prev FROM b)),
-m2 AS (SELECT *, {_S('obv', 14)} AS obv_mean, ao - ({_S('ao', 5)}) AS ac, ({_S('flow', 14)}) / ({_S('volume', 14)}) AS cmf, {_S('roc', 5)} AS roc_mean FROM m1)"""
+m2 AS (SELECT *, {_S('obv', 14)} AS obv_mean, ao - ({_S('ao', 5)}) AS ac, ({_S('flow', 14)}) / ({_S('volume', 14)}) AS cmf, {_S('roc', 5)} AS roc_mean,
+ max(high) OVER {rows(14)} AS hh, min(low) OVER {rows(14)} AS ll, (high + low + close) / 3 AS tp, {_S('close', 20)} AS mid, {sql.stdev('close', 20)} AS wide, {_S('close', 14)} AS short, {_S('close', 28)} AS long FROM m1),
+m3 AS (SELECT *, CASE WHEN hh = ll THEN 50 ELSE 100 * (close - ll) / (hh - ll) END AS k, CASE WHEN hh > ll THEN -100 * (hh - close) / (hh - ll) END AS w, list(tp) OVER {rows(20)} AS tps, {_S('tp', 20)} AS tm,
+ tp - coalesce(lag(tp) OVER {LAG}, tp) AS td, tp * volume AS tf FROM m2),
+m4 AS (SELECT *, {_S('k', 3)} AS d, list_avg(list_transform(tps, lambda x: abs(x - tm))) AS dev, sum(CASE WHEN td > 0 THEN tf ELSE 0 END) OVER {rows(14)} AS gained, sum(CASE WHEN td < 0 THEN tf ELSE 0 END) OVER {rows(14)} AS lost, count(tf) OVER {rows(14)} AS flows FROM m3),
+m5 AS (SELECT *, CASE WHEN tm IS NOT NULL THEN CASE WHEN dev = 0 THEN 0 ELSE (tp - tm) / (0.015 * dev) END END AS cci, CASE WHEN flows = 14 THEN 100 - 100 / (1 + CASE WHEN lost = 0 THEN 100 ELSE gained / lost END) END AS mfi FROM m4)"""
 _RULES = {
     "momentum": (f"mom > 0 AND mom > lag(mom) OVER {LAG}", f"mom < 0 AND mom < lag(mom) OVER {LAG}"), "obv": ("obv > obv_mean", "obv < obv_mean"), "vwap": _cross("close", "vwap"),
     "ichimoku": _cross("tenkan", "kijun"), "pivot": _cross("close", "pv"),
     "accelerator": (f"ac > 0 AND ac > lag(ac) OVER {LAG}", f"ac < 0 AND ac < lag(ac) OVER {LAG}"), "chaikin": ("cmf > 0.05", "cmf < -0.05"),
     "generic": (f"roc > 0 AND {_cross('roc', 'roc_mean')[0]}", f"roc < 0 AND {_cross('roc', 'roc_mean')[1]}"),
+    "stoch": (f"k < 20 AND {_cross('k', 'd')[0]}", f"k > 80 AND {_cross('k', 'd')[1]}"), "cci": ("cci < -100", "cci > 100"), "mfi": ("mfi < 20", "mfi > 80"),
+    "bollinger": ("close < mid - 2 * wide", "close > mid + 2 * wide"), "williams": ("w < -80", "w > -20"), "sma_cross": _cross("short", "long"),
 }
 register("e01_members", lambda s, d: members(s, d).where(F.col("member").isin(list(_RULES))),
-         f"WITH {BARS}, {_STEPS} " + " UNION ALL ".join(f"SELECT symbol, bar_index, '{n}' AS member, coalesce({x}, false) AS buy, coalesce({y}, false) AS sell FROM m2" for n, (x, y) in _RULES.items()))
+         f"WITH {BARS}, {_STEPS} " + " UNION ALL ".join(f"SELECT symbol, bar_index, '{n}' AS member, coalesce({x}, false) AS buy, coalesce({y}, false) AS sell FROM m5" for n, (x, y) in _RULES.items()))
 
 
-_EVERY = " UNION ALL ".join(f"SELECT symbol, bar_index, coalesce({x}, false)::INT AS buy, coalesce({y}, false)::INT AS sell FROM m2" for x, y in _RULES.values())
+_EVERY = " UNION ALL ".join(f"SELECT symbol, bar_index, coalesce({x}, false)::INT AS buy, coalesce({y}, false)::INT AS sell FROM m5" for x, y in _RULES.values())
 for rule, held in (("majority", "{x} > 0.5"), ("weighted", "{x} >= 0.375"), ("unanimous", "{x} >= 1")):
     register("ensemble_votes" if rule == "majority" else f"ensemble_votes_{rule}",
              lambda s, d, rule=rule: shown(ensemble.votes(ensemble.members(bars(s, d)).where(F.col("member").isin(list(_RULES))), rule, 0.375), "symbol", "bar_index", "buy_ratio", "sell_ratio", "strength", "buy_signal", "sell_signal"),
@@ -106,18 +113,22 @@ register("e01_recursive_members", lambda s, d: ensemble.recursive_members(bars(s
 
 
 
+#: The members of which every subset is tried.
+_FEW = list(_RULES)[:8]
+
+
 def subset_scores(spark, sf_dir: str) -> DataFrame:
     """Every subset of two of the eight members or more, scored over all bars by one job."""
     b = bars(spark, sf_dir)
-    found = subsets.patterns(subsets.member_bits(ensemble.members(b), list(_RULES)), b, 3)
-    rows_ = subsets.scored(found, subsets.every_subset(spark, len(_RULES)), n=len(_RULES))
+    found = subsets.patterns(subsets.member_bits(ensemble.members(b), _FEW), b, 3)
+    rows_ = subsets.scored(found, subsets.every_subset(spark, len(_FEW)), n=len(_FEW))
     return shown(rows_, "symbol", "trial_id", "tp", "fp", "tn", "fn", "signals", "total_return", "mcc", digits=4)
 
 
-_BITS = " + ".join("(coalesce({%d}, false)::BIGINT << %d)" % (k, k) for k in range(len(_RULES)))
+_BITS = " + ".join("(coalesce({%d}, false)::BIGINT << %d)" % (k, k) for k in range(len(_FEW)))
 _HELD = "bit_count({} & id) / bit_count(id) > 0.5::DOUBLE"
 register("o14_subset_scores", subset_scores,
-         f"""WITH {BARS}, {_STEPS}, v AS (SELECT symbol, bar_index, {_BITS.format(*[x for x, _ in _RULES.values()])} AS bb, {_BITS.format(*[y for _, y in _RULES.values()])} AS sb FROM m2),
+         f"""WITH {BARS}, {_STEPS}, v AS (SELECT symbol, bar_index, {_BITS.format(*[_RULES[n][0] for n in _FEW])} AS bb, {_BITS.format(*[_RULES[n][1] for n in _FEW])} AS sb FROM m5),
 m AS (SELECT symbol, bar_index, (lead(close, 3) OVER {LAG} - close) / close * 100 AS fr FROM b), x AS (SELECT symbol, bb, sb, fr FROM v JOIN m USING (symbol, bar_index) WHERE fr IS NOT NULL),
 d AS (SELECT symbol, id, fr, {_HELD.format('bb')} AS up, {_HELD.format('sb')} AS down FROM x, range(1, 256) s(id) WHERE bit_count(id) >= 2),
 k AS (SELECT symbol, id AS trial_id, count_if(up AND NOT down AND fr > 0) AS tp, count_if(up AND NOT down AND fr < 0) AS fp, count_if(down AND NOT up AND fr < 0) AS tn, count_if(down AND NOT up AND fr > 0) AS fn,
