@@ -9,13 +9,14 @@ from __future__ import annotations
 import math
 import time
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.functions import series
+from tickloom.functions import scalar, series
 from tickloom.operators import backtest, indicators, stats
 from tickloom.operators import trials as trials_of
 from tickloom.operators.script import optimizable
@@ -275,3 +276,25 @@ def horizons_for(seconds: int | None, n_bars: int, usual: list[int], fast: bool
         step = max(1, len(found) // 6)
         found = sorted({found[0], *found[::step], found[-1]})
     return found
+
+
+#: Most distinct intervals of one plan, each a branch of it.
+MAX_INTERVALS = 16
+
+
+def interval_metrics(signals: DataFrame, usual: list[int], min_train: int = 30, min_test: int = 100, fast: bool = False) -> DataFrame:
+    """One row a series, rolled up from folds that suit its interval: the number of folds, the embargo,
+    the least trades of a fold and the horizons follow the length of a bar and of the longest series;
+    horizons that do not fit the training part are left out."""
+    sizes = signals.groupBy("interval").agg((F.max("bar_index") + 1).alias("n"), F.first(scalar.interval_seconds(F.col("interval"))).alias("seconds"))
+    found = sizes.limit(MAX_INTERVALS + 1).collect()  # one row an interval
+    if len(found) > MAX_INTERVALS:
+        raise ValueError(f"more than {MAX_INTERVALS} intervals")
+    parts = []
+    for r in sorted(found):
+        hours = (r["seconds"] or 3600) / 3600
+        how = schedule(hours, r["n"])
+        fit = backtest.usable_horizons(horizons_for(r["seconds"], r["n"], usual, fast), int(r["n"] // how["n_folds"] * 0.6))
+        rows = backtest.fold_metrics(signals.where(F.col("interval") == r["interval"]), fit, how["n_folds"], how["embargo"], min_train, min_test, interval_hours=hours)
+        parts.append(backtest.roll_up(rows, backtest.KEY, 1, how["min_trades"]))
+    return reduce(DataFrame.unionByName, parts) if parts else backtest.roll_up(backtest.fold_metrics(signals, [1], 3, 3), backtest.KEY)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import series
 from tickloom.operators import backtest, indicators, search
 from tickloom.plans import sql
-from tickloom.plans.evaluation_queries import AUC, COUNTS, EVALUATED, FOLDS, HORIZONS, ALL_SQL, MCC, shown
+from tickloom.plans.evaluation_queries import ALL_SQL, AUC, COUNTS, EVALUATED, FOLD_SQL, FOLDS, HORIZONS, LABEL_SQL, MCC, REALS_SQL, ROLL, ROLLED, fold_cte, label_cte, shown
 from tickloom.plans.registry import register
 from tickloom.plans.search_queries import TRIAL_RETURNS_SQL
 from tickloom.sources import bars as source
@@ -78,3 +78,27 @@ def trial_returns(spark, sf_dir: str) -> DataFrame:
 
 
 register("j03_daily_trial_returns", trial_returns, on_daily(TRIAL_RETURNS_SQL))
+
+
+#: Horizons of bars under four hours; what suits both intervals here, by hand: folds, embargo, least
+#: trades, horizons.
+USUAL = [1, 2, 3, 6, 12, 24]
+SUITED = {"1 hour": ("1h", 3, 72, 10, USUAL), "4 hours": ("4h", 3, 18, 5, [1, 2, 3, 4, 6, 8, 12, 16])}
+
+
+def by_interval(spark, sf_dir: str) -> DataFrame:
+    """Roll-ups of hourly and 4-hour bars side by side, each with the folds and horizons of its interval."""
+    both = source.event_bars(spark, sf_dir, "1h").unionAll(source.event_bars(spark, sf_dir, "4h"))
+    signals = indicators.directional(indicators.finish(indicators.generic(source.indexed(both), "roc"), 5)).withColumn("combined_signal", F.round("combined_signal", 9))
+    found = search.interval_metrics(signals, USUAL, min_train=1, min_test=20)
+    return shown(found, "symbol", "interval", "folds", *ROLLED, digits=4)
+
+
+def _of(unit: str, name: str, folds: int, embargo: int, trades: int, horizons: list[int]) -> str:
+    """The roll-up's statement with other bars, folds and horizons, and a least number of trades."""
+    some = ROLL.replace(sql.BARS, sql.BARS.replace("'4h'", f"'{name}'").replace("INTERVAL '4 hours'", f"INTERVAL '{unit}'"))
+    some = some.replace(FOLD_SQL, fold_cte(folds, embargo, 20)).replace(LABEL_SQL, label_cte(horizons)).replace("FROM fm GROUP BY symbol", f"FROM fm WHERE total_trades >= {trades} GROUP BY symbol")
+    return f"({some} SELECT symbol, '{name}' AS \"interval\", folds, horizon, samples, tp, fp, tn, fn, total_trades, wins, {REALS_SQL} FROM rr)"
+
+
+register("o09_by_interval", by_interval, " UNION ALL ".join(_of(unit, *how) for unit, how in SUITED.items()))

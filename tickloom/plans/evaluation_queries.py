@@ -130,14 +130,23 @@ register("i07_i09_roc_smoothed", lambda s, d: signals(indicators.directional(ind
 HORIZONS = [1, 3, 6]
 FOLDS = dict(n_folds=2, embargo=5, min_test=30)
 BASE = f"{ROC}, m AS (SELECT *, {sql.sma('x', 5)} AS m FROM t), g AS (SELECT *, CASE WHEN m IS NULL OR max(abs(m)) OVER {CUM} = 0 THEN 0 ELSE greatest(least(m / max(abs(m)) OVER {CUM}, 1), -1) END AS score0, coalesce(lag(m) OVER {LAG} <= 0 AND m > 0, false) AS buy_signal, coalesce(lag(m) OVER {LAG} >= 0 AND m < 0, false) AS sell_signal FROM m)"
-FOLD_SQL = """sizes AS (SELECT symbol, "interval", count(*) AS n, count(*) // 2 AS size FROM b GROUP BY ALL),
+
+
+def fold_cte(n: int, embargo: int, least: int) -> str:
+    return f"""sizes AS (SELECT symbol, "interval", count(*) AS n, count(*) // {n} AS size FROM b GROUP BY ALL),
 f0 AS (SELECT *, CAST(floor(size * 0.6::DOUBLE) AS BIGINT) AS tr FROM sizes),
-f1 AS (SELECT *, CASE WHEN size - tr - 5 < 30 THEN size - 30 - 5 ELSE tr END AS train, CASE WHEN size - tr - 5 < 30 THEN 30 ELSE size - tr - 5 END AS test FROM f0),
-folds AS (SELECT symbol, "interval", CAST(fold AS INT) AS fold, fold * size AS train_start, fold * size + train AS train_end, fold * size + train + 5 AS test_start, least(fold * size + train + 5 + test, n) AS test_end
- FROM f1, range(2) r(fold) WHERE fold * size + train + 5 < least(fold * size + train + 5 + test, n))"""
-LABEL_SQL = "hz AS (" + " UNION ALL ".join(f"SELECT *, {h} AS horizon, CASE WHEN close <> 0 THEN (lead(close, {h}) OVER {LAG} - close) / close * 100 END AS forward_return FROM g" for h in HORIZONS) + ")"
-LABEL_SQL += """, lab AS (SELECT hz.*, f.fold, f.train_end, f.test_start, CASE WHEN bar_index >= train_start AND bar_index < train_end THEN 'train' ELSE 'test' END AS part, round(score0, 9) AS score, CAST(forward_return > 0 AS INT) AS label
+f1 AS (SELECT *, CASE WHEN size - tr - {embargo} < {least} THEN size - {least} - {embargo} ELSE tr END AS train, CASE WHEN size - tr - {embargo} < {least} THEN {least} ELSE size - tr - {embargo} END AS test FROM f0),
+folds AS (SELECT symbol, "interval", CAST(fold AS INT) AS fold, fold * size AS train_start, fold * size + train AS train_end, fold * size + train + {embargo} AS test_start, least(fold * size + train + {embargo} + test, n) AS test_end
+ FROM f1, range({n}) r(fold) WHERE fold * size + train + {embargo} < least(fold * size + train + {embargo} + test, n))"""
+
+
+def label_cte(horizons: list[int]) -> str:
+    each = " UNION ALL ".join(f"SELECT *, {h} AS horizon, CASE WHEN close <> 0 THEN (lead(close, {h}) OVER {LAG} - close) / close * 100 END AS forward_return FROM g" for h in horizons)
+    return f"""hz AS ({each}), lab AS (SELECT hz.*, f.fold, f.train_end, f.test_start, CASE WHEN bar_index >= train_start AND bar_index < train_end THEN 'train' ELSE 'test' END AS part, round(score0, 9) AS score, CAST(forward_return > 0 AS INT) AS label
  FROM hz JOIN folds f USING (symbol, "interval") WHERE ((bar_index >= train_start AND bar_index < train_end) OR (bar_index >= test_start AND bar_index < test_end)) AND forward_return IS NOT NULL AND forward_return <> 0)"""
+
+
+FOLD_SQL, LABEL_SQL = fold_cte(2, 5, 30), label_cte(HORIZONS)
 ALL_SQL = f"WITH {BARS}, {BASE}, {FOLD_SQL}, {LABEL_SQL}"
 
 
