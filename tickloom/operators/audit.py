@@ -56,13 +56,11 @@ def audit(bars: DataFrame, fold_rows: DataFrame, horizon: int = USUAL_HORIZON) -
 
 def with_regime(bars: DataFrame, window: int = 20, hours: float = 1.0) -> DataFrame:
     """bars (indexed) with `vol`, the annualised deviation of the returns before each, and `regime`:
-    low, medium or high by the terciles of the series, which are summed up once a series and joined."""
+    low, medium or high by the terciles of the series."""
     w = series.by_series()
     moved = F.coalesce(F.try_divide(F.col("close") - F.lag("close").over(w), F.lag("close").over(w)), F.lit(0.0))
-    v = bars.withColumn("__r", moved).withColumn("vol", series.trailing_volatility(F.col("__r"), window, hours)).drop("__r")
-    cuts = v.groupBy(*KEY).agg(F.percentile("vol", F.lit(0.33)).alias("__p33"), F.percentile("vol", F.lit(0.67)).alias("__p67"))
-    regime = F.when(F.col("vol") <= F.col("__p33"), "low").when(F.col("vol") <= F.col("__p67"), "medium").when(F.col("vol").isNotNull(), "high")
-    return v.join(cuts, KEY).withColumn("regime", regime).drop("__p33", "__p67")
+    moved_bars = bars.withColumn("__r", moved)
+    return backtest.regimes(moved_bars, series.trailing_volatility(F.col("__r"), window, hours), KEY).drop("__r")
 
 
 def trade_regimes(trades: DataFrame, bars: DataFrame, least: int = 5, least_all: int = 20, window: int = 20, hours: float = 1.0) -> DataFrame:

@@ -158,11 +158,12 @@ def trade_metrics(trade_rows: DataFrame, keys: list[str], interval_hours: float
 
 
 def regimes(rows: DataFrame, volatility: Column, keys: list[str]) -> DataFrame:
-    """rows with `regime`: low, medium or high volatility by the terciles of the group."""
-    w = Window.partitionBy(*keys)
+    """rows with `vol` and `regime`: low, medium or high volatility by the terciles of the group, which
+    are summed up once a group and joined."""
     v = rows.withColumn("vol", volatility)
-    cuts = v.withColumns({"p33": F.percentile("vol", F.lit(0.33)).over(w), "p67": F.percentile("vol", F.lit(0.67)).over(w)})
-    return cuts.withColumn("regime", F.when(F.col("vol") <= F.col("p33"), "low").when(F.col("vol") <= F.col("p67"), "medium").when(F.col("vol").isNotNull(), "high"))
+    cuts = v.groupBy(*keys).agg(F.percentile("vol", F.lit(0.33)).alias("__p33"), F.percentile("vol", F.lit(0.67)).alias("__p67"))
+    regime = F.when(F.col("vol") <= F.col("__p33"), "low").when(F.col("vol") <= F.col("__p67"), "medium").when(F.col("vol").isNotNull(), "high")
+    return v.join(cuts, keys).withColumn("regime", regime).drop("__p33", "__p67")
 
 
 def _outcomes(signals: DataFrame, horizons: list[int], n_folds: int, embargo: int, min_test: int, long: Column, short: Column) -> DataFrame:
