@@ -61,3 +61,16 @@ def test_clashing_columns(spark):
     docs = spark.createDataFrame([(i, "menu\nown %d" % i, "h", 1, 2, 3) for i in range(8)], "doc_id long, text string, host string, ld_key int, LD_K int, ld_lines int")
     got = line_dedup.line_dedup(docs, F.col("host")).collect()
     assert all((r["text"], r["ld_key"], r["LD_K"], r["ld_lines"], r["ld_removed"]) == ("own %d" % r["doc_id"], 1, 2, 2, 1) for r in got) and len(got) == 8
+
+
+def test_pages_query_equals_brute_force(spark):
+    from tickloom.llm import common
+
+    sf_dir = "/root/testdata/sf0.01"
+
+    pages = common.table(spark, sf_dir, "pages").select("page_id", line_dedup.page_host(F.col("url")).alias("host"), line_dedup.page_lines(F.col("html")).alias("text"))
+    rows = [tuple(r) for r in pages.collect()]
+    got = sorted(map(tuple, queries.line_dedup_pages(spark, sf_dir).select("page_id", "n_lines", "n_removed", "text").collect()), key=str)
+    assert got == brute(rows, line_dedup.RATIO, line_dedup.MIN_PAGES)
+    few = sorted(map(tuple, line_dedup.line_dedup(pages, F.col("host"), 0.1, 2).select("page_id", "ld_lines", "ld_removed", "text").collect()), key=str)
+    assert few == brute(rows, 0.1, 2) and any(r[2] for r in few)

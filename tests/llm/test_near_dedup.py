@@ -27,8 +27,6 @@ def brute(rows, percent, size=5):
             by.setdefault(x, []).append(k)
     seen = set()
     for ks in by.values():
-        if len(ks) > 400:
-            ks = ks[:400] + ks[-400:]
         for a in ks:
             for b in ks:
                 if a < b and (a, b) not in seen:
