@@ -128,3 +128,27 @@ def test_horizons_follow_the_interval():
     assert search.horizons_for(3600, 100, usual) == [1, 2, 3, 4, 5, 6, 8, 10]
     assert search.horizons_for(None, 5, usual) == [1]
     assert search.horizons_for(3600, 10_000, usual, fast=True) == [1, 3, 5, 8, 12, 16, 20, 24]
+
+
+def test_the_start_and_the_best_are_measured_again(spark):
+    import datetime
+
+    from tickloom.operators import backtest
+    from tickloom.sources import bars as source
+
+    lot = np.random.default_rng(4)
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(s, "1h", at + datetime.timedelta(hours=i), *[float(100 + x)] * 4, 1.0) for s in "AB" for i, x in enumerate(lot.normal(0, 1, 500))]
+    bars = source.indexed(spark.createDataFrame(rows, source.BAR_SCHEMA))
+    signals = lambda b, t: search.crossing_means(b, t, against=True)
+    args = ([1, 3], 2, 5, 20, 40)
+    start, best = {"fast": 5.0, "slow": 6.0}, {"fast": 1.0, "slow": 8.0}
+    found = {r["which"]: r for r in search.re_evaluated(lambda t: search.trial_metrics(signals, bars, t, *args), spark, start, best).collect()}
+    assert (found["best"]["fast"], found["best"]["kept"], found["start"]["kept"]) == (1.0, True, False) and math.isfinite(found["best"]["objective"])
+    alone = backtest.roll_up(backtest.fold_metrics(signals(bars, search.trial_rows(spark, [best])), *args), backtest.KEY)
+    want = backtest.across_symbols(alone.withColumn("k", F.lit(1)), ["k"]).first()
+    for name in ("mcc", "roc_auc", "total_trades", "win_rate", "sharpe", "avg_return", "avg_holding", "consistency"):
+        assert found["best"][name] == pytest.approx(want[name])
+    same = {r["which"]: r["kept"] for r in search.re_evaluated(lambda t: t.select("trial_id", F.lit(0.5).alias("objective")), spark, start, best).collect()}
+    none = {r["which"]: r["kept"] for r in search.re_evaluated(lambda t: t.select("trial_id", F.lit(0.5).alias("objective")).where("false"), spark, start, best).collect()}
+    assert same == none == {"start": True, "best": False}

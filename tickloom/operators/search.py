@@ -122,17 +122,44 @@ def walk_forward_objective(
     the mean over a trial's series, of which one rejected, or without such a fold, rejects the trial.
     signals: bars and trials to every trial's bars, as fan_out names them, with main_value and the
     signal columns."""
-    rows = signals(bars, trials)
-    per_fold = backtest.fold_metrics(rows, horizons, n_folds, embargo, min_train, min_test, interval_hours=interval_hours)
-    series_rows = backtest.roll_up(per_fold, backtest.KEY, min_samples, min_trades)
+    series_rows = _by_series(signals, bars, trials, horizons, n_folds, embargo, min_train, min_test, interval_hours, min_samples, min_trades)
+    return _objectives(series_rows, trials)
+
+
+def _by_series(signals: Callable, bars: DataFrame, trials: DataFrame, horizons: list[int], n_folds: int, embargo: int, min_train: int, min_test: int, interval_hours: float, min_samples: int, min_trades: int) -> DataFrame:
+    """A row for every trial and series, its measures missing where no fold holds."""
+    per_fold = backtest.fold_metrics(signals(bars, trials), horizons, n_folds, embargo, min_train, min_test, interval_hours=interval_hours)
+    found = backtest.roll_up(per_fold, backtest.KEY, min_samples, min_trades)
     every = bars.select(*backtest.KEY).distinct().crossJoin(trials.select("trial_id")).withColumn("interval", F.concat_ws("#", "interval", F.col("trial_id").cast("string")))
-    series_rows = every.join(series_rows, backtest.KEY, "left")
+    return every.join(found, backtest.KEY, "left")
+
+
+def _objectives(series_rows: DataFrame, trials: DataFrame) -> DataFrame:
     low, _ = stats.mcc_interval(F.col("mcc"), F.col("samples"))
     score = stats.objective(F.col("mcc"), F.col("roc_auc"), F.col("samples"), F.col("consistency"), low)
     found = backtest.average_objective(series_rows, ["trial_id"], F.when(F.col("samples").isNotNull(), score))
     return trials.select("trial_id").join(found, "trial_id", "left").select("trial_id", F.coalesce("objective", F.lit(float("-inf"))).alias("objective"))
 
 
+def trial_metrics(
+    signals: Callable[[DataFrame, DataFrame], DataFrame], bars: DataFrame, trials: DataFrame, horizons: list[int], n_folds: int, embargo: int, min_train: int = 30, min_test: int = 100, interval_hours: float = 1.0, min_samples: int = 1, min_trades: int = 0
+) -> DataFrame:
+    """(trial_id, objective and all measures across its series) of every trial, in one job."""
+    series_rows = _by_series(signals, bars, trials, horizons, n_folds, embargo, min_train, min_test, interval_hours, min_samples, min_trades)
+    return _objectives(series_rows, trials).join(backtest.across_symbols(series_rows, ["trial_id"]), "trial_id", "left")
+
+
+def re_evaluated(measure: Callable[[DataFrame], DataFrame], spark: SparkSession, start: dict, best: dict) -> DataFrame:
+    """Two rows, `which` start and best, with their parameters and all measures, by one job over all
+    horizons; `kept` marks the one that stays: the start unless the best's objective is greater.
+    measure: trials to (trial_id, objective and measures)."""
+    trials = trial_rows(spark, [start, best])
+    rows = trials.join(measure(trials), "trial_id", "left").withColumn("objective", F.coalesce("objective", F.lit(float("-inf"))))
+    both = Window.partitionBy(F.lit(0)).orderBy("trial_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # two rows
+    better = F.last("objective").over(both) > F.first("objective").over(both)
+    return rows.withColumns({"which": F.when(F.col("trial_id") == 0, "start").otherwise("best"), "kept": better == (F.col("trial_id") == 1)}).drop("trial_id")
+
+
 def crossing_means(bars: DataFrame, trials: DataFrame, against: bool = False) -> DataFrame:
     """Signals of trials with `fast` and `slow`: crossings of two averages of these lengths;
     main_value is their distance relative to the close, turned round where `against` is set."""

@@ -164,3 +164,23 @@ register("s19_report_comparison", lambda s, d: shown(stored_results.comparison(r
 UNION ALL SELECT n_name, 'win_rate', 0.5::DOUBLE, round((n_nationkey + 40) / 100.0::DOUBLE, 6) FROM nation""")
 register("s19_report_settings", lambda s, d: stored_results.settings(reports(s, d), "body", ["report"]),
          "SELECT n_name AS report, 'Strategy' AS name, 'tpe' AS value FROM nation UNION ALL SELECT n_name, 'Max trials', CAST(n_nationkey + 10 AS VARCHAR) FROM nation")
+
+
+def flat_rows(spark, sf_dir: str) -> DataFrame:
+    """A flat row for each nation; every fifth has no measures."""
+    key = F.col("n_nationkey")
+    measures = F.create_map(F.lit("mcc"), key / 25.0, F.lit("roc_auc"), 0.5 + key / 100.0, F.lit("total_trades"), key.cast("double"))
+    rows_ = nations(spark, sf_dir).select(
+        F.col("n_name").alias("indicator_name"), F.concat("n_name", F.lit(".pine")).alias("file_name"), F.lit("X").alias("symbol"), F.lit("1d").alias("interval"), (key % 2 == 0).alias("improved"),
+        (key / 10.0).alias("objective_best"), F.when(key % 5 > 0, measures).alias("best_metrics"), F.create_map(F.lit("slow"), key + 20.0, F.lit("fast"), key + 2.5).alias("best_params"), key.alias("n_trials"),
+    )
+    return stored_results.flat_matrix(rows_)
+
+
+_KNOWN = {
+    "indicator_name": "n_name", "file_name": "n_name || '.pine'", "symbol": "'X'", "interval": "'1d'", "improved": "n_nationkey % 2 = 0", "objective_best": "n_nationkey / 10.0::DOUBLE",
+    "mcc": "CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey / 25.0::DOUBLE END", "roc_auc": "CASE WHEN n_nationkey % 5 > 0 THEN 0.5::DOUBLE + n_nationkey / 100.0::DOUBLE END",
+    "total_trades": "CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey::DOUBLE END", "n_trials": "n_nationkey",
+    "best_params": "'{\"fast\":' || printf('%.1f', n_nationkey + 2.5) || ',\"slow\":' || printf('%.1f', n_nationkey + 20.0) || '}'",
+}
+register("s17_flat_matrix", flat_rows, "SELECT " + ", ".join(f"{_KNOWN.get(n, 'NULL::DOUBLE')} AS \"{n}\"" for n in stored_results.MATRIX) + " FROM nation")

@@ -23,6 +23,29 @@ METRICS = {
 SHARES = ("win_rate", "directional_accuracy", "tail_capture_rate")
 
 
+#: The columns of the flat matrix table, in order.
+MATRIX = (
+    "indicator_name", "file_name", "symbol", "interval", "improved", "objective_best", "baseline_objective", "improvement_pf", "forecast_horizon", "total_trades", "winning_trades",
+    "losing_trades", "win_rate", "profit_factor", "sharpe_ratio", "max_drawdown", "avg_holding_bars", "directional_accuracy", "mcc", "roc_auc", "classification_samples",
+    "improvement_over_random", "tail_capture_rate", "consistency_score", "total_return", "avg_return", "optimization_time", "n_trials", "best_params", "original_params", "output_pine",
+    "output_report",
+)
+
+
+def flat_matrix(rows: DataFrame) -> DataFrame:
+    """Stored results as flat rows of MATRIX: a column of the row, else the measure of that name in the
+    map `best_metrics`, else missing; maps as JSON with their keys in order."""
+    kinds, metrics = dict(rows.dtypes), F.col("best_metrics") if "best_metrics" in rows.columns else F.create_map().cast("map<string,double>")
+
+    def column(name: str) -> Column:
+        if name not in kinds:
+            return F.try_element_at(metrics, F.lit(name)).alias(name)
+        x = F.col(name)
+        return (F.to_json(F.map_from_entries(F.array_sort(F.map_entries(x)))) if kinds[name].startswith("map") else x).alias(name)
+
+    return rows.select(*map(column, MATRIX))
+
+
 def documents(rows: DataFrame, by: list[str], run: Column) -> DataFrame:
     """One JSON text a group of rows: the run and its matrix, rows in the order of their fields.
     Group by what bounds a document, such as the script or the symbol."""
