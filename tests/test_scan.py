@@ -4,6 +4,7 @@ import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.operators import adaptive, affine, fold, scan
 
@@ -49,6 +50,15 @@ def test_nested_and_adaptive_averages(spark):
     same(scan.with_adaptive(bars, chunk_bars=20), want, names)
 
 
+def test_fisher_and_cooldown(spark):
+    bars = rows(spark, 320, 3)
+    want = fold.fold(adaptive.with_place(bars), lambda b: {"fisher": adaptive.fisher(b["place"])}, ["fisher"])
+    same(scan.with_fisher(bars, chunk_bars=20), want, ["fisher"])
+    edged = bars.withColumn("up", (F.pmod(F.hash("timestamp", "symbol"), F.lit(3)) == 0).cast("int"))
+    want = fold.fold(edged, lambda b: {"is_up": fold.cooldown(b["up"] == 1, 7)}, ["is_up"])
+    same(scan.cooled(edged, ["up"], 7, chunk_bars=10), want, ["is_up"])
+
+
 def test_nothing_and_one_bar(spark):
     bars = rows(spark, 320)
     assert scan.smoothed(bars.limit(0), e=("close", "ema", 3)).collect() == []
@@ -61,7 +71,7 @@ def test_maps_compose_for_any_cut():
     x = lot.normal(0, 1, 300)
     x[lot.random(300) < 0.3] = np.nan
     x[:7] = np.nan
-    for kind, data in ((affine.Mean(0.2, 5), x), (affine.Follow(), np.stack([x, lot.random(300)])), (affine.Filters(), x)):
+    for kind, data in ((affine.Mean(0.2, 5), x), (affine.Follow(), np.stack([x, lot.random(300)])), (affine.Filters(), x), (affine.Decay(0.5), x), (affine.Clamp(0.33, 0.9, 0.6), x), (affine.Cooldown(7), x)):
         whole = kind.run(data, kind.start)
         for _ in range(20):
             cuts = [0, *sorted(lot.integers(0, 301, 15).tolist()), 300]

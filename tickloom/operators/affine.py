@@ -149,3 +149,79 @@ class Filters:
     def pass_on(self, state: tuple, s: list[float]) -> tuple:
         one = np.array([[float(v[-1]) for v in self._stages(np.zeros(1), tuple(e))] for e in np.eye(4)]).T
         return tuple((np.linalg.matrix_power(one, int(s[0])) @ np.array(state) + np.array(s[1:])).tolist())
+
+
+@dataclass(frozen=True)
+class Decay:
+    """y = rate * y + x from zero; a missing value counts as zero. The state is y."""
+
+    rate: float
+    start = (0.0,)
+
+    def run(self, x: np.ndarray, state: tuple) -> np.ndarray:
+        return affine(np.full(len(x), self.rate), np.nan_to_num(x), state[0])
+
+    def sum_up(self, x: np.ndarray) -> list[float]:
+        return [self.rate ** len(x), _end(np.full(len(x), self.rate), np.nan_to_num(x), 0.0)]
+
+    def pass_on(self, state: tuple, s: list[float]) -> tuple:
+        return (s[0] * state[0] + s[1],)
+
+
+@dataclass(frozen=True)
+class Clamp:
+    """y = pull * x + keep * y, held within -most and most; a missing value counts as zero. Maps that
+    are affine between two bounds compose to such a map. The state is y."""
+
+    pull: float
+    keep: float
+    most: float
+    start = (0.0,)
+
+    def run(self, x: np.ndarray, state: tuple) -> np.ndarray:
+        y, out = state[0], np.empty(len(x))
+        for i, v in enumerate(np.nan_to_num(x).tolist()):
+            y = max(-self.most, min(self.most, self.pull * v + self.keep * y))
+            out[i] = y
+        return out
+
+    def sum_up(self, x: np.ndarray) -> list[float]:
+        """(factor, offset, lower bound, upper bound)."""
+        a, b, low, high = 1.0, 0.0, -math.inf, math.inf
+        for v in np.nan_to_num(x).tolist():
+            a, b = self.keep * a, self.pull * v + self.keep * b
+            low, high = (max(-self.most, min(self.most, self.pull * v + self.keep * t)) for t in (low, high))
+        return [a, b, low, high]
+
+    def pass_on(self, state: tuple, s: list[float]) -> tuple:
+        return (max(s[2], min(s[3], s[0] * state[0] + s[1])),)
+
+
+@dataclass(frozen=True)
+class Cooldown:
+    """1 where an edge (a value over zero) is accepted: the last accepted one is `bars` or more behind.
+    The state is how many rows are still to wait; a chunk is summed up as a table from each such number
+    to the one it leaves."""
+
+    bars: int
+    start = (0.0,)
+
+    def _walk(self, edges: list[int], n: int, wait: int) -> tuple[list[int], int]:
+        free, taken = wait, []
+        for i in edges:
+            if i >= free:
+                taken.append(i)
+                free = i + self.bars
+        return taken, max(0, free - n)
+
+    def run(self, x: np.ndarray, state: tuple) -> np.ndarray:
+        out = np.zeros(len(x))
+        out[self._walk(np.flatnonzero(np.nan_to_num(x) > 0).tolist(), len(x), int(state[0]))[0]] = 1.0
+        return out
+
+    def sum_up(self, x: np.ndarray) -> list[float]:
+        edges = np.flatnonzero(np.nan_to_num(x) > 0).tolist()
+        return [float(self._walk(edges, len(x), wait)[1]) for wait in range(max(1, self.bars))]
+
+    def pass_on(self, state: tuple, s: list[float]) -> tuple:
+        return (s[int(state[0])],)

@@ -14,11 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from tickloom.functions import scalar
 from tickloom.operators import adaptive, fold
-from tickloom.operators.affine import Filters, Follow, Mean
+from tickloom.operators.affine import Clamp, Cooldown, Decay, Filters, Follow, Mean
 
 #: Most bars of a chunk.
 CHUNK_BARS = 65_536
@@ -40,7 +40,7 @@ def scan(bars: DataFrame, inputs: Callable[[Arrays, Row | None], Arrays], kinds:
 
     inputs: the arrays of successive bars and the bar before them (None at the start) to one array
     for each of `kinds` (name to recursion); finish: the bars' arrays and each recursion's values to
-    the columns (missing: NaN in, NULL out). Only a chunk's first bar may depend on the bar before."""
+    the columns (missing: NaN in, NULL out; names that start with is_ are boolean). Only a chunk's first bar may depend on the bar before."""
     keys = [*fold.KEY, "__chunk"]
     held = bars.withColumn("__chunk", chunk_of(bars, chunk_bars))
     numbers = [f.name for f in bars.schema.fields if f.dataType.typeName() in ("double", "float", "long", "integer", "short", "byte")]
@@ -78,13 +78,14 @@ def scan(bars: DataFrame, inputs: Callable[[Arrays, Row | None], Arrays], kinds:
         made = inputs(b, dict(zip(numbers, entering["before"])) if entering["before"] else None)
         values = {c: kind.run(made[c], tuple(s)) for (c, kind), s in zip(kinds.items(), entering["states"])}
         for c, v in finish(b, values).items():
-            group = group.append_column(c, pa.array(v, pa.float64(), from_pandas=True))
+            kind = pa.bool_() if c.startswith("is_") else pa.float64()
+            group = group.append_column(c, pa.array(v.astype(bool) if c.startswith("is_") else v, kind, from_pandas=True))
         return group
 
     at = "symbol string, interval string, __chunk long, "
     sums = held.groupBy(*keys).applyInArrow(sum_up, at + "first array<double>, last array<double>, sums array<array<double>>")
     states = sums.groupBy(*fold.KEY).applyInArrow(compose, at + "before array<double>, states array<array<double>>")
-    schema = StructType([*bars.schema.fields, *[StructField(c, DoubleType()) for c in columns]])
+    schema = StructType([*bars.schema.fields, *[StructField(c, BooleanType() if c.startswith("is_") else DoubleType()) for c in columns]])
     return held.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInArrow(done, schema)
 
 
@@ -139,3 +140,19 @@ def with_adaptive(bars: DataFrame, chunk_bars: int = CHUNK_BARS) -> DataFrame:
     kinds = {n: Follow() for n in names} | {"laguerre": Filters()}
     inputs = lambda b, _: {n: np.stack([b["close"], b[f"{n}_gain"]]) for n in names} | {"laguerre": b["close"]}
     return scan(gained, inputs, kinds, lambda _, made: made, list(kinds), chunk_bars)
+
+
+def with_fisher(bars: DataFrame, n: int = 9, chunk_bars: int = CHUNK_BARS) -> DataFrame:
+    """bars with Fisher's transform of the smoothed place of each bar in the range of n."""
+    held = scan(adaptive.with_place(bars, n), lambda b, _: {"__held": b["place"]}, {"__held": Clamp(0.33, 0.67, 0.999)}, lambda _, made: made, ["__held"], chunk_bars)
+
+    def bent(b: Arrays, _: Row | None) -> Arrays:
+        return {"fisher": 0.5 * np.log((1 + b["__held"]) / (1 - b["__held"]))}
+
+    return scan(held, bent, {"fisher": Decay(0.5)}, lambda _, made: made, ["fisher"], chunk_bars).drop("__held", "place")
+
+
+def cooled(bars: DataFrame, edges: list[str], n: int, chunk_bars: int = CHUNK_BARS) -> DataFrame:
+    """bars with is_<name> for each numeric column of edges (over zero): those accepted, n bars apart."""
+    names = {f"is_{e}": e for e in edges}
+    return scan(bars, lambda b, _: {c: b[e] for c, e in names.items()}, {c: Cooldown(n) for c in names}, lambda _, made: made, list(names), chunk_bars)
