@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import series
 from tickloom.operators import backtest, indicators, search
 from tickloom.plans import sql
-from tickloom.plans.evaluation_queries import ALL_SQL, AUC, COUNTS, EVALUATED, FOLD_SQL, FOLDS, HORIZONS, LABEL_SQL, MCC, REALS_SQL, ROLL, ROLLED, fold_cte, label_cte, shown
+from tickloom.plans.evaluation_queries import ALL_SQL, AUC, COUNTS, EVALUATED, FOLD_SQL, FOLDS, HORIZONS, LABEL_SQL, MCC, REALS_SQL, ROC, ROLL, ROLLED, fold_cte, label_cte, shown
 from tickloom.plans.registry import register
 from tickloom.plans.search_queries import TRIAL_RETURNS_SQL
 from tickloom.sources import bars as source
@@ -45,10 +45,10 @@ def example(spark, sf_dir: str) -> DataFrame:
 def windows(spark, sf_dir: str) -> DataFrame:
     close = F.col("close")
     made = bars(spark, sf_dir).withColumns({"mean": series.sma(close, 20), "spread": series.stdev(close, 20), "top": series.highest(F.col("high"), 20)})
-    return shown(made, "symbol", "bar_index", "mean", "spread", "top", digits=4)
+    return made.select("symbol", "bar_index", F.round("mean", 4).alias("mean"), F.round("spread", 4).alias("spread"), "top")
 
 
-register("w_daily_windows", windows, on_daily(sql.over_bars(f"round({sql.sma('close', 20)}, 4) AS mean, round({sql.stdev('close', 20)}, 4) AS spread, round(max(high) OVER {sql.rows(20)}, 4) AS top")))
+register("w_daily_windows", windows, on_daily(sql.over_bars(f"round({sql.sma('close', 20)}, 4) AS mean, round({sql.stdev('close', 20)}, 4) AS spread, max(high) OVER {sql.rows(20)} AS top")))
 
 
 def label_counts(spark, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ SUITED = {"1 hour": ("1h", 3, 72, 10, USUAL), "4 hours": ("4h", 3, 18, 5, [1, 2,
 def by_interval(spark, sf_dir: str) -> DataFrame:
     """Roll-ups of hourly and 4-hour bars side by side, each with the folds and horizons of its interval."""
     both = source.event_bars(spark, sf_dir, "1h").unionAll(source.event_bars(spark, sf_dir, "4h"))
-    signals = indicators.directional(indicators.finish(indicators.generic(source.indexed(both), "roc"), 5)).withColumn("combined_signal", F.round("combined_signal", 9))
+    signals = indicators.directional(indicators.generic(source.indexed(both), "roc", 1)).withColumn("combined_signal", F.round("combined_signal", 9))
     found = search.interval_metrics(signals, USUAL, min_train=1, min_test=20)
     return shown(found, "symbol", "interval", "folds", *ROLLED, digits=4)
 
@@ -97,6 +97,7 @@ def by_interval(spark, sf_dir: str) -> DataFrame:
 def _of(unit: str, name: str, folds: int, embargo: int, trades: int, horizons: list[int]) -> str:
     """The roll-up's statement with other bars, folds and horizons, and a least number of trades."""
     some = ROLL.replace(sql.BARS, sql.BARS.replace("'4h'", f"'{name}'").replace("INTERVAL '4 hours'", f"INTERVAL '{unit}'"))
+    some = some.replace(ROC, ROC.replace("14", "1")).replace(f"{sql.sma('x', 5)} AS m", "x AS m")  # many trades
     some = some.replace(FOLD_SQL, fold_cte(folds, embargo, 20)).replace(LABEL_SQL, label_cte(horizons)).replace("FROM fm GROUP BY symbol", f"FROM fm WHERE total_trades >= {trades} GROUP BY symbol")
     return f"({some} SELECT symbol, '{name}' AS \"interval\", folds, horizon, samples, tp, fp, tn, fn, total_trades, wins, {REALS_SQL} FROM rr)"
 

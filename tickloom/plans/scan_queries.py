@@ -10,8 +10,8 @@ from tickloom.operators import scan
 from tickloom.plans.registry import register
 from tickloom.sources import bars as source
 
-#: Bars of a chunk here; small, so that every series has dozens of chunks.
-CHUNK = 64
+#: Bars of a chunk here; small, so that a series has several chunks.
+CHUNK = 1024
 
 
 def daily(spark, sf_dir: str) -> DataFrame:
