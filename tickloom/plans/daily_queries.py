@@ -34,7 +34,7 @@ def on_daily(statement: str) -> str:
 
 
 def bars(spark, sf_dir: str) -> DataFrame:
-    return source.indexed(source.lineitem_bars(spark, sf_dir))
+    return source.indexed(source.lineitem_bars(spark, sf_dir, by_series=True))
 
 
 def example(spark, sf_dir: str) -> DataFrame:
@@ -54,10 +54,9 @@ register("w_daily_windows", windows, on_daily(sql.over_bars(f"round({sql.sma('cl
 def label_counts(spark, sf_dir: str) -> DataFrame:
     """Classification by symbol and horizon of all labelled rows within folds, and their AUC."""
     rows = backtest.labels(backtest.by_fold(backtest.by_horizon(example(spark, sf_dir), HORIZONS), **FOLDS), F.col("combined_signal"))
-    keys = ["symbol", "horizon"]
-    counts = rows.groupBy(*keys).agg(*backtest.confusion(F.col("label"), F.col("score") >= 0))
-    counts = counts.withColumn("mcc", backtest.mcc(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn"))).join(backtest.roc_auc(rows, keys), keys)
-    return shown(counts, *keys, "tp", "fp", "tn", "fn", "mcc", "roc_auc", digits=4)
+    counts = backtest.scored_counts(rows, [*backtest.KEY, "horizon"])  # with the interval, groups lie where their series does
+    counts = counts.withColumn("mcc", backtest.mcc(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn")))
+    return shown(counts, "symbol", "horizon", "tp", "fp", "tn", "fn", "mcc", "roc_auc", digits=4)
 
 
 register("a07_daily_labels", label_counts,
