@@ -1,20 +1,22 @@
 """Series with memory over any number of bars: a parallel prefix scan.
 
 A series is cut into chunks of time that hold a bounded number of bars, as bars of an interval are
-apart by it. Each chunk is one Arrow group and is summed up as an affine map of the state; the maps
-of a series, one row a chunk, are composed in time order; each chunk then meets the state that enters
-it. No group holds a series, and the whole is one lazy plan.
+apart by it. Each chunk is summed up as an affine map of the state; the maps of a series, one row a
+chunk, are composed in time order; each chunk then meets the state that enters it. Chunks stream
+through Arrow in order, many short ones in a batch; a task holds one chunk at most beside a batch, and
+the whole is one lazy plan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.window import Window
 
 from tickloom.functions import scalar
 from tickloom.operators import adaptive, fold
@@ -41,52 +43,99 @@ def scan(bars: DataFrame, inputs: Callable[[Arrays, Row | None], Arrays], kinds:
     inputs: the arrays of successive bars and the bar before them (None at the start) to one array
     for each of `kinds` (name to recursion); finish: the bars' arrays and each recursion's values to
     the columns (missing: NaN in, NULL out; names that start with is_ are boolean). Only a chunk's first bar may depend on the bar before."""
-    keys = [*fold.KEY, "__chunk"]
-    held = bars.withColumn("__chunk", chunk_of(bars, chunk_bars))
+    held = _in_chunks(bars, chunk_bars)
     numbers = [f.name for f in bars.schema.fields if f.dataType.typeName() in ("double", "float", "long", "integer", "short", "byte")]
-    names = bars.columns
-
-    def arrays(group: pa.Table) -> Arrays:
-        return {c: group.column(c).to_numpy().astype(float) for c in numbers}
-
-    def row(b: Arrays, k: int) -> list[float]:
-        return [float(b[c][k]) for c in numbers]
-
-    def sum_up(group: pa.Table) -> pa.Table:
-        b = arrays(group.sort_by("timestamp"))
-        made = inputs(b, None)
-        sums = [[float(v) for v in kind.sum_up(made[c][..., 1:])] for c, kind in kinds.items()]
-        at = {k: pa.array([group.column(k)[0].as_py()], t) for k, t in zip(keys, (pa.string(), pa.string(), pa.int64()))}
-        kept = {"first": [row(b, 0)], "last": [row(b, -1)]}
-        return pa.table(at | {k: pa.array(v, pa.list_(pa.float64())) for k, v in kept.items()} | {"sums": pa.array([sums], pa.list_(pa.list_(pa.float64())))})
-
-    def compose(chunks: pa.Table) -> pa.Table:
-        rows = chunks.sort_by("__chunk").to_pylist()
-        before, states, out = None, {c: kind.start for c, kind in kinds.items()}, []
-        for r in rows:
-            out.append({k: r[k] for k in keys} | {"before": before, "states": [list(states[c]) for c in kinds]})
-            one = inputs({c: np.array([v]) for c, v in zip(numbers, r["first"])}, dict(zip(numbers, before)) if before else None)
-            for (c, kind), rest in zip(kinds.items(), r["sums"]):
-                states[c] = kind.pass_on(kind.pass_on(states[c], kind.sum_up(one[c])), rest)
-            before = r["last"]
-        doubles = pa.list_(pa.float64())
-        return pa.Table.from_pylist(out, pa.schema([("symbol", pa.string()), ("interval", pa.string()), ("__chunk", pa.int64()), ("before", doubles), ("states", pa.list_(doubles))]))
-
-    def done(group: pa.Table, state: pa.Table) -> pa.Table:
-        group = group.sort_by("timestamp").select(names)
-        b, entering = arrays(group), state.slice(0, 1).to_pylist()[0]
-        made = inputs(b, dict(zip(numbers, entering["before"])) if entering["before"] else None)
-        values = {c: kind.run(made[c], tuple(s)) for (c, kind), s in zip(kinds.items(), entering["states"])}
-        for c, v in finish(b, values).items():
-            kind = pa.bool_() if c.startswith("is_") else pa.float64()
-            group = group.append_column(c, pa.array(v.astype(bool) if c.startswith("is_") else v, kind, from_pandas=True))
-        return group
-
-    at = "symbol string, interval string, __chunk long, "
-    sums = held.groupBy(*keys).applyInArrow(sum_up, at + "first array<double>, last array<double>, sums array<array<double>>")
-    states = sums.groupBy(*fold.KEY).applyInArrow(compose, at + "before array<double>, states array<array<double>>")
-    schema = StructType([*bars.schema.fields, *[StructField(c, BooleanType() if c.startswith("is_") else DoubleType()) for c in columns]])
-    return held.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInArrow(done, schema)
+    names, nested = bars.columns, pa.list_(pa.list_(pa.float64()))
+
+    def arrays(rows: pa.Table) -> Arrays:
+        return {c: rows.column(c).to_numpy().astype(float) for c in numbers}
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts in _whole_chunks(batches):
+            b, sums = arrays(rows), []
+            for i, j in zip(cuts, cuts[1:]):
+                made = inputs({c: x[i:j] for c, x in b.items()}, None)
+                sums.append([[float(v) for v in kind.sum_up(made[c][..., 1:])] for c, kind in kinds.items()])
+            every = np.stack([b[c] for c in numbers], axis=1)
+            ends = [pa.array(every[at].tolist(), pa.list_(pa.float64())) for at in (cuts[:-1], cuts[1:] - 1)]
+            chunk = rows.column("__chunk").combine_chunks().take(pa.array(cuts[:-1]))
+            yield pa.RecordBatch.from_arrays([chunk, *ends, pa.array(sums, nested)], names=["__chunk", "first", "last", "sums"])
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_series = None
+        for batch in batches:
+            entering = []
+            for r in batch.to_pylist():
+                if (r["__chunk"]["symbol"], r["__chunk"]["interval"]) != one_series:
+                    one_series = r["__chunk"]["symbol"], r["__chunk"]["interval"]
+                    before, states = None, {c: kind.start for c, kind in kinds.items()}
+                entering.append((before, [list(states[c]) for c in kinds]))
+                one = inputs({c: np.array([v]) for c, v in zip(numbers, r["first"])}, dict(zip(numbers, before)) if before else None)
+                for (c, kind), rest in zip(kinds.items(), r["sums"]):
+                    states[c] = kind.pass_on(kind.pass_on(states[c], kind.sum_up(one[c])), rest)
+                before = r["last"]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("__chunk"), pa.array([x for x, _ in entering], pa.list_(pa.float64())), pa.array([x for _, x in entering], nested)], names=["__of", "before", "states"]
+            )
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts in _whole_chunks(batches):
+            b, parts = arrays(rows), {c: [] for c in columns}
+            before, states = (rows.column(c).take(pa.array(cuts[:-1])).to_pylist() for c in ("before", "states"))
+            for i, j, was, entering in zip(cuts, cuts[1:], before, states):
+                own = {c: x[i:j] for c, x in b.items()}
+                made = inputs(own, dict(zip(numbers, was)) if was else None)
+                values = {c: kind.run(made[c], tuple(s)) for (c, kind), s in zip(kinds.items(), entering)}
+                for c, v in finish(own, values).items():
+                    parts[c].append(v)
+            chunk = rows.column("__chunk").combine_chunks()
+            out = pa.table({c: chunk.field(c) if c in fold.KEY else rows.column(c) for c in names})
+            for c, found in parts.items():
+                v = np.concatenate(found)
+                kind = pa.bool_() if c.startswith("is_") else pa.float64()
+                out = out.append_column(c, pa.array(v.astype(bool) if c.startswith("is_") else v, kind, from_pandas=True))
+            yield from out.to_batches()
+
+    doubles = ArrayType(DoubleType())
+    chunk_type, states_type = held.schema["__chunk"].dataType, ArrayType(doubles)
+    sums = held.mapInArrow(sum_up, StructType([StructField("__chunk", chunk_type), StructField("first", doubles), StructField("last", doubles), StructField("sums", states_type)]))
+    ordered = sums.repartition("__chunk.symbol", "__chunk.interval").sortWithinPartitions("__chunk")
+    states = ordered.mapInArrow(compose, StructType([StructField("__of", chunk_type), StructField("before", doubles), StructField("states", states_type)]))
+    met = held.join(states, (F.col("__lot") == F.xxhash64("__of")) & (F.col("__chunk") == F.col("__of")) & (F.col("__row") == 1), "left").drop("__of").sortWithinPartitions("__lot", "__chunk", "__row")
+    return met.mapInArrow(done, StructType([*bars.schema.fields, *[StructField(c, BooleanType() if c.startswith("is_") else DoubleType()) for c in columns]]))
+
+
+def _in_chunks(bars: DataFrame, chunk_bars: int) -> DataFrame:
+    """bars with __chunk and the number of the bar in it from 1, __row, in partitions of whole chunks in
+    order. A chunk is one struct, as missing names in it are equal to each other, and holds the series'
+    names; by its hash, __lot, rows are sorted fast."""
+    chunk = F.struct(*fold.KEY, chunk_of(bars, chunk_bars).alias("number"))
+    number = F.row_number().over(Window.partitionBy("__lot", "__chunk").orderBy("timestamp"))
+    held = bars.withColumn("__chunk", chunk).drop(*fold.KEY).withColumn("__lot", F.xxhash64("__chunk"))
+    return held.withColumn("__row", number).sortWithinPartitions("__lot", "__chunk", "__row")
+
+
+def _whole_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Ordered rows as tables that no chunk leaves, with where their chunks start, and their end: many
+    short chunks come in one table, and one chunk at most is held back."""
+
+    def cut(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        rows = pa.Table.from_batches(held)
+        return rows, np.append(np.flatnonzero(rows.column("__row").to_numpy() == 1), rows.num_rows)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        starts = np.flatnonzero(batch.column("__row").to_numpy() == 1)
+        if len(starts):
+            ready = [x for x in (*held, batch.slice(0, int(starts[-1]))) if x.num_rows]
+            if ready:
+                yield cut(ready)
+            held = [batch.slice(int(starts[-1]))]
+        else:
+            held.append(batch)
+    held = [x for x in held if x.num_rows]
+    if held:
+        yield cut(held)
 
 
 def smoothed(bars: DataFrame, chunk_bars: int = CHUNK_BARS, **averages: tuple[str, str, int]) -> DataFrame:

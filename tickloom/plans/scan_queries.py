@@ -14,8 +14,9 @@ from tickloom.sources import bars as source
 CHUNK = 1024
 
 
-def daily(spark, sf_dir: str) -> DataFrame:
-    return source.lineitem_bars(spark, sf_dir)
+def daily(spark, sf_dir: str, *prices: str) -> DataFrame:
+    """The bars with the prices that are scanned: a scan carries all that it is given."""
+    return source.lineitem_bars(spark, sf_dir).select(*source.KEY, "timestamp", *prices)
 
 
 def shown(df: DataFrame, *columns: str) -> DataFrame:
@@ -61,25 +62,25 @@ def over_daily(steps: list[str], *columns: str) -> str:
 
 register(
     "f01_f02_chunked_averages",
-    lambda s, d: shown(scan.smoothed(daily(s, d), CHUNK, ema=("close", "ema", 12), rma=("volume", "rma", 14)), "ema", "rma"),
+    lambda s, d: shown(scan.smoothed(daily(s, d, "close", "volume"), CHUNK, ema=("close", "ema", 12), rma=("volume", "rma", 14)), "ema", "rma"),
     over_daily([], f"ema := {mean_sql('close', ema(12), 12)}", f"rma := {mean_sql('volume', rma(14), 14)}"),
 )
 register(
     "f03_chunked_range",
-    lambda s, d: shown(scan.with_range(daily(s, d), 14, chunk_bars=CHUNK), "atr"),
+    lambda s, d: shown(scan.with_range(daily(s, d, "high", "low", "close"), 14, chunk_bars=CHUNK), "atr"),
     over_daily(["t AS (SELECT *, greatest(high - low, abs(high - was), abs(low - was)) AS tr FROM b)"], f"atr := {mean_sql('tr', rma(14), 14)}"),
 )
 _MOVES = "t AS (SELECT *, greatest(close - was, 0) AS up, greatest(was - close, 0) AS down FROM b)"
 _MEANS = f"m AS (SELECT *, {mean_sql('up', rma(14), 14)} AS gain, {mean_sql('down', rma(14), 14)} AS loss FROM t)"
 register(
     "f04_chunked_strength",
-    lambda s, d: shown(scan.with_strength(daily(s, d), 14, chunk_bars=CHUNK), "rsi"),
+    lambda s, d: shown(scan.with_strength(daily(s, d, "close"), 14, chunk_bars=CHUNK), "rsi"),
     over_daily([_MOVES, _MEANS], "rsi := CASE WHEN gain IS NOT NULL THEN 100 - 100 / (1 + CASE WHEN loss = 0 THEN 100 ELSE gain / loss END) END"),
 )
 _LINE = f"t AS (SELECT *, {mean_sql('close', ema(12), 12)} - {mean_sql('close', ema(26), 26)} AS line FROM b)"
 _SIGNAL = f"m AS (SELECT *, {mean_sql('line', ema(9), 9, 25)} AS signal FROM t)"
 register(
     "f05_chunked_macd",
-    lambda s, d: shown(scan.with_macd(daily(s, d), chunk_bars=CHUNK), "line", "signal", "histogram"),
+    lambda s, d: shown(scan.with_macd(daily(s, d, "close"), chunk_bars=CHUNK), "line", "signal", "histogram"),
     over_daily([_LINE, _SIGNAL], "line := line", "signal := signal", "histogram := line - signal"),
 )
